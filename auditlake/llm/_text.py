@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; bounds a worker's memory.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _U = np.uint64
 WS = np.zeros(256, bool)
@@ -43,7 +43,7 @@ class _Powers:
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = 1 << n.bit_length()
+            n = max(n + n // 4, SLICE_BYTES + 2)
             inverse = pow(self.base, -1, 1 << 64)
             with np.errstate(over="ignore"):
                 self.up, self.down = (

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from ._text import ragged, slices, sums, chunk_spans
 from ._tokens import ChunkMemory
 
+#: Distinct chunks of one replay, about; bounds its arrays.
+REPLAY = 150_000
 NONE = np.iinfo(np.int32).max
 
 
@@ -80,9 +82,9 @@ def replay(words: list[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
     if (token < 0).any():
         raise ValueError("a byte has no rank")
     ends = np.cumsum(lens)
-    after = np.arange(1, n + 1)
+    after = np.arange(1, n + 1, dtype=np.int32)
     after[ends[lens > 0] - 1] = -1
-    before = np.arange(-1, n - 1)
+    before = np.arange(-1, n - 1, dtype=np.int32)
     before[(ends - lens)[lens > 0]] = -1
     current = np.full(n, NONE, np.int32)
     inner = np.flatnonzero(after >= 0)
@@ -171,40 +173,35 @@ def encode(docs: DataFrame, path: str, pattern: str, digests: bool = False) -> D
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, memory = _memory(path, pattern)
         for batch in batches:
-            names = batch.column("doc_id")
-            cut = []
-            for a, b, buf, off in slices(batch.column("text"), 32 << 20):
-                _learn(memory, buf, off)
-                for c, d, part, inner in slices(batch.column("text").slice(a, b - a)):
-                    cut.append((a + c, a + d, *memory.encode(part, inner)))
-                for a_, b_, ids, counts in cut:
-                    at = np.concatenate([[0], np.cumsum(counts)])
-                    out = [names.slice(a_, b_ - a_), pa.array(counts)]
-                    if digests:
-                        out += _digests(ranks, ids, at)
-                    else:
-                        out.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32())))
-                    yield pa.RecordBatch.from_arrays(out, columns)
-                cut.clear()
+            names, texts = batch.column("doc_id"), batch.column("text")
+            _learn(memory, texts)
+            for a, b, buf, off in slices(texts):
+                ids, counts = memory.encode(buf, off)
+                at = np.concatenate([[0], np.cumsum(counts)])
+                out = [names.slice(a, b - a), pa.array(counts)]
+                if digests:
+                    out += _digests(ranks, ids, at)
+                else:
+                    out.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32())))
+                yield pa.RecordBatch.from_arrays(out, columns)
 
     columns = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["doc_id", "n_tokens", "ids"]
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>")
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, schema)
 
 
-def _learn(memory: ChunkMemory, buf: np.ndarray, offsets: np.ndarray) -> None:
-    """Encode the unknown chunks of many rows in one replay."""
-    starts, ends, _ = chunk_spans(buf, offsets)
-    edge = np.searchsorted(starts, np.arange(0, len(buf) + 1, 4 << 20))
-    known, raw = memory.table, buf.tobytes()
+def _learn(memory: ChunkMemory, texts: pa.Array) -> None:
+    """Encode the unknown chunks of many rows in few replays."""
     fresh: dict[bytes, None] = {}
-    for a, b in zip(edge, [*edge[1:], len(starts)]):
-        if a == b:
-            continue
-        from_, to = int(starts[a]), int(ends[b - 1])
-        miss = memory.unknown(buf[from_:to], starts[a:b] - from_, ends[a:b] - from_) + a
+    for _, _, buf, off in slices(texts):
+        starts, ends, _ = chunk_spans(buf, off)
+        miss = memory.unknown(buf, starts, ends)
+        raw = buf.tobytes()
         fresh.update((raw[s:e], None) for s, e in zip(starts[miss].tolist(), ends[miss].tolist()))
-    if fresh and known is memory.table:
+        if len(fresh) > REPLAY:
+            memory.learn(list(fresh))
+            fresh = {}
+    if fresh:
         memory.learn(list(fresh))
 
 

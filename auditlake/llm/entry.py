@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
-from . import byte_bpe, packing, quality_rules, token_output, url_filter
+from . import byte_bpe, lm_scoring, packing, quality_rules, token_output, toxicity, url_filter
 
 #: Where the public tokenizer files are; every operator takes the path as a parameter.
 WORD_BPE, BYTE_BPE, BYTE_RANKS = "word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -40,6 +40,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.digests(token_output.read(spark, path))
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = lm_scoring.train(docs.where(~lm_scoring.held_out(F.col("doc_id"))))
+    rows = lm_scoring.score(docs, model).withColumn("held_out", lm_scoring.held_out(F.col("doc_id")))
+    return rows.withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer(BYTE_BPE)).drop("ids")
 
@@ -52,6 +59,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    rows = toxicity.score(docs, model).withColumn("held_out", toxicity.held_out(F.col("doc_id")))
+    return rows.select("doc_id", "held_out", "score", "predicted")
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,8 +76,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1,
         "op2_token_output": op2,
+        "op3_lm_scoring": op3,
         "op4_packing": op4,
         "op5_url_filter": op5,
+        "op8_toxicity": op8,
         "op9_byte_bpe": op9,
     }
 
