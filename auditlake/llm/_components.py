@@ -1,0 +1,39 @@
+"""Connected components of an edge table, by hooking to the least neighbour and contraction."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ._scratch import materialize
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node of edges (a, b); component is the least node reached.
+
+    Each round points every node at its least neighbour, follows those pointers twice and
+    contracts the edges; what is left shrinks at least by half, so rounds grow with the
+    logarithm of the nodes. Every round is written to the shared folder.
+    """
+    left = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    steps = []
+    while not left.isEmpty():
+        both = left.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        hooked = both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("parent"))
+        hooked = materialize(hooked, "hooked")
+        for _ in range(2):
+            up = hooked.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
+            hooked = hooked.join(up, "parent").select("node", F.col("above").alias("parent"))
+        hooked = materialize(hooked, "hooked")
+        steps.append(hooked)
+        for side in ("a", "b"):
+            to = hooked.select(F.col("node").alias(side), F.col("parent").alias("to"))
+            left = left.join(to, side).drop(side).withColumnRenamed("to", side)
+        left = materialize(left.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    if not steps:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    found = steps[0].select("node", F.col("parent").alias("component"))
+    for step in steps[1:]:
+        up = step.select(F.col("node").alias("component"), F.col("parent").alias("above"))
+        found = found.join(up, "component", "left").select("node", F.coalesce("above", "component").alias("component"))
+    return found

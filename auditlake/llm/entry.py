@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
-from . import byte_bpe, lm_scoring, packing, quality_rules, token_output, toxicity, url_filter
+from . import byte_bpe, embedding_dedup, lm_scoring, packing, quality_rules, token_output, toxicity, url_filter
 
 #: Where the public tokenizer files are; every operator takes the path as a parameter.
 WORD_BPE, BYTE_BPE, BYTE_RANKS = "word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -72,6 +72,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(_table(spark, sf_dir, "documents"), _tokenizer(BYTE_RANKS), public_tokenizers.PATTERN, digests=True)
 
 
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1,
@@ -81,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_url_filter": op5,
         "op8_toxicity": op8,
         "op9_byte_bpe": op9,
+        "op10_embedding_dedup": op10,
     }
 
 
