@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
-from . import byte_bpe, embedding_dedup, lm_scoring, packing, quality_rules, token_output, toxicity, url_filter
+from . import byte_bpe, embedding_dedup, lm_scoring, order_minhash, packing, quality_rules, token_output, toxicity, url_filter
 
 #: Where the public tokenizer files are; every operator takes the path as a parameter.
 WORD_BPE, BYTE_BPE, BYTE_RANKS = "word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -59,6 +59,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(_table(spark, sf_dir, "documents"))
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
@@ -83,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_lm_scoring": op3,
         "op4_packing": op4,
         "op5_url_filter": op5,
+        "op6_order_minhash": op6,
         "op8_toxicity": op8,
         "op9_byte_bpe": op9,
         "op10_embedding_dedup": op10,

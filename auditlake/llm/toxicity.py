@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._scratch import new_folder
+from ._scratch import materialize, new_folder
 from ._store import find_sorted, merge, pack, range_of, read_part, unpack, write_part
 from ._text import LOWER, hash_spans, ragged, slices, sums, word_spans
 
@@ -202,16 +202,18 @@ def _draw(rows: DataFrame, n: int, most: int) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Models from two folds of the labelled rows outside held_out, the curve from the third."""
     labelled = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(labelled, "doc_id")
     curve_fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 3
-    sizes = {(r["fold"], r["toxic"]): r["n"] for r in labelled.groupBy(curve_fold.alias("fold"), "toxic").agg(F.count("*").alias("n")).collect()}
-    classes = [_draw(rows.where(~curve_fold & (F.col("toxic") == k)), sizes.get((False, k), 0), MAX_DOCUMENTS) for k in (0, 1)]
-    model = count_models(classes[0].unionByName(classes[1]))
+    labelled = labelled.withColumn("fold", curve_fold)
+    sizes = {(r["fold"], r["toxic"]): r["n"] for r in labelled.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
+    drawn = [_draw(labelled.where(~F.col("fold") & (F.col("toxic") == k)), sizes.get((False, k), 0), MAX_DOCUMENTS) for k in (0, 1)]
+    drawn.append(_draw(labelled.where("fold"), sum(n for (f, _), n in sizes.items() if f), MAX_CURVE))
+    # the draws bound this table, so it is broadcast and no text is moved
+    picked = F.broadcast(materialize(drawn[0].unionByName(drawn[1]).unionByName(drawn[2]), "labels"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(picked, "doc_id")
+    model = count_models(rows.where(~F.col("fold")))
     if not model.usable:
         return model
-    fold = rows.where(curve_fold)
-    fold = _draw(fold, sum(n for (f, _), n in sizes.items() if f), MAX_CURVE)
-    seen = evidence(fold.select("toxic", "text"), model, "toxic int").toPandas()
+    seen = evidence(rows.where("fold").select("toxic", "text"), model, "toxic int").toPandas()
     curve = _curve(seen[["evidence", "strong"]].to_numpy(), seen["toxic"].to_numpy(float))
     return replace(model, curve=curve)
 
