@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
-from . import byte_bpe, embedding_dedup, lm_scoring, order_minhash, packing, quality_rules, token_output, toxicity, url_filter
+from . import byte_bpe, embedding_dedup, lm_scoring, order_minhash, packing, quality_rules, substring_dedup, token_output, toxicity, url_filter
 
 #: Where the public tokenizer files are; every operator takes the path as a parameter.
 WORD_BPE, BYTE_BPE, BYTE_RANKS = "word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -19,7 +19,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -36,7 +36,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = token_output.write_documents(_table(spark, sf_dir, "documents"), _tokenizer(WORD_BPE))
+    path = token_output.write_documents(_table(spark, sf_dir, "documents"), tokenizer(WORD_BPE))
     return token_output.digests(token_output.read(spark, path))
 
 
@@ -48,7 +48,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer(BYTE_BPE)).drop("ids")
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer(BYTE_BPE)).drop("ids")
 
 
 LISTED = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -63,6 +63,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.classes(_table(spark, sf_dir, "documents"))
 
 
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
@@ -73,13 +77,19 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return byte_bpe.encode(_table(spark, sf_dir, "documents"), _tokenizer(BYTE_RANKS), public_tokenizers.PATTERN, digests=True)
+    return byte_bpe.encode(_table(spark, sf_dir, "documents"), tokenizer(BYTE_RANKS), public_tokenizers.PATTERN, digests=True)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.dedup(_table(spark, sf_dir, "embeddings"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1,
@@ -88,9 +98,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": op4,
         "op5_url_filter": op5,
         "op6_order_minhash": op6,
+        "op7_substring_dedup": op7,
         "op8_toxicity": op8,
         "op9_byte_bpe": op9,
         "op10_embedding_dedup": op10,
+        "pipeline": pipeline,
     }
 
 

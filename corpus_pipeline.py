@@ -1,2 +1,66 @@
-"""Placeholder until the stages exist."""
-STAGES = []
+"""A training corpus from documents: filter, deduplicate, pack.
+
+STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a
+DataFrame, which is written as Parquet and reread as the next one's docs. All but the last
+return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from auditlake import ship
+from auditlake.llm import order_minhash, packing, quality_rules, substring_dedup, toxicity
+from auditlake.llm._scratch import materialize
+from auditlake.llm.entry import BYTE_BPE, tokenizer
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity models reject go."""
+    ship.to_executors(spark)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.keep(docs, toxicity.train(docs, labels))
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the standing policy go."""
+    return quality_rules.keep(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of each near-duplicate class stays."""
+    ship.to_executors(spark)
+    stays = order_minhash.classes(docs).where("kept").select("doc_id").distinct()
+    return docs.join(stays, "doc_id", "left_semi").select(*docs.columns)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of 50-word windows that an earlier document holds go; every document stays."""
+    ship.to_executors(spark)
+    return substring_dedup.apply(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a packed sequence."""
+    ship.to_executors(spark)
+    return packing.pack_documents(docs, tokenizer(BYTE_BPE)).drop("ids")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality_rules", drop_low_quality),
+    ("minhash_dedup", drop_near_copies),
+    ("substring_dedup", drop_repeated_passages),
+    ("packing", pack),
+]
+
+#: The stages use trained models and sketches, which SQL cannot express.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of documents after all stages."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
