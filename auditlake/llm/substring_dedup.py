@@ -290,7 +290,7 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = each.groupBy("minimizer").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high")
     shared = shared.select("minimizer", (F.col("n") > HOT).alias("hot"))
     wanted = each.join(shared, "minimizer").groupBy("doc_id").agg(F.collect_list(F.struct("first", "windows", "minimizer", "hot")).alias("wanted"))
-    texts = materialize(docs.join(wanted, "doc_id"), "sharing")
+    texts = materialize(docs.join(wanted.hint("merge"), "doc_id"), "sharing")  # the same plan at every size
     found = materialize(texts.mapInArrow(_extract, "doc_id long, first int, minimizer long, hot boolean, words binary"), "segments")
 
     hot = found.where("hot")
