@@ -1,0 +1 @@
+"""Incremental jobs: the library is batch only, see operators.integrity.resume."""
