@@ -43,7 +43,7 @@ WINDOW = 50
 K = 8
 HOT = 64
 #: Words of a shard, about.
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 400_000
 _U = np.uint64
 
 
@@ -215,13 +215,16 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _explode_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, first, w1, w2): the window's content hashes."""
+    """(doc_id, at, w1, w2): the content hashes of every window."""
     for batch in batches:
-        doc, first = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "first"))
-        for k, raw in enumerate(batch.column("words").to_pylist()):
-            words = np.frombuffer(raw, _U)
-            a, b = window_hashes(words, WINDOW), window_hashes(mix(words ^ _U(0x5851F42D4C957F2D)), WINDOW)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), doc[k])), pa.array(np.arange(len(a)) + first[k], pa.int32()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["doc_id", "at", "w1", "w2"])
+        for low in range(0, batch.num_rows, 1000):
+            some = batch.slice(low, 1000)
+            doc, first = (some.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "first"))
+            words = [np.frombuffer(raw, _U) for raw in some.column("words").to_pylist()]
+            a, b = ([window_hashes(mix(w ^ seed), WINDOW) for w in words] for seed in (_U(0), _U(0x5851F42D4C957F2D)))
+            n = np.array([len(x) for x in a])
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(doc, n)), pa.array(at, pa.int32()), pa.array(np.concatenate(a).view(np.int64)), pa.array(np.concatenate(b).view(np.int64))], ["doc_id", "at", "w1", "w2"])
 
 
 def _search(pdf: pd.DataFrame) -> pd.DataFrame:
