@@ -1 +1,68 @@
-QUERIES = {}
+"""Paired tests, fits and bootstrap intervals."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import audit as A
+from ..operators import bootstrap as B
+from ..operators import metrics as M
+from ..operators import stats as S
+from .metric_queries import PRE, cells, rounded
+
+R = 40
+
+
+def _labels(s, d):
+    return cells(s, d).where("variant = 'D0'")
+
+
+def _points(s, d):
+    c = cells(s, d)
+    return c.where("state_id IS NOT NULL").groupBy("variant", "policy").agg(F.avg("conf").alias("x"), F.avg("correct").alias("y"))
+
+
+def _pvalues(s, d):
+    chi = A.contingency(cells(s, d).where("variant = 'D0' AND state_id IS NOT NULL"), "state_id", "lang", ["policy"])
+    return chi.select("policy", F.round(F.exp(-F.col("chi2") / 12), 12).alias("p"))
+
+
+def _ratio(s, d):
+    c = cells(s, d).where("variant = 'D5' AND correct IS NOT NULL").groupBy("doc_id").agg(F.sum("correct").alias("num"), F.count("*").alias("den"))
+    return B.ratio(c.withColumn("all", F.lit("all")), "doc_id", "num", "den", ["all"], "boot", R)
+
+
+def _boot_ece(s, d):
+    return B.ece(cells(s, d), "doc_id", ["variant", "policy"], "boot", R, M.bin_of(F.col("conf")))
+
+
+def _delta(s, d):
+    v = _boot_ece(s, d)
+    base = v.where("variant = 'D0'").select("policy", "replicate", F.col("value").alias("b"))
+    return v.where("variant = 'D5'").join(base, ["policy", "replicate"]).select("policy", "replicate", (F.col("value") - F.col("b")).alias("value"))
+
+
+def _simultaneous(s, d):
+    est = M.paired_delta(M.ece(cells(s, d), ["variant", "policy"]), "ece", "D0").where("variant = 'D5'").select("policy", F.col("delta").alias("value"))
+    return B.simultaneous(_delta(s, d), est, "policy")
+
+
+_CUT = " + ".join(f"(u >= {c})::INTEGER" for c in B._CUTS)
+_WEIGHTS = f", wt AS (SELECT doc_id, replicate, {_CUT} AS w FROM (SELECT doc_id, replicate, ('0x' || substr(sha256(concat_ws(':', 'boot', doc_id::VARCHAR, replicate::VARCHAR)), 1, 12))::BIGINT AS u FROM documents, (SELECT unnest(range(1, {R + 1})) AS replicate)))"
+_RATIO = _WEIGHTS + ", un AS (SELECT doc_id, sum(correct) AS num, count(*) AS den FROM scored WHERE variant = 'D5' AND correct IS NOT NULL GROUP BY ALL), bt AS (SELECT 'all' AS \"all\", replicate::INTEGER AS replicate, sum(w * num) / sum(w * den) AS value FROM un JOIN wt USING (doc_id) GROUP BY ALL) "
+_BINS = "len(list_filter([k / 15.0::DOUBLE FOR k IN range(1, 15)], lambda e: e <= conf))"
+_BOOT = _WEIGHTS + f", cb AS (SELECT doc_id, variant, policy, {_BINS} AS bin, correct - conf AS gap FROM scored WHERE correct IS NOT NULL), g AS (SELECT variant, policy, replicate, bin, sum(w * gap) AS g, sum(w) AS n FROM cb JOIN wt USING (doc_id) WHERE w > 0 GROUP BY ALL), bt AS (SELECT variant, policy, replicate::INTEGER AS replicate, sum(abs(g)) / sum(n) AS value FROM g GROUP BY ALL) "
+_PTS = ", pt AS (SELECT variant, policy, avg(conf) AS x, avg(correct) AS y FROM scored WHERE state_id IS NOT NULL GROUP BY ALL) "
+
+QUERIES = {
+    "pair_divergence": (lambda s, d: rounded(S.pair_divergence(_labels(s, d))), PRE + ", sh AS (SELECT policy, k, count(*) FILTER (state_id = k) / count(*) AS s FROM label_cells, (SELECT unnest([0, 1, 2]) AS k) WHERE variant = 'D0' AND state_id IS NOT NULL GROUP BY ALL) SELECT a.policy AS a, b.policy AS b, round(sum((CASE WHEN a.s > 0 THEN a.s * log2(2 * a.s / (a.s + b.s)) ELSE 0 END + CASE WHEN b.s > 0 THEN b.s * log2(2 * b.s / (a.s + b.s)) ELSE 0 END) / 2), 6) AS js, round(sum(abs(a.s - b.s)) / 2, 6) AS tv FROM sh a JOIN sh b ON a.k = b.k AND a.policy < b.policy GROUP BY ALL"),
+    "cochran_q": (lambda s, d: rounded(S.cochran_q(_labels(s, d), 1)), PRE + ", ok AS (SELECT doc_id, policy, (state_id = 1)::INTEGER AS v FROM label_cells WHERE variant = 'D0' AND state_id IS NOT NULL), r AS (SELECT sum(r) AS t, sum(r * r) AS r2, count(*) AS n FROM (SELECT doc_id, sum(v) AS r FROM ok GROUP BY doc_id)), c AS (SELECT sum(c * c) AS c2 FROM (SELECT policy, sum(v) AS c FROM ok GROUP BY policy)) SELECT n, round(9 * (10 * c2 - t * t) / (10 * t - r2), 6) AS q, 9::BIGINT AS df FROM r, c"),
+    "holm_bonferroni": (lambda s, d: rounded(S.holm(_pvalues(s, d), "p", "policy")), PRE + ", y AS (SELECT policy, state_id, lang FROM label_cells WHERE variant = 'D0' AND state_id IS NOT NULL), o AS (SELECT policy, state_id, lang, count(*) AS o FROM y GROUP BY ALL), r AS (SELECT policy, state_id, count(*) AS r FROM y GROUP BY ALL), c AS (SELECT policy, lang, count(*) AS c FROM y GROUP BY ALL), p AS (SELECT policy, round(exp(-(sum(o) * (sum(o * o / (r * c)) - 1)) / 12), 12) AS p FROM o JOIN r USING (policy, state_id) JOIN c USING (policy, lang) GROUP BY policy), k AS (SELECT policy, p, (count(*) OVER () - row_number() OVER (ORDER BY p, policy) + 1) * p AS s, count(*) OVER () AS m FROM p) SELECT policy, round(p, 6) AS p, round(least(1.0, max(s) OVER (ORDER BY p, policy ROWS UNBOUNDED PRECEDING)), 6) AS holm, round(least(1.0, m * p), 6) AS bonferroni FROM k"),
+    "ols_leave_one_out": (lambda s, d: rounded(S.ols(_points(s, d), "x", "y")), PRE + _PTS + ", f AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, avg(y) AS m FROM pt), l AS (SELECT p.x, p.y, regr_slope(q.y, q.x) AS b1, regr_intercept(q.y, q.x) AS a1 FROM pt p JOIN pt q ON (p.variant, p.policy) <> (q.variant, q.policy) GROUP BY p.variant, p.policy, p.x, p.y) SELECT round(max(b), 6) AS slope, round(max(a), 6) AS intercept, round(1 - sum((y - a - b * x)**2) / sum((y - m)**2), 6) AS r2, round(1 - sum((y - a1 - b1 * x)**2) / sum((y - m)**2), 6) AS loo_r2 FROM l, f"),
+    "temperature_fit": (lambda s, d: S.fit_temperature(cells(s, d), ["variant"]).withColumn("temperature", F.round("temperature", 6)), None),
+    "bootstrap_ratio": (lambda s, d: rounded(_ratio(s, d)), PRE + _RATIO + "SELECT \"all\", replicate, round(value, 6) AS value FROM bt"),
+    "bootstrap_ratio_interval": (lambda s, d: rounded(B.interval(_ratio(s, d), ["all"])), PRE + _RATIO + "SELECT \"all\", count(*) AS n_valid, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, round((1 + count(*) FILTER (value <= 0)) / (count(*) + 1), 6) AS p FROM bt GROUP BY ALL"),
+    "bootstrap_ece": (lambda s, d: rounded(_boot_ece(s, d)), PRE + _BOOT + "SELECT variant, policy, replicate, round(value, 6) AS value FROM bt"),
+    "bootstrap_delta_ece_interval": (lambda s, d: rounded(B.interval(_delta(s, d), ["policy"])), PRE + _BOOT + ", dl AS (SELECT a.policy, a.value - b.value AS v FROM bt a JOIN bt b ON a.policy = b.policy AND a.replicate = b.replicate AND a.variant = 'D5' AND b.variant = 'D0') SELECT policy, count(*) AS n_valid, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, round((1 + count(*) FILTER (v <= 0)) / (count(*) + 1), 6) AS p FROM dl GROUP BY policy"),
+    "simultaneous_intervals": (lambda s, d: rounded(_simultaneous(s, d)), None),
+}
