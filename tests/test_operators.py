@@ -118,3 +118,29 @@ def test_identical_replicates_give_the_estimate(spark):
 def test_entry_and_registry(spark):
     assert entry.entry(spark).count() == 20
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_allocations_from_counts():
+    from auditlake.operators import compare
+
+    order = compare.interleave({"a": 6, "b": 3, "c": 1})
+    assert [sum(s == "a" for s, _ in order[:n]) for n in (5, 10)] == [3, 6] and len(set(order)) == 10
+    assert compare.balanced({"a": 1, "b": 5, "c": 9}, 9) == {"a": 1, "b": 4, "c": 4}
+    h = compare.helmert(4)
+    assert abs(h @ h.T).round(9).tolist() == [[1, 0, 0], [0, 1, 0], [0, 0, 1]] and abs(h.sum(1)).max() < 1e-9
+
+
+def test_shrink_to_the_mean_without_spread(spark):
+    from auditlake.operators import compare
+
+    rows = spark.createDataFrame([("H1", 0.1, 1.0), ("H2", 0.3, 1.0)], "policy string, log_t double, variance double")
+    assert {round(r["log_t"], 9) for r in compare.shrink(rows).collect()} == {0.2}
+
+
+def test_wald_of_equal_effects(spark):
+    from auditlake.operators import compare
+
+    values = spark.createDataFrame([(k, p, 0.1 * ((k * (i + 3)) % 7 - 3)) for k in range(50) for i, p in enumerate(("H1", "H2", "H3"))], "replicate int, policy string, value double")
+    estimate = spark.createDataFrame([(p, 0.0) for p in ("H1", "H2", "H3")], "policy string, value double")
+    stat, p, rank = compare.wald(values, estimate, "policy")
+    assert stat == 0 and p == 1 and rank == 2
