@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import argmax, digest, hex_int, softmax
 
+#: The policy ids in order, and the variants, base first.
 POLICIES = ("H1", "H2", "H3", "H4", "H5", "S1", "S2", "S3", "T1", "T2")
 VARIANTS = ("D0", "D5", "D5b")
 

@@ -64,3 +64,33 @@ def stratified_draw(rows: DataFrame, stratum: list[str], order: list, n: int) ->
     ranked = rows.withColumns({"place": F.row_number().over(part.orderBy(*order)), "population": F.count("*").over(part)})
     p = F.least(F.lit(1.0), F.lit(n) / F.col("population"))
     return ranked.where(F.col("place") <= n).withColumns({"inclusion": p, "weight": 1 / p})
+
+
+def choose_one(options: Column, digest: Column) -> Column:
+    """One element of an array without its null and empty ones, by a hex digest; null if none is left."""
+    kept = F.filter(options, lambda x: x.isNotNull() & (x != ""))
+    place = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % F.greatest(F.size(kept), F.lit(1)) + 1).cast("int")
+    return F.get(kept, place - 1)
+
+
+def floor_then_fill(rows: DataFrame, key: str, groups: str, order: list, floor: int, total: int) -> DataFrame:
+    """The first rows of every group up to a floor, then the first of the others up to a total.
+
+    rows: (key, groups array, ...). The floor is per group, so its part is bounded by the groups.
+    """
+    each = rows.select("*", F.explode(groups).alias("_g"))
+    base = top_per_stratum(each, "_g", order, floor).select(key).distinct()
+    rest = rows.join(base, key, "left_anti").orderBy(*order)
+    left = max(0, total - base.count())
+    return base.unionByName(rest.limit(left).select(key))
+
+
+def soft_pole(target: Column, matches: Column) -> Column:
+    """The pole that a response shows: its target's if it matches, else the other one."""
+    return F.when(matches, target).when(~matches, F.when(target == "high", "low").when(target == "low", "high"))
+
+
+def template_grid(actions: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Every action in every context, numbered; both tables are small by design."""
+    grid = actions.crossJoin(F.broadcast(contexts))
+    return grid.withColumn("position", F.row_number().over(W.orderBy("action", "context")) - 1)

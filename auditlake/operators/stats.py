@@ -126,3 +126,38 @@ def fit_temperature(cells: DataFrame, keys: list[str], low: float = 0.05, high:
             break
     rows = [(*k, math.exp(v[0]), bool(min(abs(v[0] - math.log(low)), abs(v[0] - math.log(high))) < 1e-6)) for k, v in state.items()]
     return spark.createDataFrame(pd.DataFrame(rows, columns=[*keys, "temperature", "at_bound"]))
+
+
+def logistic_calibration(cells: DataFrame, keys: list[str], score: str, hit: str, clip: float = 1e-6, passes: int = 25) -> DataFrame:
+    """keys, intercept, slope of hit on the score's logit; five sums a pass for all keys, by Newton steps."""
+    spark = cells.sparkSession
+    p = F.least(F.greatest(F.col(score), F.lit(clip)), F.lit(1 - clip))
+    rows = cells.where(F.col(hit).isNotNull()).select(*keys, F.log(p / (1 - p)).alias("x"), F.col(hit).cast("double").alias("y"))
+    state = {tuple(r): (0.0, 0.0) for r in rows.select(*keys).distinct().collect()}
+    for _ in range(passes):
+        now = spark.createDataFrame([(*k, *v) for k, v in state.items()], [*keys, "a", "b"])
+        q = 1 / (1 + F.exp(-(F.col("a") + F.col("b") * F.col("x"))))
+        w = rows.join(F.broadcast(now), keys).withColumns({"q": q})
+        r, v, x = F.col("y") - F.col("q"), F.col("q") * (1 - F.col("q")), F.col("x")
+        moved = 0.0
+        for g in w.groupBy(*keys).agg(F.sum(r).alias("g0"), F.sum(r * x).alias("g1"), F.sum(v).alias("h0"), F.sum(v * x).alias("h1"), F.sum(v * x * x).alias("h2")).collect():
+            k = tuple(g[c] for c in keys)
+            det = g["h0"] * g["h2"] - g["h1"] ** 2
+            if det <= 0:
+                continue
+            step = ((g["h2"] * g["g0"] - g["h1"] * g["g1"]) / det, (g["h0"] * g["g1"] - g["h1"] * g["g0"]) / det)
+            state[k] = (state[k][0] + step[0], state[k][1] + step[1])
+            moved = max(moved, *map(abs, step))
+        if moved < 1e-9:
+            break
+    return spark.createDataFrame([(*k, *v) for k, v in state.items()], [*keys, "intercept", "slope"])
+
+
+def permutation_slope(points: list[tuple[float, float]]) -> float:
+    """Share of all orders of y whose slope is at least the observed one, ties included; for a handful of points."""
+    from itertools import permutations
+
+    x, y = np.array(points, float).T
+    d = x - x.mean()
+    every = np.array(list(permutations(y))) @ d
+    return float((every >= d @ y - 1e-12).mean())

@@ -47,6 +47,18 @@ def _simultaneous(s, d):
     return B.simultaneous(_delta(s, d), est, "policy")
 
 
+def _nll(s, d):
+    c = cells(s, d).where("variant = 'D5' AND state_id IS NOT NULL")
+    own = F.element_at(F.array("p0", "p1", "p2"), F.col("state_id") + 1)
+    units = c.groupBy("doc_id", "policy").agg(F.sum(-F.log(own)).alias("num"), F.count("*").alias("den"))
+    return B.interval(B.ratio(units, "doc_id", "num", "den", ["policy"], "boot", R), ["policy"])
+
+
+def _logistic(s, d):
+    c = cells(s, d).where("state_id IS NOT NULL").withColumn("y", (F.col("state_id") == 1).cast("int"))
+    return S.logistic_calibration(c, ["variant"], "p1", "y").select("variant", F.round("intercept", 6).alias("intercept"), F.round("slope", 6).alias("slope"))
+
+
 _CUT = " + ".join(f"(u >= {c})::INTEGER" for c in B._CUTS)
 _WEIGHTS = f", wt AS (SELECT doc_id, replicate, {_CUT} AS w FROM (SELECT doc_id, replicate, ('0x' || substr(sha256(concat_ws(':', 'boot', doc_id::VARCHAR, replicate::VARCHAR)), 1, 12))::BIGINT AS u FROM documents, (SELECT unnest(range(1, {R + 1})) AS replicate)))"
 _RATIO = _WEIGHTS + ", un AS (SELECT doc_id, sum(correct) AS num, count(*) AS den FROM scored WHERE variant = 'D5' AND correct IS NOT NULL GROUP BY ALL), bt AS (SELECT 'all' AS \"all\", replicate::INTEGER AS replicate, sum(w * num) / sum(w * den) AS value FROM un JOIN wt USING (doc_id) GROUP BY ALL) "
@@ -64,5 +76,7 @@ QUERIES = {
     "bootstrap_ratio_interval": (lambda s, d: rounded(B.interval(_ratio(s, d), ["all"])), PRE + _RATIO + "SELECT \"all\", count(*) AS n_valid, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, round((1 + count(*) FILTER (value <= 0)) / (count(*) + 1), 6) AS p FROM bt GROUP BY ALL"),
     "bootstrap_ece": (lambda s, d: rounded(_boot_ece(s, d)), PRE + _BOOT + "SELECT variant, policy, replicate, round(value, 6) AS value FROM bt"),
     "bootstrap_delta_ece_interval": (lambda s, d: rounded(B.interval(_delta(s, d), ["policy"])), PRE + _BOOT + ", dl AS (SELECT a.policy, a.value - b.value AS v FROM bt a JOIN bt b ON a.policy = b.policy AND a.replicate = b.replicate AND a.variant = 'D5' AND b.variant = 'D0') SELECT policy, count(*) AS n_valid, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, round((1 + count(*) FILTER (v <= 0)) / (count(*) + 1), 6) AS p FROM dl GROUP BY policy"),
+    "bootstrap_nll_interval": (lambda s, d: rounded(_nll(s, d)), PRE + _WEIGHTS + ", un AS (SELECT doc_id, policy, -ln([p0, p1, p2][state_id + 1]) AS v FROM scored WHERE variant = 'D5' AND state_id IS NOT NULL), bt AS (SELECT policy, replicate, sum(w * v) / sum(w) AS value FROM un JOIN wt USING (doc_id) WHERE w > 0 GROUP BY ALL) SELECT policy, count(*) AS n_valid, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, round((1 + count(*) FILTER (value <= 0)) / (count(*) + 1), 6) AS p FROM bt GROUP BY policy"),
+    "logistic_calibration": (_logistic, None),
     "simultaneous_intervals": (lambda s, d: rounded(_simultaneous(s, d)), None),
 }

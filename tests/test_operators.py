@@ -144,3 +144,25 @@ def test_wald_of_equal_effects(spark):
     estimate = spark.createDataFrame([(p, 0.0) for p in ("H1", "H2", "H3")], "policy string, value double")
     stat, p, rank = compare.wald(values, estimate, "policy")
     assert stat == 0 and p == 1 and rank == 2
+
+
+def test_permutations_and_choices(spark):
+    assert stats.permutation_slope([(1, 1), (2, 2), (3, 3)]) == pytest.approx(1 / 6)
+    rows = spark.createDataFrame([(1, ["", None, "a"]), (2, []), (3, ["b", "c"])], "id long, x array<string>")
+    found = {r[0]: r[1] for r in rows.select("id", sampling.choose_one(F.col("x"), text.digest("c", F.col("id")))).collect()}
+    assert found[1] == "a" and found[2] is None and found[3] in ("b", "c")
+    groups = spark.createDataFrame([(1, ["x"]), (2, ["x"]), (3, ["y"]), (4, ["y"])], "id long, g array<string>")
+    assert {r["id"] for r in sampling.floor_then_fill(groups, "id", "g", ["id"], 1, 3).collect()} == {1, 2, 3}
+
+
+def test_logistic_calibration_recovers_the_line(spark):
+    import math
+
+    rows = []
+    for i in range(400):
+        x = (i % 20 - 10) / 4
+        p = 1 / (1 + math.exp(-x))
+        q = 1 / (1 + math.exp(-(0.3 + 0.5 * x)))
+        rows.append(("D0", p, int((i // 20 + 0.5) / 20 < q)))
+    row = stats.logistic_calibration(spark.createDataFrame(rows, "variant string, p1 double, y int"), ["variant"], "p1", "y").first()
+    assert abs(row["slope"] - 0.5) < 0.1 and abs(row["intercept"] - 0.3) < 0.1
