@@ -301,7 +301,9 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     windows = materialize(windows, "windows")
     repeated = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("w1", "w2")
     stays = windows.join(repeated, ["w1", "w2"], "left_semi").groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("at"))
-    trimmed = hot.join(stays, "doc_id").mapInArrow(_trim, "doc_id long, first int, minimizer long, words binary")
+    # each segment takes only its own windows along, not its document's
+    own = F.filter("at", lambda x: (x >= F.col("first")) & (x <= F.col("first") + F.length("words") / 8 - WINDOW))
+    trimmed = hot.join(stays, "doc_id").withColumn("at", own).where(F.size("at") > 0).mapInArrow(_trim, "doc_id long, first int, minimizer long, words binary")
     kept = found.where("NOT hot").select("doc_id", "first", "minimizer", "words").unionByName(trimmed)
     kept = materialize(kept.mapInArrow(_content, "doc_id long, first int, minimizer long, words binary, c1 long, c2 long"), "contents")
 
