@@ -42,6 +42,8 @@ from ._text import hash_spans, mix, slices, word_spans
 WINDOW = 50
 K = 8
 HOT = 64
+#: Rows of an Arrow batch; set for the session by removals().
+BATCH_ROWS = 1000
 #: Words of a shard, about.
 SHARD_WORDS = 400_000
 _U = np.uint64
@@ -287,6 +289,8 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A row of the second replaces its document's row of the first.
     """
+    # long texts and lists of segments: smaller batches bound what a worker and its executor hold
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     scanned = materialize(docs.mapInArrow(_scan, SCAN), "scan")
     each = scanned.select("doc_id", F.inline("segments"))
