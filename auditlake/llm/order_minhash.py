@@ -10,12 +10,14 @@ diagonal, holds M with M / (a + b - M) >= 0.8 for a and b k-mers.
 Equal texts are merged before anything else. Within a sketch's bucket of up to ``SMALL``
 documents every pair is verified. In a larger one every document is verified against the
 member that shares most buckets and two drawn ones; what is then not in the bucket's main
-component against six more. Up to ``FEW`` leftovers of a bucket are then verified against
-all its members, more of them against six drawn from the leftovers. So a group of
-thousands of near copies costs a number of pairs proportional to its size. The price: in a
-bucket of more than ``SMALL`` with more than ``FEW`` leftovers, a leftover that is similar to
-none of the members it was compared with stays apart. Classes are the connected components
-of the links.
+component against six more. A last round is exact: what is still not in the main component is
+a leftover, and it is verified against every member of its buckets in another component,
+except where a bound proves that the pair is not similar. The chain is no longer than the
+number of common labelled k-mers, so a similar pair meets within the first fifth (and one) of both
+documents' k-mers in any one order, where the first place at which they meet bounds how many
+they can have in common, and so do their numbers of k-mers. The order is rarest first, which
+only prunes. So every candidate pair is in one class, verified or proved not similar. Classes
+are the connected components of the links.
 
 Sketches miss a pair of similarity s in all ``SKETCHES`` buckets with probability about
 (1 - s**PICK)**SKETCHES, 3e-6 at 0.8.
@@ -31,12 +33,14 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components
 from ._scratch import materialize
+from ._store import pack, unpack
 from ._text import LOWER, hash_spans, mix, slices, word_spans
 
 K = 5
@@ -46,8 +50,10 @@ SIMILAR = (4, 5)  # 0.8 as a fraction
 SMALL = 16
 #: Members of a large bucket that the others are verified against, in each round.
 LEADS = (3, 6)
-#: Leftovers of a bucket that are verified against all its members.
-FEW = 4
+#: Slots in which k-mers are counted for the order of the last round.
+SLOTS = 1 << 20
+#: Documents that meet in a k-mer and are dealt to one task of the last round.
+SHARE = 256
 _U = np.uint64
 
 
@@ -179,6 +185,87 @@ def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return materialize(both.mapInArrow(_verify, "a long, b long"), "links")
 
 
+def _marked(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, labelled k-mers, each row's first) of slices of a column of texts."""
+    for a, b, buf, off in slices(text):
+        low = LOWER[buf]
+        starts, ends, first = word_spans(low, off)
+        found, at = kmers(hash_spans(low, starts, ends), first)
+        yield a, b, labelled(found, at), at
+
+
+def _slot(marked: np.ndarray) -> np.ndarray:
+    return (mix(marked) >> _U(44)).astype(np.int64)
+
+
+def _slot_counts(texts: DataFrame) -> np.ndarray:
+    """How many labelled k-mers of the texts fall into each of SLOTS slots."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for _, _, marked, _ in _marked(batch.column("text")):
+                total += np.bincount(_slot(marked), minlength=SLOTS)
+        used = np.flatnonzero(total)
+        parts = np.split(used, np.searchsorted(used, np.arange(1, 16) * (SLOTS // 16)))
+        rows = [(k, pack(x), pack(total[x])) for k, x in enumerate(parts) if len(x)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["part", "slots", "counts"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(SLOTS, np.int64)
+        for slots, counts in zip(pdf["slots"], pdf["counts"]):
+            total[unpack(slots).astype(np.int64)] += unpack(counts).astype(np.int64)
+        used = np.flatnonzero(total)
+        return pd.DataFrame([(pack(used), pack(total[used]))], columns=["slots", "counts"])
+
+    out = np.zeros(SLOTS, np.int64)
+    sums = texts.mapInArrow(count, "part int, slots binary, counts binary").groupBy("part").applyInPandas(add, "slots binary, counts binary")
+    for r in sums.collect():  # at most SLOTS numbers in all
+        out[unpack(r["slots"]).astype(np.int64)] = unpack(r["counts"]).astype(np.int64)
+    return out
+
+
+def prefix(marked: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest labelled k-mers of a row, of which it has one in common with every similar row."""
+    up, down = SIMILAR
+    order = np.lexsort((marked, counts[_slot(marked)]))
+    return marked[order[: len(marked) - -(-len(marked) * up // down) + 1]]
+
+
+def _unproved(active: DataFrame, placed: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of a leftover and a member of its buckets in other components that no bound excludes."""
+    members = placed.join(active.select("bucket").distinct().hint("merge"), "bucket", "left_semi").select("doc_id", "component").distinct()
+    left = active.select("doc_id", F.lit(True).alias("left")).distinct()
+    members = materialize(members.join(left, "doc_id", "left").select("doc_id", "component", F.coalesce("left", F.lit(False)).alias("left")), "members")
+    texts = materialize(docs.join(members.hint("merge"), "doc_id"), "members")
+    counts = _slot_counts(texts.select("text"))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, marked, at in _marked(batch.column("text")):
+                firsts = [prefix(marked[x:y], counts) if y > x else marked[:0] for x, y in zip(at[:-1], at[1:])]
+                n = np.array([len(x) for x in firsts])
+                row = np.repeat(np.arange(b - a), n)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                own = batch.slice(a, b - a).take(pa.array(row))
+                columns = [np.concatenate([marked[:0], *firsts]).view(np.int64), place.astype(np.int32), np.diff(at)[row].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("doc_id", "component", "left")), *map(pa.array, columns)], ["doc_id", "component", "left", "kmer", "place", "n"])
+
+    entries = materialize(texts.select("doc_id", "component", "left", "text").mapInArrow(emit, "doc_id long, component long, left boolean, kmer long, place int, n int"), "prefixes")
+    met = entries.groupBy("kmer").agg(F.count("*").alias("all"), F.count_if("left").alias("lefts")).where("lefts > 0 AND all > 1")
+    met = met.select("kmer", F.ceil(F.col("all") / SHARE).cast("int").alias("shares"))
+    entries = materialize(entries.join(met.hint("merge"), "kmer"), "prefixes")
+    # a k-mer of many documents is dealt in shares, each of which meets all its leftovers
+    x = entries.where("left").select("kmer", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), *[F.col(c).alias(f"{c}_x") for c in ("doc_id", "component", "place", "n")])
+    y = entries.withColumn("share", F.pmod(F.xxhash64("doc_id"), F.col("shares")).cast("int")).select("kmer", "share", "left", *[F.col(c).alias(f"{c}_y") for c in ("doc_id", "component", "place", "n")])
+    up, down = SIMILAR
+    most = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
+    may = (F.col("component_x") != F.col("component_y")) & (~F.col("left") | (F.col("doc_id_x") < F.col("doc_id_y"))) & (most * (up + down) >= up * (F.col("n_x") + F.col("n_y")))
+    pairs = x.hint("merge").join(y, (x["kmer"] == y["kmer"]) & (x["share"] == y["share"]) & may)
+    return pairs.select(F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b"))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class) and kept of every row of docs."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -205,12 +292,8 @@ def classes(docs: DataFrame) -> DataFrame:
             chosen = large.groupBy("bucket").agg(F.array_distinct(F.array(*salted)).alias("leads"))
             new = active.join(chosen.hint("merge"), "bucket").select(F.explode("leads").alias("lead"), "doc_id")
             new = new.select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b"))
-        else:  # few leftovers are verified against all of their bucket, many against members drawn from them
-            counted = active.groupBy("bucket").agg(F.count("*").alias("n"), F.array_distinct(F.array(*[F.max_by("doc_id", F.xxhash64("doc_id", F.lit(100 * turn + k))) for k in range(LEADS[-1])])).alias("leads"))
-            sized = active.join(counted.hint("merge"), "bucket")
-            few = sized.where(F.col("n") <= FEW).select("bucket", "doc_id").join(large.select("bucket", F.col("doc_id").alias("other")), "bucket").select("doc_id", "other")
-            new = few.unionByName(sized.where(F.col("n") > FEW).select("doc_id", F.explode("leads").alias("other")))
-            new = new.select(F.least("other", "doc_id").alias("a"), F.greatest("other", "doc_id").alias("b"))
+        else:
+            new = _unproved(active, placed, docs)
         found = _links(new.unionByName(pairs) if turn == 0 else new, docs)
         links = found if links is None else materialize(links.unionByName(found), "links")
         part = materialize(components(links), "components")

@@ -164,6 +164,33 @@ def test_large_group_of_near_copies(spark):
     assert {r["class_id"] for r in order_minhash.classes(table(spark, texts)).collect()} == {0}
 
 
+def test_similar_pairs_within_one_template(spark):
+    # 176 k-mers are everyone's (0.786), 4 more the pair's (0.818): many pairs meet in large buckets only
+    texts = [" ".join([f"t{k}" for k in range(180)] + [f"p{i // 2}w{k}" for k in range(4)] + [f"d{i}w{k}" for k in range(20)]) for i in range(800)]
+    classes = {r["doc_id"]: r["class_id"] for r in order_minhash.classes(table(spark, texts)).collect()}
+    assert classes == {i: i - i % 2 for i in range(800)}
+
+
+def test_no_similar_pair_is_pruned():
+    base = RNG.integers(1, 2**63, 120).astype(np.uint64)
+    rows = []
+    for _ in range(150):
+        own = base[: RNG.integers(90, 121)].copy()
+        own[RNG.choice(len(own), RNG.integers(0, 20), replace=False)] = RNG.integers(1, 2**63)
+        rows.append(np.unique(own)[RNG.permutation(len(np.unique(own)))] if RNG.random() < 0.1 else own[np.sort(np.unique(own, return_index=True)[1])])
+    counts = np.bincount(order_minhash._slot(np.concatenate(rows)), minlength=order_minhash.SLOTS)
+    firsts = [order_minhash.prefix(r, counts) for r in rows]
+    linked = 0
+    for i, a in enumerate(rows):
+        for j in range(i):
+            if order_minhash.similar(a, rows[j]):
+                linked += 1
+                met, x, y = np.intersect1d(firsts[i], firsts[j], return_indices=True)
+                most = np.minimum(len(a) - x, len(rows[j]) - y)
+                assert len(met) and (9 * most >= 4 * (len(a) + len(rows[j]))).any()
+    assert linked > 20
+
+
 def test_substring_dedup(spark):
     passage = [f"p{k}" for k in range(80)]
     texts = [None, " ".join(passage)] + [" ".join([f"d{i}w{k}" for k in range(40)] + passage[i % 7 :] + [f"d{i}v{k}" for k in range(40)]) for i in range(100)] + TEXTS
