@@ -39,10 +39,14 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+#: All Unicode white space; Java's own class of it is ASCII only.
+_SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def normalize_text(text: Column, composed: bool = False) -> Column:
     """Lower case, with runs of punctuation and white space as one space; composed texts skip NFKC."""
     base = text if composed else nfkc(text)
-    return F.trim(F.regexp_replace(F.lower(base), r"[\p{P}\s]+", " "))
+    return F.trim(F.regexp_replace(F.lower(base), rf"[\p{{P}}{_SPACE}]+", " "))
 
 
 def strip_suffix(text: Column, suffixes: list[str]) -> Column:

@@ -1,3 +1,6 @@
+import hashlib
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +54,19 @@ def test_normalize_text(spark):
     assert found == ["alpha beta gamma s test", "abc def", None]
 
 
+def test_normalize_text_of_every_document(spark, tmp_path):
+    def brute(t):
+        low = unicodedata.normalize("NFKC", t).lower()
+        return " ".join("".join(" " if c.isspace() or unicodedata.category(c).startswith("P") else c for c in low).split())
+
+    texts = [("en", "Alpha, beta."), ("de", "Straße—ÜBER „Öl“ ﬁn"), ("fr", "« L’été » cafe\u0301 ÉCOLE…"), ("es", "¿Año? ¡SÍ! ªº"), ("el", "ΟΔΟΣ ΣΑΣ·"), ("tr", "İI"), ("ja", "ＡＢ、ｶﾞ。"), ("xx", ""), ("xx", "  ...")]
+    texts += [(None, "X".join(c for c in map(chr, range(0x3001)) if c.isspace())), ("en", "a+b = c^2 $5")]
+    rows = [(i, t, lang) for i, (lang, t) in enumerate(texts)]
+    spark.createDataFrame([*rows, (99, None, "de")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["h"] for r in entry.queries()["normalize_text_all"](spark, str(tmp_path)).collect()}
+    assert found == {**{i: hashlib.sha256(brute(t).encode()).hexdigest() for i, t, _ in rows}, 99: None}
+
+
 @pytest.mark.parametrize(
     "reply, cells_, strict",
     [('ok {"A": "satisfied", "B": "violated"} end', 2, True), ('{"A": "satisfied", "A": "violated", "B": "violated"}', 1, False), ("{'A': 'satisfied'}", 0, False), ('{"A": "maybe", "B": "violated", "C": 1}', 1, False), ("", 0, False), (None, 0, False), ("}{", 0, False)],
