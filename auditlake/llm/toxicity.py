@@ -1,14 +1,16 @@
-"""Toxicity by class-conditional Kneser-Ney models over expressions, with shared backoff.
+"""Toxicity by smoothed naive Bayes over pieces of words, with a logistic curve.
 
-An expression is a run of ``SPAN`` bytes of a word with its begin and end marked, so that
-inflected forms share most of theirs. Each class's model has its discounted counts (the
-class's documents that hold the expression) and gives the discounted mass to one backoff
-distribution that both share, the discounted counts of ordinary documents: an expression
-that neither class knows well tells little, and one
+A piece is a run of ``SPAN`` bytes of a word with its begin and end marked, so that
+inflected forms share most of theirs. Each class has the discounted counts of its documents
+that hold the piece and gives the discounted mass to the discounted document counts of the
+ordinary class: a piece that neither class knows well tells little, and one
 that neither holds nothing. A text's evidence is the difference of its
 log-likelihoods under the two, per word, and the part of it from strongly toxic words;
 a logistic curve fitted on labelled documents that the models have not seen turns them into a score from 0 to 1.
 
+This is not a Kneser-Ney model: pieces have no history, there are no continuation counts, and
+what only the toxic class holds backs off to the constant ``LEAST``.
+
 Bounds: at most ``MAX_DOCUMENTS`` documents a class are learned from and at most
 ``MAX_CURVE`` evidence values reach the driver for the curve, all drawn by a hash of the
 id; with no toxic or no ordinary training document every score is 0.
