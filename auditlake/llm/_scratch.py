@@ -7,7 +7,8 @@ import tempfile
 import uuid
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -41,6 +42,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """docs with a column name that numbers its rows apart in the order of doc_id, and the numbers of one doc_id.
+
+    Row k of a doc_id has the number doc_id * copies + k; where doc_id is unique it is doc_id itself.
+    """
+    doc_id = F.col("doc_id").cast("long")
+    copies = docs.groupBy("doc_id").count().where("doc_id IS NOT NULL").agg(F.max("count")).first()[0] or 1
+    if copies == 1:
+        return docs.withColumn(name, doc_id), 1
+    copy = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1
+    return materialize(docs.withColumn(name, doc_id * F.lit(copies) + copy), "numbered"), copies
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:

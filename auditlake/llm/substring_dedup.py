@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._scratch import materialize
+from ._scratch import materialize, numbered
 from ._text import hash_spans, mix, slices, word_spans
 
 WINDOW = 50
@@ -259,7 +259,7 @@ def _removed(n_words: int, sources, doc_id: int) -> np.ndarray:
     return np.cumsum(mark)[:n_words] > 0
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _finish(batches: Iterator[pa.RecordBatch], copies: int = 1) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         spans = batch.column("spans").to_pylist()
         docs = batch.column("doc_id").to_pylist()
@@ -269,7 +269,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = []
             for k in range(b - a):
                 s, e = starts[first[k] : first[k + 1]], ends[first[k] : first[k + 1]]
-                gone = _removed(len(s), [(x["first"], x["sources"]) for x in spans[a + k]], docs[a + k])
+                gone = _removed(len(s), [(x["first"], x["sources"]) for x in spans[a + k]], docs[a + k] // copies * copies)
                 keep = np.flatnonzero(~gone)
                 kept = b" ".join([raw[p:q] for p, q in zip(s[keep].tolist(), e[keep].tolist())])
                 till = np.append(s[1:], off[k + 1])  # a kept word brings the white space after it
@@ -284,10 +284,11 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 FINISH = "doc_id long, n_words long, n_removed long, kept_sha256 string, text string"
 
 
-def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def removals(docs: DataFrame, copies: int = 1) -> tuple[DataFrame, DataFrame]:
     """(rows of all documents as scanned, rows (FINISH) of the documents that share a window).
 
-    A row of the second replaces its document's row of the first.
+    A row of the second replaces its document's row of the first. doc_ids that are equal
+    when divided by copies are one document's.
     """
     # long texts and lists of segments: smaller batches bound what a worker and its executor hold
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -320,7 +321,7 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     answers = materialize(answers, "statistics")
     told = kept.select("doc_id", "first", "c1", "c2").join(answers, ["c1", "c2"])
     spans = told.groupBy("doc_id").agg(F.collect_list(F.struct("first", "sources")).alias("spans"))
-    return scanned, texts.select("doc_id", "text").join(spans, "doc_id").mapInArrow(_finish, FINISH)
+    return scanned, texts.select("doc_id", "text").join(spans, "doc_id").mapInArrow(lambda batches: _finish(batches, copies), FINISH)
 
 
 def _trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,8 +349,9 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def apply(docs: DataFrame) -> DataFrame:
     """docs with the reported words removed from text; other columns stay, n_chars follows the text."""
-    _, changed = removals(docs)
-    changed = changed.where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
-    out = docs.join(changed, docs["doc_id"] == changed["__id"], "left")
+    rows, copies = numbered(docs, "__row")
+    _, changed = removals(rows.select(F.col("__row").alias("doc_id"), "text"), copies)
+    changed = changed.where("n_removed > 0").select(F.col("doc_id").alias("__row"), F.col("text").alias("__text"))
+    out = rows.join(changed, "__row", "left")
     columns = [F.coalesce("__text", "text").alias("text") if c == "text" else F.when(F.col("__text").isNotNull(), F.length("__text").cast("long")).otherwise(F.col("n_chars")).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return out.select(*columns)

@@ -208,6 +208,30 @@ def test_substring_dedup(spark):
     assert len(applied) == len(texts) and applied[5 + 2]["text"].split()[0] == "d5w0"
 
 
+def test_stages_with_repeated_doc_ids(spark):
+    import corpus_pipeline
+
+    passage = [f"p{k}" for k in range(80)]
+    own = lambda n, k: [f"{n}w{i}" for i in range(k)]
+    texts = [(1, own("a", 40) + passage), (2, own("b", 70) + passage[5:]), (2, own("b", 70) + passage[5:]), (2, own("c", 120)), (3, own("d", 90) + passage[:60]), (3, passage + own("e", 90)), (4, own("c", 120)), (0, own("f", 60))]
+    docs = spark.createDataFrame([(i, " ".join(t), len(" ".join(t))) for i, t in texts], "doc_id long, text string, n_chars long").repartition(3)
+    windows = [{tuple(t[k : k + 50]) for k in range(len(t) - 49)} for _, t in texts]
+    expected = []
+    for i, t in texts:
+        gone = [False] * len(t)
+        for k in range(len(t) - 49):
+            if any(j < i and tuple(t[k : k + 50]) in w for (j, _), w in zip(texts, windows)):
+                gone[k : k + 50] = [True] * 50
+        expected.append((i, [x for x, g in zip(t, gone) if not g]))
+    found = corpus_pipeline.drop_repeated_passages(spark, docs, "").collect()
+    assert sorted((r["doc_id"], words(r["text"])) for r in found) == sorted(expected)
+    assert all(r["n_chars"] == len(r["text"]) for r in found)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    once = [texts[k] for k in (0, 1, 3, 4, 5, 7)]  # the second row of 2 and row 4 are copies
+    assert sorted((r["doc_id"], words(r["text"])) for r in kept.collect()) == sorted(once)
+
+
 def test_byte_bpe(spark):
     import tiktoken
 
