@@ -17,28 +17,28 @@ _H = lambda salt: f"sha256(concat_ws(':', '{salt}', doc_id::VARCHAR))"  # noqa:
 SPLIT = {"train": 600, "calib": 150, "test": 150, "audit": 50, "conflict": 50}
 
 
-def nodes(spark, sf_dir):
-    """(node, tokens, fingerprint, historical): one node a canonical text."""
-    text = T.normalize_text(F.regexp_replace("text", r"[^\x00-\x7F]", "x"), composed=True)
+def nodes(spark, sf_dir, whole=False):
+    """(node, tokens, fingerprint, historical): one node a canonical text, which is ASCII only unless whole."""
+    text = T.normalize_text(F.col("text")) if whole else T.normalize_text(F.regexp_replace("text", r"[^\x00-\x7F]", "x"), composed=True)
     rows = fixtures.table(spark, sf_dir, "documents").select("doc_id", text.alias("canonical"))
     rows = rows.withColumns({"fingerprint": F.sha2("canonical", 256), "historical": F.col("doc_id") % 5 == 0})
     merged = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.max("historical").alias("historical"), F.any_value("canonical").alias("canonical"))
     return merged.select("node", T.shingles(F.col("canonical")).alias("tokens"), "fingerprint", "historical")
 
 
-def family_table(spark, sf_dir):
-    n = N._saved(nodes(spark, sf_dir))
+def family_table(spark, sf_dir, whole=False):
+    n = N._saved(nodes(spark, sf_dir, whole))
     edges = N._saved(N.similar(n, N.candidates(n)))
     return N.families(n, N.components(n, edges))
 
 
-def family_edges(spark, sf_dir):
-    n = N._saved(nodes(spark, sf_dir))
+def family_edges(spark, sf_dir, whole=False):
+    n = N._saved(nodes(spark, sf_dir, whole))
     return N.similar(n, N.candidates(n))
 
 
-def family_exclusion(spark, sf_dir):
-    n = N._saved(nodes(spark, sf_dir))
+def family_exclusion(spark, sf_dir, whole=False):
+    n = N._saved(nodes(spark, sf_dir, whole))
     edges = N._saved(N.similar(n, N.candidates(n)))
     return N.exclude_historical(n, N.components(n, edges)).select("node", "component")
 
@@ -65,4 +65,8 @@ QUERIES = {
     "family_similar_pairs": (family_edges, _NODES + "SELECT a, b FROM e"),
     "family_components": (family_table, _NODES + "SELECT component, 'qf_' || substr(min(fp), 1, 24) AS family_id, count(*) AS size, max(historical) AS has_historical FROM p JOIN n USING (node) GROUP BY component"),
     "family_exclusion": (family_exclusion, _NODES + "SELECT node, component FROM p JOIN n USING (node) WHERE NOT historical AND component NOT IN (SELECT component FROM p JOIN n USING (node) WHERE historical)"),
+    # on texts of every script by the survey's normaliser, NFKC included, which SQL lacks; those above stay as their check
+    "family_similar_pairs_all": (lambda s, d: family_edges(s, d, whole=True), None),
+    "family_components_all": (lambda s, d: family_table(s, d, whole=True), None),
+    "family_exclusion_all": (lambda s, d: family_exclusion(s, d, whole=True), None),
 }

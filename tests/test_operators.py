@@ -67,6 +67,38 @@ def test_normalize_text_of_every_document(spark, tmp_path):
     assert found == {**{i: hashlib.sha256(brute(t).encode()).hexdigest() for i, t, _ in rows}, 99: None}
 
 
+def test_families_of_every_script(spark, tmp_path):
+    def canonical(t):
+        low = unicodedata.normalize("NFKC", t).lower()
+        return " ".join("".join(" " if c.isspace() or unicodedata.category(c).startswith("P") else c for c in low).split())
+
+    def shingles(t):
+        w = canonical(t).split()
+        return {" ".join(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {"<short> " + " ".join(w)}
+
+    russian, greek = " ".join(f"дом{chr(0x430 + k % 30)}{k}" for k in range(60)), " ".join(f"λόγ{chr(0x3B1 + k % 15)}{k}" for k in range(60))
+    texts = ["año", "año", "ano", "äno", "an\u0303o", "мир", "дом", russian, greek, russian + " ещё", "ＡＢ one two three four five", "ab one two three four five", greek.upper()]
+    ids = range(5, 5 + len(texts))
+    spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    nodes = {}
+    for i, t in zip(ids, texts):
+        nodes.setdefault(canonical(t), []).append(i)
+    first = {min(v): (shingles(t), v, t) for t, v in nodes.items()}
+    pairs = {(a, b) for a in first for b in first if a < b and len(first[a][0] & first[b][0]) * 20 >= 17 * len(first[a][0] | first[b][0])}
+    part = {a: a for a in first}
+    for _ in first:
+        for a, b in pairs:
+            part[a] = part[b] = min(part[a], part[b])
+    run = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
+    assert pairs and {(r["a"], r["b"]) for r in run("family_similar_pairs_all")} == pairs
+    expected = {}
+    for a, (_, members, t) in first.items():
+        prints, n, old = expected.get(part[a], ([], 0, False))
+        expected[part[a]] = ([*prints, hashlib.sha256(t.encode()).hexdigest()], n + 1, old or any(i % 5 == 0 for i in members))
+    assert {r["component"]: (r["family_id"], r["size"], r["has_historical"]) for r in run("family_components_all")} == {c: ("qf_" + min(p)[:24], n, old) for c, (p, n, old) in expected.items()}
+    assert {(r["node"], r["component"]) for r in run("family_exclusion_all")} == {(a, c) for a, c in part.items() if not expected[c][2]}
+
+
 @pytest.mark.parametrize(
     "reply, cells_, strict",
     [('ok {"A": "satisfied", "B": "violated"} end', 2, True), ('{"A": "satisfied", "A": "violated", "B": "violated"}', 1, False), ("{'A': 'satisfied'}", 0, False), ('{"A": "maybe", "B": "violated", "C": 1}', 1, False), ("", 0, False), (None, 0, False), ("}{", 0, False)],
