@@ -5,9 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from dataclasses import dataclass
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
@@ -42,17 +43,39 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """docs with a column name that numbers its rows apart in the order of doc_id, and the numbers of one doc_id.
+def floor_div(number: Column, by: int) -> Column:
+    """The integer quotient, rounded down."""
+    return F.call_function("div", number - F.pmod(number, F.lit(by)), F.lit(by)) if by > 1 else number
 
-    Row k of a doc_id has the number doc_id * copies + k; where doc_id is unique it is doc_id itself.
+
+@dataclass(frozen=True)
+class Numbered:
+    """Rows (number, text, row) of a table, numbered apart in the order of doc_id; row holds all columns.
+
+    Row k of a doc_id has the number doc_id * copies + k; where doc_id is unique it is doc_id
+    itself. Rows without a doc_id come after all others, as one further doc_id.
     """
+
+    rows: DataFrame
+    copies: int
+    nulls: int
+
+    def doc_id(self, number: Column) -> Column:
+        """The doc_id of a row's number."""
+        found = floor_div(number, self.copies)
+        return F.when(found < self.nulls, found).cast("long")
+
+
+def numbered(docs: DataFrame) -> Numbered:
     doc_id = F.col("doc_id").cast("long")
-    copies = docs.groupBy("doc_id").count().where("doc_id IS NOT NULL").agg(F.max("count")).first()[0] or 1
+    row = docs.select(doc_id.alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    seen = row.groupBy("id").agg(F.count("*").alias("n")).agg(F.max("n"), F.max("id")).first()
+    copies, nulls = seen[0] or 1, (-1 if seen[1] is None else seen[1]) + 1
+    row = row.withColumn("id", F.coalesce("id", F.lit(nulls)))
     if copies == 1:
-        return docs.withColumn(name, doc_id), 1
-    copy = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1
-    return materialize(docs.withColumn(name, doc_id * F.lit(copies) + copy), "numbered"), copies
+        return Numbered(row.withColumnRenamed("id", "number"), 1, nulls)
+    copy = F.row_number().over(Window.partitionBy("id").orderBy("text")) - 1
+    return Numbered(materialize(row.select((F.col("id") * F.lit(copies) + copy).alias("number"), "text", "row"), "numbered"), copies, nulls)
 
 
 @atexit.register

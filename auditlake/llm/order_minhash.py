@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._scratch import materialize
+from ._scratch import materialize, numbered
 from ._store import pack, unpack
 from ._text import LOWER, hash_spans, mix, slices, word_spans
 
@@ -268,7 +268,20 @@ def _unproved(active: DataFrame, placed: DataFrame, docs: DataFrame) -> DataFram
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class) and kept of every row of docs."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = numbered(docs)
+    found = _numbers(own.rows.select(F.col("number").alias("doc_id"), "text"))
+    return found.select(own.doc_id(F.col("doc_id")).alias("doc_id"), own.doc_id(F.col("class_id")).alias("class_id"), "kept")
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """One row of docs of each class, the first by doc_id, with all its columns."""
+    own = numbered(docs)
+    stays = _numbers(own.rows.select(F.col("number").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("number"))
+    return own.rows.join(stays, "number", "left_semi").select("row.*")
+
+
+def _numbers(docs: DataFrame) -> DataFrame:
+    """classes() of rows with unique doc_ids and texts."""
     rows = materialize(docs.mapInArrow(_sketch, "doc_id long, t1 long, t2 long, sketches array<long>"), "sketches")
     firsts = materialize(rows.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep")), "texts")
     reps = rows.join(firsts.withColumnRenamed("rep", "doc_id"), ["doc_id", "t1", "t2"], "left_semi")
@@ -290,7 +303,9 @@ def classes(docs: DataFrame) -> DataFrame:
             if turn == 0:
                 salted[0] = F.max_by("doc_id", F.struct("weight", -F.col("doc_id")))
             chosen = large.groupBy("bucket").agg(F.array_distinct(F.array(*salted)).alias("leads"))
-            new = active.join(chosen.hint("merge"), "bucket").select(F.explode("leads").alias("lead"), "doc_id")
+            # a document shares most of its leads between its buckets and takes each once
+            own = active.join(chosen.hint("merge"), "bucket").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set("leads"))).alias("leads"))
+            new = own.select(F.explode("leads").alias("lead"), "doc_id").where("lead <> doc_id")
             new = new.select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b"))
         else:
             new = _unproved(active, placed, docs)

@@ -86,30 +86,42 @@ def _covered(words: Column, n: Column) -> Column:
     return F.aggregate(_let(F.sort_array(spans), positions), start, step, lambda acc: acc["total"])
 
 
+def _bind(rows: DataFrame, **values: Column) -> DataFrame:
+    """rows with columns that are evaluated once a row, whatever later filters and columns read them.
+
+    A generator of one row keeps them apart: the optimizer neither repeats its input in what
+    stands above it nor moves a filter on its output below it.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))))
+
+
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id and the measurements of each document."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select("doc_id", text.alias("text_"))
     text = F.col("text_")
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text_"))
-    rows = rows.withColumn("words_", F.filter(F.split(text, SPACE), lambda w: w != ""))
-    rows = rows.withColumn("lines_", F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
+    words = F.filter(F.split(text, SPACE), lambda w: w != "")
+    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+    rows = _bind(rows, words_=words, lines_=lines)
     words, n = F.col("words_"), F.size("words_")
     hashes = F.when(
         n >= WINDOW,
         F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)])),
     ).otherwise(F.array().cast("array<bigint>"))
-    rows = rows.withColumn("hashes_", hashes)
+    rows = _bind(rows, hashes_=hashes)
     repeats = F.size(F.array_distinct("hashes_")) < F.size("hashes_")
     length = lambda c: F.length(c).cast("long")
-    return rows.select(
-        "doc_id",
-        n.cast("long").alias("n_words"),
-        length(F.regexp_replace(text, SPACE, "")).alias("word_chars"),
-        length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).alias("n_symbols"),
-        F.size("lines_").cast("long").alias("n_lines"),
-        (F.size("lines_") - F.size(F.array_distinct("lines_"))).cast("long").alias("n_dup_lines"),
-        F.when(repeats, _covered(words, n)).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"),
-        length(F.regexp_replace(text, r"[^A-Z]+", "")).alias("n_capitals"),
+    measured = _bind(
+        rows,
+        n_words=n.cast("long"),
+        word_chars=length(F.regexp_replace(text, SPACE, "")),
+        n_symbols=length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")),
+        n_lines=F.size("lines_").cast("long"),
+        n_dup_lines=(F.size("lines_") - F.size(F.array_distinct("lines_"))).cast("long"),
+        n_repeat_words=F.when(repeats, _covered(words, n)).otherwise(F.lit(0).cast("long")),
+        n_capitals=length(F.regexp_replace(text, r"[^A-Z]+", "")),
     )
+    return measured.drop("text_", "words_", "lines_", "hashes_")
 
 
 def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -13,16 +13,19 @@ order shorten it again to WINDOW - 1 words, so each window's interval of occurre
 one step. The least document of each interval decides; intervals that hold a smaller one
 are reported.
 
-Minimizers in more than ``HOT`` documents are first reduced by Spark: their windows are
-counted by content hash, only those found in two documents stay, and equal segments are
-merged with their least document, so no shard holds one frequent passage many times.
+Equal segments are merged first and keep their least document, so a passage of many
+documents is one segment. A minimizer whose different segments still exceed a part of a
+shard is divided: its windows are cut anew by the minimizer of another hash function, which
+equal windows share too, and in the end by the windows themselves, so no shard grows with
+one frequent phrase.
 
-Word and window identity is by 64-bit hashes of the words' bytes; a window is compared by
-all its words.
+Word identity is by 64-bit hashes of the words' bytes; a window is compared by all its words.
 
 Defined results: a null text is the empty text, with no words; texts under WINDOW words lose
 nothing; only smaller doc_ids count, so repeats inside a document and in rows with equal
-doc_ids stay; an empty table gives no rows; other columns are ignored by ``removals``.
+doc_ids stay, and a row without a doc_id comes after all others; repeated rows are each
+judged; an empty table gives no rows; other columns, whatever their names, are ignored by
+``digests`` and kept by ``apply``.
 """
 
 from __future__ import annotations
@@ -36,16 +39,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._scratch import materialize, numbered
+from ._scratch import floor_div, materialize, numbered
 from ._text import hash_spans, mix, slices, word_spans
 
 WINDOW = 50
 K = 8
-HOT = 64
-#: Rows of an Arrow batch; set for the session by removals().
-BATCH_ROWS = 1000
+#: Rows whose lists are in Python at once.
+ROWS = 1000
 #: Words of a shard, about.
 SHARD_WORDS = 400_000
+#: Words of different segments that one minimizer may bring to a shard.
+KEY_WORDS = SHARD_WORDS // 4
+#: Rounds in which larger ones are cut by another hash function, before single windows.
+ROUNDS = 3
 _U = np.uint64
 
 
@@ -61,13 +67,14 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
         return mix((total[n:] - total[:-n]) * down[: len(words) - n + 1])
 
 
-def segments(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, windows, minimizer) of each run of windows with one minimizer."""
-    grams = window_hashes(words, K)
+def segments(words: np.ndarray, turn: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, windows, minimizer) of each run of windows with one minimizer; turn selects the hash function."""
     n = len(words) - WINDOW + 1
     if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U)
-    low = grams
+    low = window_hashes(words, K)
+    if turn:
+        low = mix(low ^ mix(np.array([turn], _U)))
     size, have = WINDOW - K + 1, 1
     while have < size:  # sliding minimum by doubling
         step = min(have, size - have)
@@ -115,8 +122,8 @@ class FMIndex:
         inner = np.ones(n, bool)
         inner[self.first[1:] - 1] = False
         text[inner] = flat + 1
-        self.text = text
-        rank = text.copy()
+        self.text = text.astype(np.int32)
+        rank = text
         have = 1
         while have < WINDOW:  # order suffixes by their first words, doubling them
             step = min(have, WINDOW - have)
@@ -129,16 +136,15 @@ class FMIndex:
             rank = rank_new
             have += step
         order = np.argsort(rank, kind="stable")
-        self.order = order
         new = np.concatenate([[True], np.diff(rank[order]) != 0])
-        self.group = np.cumsum(new) - 1  # of WINDOW words, by place in the order
+        self.group = (np.cumsum(new) - 1).astype(np.int32)  # of WINDOW words, by place in the order
         # groups of WINDOW - 1 words: a group border where even those differ
         shorter = window_hashes(mix(text.astype(_U) + _U(1)), WINDOW - 1)
         short = np.concatenate([shorter, np.arange(n - len(shorter)).astype(_U)])[order]
         border = np.concatenate([[True], (short[1:] != short[:-1]) & new[1:]])
-        self.short_start = np.maximum.accumulate(np.where(border, np.arange(n), 0))
+        self.short_start = np.maximum.accumulate(np.where(border, np.arange(n), 0)).astype(np.int32)
         ends = np.append(np.flatnonzero(border)[1:], n)
-        self.short_end = ends[np.cumsum(border) - 1]
+        self.short_end = ends[np.cumsum(border) - 1].astype(np.int32)
         bwt = text[order - 1]
         bits = max(1, int(len(self.symbols)).bit_length())
         self.matrix = WaveletMatrix(bwt, bits)
@@ -165,10 +171,10 @@ class FMIndex:
         for step in range(1, int(length.max()) + 1 if len(length) else 0):
             live = order[: int(np.searchsorted(-length[order], -step, "right"))]
             at = length[live] - step
-            symbol = self.text[begin[live] + at]
+            symbol = self.text[begin[live] + at].astype(np.int64)
             l, h = low[live], high[live]
             if step > WINDOW:  # shorten the match by its last word
-                l, h = self.short_start[l], self.short_end[h - 1]
+                l, h = self.short_start[l].astype(np.int64), self.short_end[h - 1].astype(np.int64)
             l, h = self._step(symbol, l, h)
             low[live], high[live] = l, h
             if step >= WINDOW:
@@ -197,36 +203,67 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SCAN = "doc_id long, n_words long, whole_sha256 string, segments array<struct<first:int,windows:int,minimizer:long>>"
 
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)], schema=schema)
+
+
+SEGMENTS = "doc_id long, first int, key long, c1 long, c2 long, words binary"
+_SEGMENTS = pa.schema([("doc_id", pa.int64()), ("first", pa.int32()), ("key", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("words", pa.binary())])
+
+
+def _content(parts: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Two hashes of all the words of each part."""
+    flat = np.concatenate(parts).view(np.uint8)
+    ends = np.cumsum([8 * len(x) for x in parts])
+    starts = np.concatenate([[0], ends[:-1]])
+    return tuple(hash_spans(flat, starts, ends, kind).view(np.int64).tolist() for kind in (0, 1))
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per wanted segment with its words' hashes."""
     for batch in batches:
-        wanted = batch.column("wanted").to_pylist()
         for a, b, buf, off in slices(batch.column("text")):
             starts, ends, first = word_spans(buf, off)
             hashes = hash_spans(buf, starts, ends)
-            out = []
-            for k in range(b - a):
+            docs = batch.column("doc_id").slice(a, b - a).to_pylist()
+            heads, parts = [], []
+            for k, wanted in enumerate(batch.column("wanted").slice(a, b - a).to_pylist()):
                 words = hashes[first[k] : first[k + 1]]
-                doc = batch.column("doc_id")[a + k].as_py()
-                for w in wanted[a + k]:
-                    part = words[w["first"] : w["first"] + w["windows"] + WINDOW - 1]
-                    if len(part) >= WINDOW:  # shorter only where rows with one doc_id differ
-                        out.append((doc, w["first"], w["minimizer"], w["hot"], part.tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()))], ["doc_id", "first", "minimizer", "hot", "words"])
-
-
-def _explode_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, at, w1, w2): the content hashes of every window."""
-    for batch in batches:
-        for low in range(0, batch.num_rows, 1000):
-            some = batch.slice(low, 1000)
-            doc, first = (some.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "first"))
-            words = [np.frombuffer(raw, _U) for raw in some.column("words").to_pylist()]
-            a, b = ([window_hashes(mix(w ^ seed), WINDOW) for w in words] for seed in (_U(0), _U(0x5851F42D4C957F2D)))
-            n = np.array([len(x) for x in a])
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(doc, n)), pa.array(at, pa.int32()), pa.array(np.concatenate(a).view(np.int64)), pa.array(np.concatenate(b).view(np.int64))], ["doc_id", "at", "w1", "w2"])
+                for w in wanted:
+                    heads.append((docs[k], w["first"], w["minimizer"]))
+                    parts.append(words[w["first"] : w["first"] + w["windows"] + WINDOW - 1])
+            if parts:
+                yield _batch([(*h, *c, p.tobytes()) for h, *c, p in zip(heads, *_content(parts), parts)], _SEGMENTS)
+
+
+CUTS = "p1 long, p2 long, first int, key long, c1 long, c2 long, least long, words binary"
+_CUTS = pa.schema([("p1", pa.int64()), ("p2", pa.int64()), ("first", pa.int32()), ("key", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("least", pa.int64()), ("words", pa.binary())])
+
+
+def _cut(turn: int):
+    """Cut segments (c1, c2, key, least, words) by another minimizer, or in the end into their windows."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
+                heads, parts = [], []
+                for c1, c2, key, least, raw in zip(*(some.column(c).to_pylist() for c in ("c1", "c2", "key", "least", "words"))):
+                    words = np.frombuffer(raw, _U)
+                    if turn <= ROUNDS:
+                        start, n, low = segments(words, turn)
+                        keys = mix(low ^ mix(np.array([key], np.int64).view(_U))).view(np.int64)
+                    else:
+                        start = np.arange(len(words) - WINDOW + 1)
+                        n, keys = np.ones(len(start), np.int64), np.zeros(len(start), np.int64)
+                    for p, q, k in zip(start.tolist(), n.tolist(), keys.tolist()):
+                        heads.append((c1, c2, p, k))
+                        parts.append((least, words[p : p + q + WINDOW - 1]))
+                if parts:
+                    content = _content([p for _, p in parts])
+                    yield _batch([(*h, *c, least, p.tobytes()) for h, *c, (least, p) in zip(heads, *content, parts)], _CUTS)
+
+    return cut
 
 
 def _search(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -238,120 +275,113 @@ def _search(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"c1": pdf["c1"], "c2": pdf["c2"], "sources": found})
 
 
-def _content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments with two hashes of all their words."""
+def _merged(rows: DataFrame, doc: str) -> DataFrame:
+    """Equal segments as one, with their least document."""
+    return materialize(rows.groupBy("c1", "c2").agg(F.min(doc).alias("least"), F.min("key").alias("key"), F.min("words").alias("words")), "distinct-segments")
+
+
+def _answers(merged: DataFrame, turn: int = 1) -> DataFrame:
+    """(c1, c2, sources): for each window of a segment the least document that holds it."""
+    if turn > ROUNDS + 1:  # single windows: the merging has found them
+        return merged.select("c1", "c2", F.array("least").alias("sources"))
+    size = F.sum(F.length("words")).alias("size")
+    large = materialize(merged.groupBy("key").agg(size).where(F.col("size") > 8 * KEY_WORDS).select("key"), "large-keys")
+    rest, back = merged, None
+    if not large.isEmpty():
+        rest = merged.join(large, "key", "left_anti")
+        cuts = materialize(merged.join(large, "key", "left_semi").mapInArrow(_cut(turn), CUTS), "cuts")
+        below = _answers(_merged(cuts, "least"), turn + 1)
+        told = cuts.select("p1", "p2", "first", "c1", "c2").join(below, ["c1", "c2"])
+        parts = F.sort_array(F.collect_list(F.struct("first", "sources")))
+        back = told.groupBy("p1", "p2").agg(F.flatten(F.transform(parts, lambda x: x["sources"])).alias("sources"))
+        back = back.withColumnsRenamed({"p1": "c1", "p2": "c2"})
+    spark = merged.sparkSession
+    total = rest.agg(F.sum(F.length("words"))).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (8 * SHARD_WORDS) + 1)
+    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")
+    found = rest.select(shard, "c1", "c2", "least", "words").groupBy("shard").applyInPandas(_search, "c1 long, c2 long, sources array<long>")
+    return materialize(found if back is None else found.unionByName(back), "statistics")
+
+
+def _report(copies: int):
+    """(doc_id, low, high): runs of windows that a smaller document holds."""
+
+    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, first, lists = (batch.column(c) for c in ("doc_id", "first", "sources"))
+            doc, first = doc.to_numpy(), first.to_numpy().astype(np.int64)
+            off = lists.offsets.to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(doc)), np.diff(off))
+            sources = lists.values.to_numpy()[off[0] : off[-1]]
+            hit = np.flatnonzero(sources < doc[row] // copies * copies)
+            if len(hit):
+                at = first[row[hit]] + hit - (off[row[hit]] - off[0])
+                edge = np.flatnonzero((np.diff(hit, prepend=-2) != 1) | (np.diff(row[hit], prepend=-1) != 0))
+                last = np.append(edge[1:], len(hit)) - 1
+                yield pa.RecordBatch.from_arrays([pa.array(doc[row[hit[edge]]]), pa.array(at[edge], pa.int32()), pa.array(at[last] + WINDOW, pa.int32())], ["doc_id", "low", "high"])
+
+    return report
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without the words of the reported runs."""
     for batch in batches:
-        raw = batch.column("words").to_pylist()
-        flat = np.frombuffer(b"".join(raw), np.uint8)
-        ends = np.cumsum([len(x) for x in raw])
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if raw else np.zeros(0, np.int64)
-        hashes = [pa.array(hash_spans(flat, starts, ends, kind).view(np.int64)) for kind in (0, 1)] if raw else [pa.array([], pa.int64())] * 2
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "first", "minimizer", "words")] + hashes, ["doc_id", "first", "minimizer", "words", "c1", "c2"])
-
-
-def _removed(n_words: int, sources, doc_id: int) -> np.ndarray:
-    """Mask of the words covered by reported windows."""
-    mark = np.zeros(n_words + 1, np.int64)
-    for first, least in sources:
-        at = np.flatnonzero(np.asarray(least) < doc_id) + first
-        np.add.at(mark, at, 1)
-        np.add.at(mark, np.minimum(at + WINDOW, n_words), -1)
-    return np.cumsum(mark)[:n_words] > 0
-
-
-def _finish(batches: Iterator[pa.RecordBatch], copies: int = 1) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        spans = batch.column("spans").to_pylist()
-        docs = batch.column("doc_id").to_pylist()
         for a, b, buf, off in slices(batch.column("text")):
             starts, ends, first = word_spans(buf, off)
             raw = buf.tobytes()
+            docs = batch.column("doc_id").slice(a, b - a).to_pylist()
             out = []
-            for k in range(b - a):
+            for k, spans in enumerate(batch.column("spans").slice(a, b - a).to_pylist()):
                 s, e = starts[first[k] : first[k + 1]], ends[first[k] : first[k + 1]]
-                gone = _removed(len(s), [(x["first"], x["sources"]) for x in spans[a + k]], docs[a + k] // copies * copies)
-                keep = np.flatnonzero(~gone)
+                mark = np.zeros(len(s) + 1, np.int64)
+                for x in spans:
+                    mark[x["low"]] += 1
+                    mark[x["high"]] -= 1
+                keep = np.flatnonzero(np.cumsum(mark)[:-1] == 0)
                 kept = b" ".join([raw[p:q] for p, q in zip(s[keep].tolist(), e[keep].tolist())])
                 till = np.append(s[1:], off[k + 1])  # a kept word brings the white space after it
                 pieces = [raw[p:q] for p, q in zip(s[keep].tolist(), till[keep].tolist())]
                 lead = raw[off[k] : s[0]] if len(s) else b""
-                text = (lead + b"".join(pieces)).decode()
-                out.append((docs[a + k], len(s), int(gone.sum()), hashlib.sha256(kept).hexdigest(), text))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))], ["doc_id", "n_words", "n_removed", "kept_sha256", "text"])
+                out.append((docs[k], len(s), len(s) - len(keep), hashlib.sha256(kept).hexdigest(), (lead + b"".join(pieces)).decode()))
+            yield _batch(out, _FINISH)
 
 
 FINISH = "doc_id long, n_words long, n_removed long, kept_sha256 string, text string"
+_FINISH = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())])
 
 
 def removals(docs: DataFrame, copies: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(rows of all documents as scanned, rows (FINISH) of the documents that share a window).
+    """(rows of all documents as scanned, rows (FINISH) of the documents that lose words).
 
-    A row of the second replaces its document's row of the first. doc_ids that are equal
-    when divided by copies are one document's.
+    docs has unique doc_ids and texts; doc_ids that are equal when divided by copies are one document's.
     """
-    # long texts and lists of segments: smaller batches bound what a worker and its executor hold
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    scanned = materialize(docs.mapInArrow(_scan, SCAN), "scan")
+    scanned = materialize(docs.select("doc_id", "text").mapInArrow(_scan, SCAN), "scan")
     each = scanned.select("doc_id", F.inline("segments"))
-    shared = each.groupBy("minimizer").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high")
-    shared = shared.select("minimizer", (F.col("n") > HOT).alias("hot"))
-    wanted = each.join(shared, "minimizer").groupBy("doc_id").agg(F.collect_list(F.struct("first", "windows", "minimizer", "hot")).alias("wanted"))
+    shared = each.groupBy("minimizer").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where(floor_div(F.col("low"), copies) < floor_div(F.col("high"), copies))
+    wanted = each.join(shared.select("minimizer"), "minimizer").groupBy("doc_id").agg(F.collect_list(F.struct("first", "windows", "minimizer")).alias("wanted"))
     texts = materialize(docs.join(wanted.hint("merge"), "doc_id"), "sharing")  # the same plan at every size
-    found = materialize(texts.mapInArrow(_extract, "doc_id long, first int, minimizer long, hot boolean, words binary"), "segments")
-
-    hot = found.where("hot")
-    windows = hot.mapInArrow(_explode_windows, "doc_id long, at int, w1 long, w2 long")
-    windows = materialize(windows, "windows")
-    repeated = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("w1", "w2")
-    stays = windows.join(repeated, ["w1", "w2"], "left_semi").groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("at"))
-    # each segment takes only its own windows along, not its document's
-    own = F.filter("at", lambda x: (x >= F.col("first")) & (x <= F.col("first") + F.length("words") / 8 - WINDOW))
-    trimmed = hot.join(stays, "doc_id").withColumn("at", own).where(F.size("at") > 0).mapInArrow(_trim, "doc_id long, first int, minimizer long, words binary")
-    kept = found.where("NOT hot").select("doc_id", "first", "minimizer", "words").unionByName(trimmed)
-    kept = materialize(kept.mapInArrow(_content, "doc_id long, first int, minimizer long, words binary, c1 long, c2 long"), "contents")
-
-    merged = kept.groupBy("c1", "c2").agg(F.min("doc_id").alias("least"), F.min("minimizer").alias("minimizer"), F.min("words").alias("words"))
-    merged = materialize(merged, "distinct-segments")
-    total = merged.agg(F.sum(F.length("words"))).first()[0] or 0
-    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (8 * SHARD_WORDS) + 1)
-    shard = F.pmod(F.xxhash64("minimizer"), F.lit(shards)).alias("shard")
-    answers = merged.select(shard, "c1", "c2", "least", "words").groupBy("shard").applyInPandas(_search, "c1 long, c2 long, sources array<long>")
-    answers = materialize(answers, "statistics")
-    told = kept.select("doc_id", "first", "c1", "c2").join(answers, ["c1", "c2"])
-    spans = told.groupBy("doc_id").agg(F.collect_list(F.struct("first", "sources")).alias("spans"))
-    return scanned, texts.select("doc_id", "text").join(spans, "doc_id").mapInArrow(lambda batches: _finish(batches, copies), FINISH)
-
-
-def _trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cut hot segments to their runs of repeated windows."""
-    for batch in batches:
-        out = []
-        for doc, first, minimizer, raw, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "first", "minimizer", "words", "at"))):
-            words = np.frombuffer(raw, _U)
-            own = np.array(at, np.int64) - first
-            own = own[(own >= 0) & (own <= len(words) - WINDOW)]
-            edge = np.flatnonzero(np.diff(own, prepend=-2) != 1)
-            for a, b in zip(edge, [*edge[1:], len(own)]):
-                out.append((doc, first + int(own[a]), minimizer, words[own[a] : own[b - 1] + WINDOW].tobytes()))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["doc_id", "first", "minimizer", "words"])
+    found = materialize(texts.mapInArrow(_extract, SEGMENTS), "segments")
+    told = found.select("doc_id", "first", "c1", "c2").join(_answers(_merged(found, "doc_id")), ["c1", "c2"])
+    runs = told.select("doc_id", "first", "sources").mapInArrow(_report(copies), "doc_id long, low int, high int")
+    spans = runs.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    return scanned, texts.select("doc_id", "text").join(spans, "doc_id").mapInArrow(_finish, FINISH)
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row of docs."""
-    scanned, changed = removals(docs)
-    changed = changed.select("doc_id", F.col("n_words").alias("n"), "n_removed", "kept_sha256").dropDuplicates(["doc_id", "kept_sha256"])
+    own = numbered(docs)
+    scanned, changed = removals(own.rows.select(F.col("number").alias("doc_id"), "text"), own.copies)
+    changed = changed.select("doc_id", "n_removed", "kept_sha256")
     out = scanned.select("doc_id", "n_words", "whole_sha256").join(changed, "doc_id", "left")
-    return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"))
+    return out.select(own.doc_id(F.col("doc_id")).alias("doc_id"), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"))
 
 
 def apply(docs: DataFrame) -> DataFrame:
     """docs with the reported words removed from text; other columns stay, n_chars follows the text."""
-    rows, copies = numbered(docs, "__row")
-    _, changed = removals(rows.select(F.col("__row").alias("doc_id"), "text"), copies)
-    changed = changed.where("n_removed > 0").select(F.col("doc_id").alias("__row"), F.col("text").alias("__text"))
-    out = rows.join(changed, "__row", "left")
-    columns = [F.coalesce("__text", "text").alias("text") if c == "text" else F.when(F.col("__text").isNotNull(), F.length("__text").cast("long")).otherwise(F.col("n_chars")).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*columns)
+    own = numbered(docs)
+    _, changed = removals(own.rows.select(F.col("number").alias("doc_id"), "text"), own.copies)
+    changed = changed.select(F.col("doc_id").alias("number"), F.col("text").alias("less"))
+    out = own.rows.drop("text").join(changed, "number", "left")
+    less = {"text": F.col("less"), "n_chars": F.length("less").cast("long")}
+    old = lambda c: F.col("row")[c]
+    return out.select(*[F.when(F.col("less").isNotNull(), less[c]).otherwise(old(c)).alias(c) if c in less else old(c).alias(c) for c in docs.columns])

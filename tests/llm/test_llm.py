@@ -191,7 +191,19 @@ def test_no_similar_pair_is_pruned():
     assert linked > 20
 
 
-def test_substring_dedup(spark):
+def test_keep_of_a_very_long_text(spark):
+    import time
+
+    docs = table(spark, [" ".join(f"w{k}" for k in range(20_000)), prose(20_000), None, "", " ".join(f"v{k}" for k in range(30))]).withColumnRenamed("keys", "words_")
+    began = time.time()
+    kept = quality_rules.keep(docs)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 4] and kept.columns == docs.columns
+    assert time.time() - began < 60  # every measurement is made once a row
+
+
+@pytest.mark.parametrize("key_words", [substring_dedup.KEY_WORDS, 10])  # 10: every minimizer is divided, in the end into windows
+def test_substring_dedup(spark, monkeypatch, key_words):
+    monkeypatch.setattr(substring_dedup, "KEY_WORDS", key_words)
     passage = [f"p{k}" for k in range(80)]
     texts = [None, " ".join(passage)] + [" ".join([f"d{i}w{k}" for k in range(40)] + passage[i % 7 :] + [f"d{i}v{k}" for k in range(40)]) for i in range(100)] + TEXTS
     rows = by_id(substring_dedup.digests(table(spark, texts)))
