@@ -8,11 +8,10 @@ return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from auditlake import ship
 from auditlake.llm import order_minhash, packing, quality_rules, substring_dedup, toxicity
-from auditlake.llm._scratch import materialize, numbered
+from auditlake.llm._scratch import materialize
 from auditlake.llm.entry import BYTE_BPE, tokenizer
 
 
@@ -31,9 +30,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate class stays, one with the least doc_id."""
     ship.to_executors(spark)
-    rows, _ = numbered(docs, "__row")
-    stays = order_minhash.classes(rows.select(F.col("__row").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("__row"))
-    return rows.join(stays, "__row", "left_semi").select(*docs.columns)
+    return order_minhash.keep(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
