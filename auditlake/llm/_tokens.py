@@ -113,7 +113,6 @@ def _library_encoder(path: str):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     kept = json.loads(Path(path).read_text(encoding="utf-8"))
     lowers = kept["normalizer"] is not None
     model = library.model

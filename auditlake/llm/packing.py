@@ -3,8 +3,9 @@
 A document's ids are its tokens and then one end id. Documents longer than a window
 are first cut into full windows; the remainders go, longest first, into the open window
 with the least sufficient room, found in a segment tree indexed by remaining capacity.
-Remainders are dealt by a hash into groups of about ``GROUP`` and each group is packed by
-itself, so no task sees more than a bounded share of the pieces whatever the documents.
+Remainders are dealt by a hash of what they hold into groups of about ``GROUP`` and each group is packed by
+itself, so no task sees more than a bounded share of the pieces whatever the documents, and
+the result does not depend on how the input is partitioned.
 
 A sequence is padded to the window unless its length is a power of two.
 
@@ -32,8 +33,10 @@ from ._tokens import memory_of, with_end
 WINDOW = 2048
 #: Remainders that are packed together, on average.
 GROUP = 1024
-PIECES = "doc_id long, copy long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
-PACKED = "doc_id long, copy long, start long, length long, sequence_id long, offset long, padded_length long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
+PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long, ids binary"
+
+PIECE_NAMES, PACKED_NAMES = ([f.split()[0] for f in fields.split(", ")] for fields in (PIECES, PACKED))
 
 
 class CapacityTree:
@@ -87,13 +90,11 @@ def best_fit_decreasing(lengths, window: int = WINDOW) -> tuple[np.ndarray, np.n
 
 
 def cut(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW, keep_ids: bool = False) -> DataFrame:
-    """The pieces of every document: full windows and one remainder. copy numbers equal doc_ids apart."""
+    """The pieces of every document: full windows and one remainder."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = memory_of(tokenizer)
         for batch in batches:
-            names = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            copies = batch.column("copy").to_numpy(zero_copy_only=False)
             for a, b, buf, off in slices(batch.column("text")):
                 ids, at = with_end(*memory.encode(buf, off), end_id)
                 wide = ids.astype("<u4")
@@ -106,14 +107,14 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW,
                 raw = [memoryview(wide[s : s + k]).cast("B") for s, k in zip(begin.tolist(), length.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(names[a:b][doc], pa.int64()), pa.array(copies[a:b][doc], pa.int64()), pa.array(start), pa.array(length),
+                        batch.column("doc_id").slice(a, b - a).take(pa.array(doc)), pa.array(start), pa.array(length),
                         pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(total[doc]),
                         pa.array([bytes(x) for x in raw] if keep_ids else [None] * len(raw), pa.binary()),
                     ],
-                    ["doc_id", "copy", "start", "length", "ids_crc32", "doc_tokens", "ids"],
+                    ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("copy"), F.col("text").cast("string"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(pieces, PIECES)
 
 
@@ -123,28 +124,22 @@ def pack(pieces: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFra
     groups = max(1, remainders // group)
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "start", "copy"], ascending=[False, True, True, True], ignore_index=True)
+        pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32", "copy"], ascending=[False, True, True, True, True], ignore_index=True)
         bins, offsets = best_fit_decreasing(pdf["length"].tolist(), window)
         used = np.bincount(bins, weights=pdf["length"]).astype(np.int64)
         padded = np.where(used & (used - 1), window, used)
-        return pd.DataFrame(
-            {"doc_id": pdf["doc_id"], "copy": pdf["copy"], "start": pdf["start"], "length": pdf["length"], "sequence_id": bins * groups + pdf["group"], "offset": offsets, "padded_length": padded[bins]}
-        )
+        return pdf.assign(sequence_id=bins * groups + pdf["group"], offset=offsets, padded_length=padded[bins])[PACKED_NAMES]
 
-    key = F.pmod(F.xxhash64("doc_id", "start", "copy"), F.lit(groups))
-    placed = (
-        pieces.select("doc_id", "copy", "start", "length", key.alias("group"))
-        .groupBy("group").applyInPandas(packed, PACKED)
-    )
-    return placed
+    # equal pieces are counted and numbered, so that they too are dealt apart, and alike in every run
+    own = pieces.groupBy(*PIECE_NAMES).agg(F.count("*").alias("copies"))
+    own = own.select(*PIECE_NAMES, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    key = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "copy"), F.lit(groups))
+    return own.withColumn("group", key).groupBy("group").applyInPandas(packed, PACKED)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW, keep_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded_length, ids."""
-    pieces = materialize(cut(docs, tokenizer, end_id, window, keep_ids), "pieces")
-    digest = pieces.select("doc_id", "copy", "start", "ids_crc32", "doc_tokens", "ids")
-    out = pack(pieces, window).join(digest, ["doc_id", "copy", "start"])
-    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_length", "ids")
+    return pack(materialize(cut(docs, tokenizer, end_id, window, keep_ids), "pieces"), window)
 
 
 def sequences(packed: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataFrame:

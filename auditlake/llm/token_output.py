@@ -12,7 +12,8 @@ A block stands alone:
 * ``n_ids``, and ``start_in_part``, the ids of the part before the block.
 
 The code book is a second table (id, bits): code words are canonical, by length and then
-id, and at most ``LIMIT`` bits long (package-merge), so a table of 2**LIMIT entries decodes.
+id, and at most ``LIMIT`` bits long (package-merge), so a table of 2**LIMIT entries decodes; more
+different ids than that are refused.
 
 Defined results: a null text is the empty text and is written as the end id alone;
 repeated rows are all written; equal doc_ids follow each other, shorter first; an empty
@@ -46,6 +47,8 @@ BLOCK = "part int, block int, start_in_part long, n_ids long, doc_ids binary, do
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     """Lengths of an optimal prefix code of at most limit bits, by package-merge."""
     n = len(counts)
+    if n > 1 << limit:
+        raise ValueError(f"{n} different ids have no code of {limit} bits")
     if n < 2:
         return np.ones(n, np.int64)
     order = np.argsort(counts, kind="stable")
