@@ -1,15 +1,24 @@
-"""Toxicity by smoothed naive Bayes over pieces of words, with a logistic curve.
+"""Toxicity by class-conditional Kneser-Ney models, with a logistic curve.
 
-A piece is a run of ``SPAN`` bytes of a word with its begin and end marked, so that
-inflected forms share most of theirs. Each class has the discounted counts of its documents
-that hold the piece and gives the discounted mass to the discounted document counts of the
-ordinary class: a piece that neither class knows well tells little, and one
-that neither holds nothing. A text's evidence is the difference of its
-log-likelihoods under the two, per word, and the part of it from strongly toxic words;
-a logistic curve fitted on labelled documents that the models have not seen turns them into a score from 0 to 1.
+Two models of order ``ORDER`` over the bytes of words, one learned from toxic and one from
+ordinary documents. An expression (a byte and the ORDER - 1 before it in its word, begin and
+end marked) is counted once a document. Each class has
 
-This is not a Kneser-Ney model: pieces have no history, there are no continuation counts, and
-what only the toxic class holds backs off to the constant ``LEAST``.
+    P(b | h) = (max(c(hb) - D, 0) + D * types(h) * Q(b | h')) / c(h)
+
+with the discount D estimated from its counts, and both share the backoff Q: an interpolated
+Kneser-Ney model one order lower from the continuation counts of both classes together, the
+numbers of different bytes before an expression, down to single bytes. So a rare expression
+is smoothed alike under both and tells little, and one that neither class holds tells only
+how much of its context's mass each class leaves to the backoff.
+
+A text's evidence is the difference of its toxic and ordinary log-likelihoods divided by its
+words, and the part of that difference from words that alone exceed ``STRONG``: the plain
+difference drifts with the language, the strong part does not. A logistic curve of the two,
+fitted on labelled documents that the models have not seen, gives a score from 0 to 1.
+
+Counting and smoothing are joins and aggregates over the table of expressions; the sorted
+table of differences is stored in the shared folder and memory-mapped by workers.
 
 Bounds: at most ``MAX_DOCUMENTS`` documents a class are learned from and at most
 ``MAX_CURVE`` evidence values reach the driver for the curve, all drawn by a hash of the
@@ -33,15 +42,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._scratch import materialize, new_folder
-from ._store import find_sorted, merge, pack, range_of, read_part, unpack, write_part
+from ._store import find_sorted, merge, read_part, write_part
 from ._text import LOWER, hash_spans, ragged, slices, sums, word_spans
 
 MAX_DOCUMENTS = 100_000
 MAX_CURVE = 50_000
-SPAN = 5
-DISCOUNT = 0.75
-#: Backoff probability of an expression that ordinary documents do not hold.
-LEAST = 1e-7
+#: Bytes of an expression; at most 7, so that one is a positive integer.
+ORDER = 4
+BEGIN, END = 1, 2
+#: Expressions of one stored part, about, and the number that deals them.
+PART, PRIME = 2_000_000, 1_000_003
 #: Log-likelihood difference of a word that is told apart from its text's general drift.
 STRONG = 8.0
 THRESHOLD = 0.3
@@ -57,110 +67,160 @@ def held_out(doc_id: Column) -> Column:
 @dataclass(frozen=True)
 class Model:
     folder: str
-    parts: int
-    counts: tuple[int, int] = (0, 0)  # of the ordinary and the toxic class
-    left: tuple[float, float] = (1.0, 1.0)  # mass of each class left to the shared backoff
+    parts: int  # 0 without documents of both classes
     curve: tuple[float, ...] = (0.0, 0.0, float("-inf"))
 
     @property
     def usable(self) -> bool:
-        return min(self.counts) > 0
+        return self.parts > 0
 
 
 def _words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row's first words, each word's place among the distinct words, their expressions' hashes, their first expressions)."""
+    """(row's first words, each word's place among the distinct words, their expressions, their first expressions)."""
     low = LOWER[buf]
     starts, ends, first = word_spans(low, offsets)
     _, index, place = np.unique(hash_spans(low, starts, ends), return_index=True, return_inverse=True)
     begin, length = starts[index], ends[index] - starts[index]
-    at = np.cumsum(length + 2) - (length + 2)
-    marked = np.empty(int((length + 2).sum()), np.uint8)
-    inner = np.ones(len(marked), bool)
-    inner[at] = inner[at + length + 1] = False
-    marked[inner] = ragged(low, begin, length)
-    marked[at], marked[at + length + 1] = 1, 2
-    n = np.maximum(1, length + 3 - SPAN)
-    till = np.cumsum(n)
-    from_ = np.repeat(at, n) + np.arange(int(n.sum())) - np.repeat(till - n, n)
-    to = np.minimum(from_ + SPAN, np.repeat(at + length + 2, n))
-    return first, place, hash_spans(marked, from_, to), np.concatenate([[0], till])
-
-
-def _count(rows: DataFrame, parts: int) -> DataFrame:
-    """Packed numbers of documents of each class that hold an expression, by its hash range."""
+    size = length + ORDER  # with ORDER - 1 begin marks and one end mark
+    at = np.cumsum(size) - size
+    marked = np.full(int(size.sum()) + ORDER, BEGIN, np.int64)
+    marked[ragged(np.arange(len(marked)), at + ORDER - 1, length)] = ragged(low, begin, length)
+    marked[at + size - 1] = END
+    whole = np.zeros(len(marked) - ORDER, np.int64)
+    for k in range(ORDER):
+        whole = whole << 8 | marked[k : k + len(whole)]
+    n = length + 1
+    return first, place, ragged(whole, at, n), np.concatenate([[0], np.cumsum(n)])
+
+
+def _count(rows: DataFrame) -> DataFrame:
+    """(gram, ordinary, toxic): how many documents of each class hold an expression."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
             for a, b, buf, off in slices(batch.column("text")):
-                first, place, hashes, at = _words(buf, off)
+                first, place, grams, at = _words(buf, off)
                 if not len(place):
                     continue
                 row = np.repeat(np.arange(b - a), np.diff(first))
                 pairs = np.unique(row * (len(at) - 1) + place)
                 row, word = pairs // (len(at) - 1), pairs % (len(at) - 1)
-                distinct, number = np.unique(hashes, return_inverse=True)
+                distinct, number = np.unique(grams, return_inverse=True)
                 n = np.diff(at)[word]
                 each = np.unique(np.repeat(row, n) * len(distinct) + ragged(number, at[word], n))
                 is_toxic = toxic[a:b][each // len(distinct)] == 1
                 seen = each % len(distinct)
-                held.append((distinct, *(np.bincount(seen[is_toxic == k], minlength=len(distinct)) for k in (False, True))))
+                held.append((distinct.astype(np.uint64), *(np.bincount(seen[is_toxic == k], minlength=len(distinct)) for k in (False, True))))
                 if sum(len(x[0]) for x in held) > PENDING:
                     held = [merge(*map(list, zip(*held)))]
         if held:
-            keys, ordinary, is_toxic = merge(*map(list, zip(*held)))
-            edges = np.searchsorted(range_of(keys, parts), np.arange(parts + 1))
-            rows_ = [(k, *(pack(x[i:j]) for x in (keys, ordinary, is_toxic))) for k, (i, j) in enumerate(zip(edges[:-1], edges[1:])) if i < j]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows_), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["part", "keys", "ordinary", "toxic"])
+            keys, *counts = merge(*map(list, zip(*held)))
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (keys, *counts)], ["gram", "ordinary", "toxic"])
+
+    counted = rows.select("text", "toxic").mapInArrow(count, "gram long, ordinary long, toxic long")
+    return counted.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+
+
+def _discounts(table: DataFrame, *columns: str) -> list[float]:
+    """n1 / (n1 + 2 n2) of each column of counts."""
+    seen = table.agg(*[F.count_if(F.col(c) == k) for c in columns for k in (1, 2)]).first()
+    return [min(max(a / (a + 2 * b) if a else 0.5, 0.05), 0.95) for a, b in zip(seen[::2], seen[1::2])]
+
+
+def _context(gram: str = "gram") -> Column:
+    return F.shiftright(gram, 8)
+
+
+def _shorter(gram: Column, order: int) -> Column:
+    """The last bytes of an expression."""
+    return gram.bitwiseAND(F.lit((1 << 8 * order) - 1))
+
 
-    return rows.select("text", "toxic").mapInArrow(count, "part int, keys binary, ordinary binary, toxic binary")
+def _backoff(grams: DataFrame) -> DataFrame:
+    """(gram, p): the shared model of order ORDER - 1 from continuation counts."""
+    levels = {ORDER: grams.select("gram")}
+    for k in range(ORDER - 1, 0, -1):  # every different longer expression is one continuation
+        levels[k] = materialize(levels[k + 1].groupBy(_shorter(F.col("gram"), k).alias("gram")).agg(F.count("*").alias("n")), "continuations")
+    found = None
+    for k in range(1, ORDER):
+        (d,) = _discounts(levels[k], "n")
+        own = levels[k].withColumn("context", _context())
+        sums_ = own.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("types"))
+        own = own.join(sums_, "context").withColumn("shorter", _shorter(F.col("gram"), k - 1))
+        below = F.lit(1 / 257)  # any byte, or the end
+        if found is not None:
+            own = own.join(found.select(F.col("gram").alias("shorter"), F.col("p").alias("q")), "shorter")
+            below = F.col("q")
+        found = materialize(own.select("gram", ((F.greatest(F.col("n") - d, F.lit(0.0)) + d * F.col("types") * below) / F.col("total")).alias("p")), "backoff")
+    return found
 
 
 def count_models(rows: DataFrame) -> Model:
-    """Models of rows (text, toxic 0 or 1), stored in the shared folder."""
+    """Models of rows (text, toxic 0 or 1), stored in the shared folder as differences of log-probabilities."""
     spark = rows.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    folder = new_folder(spark, "toxicity")
+    grams = materialize(_count(rows), "expressions")
+    n, *seen = grams.agg(F.count("*"), F.sum("ordinary"), F.sum("toxic")).first()
+    folder, parts = new_folder(spark, "toxicity"), n // PART + 1
+    if not all(seen):
+        return Model(folder, 0)
+    d = dict(zip(("ordinary", "toxic"), _discounts(grams, "ordinary", "toxic")))
+    totals = [f(c).alias(f"{name}_{c}") for c in d for name, f in (("total", F.sum), ("types", lambda c: F.count_if(F.col(c) > 0)))]
+    contexts = materialize(grams.groupBy(_context().alias("context")).agg(*totals), "contexts")
+    total = lambda c: F.col(f"total_{c}")
+    left = {c: F.when(total(c) > 0, d[c] * F.col(f"types_{c}") / total(c)).otherwise(1.0) for c in d}
+    lower = _backoff(grams).select(F.col("gram").alias("shorter"), "p")
+    each = grams.withColumns({"context": _context(), "shorter": _shorter(F.col("gram"), ORDER - 1)}).join(contexts, "context").join(lower, "shorter")
+    of = {c: F.greatest(F.col(c) - d[c], F.lit(0.0)) / F.greatest(total(c), F.lit(1)) + left[c] * F.col("p") for c in d}
+    told = each.select(F.lit("grams").alias("kind"), F.col("gram").alias("key"), F.log(of["toxic"] / of["ordinary"]).alias("told"))
+    told = told.unionByName(contexts.select(F.lit("contexts").alias("kind"), F.col("context").alias("key"), F.log(left["toxic"] / left["ordinary"]).alias("told")))
 
     def store(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = int(pdf["part"].iloc[0])
-        pdf = pdf[pdf["keys"].notna()]
-        keys, ordinary, toxic = merge(*([unpack(x) for x in pdf[c]] for c in ("keys", "ordinary", "toxic")))
-        write_part(folder, "keys", part, keys)
-        write_part(folder, "counts", part, np.column_stack([ordinary, toxic]).astype(np.int64))
-        out = [int(f(x)) for x in (ordinary, toxic) for f in (np.sum, lambda c: (c > 0).sum())]
-        return pd.DataFrame([out], columns=["n_0", "types_0", "n_1", "types_1"])
-
-    # every part gets its file, also one without expressions
-    blank = spark.range(parts).select(F.col("id").cast("int").alias("part"))
-    packed = _count(rows, parts).unionByName(blank, allowMissingColumns=True)
-    sums_ = packed.groupBy("part").applyInPandas(store, "n_0 long, types_0 long, n_1 long, types_1 long")
-    s = sums_.agg(*[F.sum(c).alias(c) for c in ("n_0", "types_0", "n_1", "types_1")]).first()
-    if not s["n_0"] or not s["n_1"]:
-        return Model(folder, parts)
-    left = tuple(DISCOUNT * s[f"types_{k}"] / s[f"n_{k}"] for k in (0, 1))
-    return Model(folder, parts, (s["n_0"], s["n_1"]), left)
+        pdf, kind, part = pdf.sort_values("key"), pdf["kind"].iloc[0], int(pdf["part"].iloc[0])
+        write_part(folder, kind, part, pdf["key"].to_numpy())
+        write_part(folder, f"{kind}-told", part, pdf["told"].to_numpy())
+        return pd.DataFrame({"kind": [kind], "part": [part]})
+
+    dealt = told.withColumn("part", F.pmod(F.pmod("key", F.lit(PRIME)), F.lit(parts)).cast("int"))
+    blank = spark.range(parts).select(F.explode(F.array(F.lit("grams"), F.lit("contexts"))).alias("kind"), F.col("id").cast("int").alias("part"))
+    have = dealt.groupBy("kind", "part").applyInPandas(store, "kind string, part int")
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Every part gets its file, also one without expressions."""
+        for kind, part in pdf[["kind", "part"]].itertuples(index=False):
+            write_part(folder, kind, int(part), np.zeros(0, np.int64))
+            write_part(folder, f"{kind}-told", int(part), np.zeros(0))
+        return pdf
+
+    blank.join(materialize(have, "stored"), ["kind", "part"], "left_anti").groupBy("part").applyInPandas(fill, "kind string, part int").count()
+    return Model(folder, parts)
+
+
+def _told(model: Model, kind: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stored difference, whether there is one) of ascending keys."""
+    part = keys % PRIME % model.parts
+    order = np.argsort(part, kind="stable")
+    found = find_sorted(model.folder, kind, part[order], keys[order])
+    out, has = np.zeros(len(keys)), np.zeros(len(keys), bool)
+    for k in np.unique(part).tolist():
+        own = (part[order] == k) & (found >= 0)
+        out[order[own]] = read_part(model.folder, f"{kind}-told", k)[found[own]]
+        has[order[own]] = True
+    return out, has
 
 
 def evidence_of(model: Model, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Two columns per row: toxic minus ordinary log-likelihood per word, and the part of words beyond STRONG."""
-    first, place, hashes, at = _words(buf, offsets)
+    first, place, grams, at = _words(buf, offsets)
     n = np.diff(first)
     if not model.usable or not len(place):
         return np.zeros((len(n), 2))
-    distinct, number = np.unique(hashes, return_inverse=True)
-    part = range_of(distinct, model.parts)
-    found = find_sorted(model.folder, "keys", part, distinct)
-    counts = np.zeros((len(distinct), 2), np.int64)
-    for k in np.unique(part[found >= 0]).tolist():
-        own = (part == k) & (found >= 0)
-        counts[own] = read_part(model.folder, "counts", k)[found[own]]
-    shared = np.maximum(counts[:, 0] - DISCOUNT, 0) / model.counts[0] + LEAST
-    logs = [np.log(np.maximum(counts[:, k] - DISCOUNT, 0) / model.counts[k] + model.left[k] * shared) for k in (0, 1)]
-    told = np.where(counts.any(1), logs[1] - logs[0], 0.0)  # what neither class holds tells nothing
-    word = sums(told[number], at)
-    each = word[place]
+    distinct, number = np.unique(grams, return_inverse=True)
+    told, has = _told(model, "grams", distinct)
+    rest = np.flatnonzero(~has)  # the backoff is the same under both: what is left of the masses stays
+    told[rest] = _told(model, "contexts", distinct[rest] >> 8)[0]
+    each = sums(told[number], at)[place]
     return np.column_stack([sums(each, first), sums(np.where(each > STRONG, each, 0.0), first)]) / np.maximum(n, 1)[:, None]
 
 
