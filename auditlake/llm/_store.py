@@ -33,6 +33,14 @@ def unpack(raw: bytes) -> np.ndarray:
     return np.cumsum(values, dtype=np.uint64) if raw[0] else values
 
 
+def squeeze(raw: bytes) -> bytes:
+    return _codec.compress(raw, asbytes=True)
+
+
+def unsqueeze(raw: bytes, size: int) -> bytes:
+    return _codec.decompress(raw, size, asbytes=True)
+
+
 def merge(keys: list[np.ndarray], *columns: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     """Distinct sorted keys and the sums of each column."""
     key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
