@@ -51,36 +51,40 @@ def blocks(dim: int) -> list[slice]:
     return [slice(k, min(k + BLOCK, dim)) for k in range(0, dim, BLOCK)]
 
 
-def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(vec_id, label, raw): raw holds the doubles of a usable vector, else null."""
-    for batch in batches:
-        raw = []
-        for label, vector in zip(batch.column("label").to_pylist(), batch.column("embedding")):
-            values = None
-            if label is not None and vector.is_valid and len(vector) and not vector.values.null_count:
-                values = np.asarray(vector.values.to_numpy(zero_copy_only=False), np.float64)
-                if not (np.isfinite(values).all() and values.any()):
-                    values = None
-            raw.append(None if values is None else values.tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(raw, pa.binary())], ["vec_id", "label", "raw"])
-
-
-def _unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+def _prepare(kind: str):
+    """(vec_id, label, raw): raw holds the numbers of a usable vector, else null."""
+
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = []
+            for label, vector in zip(batch.column("label").to_pylist(), batch.column("embedding")):
+                values = None
+                if label is not None and vector.is_valid and len(vector) and not vector.values.null_count:
+                    values = np.asarray(vector.values.to_numpy(zero_copy_only=False), kind)
+                    if not (np.isfinite(values).all() and values.any()):
+                        values = None
+                raw.append(None if values is None else values.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(raw, pa.binary())], ["vec_id", "label", "raw"])
+
+    return prepare
+
+
+def _unit(raw: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _cells(least: float):
+def _cells(least: float, kind: str):
     """Rows of every vector's home cell and of the cells within reach, for each block."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rep, mult, label, raw = (batch.column(c).to_pylist() for c in ("rep", "copies", "label", "raw"))
-            sizes = np.array([len(x) // 8 for x in raw], np.int64)
+            sizes = np.array([len(x) // np.dtype(kind).itemsize for x in raw], np.int64)
             for dim in np.unique(sizes).tolist():
                 own = np.flatnonzero(sizes == dim)
-                turned = _unit([raw[k] for k in own]) @ rotation(dim)
+                turned = _unit([raw[k] for k in own], kind) @ rotation(dim)
                 for b, block in enumerate(blocks(dim)):
                     reach = np.sqrt((2 - 2 * least) * (block.stop - block.start) / dim) * (1 + SLACK) + SLACK
                     lead = turned[:, block][:, :GRID]
@@ -117,13 +121,13 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _join(least: float):
+def _join(least: float, kind: str):
     """Links of a tile: (rep, links, other) with other the least member of its part of the forest."""
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         dim, b = int(pdf["dim"].iloc[0]), int(pdf["block"].iloc[0])
         pdf = pdf.sort_values("rep", ignore_index=True)
-        unit = _unit(pdf["raw"].tolist())
+        unit = _unit(pdf["raw"].tolist(), kind)
         turned = unit @ rotation(dim)
         parts = blocks(dim)
         budget = [(2 - 2 * least) * (s.stop - s.start) / dim + SLACK for s in parts]
@@ -159,12 +163,16 @@ def _join(least: float):
 
 def dedup(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors (vec_id, label, embedding)."""
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<double>"))
-    rows = materialize(rows.mapInArrow(_prepare, "vec_id long, label long, raw binary"), "vectors")
-    reps = rows.where("raw IS NOT NULL").groupBy("label", "raw").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    # single-precision vectors travel as they are; every computation is in double precision
+    single = dict(vectors.dtypes)["embedding"] == "array<float>"
+    kind = "<f4" if single else "<f8"
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding") if single else F.col("embedding").cast("array<double>"))
+    rows = rows.mapInArrow(_prepare(kind), "vec_id long, label long, raw binary")
+    rows = materialize(rows.withColumn("digest", F.sha2("raw", 256)), "vectors")
+    reps = rows.where("raw IS NOT NULL").groupBy("label", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min("raw").alias("raw"))
     reps = materialize(reps, "distinct-vectors")
     schema = "label long, dim int, block int, cell string, rep long, copies long, home boolean, raw binary"
-    cells = materialize(reps.mapInArrow(_cells(least), schema), "cells")
+    cells = materialize(reps.mapInArrow(_cells(least, kind), schema), "cells")
     key = ["label", "dim", "block", "cell"]
     sizes = cells.groupBy(*key).agg(F.count("*").alias("size"), F.count_if("home").alias("homes")).where("size > 1 AND homes > 0")
     tiles = F.ceil(F.col("size") / TILE).cast("int")
@@ -179,12 +187,12 @@ def dedup(vectors: DataFrame, least: float = 0.93) -> DataFrame:
         {"as_home": F.col("home") & (F.col("t.i") == F.col("own")), "as_member": F.col("t.j") == F.col("own"), "i": F.col("t.i"), "j": F.col("t.j")}
     )
     dealt = dealt.select(*key, "i", "j", "rep", "copies", "as_home", "as_member", "raw")
-    found = dealt.groupBy(*key, "i", "j").applyInPandas(_join(least), "rep long, links long, other long")
+    found = dealt.groupBy(*key, "i", "j").applyInPandas(_join(least, kind), "rep long, links long, other long")
     found = materialize(found, "links")
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = components(found.where("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     each = reps.join(linked, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    each = each.select("label", "raw", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(each, ["label", "raw"], "left")
+    each = each.select("label", "digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    out = rows.join(each, ["label", "digest"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
