@@ -23,7 +23,7 @@ def prose(n):
 
 
 BASE = prose(400)
-TEXTS = [None, "", " \n ", "one", "one two", prose(30), prose(30), BASE, BASE, BASE + " tail", "lead " + BASE, prose(3000), "a" * 5000, "  double  spaces \n\n x ", prose(60) + "\n" + prose(60), "the end.\nThe, start. \n next", "edededed anananan ededed", prose(12) * 3]
+TEXTS = [None, "", " \n ", "one", "one two", prose(30), prose(30), BASE, BASE, BASE + " tail", "lead " + BASE, prose(3000), "a" * 5000, "  double  spaces \n\n x ", prose(60) + "\n" + prose(60), "the end.\nThe, start. \n next", "edededed anananan ededed", prose(12) * 3, "hello <|endoftext|> there<|startoftext|>x  <|endoftext|>\n\n<|ENDOFTEXT|>", "字" * 300 + " " + "b" * 200]
 
 
 def table(spark, texts=TEXTS):
@@ -75,7 +75,6 @@ def test_token_output_round_trip(spark, file):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(P.path(file))
-    library.encode_special_tokens = True
     path = token_output.write_documents(table(spark), P.path(file))
     start = 0
     rows = by_id(token_output.digests(token_output.read(spark, path)))
@@ -115,7 +114,6 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     rows = packing.pack_documents(table(spark), P.path("byte_bpe_50k.json"), keep_ids=True).collect()
     ids = {i: [*library.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(TEXTS)}
     seen = {i: [] for i in ids}
@@ -132,6 +130,9 @@ def test_packing(spark):
             assert offset == end
             end += length
         assert end <= 2048
+    again = packing.pack_documents(table(spark).union(table(spark)).repartition(5), P.path("byte_bpe_50k.json")).drop("ids")
+    other = packing.pack_documents(table(spark).union(table(spark)).repartition(2), P.path("byte_bpe_50k.json")).drop("ids")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, other.collect())) and again.count() == 2 * len(rows)
     bins, _ = packing.best_fit_decreasing([7, 6, 3, 2, 2], 10)
     assert bins.tolist() == [0, 1, 0, 1, 1]
 
@@ -257,6 +258,60 @@ def test_byte_bpe(spark):
     assert all(bytes(back[i]["bytes"]).decode() == (t or "") for i, t in enumerate(TEXTS))
 
 
+def test_toxicity_evidence_is_the_models_difference(spark):
+    import math
+
+    own = lambda i: "".join(chr(97 + (i * k * k + k) % 26) for k in range(1, 6))
+    texts = [(f"{prose(12)} {own(i)} {own(i // 2)}" + (" grumpig" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(30)]
+    rows = spark.createDataFrame([(t, y) for t, y in texts], "text string, toxic int")
+    model = toxicity.count_models(rows)
+    n = toxicity.ORDER
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+    def grams(word):
+        raw = b"\1" * (n - 1) + word.translate(lower).encode() + b"\2"
+        return [raw[k : k + n] for k in range(len(raw) - n + 1)]
+
+    counts = ({}, {})
+    for t, y in texts:
+        for g in {g for w in words(t) for g in grams(w)}:
+            counts[y][g] = counts[y].get(g, 0) + 1
+
+    def discount(c):
+        one, two = sum(v == 1 for v in c), sum(v == 2 for v in c)
+        return min(max(one / (one + 2 * two) if one else 0.5, 0.05), 0.95)
+
+    level = {n: set(counts[0]) | set(counts[1])}
+    cont = {}
+    for k in range(n - 1, 0, -1):
+        cont[k] = {}
+        for g in level[k + 1]:
+            cont[k][g[1:]] = cont[k].get(g[1:], 0) + 1
+        level[k] = set(cont[k])
+
+    def shared(g):
+        if not g:
+            return 1 / 257
+        c, d = cont[len(g)], discount(cont[len(g)].values())
+        own = {x: v for x, v in c.items() if x[:-1] == g[:-1]}
+        return (max(c[g] - d, 0) + d * len(own) * shared(g[1:])) / sum(own.values())
+
+    def log_p(g, y):
+        d, own = discount(counts[y].values()), {x: v for x, v in counts[y].items() if x[:-1] == g[:-1]}
+        total = sum(own.values())
+        left = d * len(own) / total if total else 1.0
+        # an expression of neither class has the same backoff under both
+        p = shared(g[1:]) if g in level[n] else 1.0
+        return math.log((max(counts[y].get(g, 0) - d, 0) / total if total else 0) + left * p)
+
+    fresh = ["alpha grumpig neverseen", "Beta, foo bar", "", None, "grumpel " * 3]
+    found = {r["doc_id"]: r for r in toxicity.evidence(table(spark, fresh).select("doc_id", "text"), model).collect()}
+    for i, t in enumerate(fresh):
+        each = [sum(log_p(g, 1) - log_p(g, 0) for g in grams(w)) for w in words(t)]
+        assert math.isclose(found[i]["evidence"], sum(each) / max(len(each), 1), abs_tol=1e-9)
+        assert math.isclose(found[i]["strong"], sum(x for x in each if x > toxicity.STRONG) / max(len(each), 1), abs_tol=1e-9)
+
+
 def test_toxicity(spark):
     texts, labels = [], []
     for i in range(400):
@@ -276,6 +331,24 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.score(docs, none).collect()} == {0.0}
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_embedding_dedup_against_all_pairs(spark, kind):
+    centres = RNG.standard_normal((12, 64))
+    x = np.concatenate([centres[k] + s * RNG.standard_normal((30, 64)) for k, s in enumerate(np.linspace(0.05, 0.5, 12))] + [RNG.standard_normal((140, 64))])
+    x = x.astype(np.float32).astype(np.float64)
+    label = np.arange(len(x)) % 2
+    rows = [(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label))]
+    found = {r["vec_id"]: r for r in embedding_dedup.dedup(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int")).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (unit @ unit.T >= 0.93) & (label[:, None] == label[None]) & ~np.eye(len(x), dtype=bool)
+    component = np.arange(len(x))
+    for _ in range(len(x)):
+        component = np.minimum(component, np.where(linked, component[None], len(x)).min(1))
+    assert linked.sum() > 500
+    assert [found[i]["n_links"] for i in range(len(x))] == linked.sum(1).tolist()
+    assert [found[i]["component_id"] for i in range(len(x))] == component.tolist()
+
+
 def test_embedding_dedup(spark):
     x = RNG.standard_normal((60, 64))
     rows = [(i, v.tolist(), i % 3, "e") for i, v in enumerate(x)]
@@ -289,6 +362,18 @@ def test_embedding_dedup(spark):
     assert all(found[i]["n_links"] == 0 and found[i]["kept"] for i in (1, 72, 73, 74, 75, 76, 77, 78))
 
 
-@pytest.mark.parametrize("operator", [quality_rules.ledger, order_minhash.classes, substring_dedup.digests])
+EMPTY = [
+    quality_rules.ledger, order_minhash.classes, order_minhash.keep, substring_dedup.digests, substring_dedup.apply,
+    lambda docs: packing.pack_documents(docs, P.path("byte_bpe_50k.json")),
+    lambda docs: byte_bpe.encode(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN),
+    lambda docs: lm_scoring.score(docs, lm_scoring.train(docs)),
+    lambda docs: toxicity.score(docs, toxicity.train(docs, docs.selectExpr("doc_id", "part AS toxic"))),
+    lambda docs: token_output.read(docs.sparkSession, token_output.write_documents(docs, P.path("word_bpe_49k.json"))),
+    lambda docs: embedding_dedup.dedup(docs.selectExpr("doc_id AS vec_id", "part AS label", "array(1.0D) AS embedding")),
+    lambda docs: url_filter.judge(docs.selectExpr("doc_id AS page_id", "text AS url"), [url_filter.listed("allow", "org/")]),
+]
+
+
+@pytest.mark.parametrize("operator", EMPTY)
 def test_empty_tables(spark, operator):
     assert operator(table(spark).where("false")).count() == 0
