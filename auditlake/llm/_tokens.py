@@ -18,7 +18,7 @@ import numpy as np
 from ._text import HashTable, chunk_spans, hash_spans, ragged, sums
 
 #: Chunks remembered by a Python worker before it starts afresh.
-MEMORY = 1_500_000
+MEMORY = 600_000
 
 
 class ChunkMemory:
