@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import argmax, digest, hex_int, softmax
+from .functions.text import argmax, digest, hex_int, once, softmax
 
 #: The policy ids in order, and the variants, base first.
 POLICIES = ("H1", "H2", "H3", "H4", "H5", "S1", "S2", "S3", "T1", "T2")
@@ -16,32 +16,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _keys(documents: DataFrame) -> DataFrame:
-    """doc_id x policy x variant, by generation inside the row."""
-    policies = F.explode(F.array(*[F.lit(p) for p in POLICIES]))
-    variants = F.explode(F.array(*[F.lit(v) for v in VARIANTS]))
-    return documents.select("doc_id", "lang", "source").withColumn("policy", policies).withColumn("variant", variants)
-
-
 def label_cells(documents: DataFrame) -> DataFrame:
-    """doc_id, lang, source, variant, policy, state_id (null where a document's row is missing)."""
-    d = digest("lab", F.col("doc_id"), F.col("policy"))
-    base = hex_int(d, 1, 4) % 3
-    turn = F.when(F.col("variant") == "D5", hex_int(d, 5, 2) < 64).when(F.col("variant") == "D5b", hex_int(d, 7, 2) < 64).otherwise(False)
-    missing = hex_int(digest("miss", F.col("doc_id"), F.col("variant")), 1, 2) == 0
-    state = F.when(~missing, F.when(turn, (base + 1) % 3).otherwise(base)).cast("int")
-    return _keys(documents).withColumn("state_id", state)
+    """doc_id, lang, source, variant, policy, state_id (null where a document's row is missing).
+
+    Every digest is made once: those of a document and a variant before the policies, those of
+    a document and a policy before the variants.
+    """
+    gone = [(hex_int(digest("miss", F.col("doc_id"), F.lit(v)), 1, 2) == 0).alias(v) for v in VARIANTS]
+    rows = once(documents.select("doc_id", "lang", "source"), gone=F.struct(*gone))
+    rows = rows.select("*", F.inline(F.array(*[F.struct(F.lit(p).alias("policy"), digest("lab", F.col("doc_id"), F.lit(p)).alias("d")) for p in POLICIES])))
+    rows = once(rows, base=hex_int(F.col("d"), 1, 4) % 3, D5=hex_int(F.col("d"), 5, 2) < 64, D5b=hex_int(F.col("d"), 7, 2) < 64)
+    turned = {v: F.when(F.col(v), (F.col("base") + 1) % 3).otherwise(F.col("base")) if v != "D0" else F.col("base") for v in VARIANTS}
+    each = [F.struct(F.lit(v).alias("variant"), F.when(~F.col("gone")[v], turned[v]).cast("int").alias("state_id")) for v in VARIANTS]
+    return rows.select("doc_id", "lang", "source", "policy", F.inline(F.array(*each)))
 
 
 def scored_cells(documents: DataFrame) -> DataFrame:
     """label_cells with z0..z2, p0..p2, conf, pred and correct."""
-    cells = label_cells(documents)
-    z = digest("z", F.col("doc_id"), F.col("policy"), F.col("variant"))
-    cells = cells.withColumns({f"z{k}": (hex_int(z, 1 + 2 * k, 2) - 128) / 32.0 + F.when(F.col("state_id") == k, 2.0).otherwise(0.0) for k in range(3)})
+    cells = once(label_cells(documents), z=digest("z", F.col("doc_id"), F.col("policy"), F.col("variant")))
+    z = {f"z{k}": (hex_int(F.col("z"), 1 + 2 * k, 2) - 128) / 32.0 + F.when(F.col("state_id") == k, 2.0).otherwise(0.0) for k in range(3)}
+    cells = once(cells, **z).drop("z")
     logits = [F.col(f"z{k}") for k in range(3)]
-    cells = cells.withColumns({f"p{k}": p for k, p in enumerate(softmax(logits))})
-    cells = cells.withColumns({"conf": F.greatest("p0", "p1", "p2"), "pred": argmax(logits)})
-    return cells.withColumn("correct", (F.col("pred") == F.col("state_id")).cast("int"))
+    cells = once(cells, **{f"p{k}": p for k, p in enumerate(softmax(logits))}, pred=argmax(logits))
+    return cells.withColumns({"conf": F.greatest("p0", "p1", "p2"), "correct": (F.col("pred") == F.col("state_id")).cast("int")})
 
 
 _POL = ", ".join(f"('{p}', {k})" for k, p in enumerate(POLICIES))

@@ -23,41 +23,87 @@ PARSED = StructType(
         StructField("extra", ArrayType(StringType())),
         StructField("duplicate", ArrayType(StringType())),
         StructField("invalid", ArrayType(StringType())),
+        StructField("json_object_found", BooleanType()),
         StructField("strict", BooleanType()),
     ]
 )
 
 
-def parse_reply(text: str | None, expected: tuple[str, ...], values: tuple[str, ...]) -> dict:
+def _pairs(text: str | None) -> tuple[list, bool]:
+    """(key and value pairs of the object from the first { to the last }, whether there is one)."""
+    if not text or "{" not in text or "}" not in text[text.index("{") :]:
+        return [], False
+    try:
+        loaded = json.loads(text[text.index("{") : text.rindex("}") + 1], object_pairs_hook=_Object)
+    except (ValueError, RecursionError):
+        return [], False
+    return (list(loaded), True) if isinstance(loaded, _Object) else ([], False)
+
+
+class _Object(list):
+    """The pairs of a JSON object, repeated keys included."""
+
+
+def _state(value, aliases: dict[str, str]) -> str | None:
+    """A label's state, as functions.text.normalize_label gives it."""
+    return aliases.get(value.strip().lower().replace("-", "_").replace(" ", "_")) if isinstance(value, str) else None
+
+
+def parse_reply(text: str | None, expected: tuple[str, ...], aliases: dict[str, str]) -> dict:
     """Every uniquely present valid cell, and the keys that are missing, extra, duplicate or invalid."""
-    pairs: list = []
-    if text and "{" in text and "}" in text[text.index("{") :]:
-        try:
-            loaded = json.loads(text[text.index("{") : text.rindex("}") + 1], object_pairs_hook=list)
-            pairs = loaded if isinstance(loaded, list) else []
-        except ValueError:
-            pairs = []
+    pairs, found = _pairs(text)
     counts = Counter(k for k, _ in pairs)
-    given = {k: str(v).strip().lower() if isinstance(v, str) else None for k, v in pairs}
-    duplicate = [k for k in expected if counts[k] > 1]
-    invalid = [k for k in expected if counts[k] == 1 and given[k] not in values]
-    cells = {k: given[k] for k in expected if counts[k] == 1 and given[k] in values}
-    missing = [k for k in expected if not counts[k]]
+    given = {k: _state(v, aliases) for k, v in pairs}
+    cells = {k: given[k] for k in expected if counts[k] == 1 and given[k]}
     extra = sorted(k for k in counts if k not in expected)
-    return {"cells": cells, "missing": missing, "extra": extra, "duplicate": duplicate, "invalid": invalid, "strict": len(cells) == len(expected) and not extra}
+    duplicate = [k for k in expected if counts[k] > 1] + [k for k in extra if counts[k] > 1]
+    return {
+        "cells": cells, "missing": [k for k in expected if not counts[k]], "extra": extra, "duplicate": duplicate,
+        "invalid": [k for k in expected if counts[k] == 1 and not given[k]], "json_object_found": found,
+        "strict": len(cells) == len(expected) and not extra,
+    }
 
 
-def parse_cells(text: Column, expected: tuple[str, ...], values: tuple[str, ...] = STATES) -> Column:
-    """Partial recovery: PARSED of each reply."""
+def parse_cells(text: Column, expected: tuple[str, ...], aliases: dict[str, str] | None = None) -> Column:
+    """Partial recovery: PARSED of each reply. aliases: accepted spellings of the states."""
+    known = aliases or dict(zip(STATES, STATES))
 
     @F.pandas_udf(PARSED)
     def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse_reply(t, expected, values) for t in texts], columns=PARSED.names)
+        return pd.DataFrame([parse_reply(t, expected, known) for t in texts], columns=PARSED.names)
 
     return run(text)
 
 
-def parse_labels(text: Column, expected: tuple[str, ...]) -> Column:
-    """All-or-nothing: the map of labels if every expected key is uniquely present and valid, else null."""
-    parsed = parse_cells(text, expected)
-    return F.when(F.size(parsed["cells"]) == len(expected), parsed["cells"])
+def parse_labels(text: Column, expected: tuple[str, ...], aliases: dict[str, str] | None = None) -> Column:
+    """All-or-nothing: the map of labels if every expected key is present and valid, else null.
+
+    Other keys may be there; of a repeated key the last counts.
+    """
+    known = aliases or dict(zip(STATES, STATES))
+
+    @F.pandas_udf(MapType(StringType(), StringType()))
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            given = {k: _state(v, known) for k, v in _pairs(t)[0]}
+            labels = {k: given.get(k) for k in expected}
+            out.append(labels if all(labels.values()) else None)
+        return pd.Series(out, dtype=object)
+
+    return run(text)
+
+
+def parse_flags(text: Column, expected: tuple[str, ...]) -> Column:
+    """Strict boolean categories: the map of flags if the keys are exactly the expected ones, each once and true or false, else null."""
+
+    @F.pandas_udf(MapType(StringType(), BooleanType()))
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            pairs = _pairs(t)[0]
+            exact = sorted(k for k, _ in pairs) == sorted(expected) and all(isinstance(v, bool) for _, v in pairs)
+            out.append(dict(pairs) if exact else None)
+        return pd.Series(out, dtype=object)
+
+    return run(text)

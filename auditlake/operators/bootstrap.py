@@ -1,49 +1,121 @@
 """Cluster bootstrap by counter-based Poisson(1) weights.
 
 A weight is a function of (seed, unit, replicate) alone, so results do not depend on
-partitioning, and all cells of a unit share it. Replicates multiply sums per unit, never rows
-per cell, and what is shuffled has a row per replicate and group.
+partitioning, and all cells of a unit share it. Weighted sums are made where the cells are:
+each task multiplies the matrix of its units' weights by its cells' columns and sends one
+array over all replicates for each group, so rows never multiply by replicates.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import digest, hex_int
 
 #: Cumulative Poisson(1) probabilities up to 7, as 48-bit integers.
-_CUTS = [int(2**48 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(8)]
+CUTS = [int(2**48 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(8)]
+#: Draws of 48 bits that one digest gives.
+DRAWS = 5
+#: Replicates whose weights a task holds at once.
+BLOCK = 500
 
 
 def poisson_weight(seed: str, unit: Column, replicate: Column) -> Column:
-    u = hex_int(digest(seed, unit, replicate), 1, 12)
-    return reduce(lambda a, b: a + b, [(u >= c).cast("int") for c in _CUTS])
-
-
-def replicated(units: DataFrame, unit: str, seed: str, replicates: int) -> DataFrame:
-    """units x replicate with weight w; rows of weight 0 are dropped."""
-    rows = units.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    return rows.withColumn("w", poisson_weight(seed, F.col(unit), F.col("replicate"))).where("w > 0")
+    """The weight as a column; replicates count from 1."""
+    block, place = F.floor((replicate - 1) / DRAWS), F.pmod(replicate - 1, F.lit(DRAWS))
+    u = F.conv(F.substr(digest(seed, unit, block), place * 12 + 1, F.lit(12)), 16, 10).cast("bigint")
+    return reduce(lambda a, b: a + b, [(u >= c).cast("int") for c in CUTS])
+
+
+def weights(seed: str, units: list, first: int, last: int) -> np.ndarray:
+    """Weights of units in rows and of replicates first + 1 to last in columns; first is a multiple of DRAWS."""
+    blocks = range(first // DRAWS, -(-last // DRAWS))
+    raw = b"".join(hashlib.sha256(f"{seed}:{u}:{b}".encode()).digest()[: 6 * DRAWS] for u in units for b in blocks)
+    six = np.frombuffer(raw, np.uint8).reshape(len(units), -1, 6).astype(np.int64)
+    draws = six @ (256 ** np.arange(5, -1, -1, dtype=np.int64))
+    return np.searchsorted(np.array(CUTS), draws[:, : last - first], "right").astype(np.float64)
+
+
+def weighted_sums(cells: DataFrame, unit: str, keys: list[str], values: list[str], seed: str, replicates: int) -> DataFrame:
+    """keys and, for each value, an array of its weighted sums over the replicates."""
+    kinds = dict(cells.dtypes)
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], *[f"`{v}` array<double>" for v in values]])
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+        for pdf in frames:
+            codes, units = pd.factorize(pdf[unit])
+            groups = list(pdf.groupby(keys, sort=False, dropna=False).indices.items())
+            columns = pdf[values].to_numpy(np.float64).T
+            for first in range(0, replicates, BLOCK):
+                last = min(first + BLOCK, replicates)
+                w = weights(seed, units.tolist(), first, last)
+                for key, at in groups:
+                    key = key if isinstance(key, tuple) else (key,)
+                    if key not in held:
+                        held[key] = np.zeros((len(values), replicates))
+                    own, inverse = np.unique(codes[at], return_inverse=True)
+                    per_unit = np.stack([np.bincount(inverse, c[at], len(own)) for c in columns])
+                    held[key][:, first:last] += per_unit @ w[own]
+        if held:
+            yield pd.DataFrame([[*key, *[row.tolist() for row in sums]] for key, sums in held.items()], columns=[*keys, *values])
+
+    def total(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([[*key, *[np.sum(np.stack(pdf[v].to_list()), axis=0).tolist() for v in values]]], columns=[*keys, *values])
+
+    rows = cells.select(unit, *keys, *[F.col(v).cast("double").alias(v) for v in values]).mapInPandas(partial, schema)
+    return rows.groupBy(*keys).applyInPandas(total, schema)
+
+
+def values_of(sums: DataFrame, keys: list[str], statistic: Column) -> DataFrame:
+    """keys, replicate, value of a statistic over the columns of a replicate's sums, which have the names of weighted_sums()."""
+    arrays = [c for c in sums.columns if c not in keys]
+    rows = sums.select(*keys, F.posexplode(F.arrays_zip(*arrays)).alias("k", "x")).select(*keys, (F.col("k") + 1).alias("replicate"), *[F.col("x")[c].alias(c) for c in arrays])
+    return rows.select(*keys, "replicate", statistic.alias("value"))
 
 
 def ratio(units: DataFrame, unit: str, num: str, den: str, keys: list[str], seed: str, replicates: int) -> DataFrame:
-    """keys, replicate, value: weighted ratio of sums."""
-    each = replicated(units, unit, seed, replicates)
-    return each.groupBy(*keys, "replicate").agg((F.sum(F.col("w") * F.col(num)) / F.sum(F.col("w") * F.col(den))).alias("value"))
+    """keys, replicate, value: weighted ratio of sums; null where the denominator is zero."""
+    return values_of(weighted_sums(units, unit, keys, [num, den], seed, replicates), keys, F.when(F.col(den) != 0, F.col(num) / F.col(den)))
 
 
-def ece(cells: DataFrame, unit: str, keys: list[str], seed: str, replicates: int, bin_column: Column) -> DataFrame:
+def ece(cells: DataFrame, unit: str, keys: list[str], seed: str, replicates: int, bin_column: Column, weight: Column | None = None) -> DataFrame:
     """keys, replicate, value: calibration error of every replicate, with one weight a unit for all keys."""
-    binned = cells.where("correct IS NOT NULL").select(unit, *keys, bin_column.alias("bin"), (F.col("correct") - F.col("conf")).alias("gap"))
-    # the cells of a unit travel together, so that a weight is drawn once a unit and replicate
-    units = binned.groupBy(unit).agg(F.collect_list(F.struct(*keys, "bin", "gap")).alias("x"))
-    each = replicated(units, unit, seed, replicates).select("replicate", "w", F.inline("x"))
-    sums = each.groupBy(*keys, "replicate", "bin").agg(F.sum(F.col("w") * F.col("gap")).alias("g"), F.sum("w").alias("n"))
-    return sums.groupBy(*keys, "replicate").agg((F.sum(F.abs("g")) / F.sum("n")).alias("value"))
+    w = F.lit(1.0) if weight is None else weight
+    binned = cells.where("correct IS NOT NULL").select(unit, *keys, bin_column.alias("bin"), (w * (F.col("correct") - F.col("conf"))).alias("g"), w.alias("n"))
+    sums = weighted_sums(binned, unit, [*keys, "bin"], ["g", "n"], seed, replicates)
+    each = sums.select(*keys, F.posexplode(F.arrays_zip("g", "n")).alias("k", "x")).select(*keys, "k", "x.*")
+    return each.groupBy(*keys, (F.col("k") + 1).alias("replicate")).agg((F.sum(F.abs("g")) / F.sum("n")).alias("value"))
+
+
+def rates(cells: DataFrame, unit: str, keys: list[str], seed: str, replicates: int) -> DataFrame:
+    """keys, metric (f1, fn_rate, fp_rate, nll, brier), replicate, value of every replicate."""
+    y, p = F.col("state_id"), F.col("pred")
+    own = F.element_at(F.array("p0", "p1", "p2"), y + 1)
+    square = reduce(lambda a, b: a + b, [F.pow(F.col(f"p{k}") - (y == k).cast("int"), F.lit(2)) for k in range(3)])
+    of = {"tp": (y == 1) & (p == 1), "fp": (y == 0) & (p == 1), "fn": (y == 1) & (p != 1), "pos": y == 1, "neg": y == 0}
+    sums = {n: c.cast("int") for n, c in of.items()} | {"all": F.lit(1), "nll": -F.log(F.greatest(own, F.lit(1e-12))), "brier": square}
+    rows = cells.where("state_id IS NOT NULL").select(unit, *keys, *[c.alias(n) for n, c in sums.items()])
+    found = weighted_sums(rows, unit, keys, list(sums), seed, replicates)
+    c = F.col
+    safe = lambda num, den: F.when(den != 0, num / den)
+    f1 = F.when((c("pos") > 0) & (c("neg") > 0), F.coalesce(safe(2 * c("tp"), 2 * c("tp") + c("fp") + c("fn")), F.lit(0.0)))
+    metrics = {"f1": f1, "fn_rate": safe(c("fn"), c("pos")), "fp_rate": safe(c("fp"), c("neg")), "nll": safe(c("nll"), c("all")), "brier": safe(c("brier"), c("all"))}
+    return reduce(DataFrame.unionByName, [values_of(found, keys, m).withColumn("metric", F.lit(n)) for n, m in metrics.items()])
+
+
+def delta(values: DataFrame, base: str, other: str, keys: list[str]) -> DataFrame:
+    """keys, replicate, value: the other variant's value less the base's of the same replicate."""
+    of = lambda v: F.max(F.when(F.col("variant") == v, F.col("value")))
+    return values.groupBy(*keys, "replicate").agg((of(other) - of(base)).alias("value"))
 
 
 def interval(values: DataFrame, keys: list[str]) -> DataFrame:
@@ -54,11 +126,15 @@ def interval(values: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, "n_valid", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "p")
 
 
-def simultaneous(values: DataFrame, estimate: DataFrame, key: str) -> DataFrame:
-    """key, low, high: max-|t| intervals over all keys; estimate has (key, value)."""
+def simultaneous(values: DataFrame, estimate: DataFrame, key: str, centred: bool = False) -> DataFrame:
+    """key, low, high: max-|t| intervals over all keys; estimate has (key, value).
+
+    Deviations are taken from the estimate, or with centred from the replicates' own mean.
+    """
     est = estimate.select(key, F.col("value").alias("est"))
-    se = values.groupBy(key).agg(F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("se"))
+    se = values.groupBy(key).agg(F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("se"), F.avg("value").alias("mean"))
     scaled = values.join(F.broadcast(est), key).join(F.broadcast(se), key)
-    t = F.when(F.col("se") > 0, F.abs(F.col("value") - F.col("est")) / F.col("se")).otherwise(0.0)
+    middle = F.col("mean") if centred else F.col("est")
+    t = F.when(F.col("se") > 0, F.abs(F.col("value") - middle) / F.col("se")).otherwise(0.0)
     cut = scaled.groupBy("replicate").agg(F.max(t).alias("t")).agg(F.percentile("t", F.lit(0.95)).alias("cut"))
-    return est.join(se, key).crossJoin(F.broadcast(cut)).select(key, (F.col("est") - F.col("cut") * F.col("se")).alias("low"), (F.col("est") + F.col("cut") * F.col("se")).alias("high"))
+    return est.join(se, key).join(F.broadcast(cut)).select(key, (F.col("est") - F.col("cut") * F.col("se")).alias("low"), (F.col("est") + F.col("cut") * F.col("se")).alias("high"))

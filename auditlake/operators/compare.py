@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,22 +24,34 @@ def spearman(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def recovery(raw: DataFrame, scaled: DataFrame, value: str, base: str) -> DataFrame:
-    """variant, policy, recovery: how much nearer the scaled variant is to the scaled base than raw to raw."""
-    def gap(t: DataFrame, name: str) -> DataFrame:
-        b = t.where(F.col("variant") == base).select("policy", F.col(value).alias("b"))
-        return t.where(F.col("variant") != base).join(b, "policy").select("variant", "policy", F.abs(F.col(value) - F.col("b")).alias(name))
+    """variant, policy, recovery and gain.
 
-    return gap(raw, "r").join(gap(scaled, "s"), ["variant", "policy"]).select("variant", "policy", (F.col("r") - F.col("s")).alias("recovery"))
+    recovery: how much nearer the scaled variant is to the scaled base than raw to raw; gain:
+    how much the scaled value itself lies below the raw one.
+    """
+    part = W.partitionBy("policy")
+    both = raw.select("variant", "policy", F.col(value).alias("r")).join(scaled.select("variant", "policy", F.col(value).alias("s")), ["variant", "policy"])
+    base_of = lambda c: F.max(F.when(F.col("variant") == base, F.col(c))).over(part)
+    each = both.withColumns({"rb": base_of("r"), "sb": base_of("s")}).where((F.col("variant") != base) & F.col("rb").isNotNull())
+    return each.select("variant", "policy", (F.abs(F.col("r") - F.col("rb")) - F.abs(F.col("s") - F.col("sb"))).alias("recovery"), (F.col("r") - F.col("s")).alias("gain"))
 
 
 def within_slope(points: DataFrame, group: str, x: str, y: str) -> DataFrame:
-    """Slope with a fixed effect per group, from sums about the group means."""
-    part = W.partitionBy(group)
-    dx, dy = F.col(x) - F.avg(x).over(part), F.col(y) - F.avg(y).over(part)
-    centred = points.select(dx.alias("dx"), dy.alias("dy"))
-    slope = F.sum(F.col("dx") * F.col("dy")) / F.sum(F.col("dx") * F.col("dx"))
-    r2 = F.pow(F.sum(F.col("dx") * F.col("dy")), F.lit(2)) / (F.sum(F.col("dx") * F.col("dx")) * F.sum(F.col("dy") * F.col("dy")))
-    return centred.agg(slope.alias("slope"), r2.alias("within_r2"))
+    """Slope with a fixed effect per group, R2, and the R2 over points held out one at a time beyond the group means.
+
+    Every sum of a held-out point is a total less its own part: leaving a point out moves its
+    group's mean, which takes n / (n - 1) of its centred products away.
+    """
+    part, every = W.partitionBy(group), W.partitionBy()
+    centred = points.select(F.count("*").over(part).alias("n"), (F.col(x) - F.avg(x).over(part)).alias("dx"), (F.col(y) - F.avg(y).over(part)).alias("dy"))
+    dx, dy, n = F.col("dx"), F.col("dy"), F.col("n")
+    sums = centred.withColumns({"sxy": F.sum(dx * dy).over(every), "sxx": F.sum(dx * dx).over(every)})
+    more = n / (n - 1)
+    slope = (F.col("sxy") - more * dx * dy) / (F.col("sxx") - more * dx * dx)
+    left = F.when(n > 1, F.pow(more * (dy - slope * dx), F.lit(2)))
+    alone = F.when(n > 1, F.pow(more * dy, F.lit(2)))
+    r2 = F.pow(F.sum(dx * dy), F.lit(2)) / (F.sum(dx * dx) * F.sum(dy * dy))
+    return sums.agg((F.sum(dx * dy) / F.sum(dx * dx)).alias("slope"), r2.alias("within_r2"), (1 - F.sum(left) / F.sum(alone)).alias("held_out_r2"))
 
 
 def weighted_mismatch(cells: DataFrame, keys: list[str], wrong: Column, weight: Column) -> DataFrame:
@@ -45,6 +59,13 @@ def weighted_mismatch(cells: DataFrame, keys: list[str], wrong: Column, weight:
     return cells.cube(*keys).agg((F.sum(F.when(wrong, weight).otherwise(0.0)) / F.sum(weight)).alias("mismatch"), F.count("*").alias("n"))
 
 
+def mismatch_effect(cells: DataFrame, domain: str, low: str, high: str, keys: list[str], wrong: Column, weight: Column) -> DataFrame:
+    """keys: weighted mismatch of two domains, their difference, and the difference less its mean over all keys."""
+    rate = lambda d: F.sum(F.when((F.col(domain) == d) & wrong, weight).when(F.col(domain) == d, 0.0)) / F.sum(F.when(F.col(domain) == d, weight))
+    both = cells.groupBy(*keys).agg(rate(low).alias("low"), rate(high).alias("high")).withColumn("difference", F.col("high") - F.col("low"))
+    return both.withColumn("centred", F.col("difference") - F.avg("difference").over(W.partitionBy()))
+
+
 def missing_by_position(cells: DataFrame, position: str, policy: str, missing: Column) -> DataFrame:
     """Missing cells by displayed position, by policy, by both, and in all."""
     flagged = cells.withColumn("_m", missing.cast("int"))
@@ -67,27 +88,42 @@ def allocate(rows: DataFrame, strata: list[tuple[str, Column, int]], unit: str,
     return out.withColumn("place", F.row_number().over(W.partitionBy("stratum").orderBy("_o"))).drop("_o")
 
 
-def interleave(quotas: dict[str, int]) -> list[tuple[str, int]]:
-    """Order of (stratum, k) whose every prefix is near proportional; from counts alone."""
-    total, given, out = sum(quotas.values()), dict.fromkeys(quotas, 0), []
+def interleave(quotas: dict[str, int], order: list[str] | None = None) -> list[tuple[str, int]]:
+    """Order of (stratum, k) whose every prefix is near proportional; from counts alone.
+
+    Each step takes the stratum with the largest deficit; of equal ones the first in the given order.
+    """
+    order = list(order or quotas)
+    total, given, out = sum(quotas.values()), dict.fromkeys(order, 0), []
     for n in range(1, total + 1):
-        name = max((s for s in quotas if given[s] < quotas[s]), key=lambda s: (quotas[s] * n / total - given[s], s))
+        # deficits in integers, so that equal ones are equal
+        name = max((s for s in order if given[s] < quotas[s]), key=lambda s: (quotas[s] * n - given[s] * total, -order.index(s)))
         given[name] += 1
         out.append((name, given[name]))
     return out
 
 
+def balanced_prefixes(rows: DataFrame, stratum: str, order: Column, strata: list[str]) -> DataFrame:
+    """rows with the position of a proportional-deficit interleave of the strata, each taken in the given order."""
+    placed = rows.withColumn("place", F.row_number().over(W.partitionBy(stratum).orderBy(order)))
+    counts = {r[stratum]: r["n"] for r in rows.groupBy(stratum).agg(F.count("*").alias("n")).collect()}  # a row a stratum
+    sequence = interleave({s: counts.get(s, 0) for s in strata}, strata)
+    places = rows.sparkSession.createDataFrame([(s, k, n) for n, (s, k) in enumerate(sequence, 1)], f"{stratum} string, place int, position int")
+    return placed.join(places, [stratum, "place"])
+
+
 def balanced(capacity: dict[str, int], total: int) -> dict[str, int]:
-    """Allocation as even as the capacities allow; leftovers go by name."""
-    out = dict.fromkeys(capacity, 0)
-    left = min(total, sum(capacity.values()))
-    while left:
-        open_ = sorted(s for s in capacity if out[s] < capacity[s])
-        share = max(1, left // len(open_))
-        for s in open_:
-            step = min(share, capacity[s] - out[s], left)
-            out[s] += step
-            left -= step
+    """Allocation of a total, one at a time to the stratum with the least so far.
+
+    Of equal ones the least filled in proportion to its capacity goes first, then the first by
+    name. A total beyond all capacities is an error.
+    """
+    if total > sum(capacity.values()):
+        raise ValueError(f"{total} rows asked of {sum(capacity.values())}")
+    out = dict.fromkeys(sorted(capacity), 0)
+    for _ in range(total):
+        name = min((s for s in out if out[s] < capacity[s]), key=lambda s: (out[s], Fraction(out[s], capacity[s]), s))
+        out[name] += 1
     return out
 
 
@@ -129,13 +165,13 @@ def _covariance(wide: DataFrame, names: list[str]) -> np.ndarray:
     return np.array([[row[f"c{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
 
 
-def shrink(fits: DataFrame) -> DataFrame:
-    """policy, log_t shrunk to the mean by between-policy variance; fits: (policy, log_t, variance)."""
+def shrink(fits: DataFrame, pooled: float, low: float = 0.05, high: float = 20.0) -> DataFrame:
+    """policy, log_t shrunk to the pooled fit's log T by between-policy variance and clipped; fits: (policy, log_t, variance)."""
     every = W.partitionBy()
     between = F.greatest(F.lit(0.0), F.var_samp("log_t").over(every) - F.avg("variance").over(every))
     w = F.when(between + F.col("variance") > 0, between / (between + F.col("variance"))).otherwise(0.0)
-    mean = F.avg("log_t").over(every)
-    return fits.select("policy", (mean + w * (F.col("log_t") - mean)).alias("log_t"), w.alias("own_weight"))
+    log_t = F.lit(pooled) + w * (F.col("log_t") - F.lit(pooled))
+    return fits.select("policy", F.least(F.greatest(log_t, F.log(F.lit(low))), F.log(F.lit(high))).alias("log_t"), w.alias("own_weight"))
 
 
 def verdict(gates: DataFrame, ladder: list[tuple[str, Column]], otherwise: str) -> DataFrame:

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def _saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in spark.checkpoint.dir, which executors share."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -42,13 +43,13 @@ def similar(nodes: DataFrame, pairs: DataFrame, num: int = 17, den: int = 20) ->
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable, by label passing with pointer jumps."""
-    both = _saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _saved(nodes.select("node", F.col("node").alias("label")))
+    both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = saved(nodes.select("node", F.col("node").alias("label")))
     while True:
         low = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("low"))
         new = labels.join(low, labels["node"] == low["a"], "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("low", "label")).alias("label"))
         up = new.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        new = _saved(new.join(up, "label").select("node", "old", F.col("above").alias("label")))
+        new = saved(new.join(up, "label").select("node", "old", F.col("above").alias("label")))
         if new.where("old <> label").isEmpty():
             return new.select("node", F.col("label").alias("component"))
         labels = new.select("node", "label")
@@ -65,3 +66,10 @@ def exclude_historical(members: DataFrame, parts: DataFrame) -> DataFrame:
     """Rows that are not historical and whose component holds no historical row."""
     tainted = members.join(parts, "node").groupBy("component").agg(F.max("historical").alias("h")).where("h")
     return members.where("NOT historical").join(parts, "node").join(tainted, "component", "left_anti")
+
+
+def exclusion_counts(members: DataFrame, parts: DataFrame, source: str) -> DataFrame:
+    """source, n, n_kept, n_excluded of the rows that are not historical; members also has the source."""
+    tainted = members.join(parts, "node").groupBy("component").agg(F.max("historical").alias("tainted"))
+    each = members.where("NOT historical").join(parts, "node").join(tainted, "component")
+    return each.groupBy(source).agg(F.count("*").alias("n"), F.count_if(~F.col("tainted")).alias("n_kept"), F.count_if("tainted").alias("n_excluded"))

@@ -65,3 +65,100 @@ def fingerprint(rows: DataFrame) -> DataFrame:
     row = F.sha2(F.to_json(F.struct(*sorted(rows.columns))), 256).alias("h")
     prefix = rows.select(row).groupBy(F.substring("h", 1, 3).alias("p")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
     return prefix.agg(F.sum("n").alias("n_rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), ""), 256).alias("fingerprint"))
+
+
+def manifest_check(rows: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
+    """Violations (id, reason): manifest ids without a row, rows that the manifest does not list, and ids listed twice."""
+    a = manifest.groupBy(F.col(key).alias("id")).agg(F.count("*").alias("listed"))
+    b = rows.groupBy(F.col(key).alias("id")).agg(F.count("*").alias("held"))
+    both = a.join(b, "id", "full_outer")
+    reason = F.when(F.col("held").isNull(), "missing").when(F.col("listed").isNull(), "not listed").when(F.col("listed") > 1, "listed twice")
+    return both.select("id", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def verify_fingerprints(found: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Violations (artifact, reason) of fingerprints (artifact, n_rows, fingerprint) against a frozen manifest of the same."""
+    a, b = (t.select("artifact", F.struct("n_rows", "fingerprint").alias(n)) for t, n in ((manifest, "frozen"), (found, "now")))
+    both = a.join(b, "artifact", "full_outer")
+    reason = F.when(F.col("now").isNull(), "absent").when(F.col("frozen").isNull(), "not listed").when(F.col("now") != F.col("frozen"), "changed")
+    return both.select("artifact", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def shard_check(source: DataFrame, shards: DataFrame, key: str, shard: str, expected: Column) -> DataFrame:
+    """Violations (id, reason) of merged shards: rows in two shards, lost, unknown, or in another shard than expected."""
+    held = shards.groupBy(F.col(key).alias("id")).agg(F.count_distinct(shard).alias("k"), F.min(shard).alias("in"))
+    own = source.select(F.col(key).alias("id"), expected.alias("due"))
+    both = own.join(held, "id", "full_outer")
+    reason = F.when(F.col("k").isNull(), "lost").when(F.col("due").isNull(), "unknown").when(F.col("k") > 1, "in two shards").when(F.col("in") != F.col("due"), "in another shard")
+    return both.select("id", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def split_counts(rows: DataFrame, key: str, split: str, expected: dict[str, int]) -> DataFrame:
+    """split, n, n_ids, expected, ok of every expected and every found split."""
+    found = rows.groupBy(split).agg(F.count("*").alias("n"), F.count_distinct(key).alias("n_ids"))
+    due = rows.sparkSession.createDataFrame(list(expected.items()), f"{split} string, expected long")
+    both = found.join(F.broadcast(due), split, "full_outer").na.fill(0, ["n", "n_ids"])
+    return both.withColumn("ok", F.coalesce((F.col("n") == F.col("expected")) & (F.col("n") == F.col("n_ids")), F.lit(False)))
+
+
+def same_ids(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """One row: ids of the first only, of the second only, of both, and whether the sets are equal."""
+    both = a.select(key).distinct().withColumn("a", F.lit(1)).join(b.select(key).distinct().withColumn("b", F.lit(1)), key, "full_outer")
+    counts = both.agg(F.count_if(F.col("b").isNull()).alias("first_only"), F.count_if(F.col("a").isNull()).alias("second_only"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("shared"))
+    return counts.withColumn("equal", (F.col("first_only") == 0) & (F.col("second_only") == 0))
+
+
+def merge_maps(a: DataFrame, b: DataFrame, decisions: DataFrame, keys: list[str]) -> DataFrame:
+    """Two reviewers' maps (keys, targets array, relation) with decisions for the rest: keys, targets, relation, status.
+
+    agree: targets as sets and relation are equal; same targets: the relations differ and the
+    decision's, if any, holds; adjudicated; undecided, with nulls, is a violation. A row that one
+    reviewer lacks is undecided too.
+    """
+    side = lambda t, n: t.select(*keys, F.array_sort(F.array_distinct("targets")).alias(f"t{n}"), F.col("relation").alias(f"r{n}"))
+    j = side(a, 1).join(side(b, 2), keys, "full_outer").join(side(decisions, 3), keys, "left")
+    targets, relation = F.col("t1") == F.col("t2"), F.col("r1") == F.col("r2")
+    status = F.when(targets & relation, "agree").when(targets & F.col("r3").isNotNull(), "same targets").when(F.col("t3").isNotNull(), "adjudicated").otherwise("undecided")
+    j = j.withColumn("status", status)
+    pick = lambda own, other: F.when(F.col("status") == "agree", F.col(own)).when(F.col("status") == "undecided", None).otherwise(F.col(other))
+    return j.select(*keys, F.when(F.col("status") == "same targets", F.col("t1")).otherwise(pick("t1", "t3")).alias("targets"), pick("r1", "r3").alias("relation"), "status")
+
+
+def finalize(a: DataFrame, b: DataFrame, final: DataFrame, key: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """(final labels, violations (id, reason)) of two annotators and an adjudicated sheet.
+
+    The id sets of the annotators must match, agreed rows may not change, and every
+    disagreement needs a decision; a decision for an unknown id is a violation.
+    """
+    side = lambda t, n: t.select(key, F.col(label).alias(n), F.lit(True).alias(f"has_{n}"))
+    j = side(a, "a").join(side(b, "b"), key, "full_outer").join(side(final, "c"), key, "full_outer")
+    same = F.col("a").eqNullSafe(F.col("b"))
+    reason = (
+        F.when(F.col("has_a").isNull() & F.col("has_b").isNull(), "unknown id").when(F.col("has_a").isNull() | F.col("has_b").isNull(), "one annotator")
+        .when(same & F.col("c").isNotNull() & (F.col("c") != F.col("a")), "agreed row changed").when(~same & F.col("c").isNull(), "undecided")
+    )
+    j = j.withColumn("reason", reason)
+    return j.where("reason IS NULL").select(key, F.when(same, F.col("a")).otherwise(F.col("c")).alias(label)), j.where("reason IS NOT NULL").select(F.col(key).alias("id"), "reason")
+
+
+def safe_sibling(pairs: DataFrame, chosen: DataFrame, generic: str) -> DataFrame:
+    """chosen (id, prompt, response) with the safe answer to prefer: its sibling's, or a generic one.
+
+    pairs: (prompt, response_0, response_1, safe_0, safe_1). A sibling is the other response to
+    the same prompt, if it is safe and the chosen one is not; of several the least text.
+    """
+    each = F.explode(F.array(*[F.struct(F.col(f"response_{i}").alias("response"), F.col(f"response_{1 - i}").alias("sibling"), (~F.col(f"safe_{i}") & F.col(f"safe_{1 - i}")).alias("ok")) for i in (0, 1)]))
+    known = pairs.select("prompt", each.alias("x")).select("prompt", "x.*").where("ok").groupBy("prompt", "response").agg(F.min("sibling").alias("sibling"))
+    return chosen.join(known, ["prompt", "response"], "left").select("id", "prompt", "response", F.coalesce("sibling", F.lit(generic)).alias("preferred"), F.col("sibling").isNotNull().alias("has_sibling"))
+
+
+def to_long(rows: DataFrame, keys: list[str], columns: dict[str, str], policies: list[str]) -> DataFrame:
+    """keys, policy and one column for each map column (map name: new name); a missing cell survives as null."""
+    each = [F.struct(F.lit(p).alias("policy"), *[F.try_element_at(m, F.lit(p)).alias(n) for m, n in columns.items()]) for p in policies]
+    return rows.select(*keys, F.inline(F.array(*each)))
+
+
+def to_wide(cells: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """keys and a map policy -> value without the cells that are null."""
+    held = F.filter(F.collect_list(F.struct("policy", F.col(value).alias("v"))), lambda x: x["v"].isNotNull())
+    return cells.groupBy(*keys).agg(F.map_from_entries(F.array_sort(held)).alias(name))

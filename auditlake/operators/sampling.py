@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from . import ranks
+
 
 def first_by(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """One row a key, the first under a stated order."""
@@ -26,7 +28,10 @@ def global_rank(rows: DataFrame, digest: Column, digits: int = 3) -> DataFrame:
 
 
 def exact_split(rows: DataFrame, digest: Column, sizes: dict[str, int]) -> DataFrame:
-    """Disjoint splits of exact sizes by rank; rows beyond all sizes are left out."""
+    """Disjoint splits of exact sizes by rank; rows beyond all sizes are left out, too few rows are an error."""
+    have, due = rows.count(), sum(sizes.values())
+    if have < due:
+        raise ValueError(f"{due} rows asked of {have}")
     ranked, below, name = global_rank(rows, digest), 0, None
     for split, size in sizes.items():
         below += size
@@ -35,6 +40,14 @@ def exact_split(rows: DataFrame, digest: Column, sizes: dict[str, int]) -> DataF
     return ranked.withColumn("split", name).where("split IS NOT NULL")
 
 
+def share_split(rows: DataFrame, digest: Column, shares: dict[str, int]) -> DataFrame:
+    """Splits of all rows by whole hundredths of their number; the last one takes what rounding leaves."""
+    n = rows.count()
+    sizes = {split: n * share // 100 for split, share in shares.items()}
+    sizes[list(sizes)[-1]] += n - sum(sizes.values())
+    return exact_split(rows, digest, sizes)
+
+
 def nested_budgets(rows: DataFrame, digest: Column, budgets: list[int]) -> DataFrame:
     """One row per budget that holds the row; smaller budgets are prefixes of larger ones."""
     ranked = global_rank(rows, digest)
@@ -45,6 +58,45 @@ def top_per_stratum(rows: DataFrame, stratum: str, order: list, n: int) -> DataF
     return rows.withColumn("place", F.row_number().over(W.partitionBy(stratum).orderBy(*order))).where(F.col("place") <= n)
 
 
+def candidate_set(rows: DataFrame, key: str, strata: dict[str, Column], digest: Column, n: int) -> DataFrame:
+    """key, strata: rows that are among the first n of a stratum, with all strata that chose them; strata may overlap."""
+    named = F.filter(F.array(*[F.when(c, F.lit(s)) for s, c in strata.items()]), lambda x: x.isNotNull())
+    each = rows.select(key, digest.alias("_d"), F.explode(named).alias("stratum"))
+    return top_per_stratum(each, "stratum", ["_d"], n).groupBy(key).agg(F.array_sort(F.collect_set("stratum")).alias("strata"))
+
+
+def shortfall(chosen: DataFrame, strata: list[str], n: int) -> DataFrame:
+    """stratum, n, short of every stratum, also of one that chose nothing."""
+    due = chosen.sparkSession.createDataFrame([(s,) for s in strata], "stratum string")
+    held = chosen.select(F.explode("strata").alias("stratum")).groupBy("stratum").agg(F.count("*").alias("n"))
+    return F.broadcast(due).join(held, "stratum", "left").select("stratum", F.coalesce("n", F.lit(0)).alias("n"), F.greatest(F.lit(n) - F.coalesce("n", F.lit(0)), F.lit(0)).alias("short"))
+
+
+def class_balanced(cells: DataFrame, unit: str, digest: Column, fill: Column, k: int, total: int) -> DataFrame:
+    """unit, chosen_by: the first k of every (policy, violated or satisfied), then others by fill up to a total.
+
+    The balanced part is bounded by the policies; its number is counted before the rest is filled.
+    """
+    ranked = cells.where("state_id IN (0, 1)").withColumn("_d", digest)
+    base = top_per_stratum(ranked.withColumn("_c", F.concat_ws(":", "policy", "state_id")), "_c", ["_d"], k).select(unit).distinct()
+    left = max(0, total - base.count())
+    rest = cells.select(unit).distinct().join(base, unit, "left_anti").orderBy(fill).limit(left)
+    return base.withColumn("chosen_by", F.lit("class")).unionByName(rest.withColumn("chosen_by", F.lit("fill")))
+
+
+def support_gate(cells: DataFrame, units: DataFrame, unit: str, least: int) -> DataFrame:
+    """policy, n_violated, n_satisfied among the units, and whether both reach the least."""
+    held = cells.join(units.select(unit), unit, "left_semi").groupBy("policy").agg(F.count_if(F.col("state_id") == 1).alias("n_violated"), F.count_if(F.col("state_id") == 0).alias("n_satisfied"))
+    return held.withColumn("passes", F.least("n_violated", "n_satisfied") >= least)
+
+
+def audit_sheets(drawn: DataFrame, key: str, private_order: Column, blind_order: Column, hidden: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(private, blind): the draw in two separate salted orders; the blind one lacks the hidden columns and its label columns are null."""
+    private = global_rank(drawn, private_order).withColumnRenamed("rank", "position")
+    blind = global_rank(drawn.drop(*hidden), blind_order).withColumnRenamed("rank", "position")
+    return private, blind.withColumns({c: F.lit(None).cast("string") for c in ("annotator_1", "annotator_2", "adjudicated")})
+
+
 def largest_remainder(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
     """Quota per key proportional to n, exact in sum; counts has a row a key."""
     share = counts.withColumn("exact", F.lit(total) * F.col(n) / F.sum(n).over(W.partitionBy()))
@@ -55,7 +107,8 @@ def largest_remainder(counts: DataFrame, key: str, n: str, total: int) -> DataFr
 
 
 def terciles(rows: DataFrame, keys: list[str], score: str, tie: str) -> DataFrame:
-    return rows.withColumn("tercile", F.ntile(3).over(W.partitionBy(*keys).orderBy(score, tie)) - 1)
+    """rows with tercile 0, 1 or 2 of a score from 0 to 1 in their group."""
+    return ranks.ntile(rows, keys, score, tie, 3, "tercile").withColumn("tercile", F.col("tercile") - 1)
 
 
 def stratified_draw(rows: DataFrame, stratum: list[str], order: list, n: int) -> DataFrame:

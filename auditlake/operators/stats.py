@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .families import saved
+
 
 def chi2_sf(x: float, df: int) -> float:
     """Upper tail of the chi-square distribution, by the regularised incomplete gamma function."""
@@ -61,12 +61,23 @@ def cochran_q(cells: DataFrame, state: int) -> DataFrame:
     return rows.crossJoin(cols).select("n", q.alias("q"), (F.col("k") - 1).alias("df"))
 
 
-def stuart_maxwell(table: np.ndarray) -> tuple[float, float]:
-    """(statistic, p) of marginal homogeneity of a 3 x 3 table."""
-    d = (table.sum(1) - table.sum(0))[:2]
-    v = np.diag((table.sum(1) + table.sum(0) - 2 * np.diag(table))[:2]) - (table + table.T)[:2, :2] * (1 - np.eye(2))
-    x = float(d @ np.linalg.pinv(v) @ d)
-    return x, chi2_sf(x, 2)
+def stuart_maxwell(cells: DataFrame) -> DataFrame:
+    """a, b, n, statistic, p of marginal homogeneity for each two policies, on records that have both.
+
+    The cells of a record meet inside its row, so nothing is joined; a pair's table has nine
+    counts. Two degrees of freedom: the quadratic form has a closed form, and so has p.
+    """
+    row = cells.where("state_id IS NOT NULL").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("policy", "state_id"))).alias("x"))
+    two = F.flatten(F.transform("x", lambda a: F.transform(F.filter("x", lambda b: b["policy"] > a["policy"]), lambda b: F.struct(a["policy"].alias("a"), b["policy"].alias("b"), a["state_id"].alias("i"), b["state_id"].alias("j")))))
+    long = row.select(F.explode(two).alias("p")).select("p.*")
+    of = lambda c: F.sum(c.cast("int"))
+    i, j = F.col("i"), F.col("j")
+    sums = {f"d{k}": of(i == k) - of(j == k) for k in (0, 1)} | {f"v{k}{k}": of((i == k) & (j != k)) + of((i != k) & (j == k)) for k in (0, 1)} | {"v01": -of((i == 0) & (j == 1)) - of((i == 1) & (j == 0))}
+    t = long.groupBy("a", "b").agg(F.count("*").alias("n"), *[v.alias(k) for k, v in sums.items()])
+    d0, d1, v00, v11, v01 = (F.col(c) for c in ("d0", "d1", "v00", "v11", "v01"))
+    det = v00 * v11 - v01 * v01
+    stat = F.when(det > 0, (d0 * d0 * v11 - 2 * d0 * d1 * v01 + d1 * d1 * v00) / det)
+    return t.select("a", "b", "n", stat.alias("statistic"), F.exp(-stat / 2).alias("p"))
 
 
 def holm(rows: DataFrame, p: str, tie: str) -> DataFrame:
@@ -78,61 +89,133 @@ def holm(rows: DataFrame, p: str, tie: str) -> DataFrame:
     return stepped.withColumns({"holm": F.least(F.lit(1.0), running), "bonferroni": F.least(F.lit(1.0), F.count("*").over(W.partitionBy()) * F.col(p))}).drop("_s")
 
 
-def ols(points: DataFrame, x: str, y: str) -> DataFrame:
-    """Slope, intercept, R2 and leave-one-out R2 from totals less the point's own sums."""
-    sums = {"n": F.count("*"), "sx": F.sum(x), "sy": F.sum(y), "sxx": F.sum(F.col(x) * F.col(x)), "sxy": F.sum(F.col(x) * F.col(y))}
-    every = W.partitionBy()
-    out = points.withColumns({k: v.over(every) for k, v in sums.items()})
-    fit = lambda n, sx, sy, sxx, sxy: ((n * sxy - sx * sy) / (n * sxx - sx * sx), (sy * sxx - sx * sxy) / (n * sxx - sx * sx))
-    cx, cy = F.col(x), F.col(y)
-    slope, intercept = fit(*[F.col(k) for k in sums])
+TRANSFORMS = {"linear": lambda c: c, "sqrt": F.sqrt, "log1p": F.log1p}
+
+
+def ols(points: DataFrame, x: str, y: str, transform: str = "linear", intercept: bool = True, keys: list[str] | None = None) -> DataFrame:
+    """keys, slope, intercept, r2, sse, aicc, and R2, MAE and RMSE over points left out one at a time.
+
+    Sums of the others are totals less the point's own; one pass over the points.
+    """
+    keys = keys or []
+    every = W.partitionBy(*keys)
+    rows = points.select(*keys, TRANSFORMS[transform](F.col(x)).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    cx, cy = F.col("x"), F.col("y")
+    sums = {"n": F.count("*"), "sx": F.sum("x"), "sy": F.sum("y"), "sxx": F.sum(cx * cx), "sxy": F.sum(cx * cy)}
+    out = rows.withColumns({k: v.over(every) for k, v in sums.items()})
+
+    def fit(n, sx, sy, sxx, sxy):
+        if not intercept:
+            return sxy / sxx, F.lit(0.0)
+        down = n * sxx - sx * sx
+        return (n * sxy - sx * sy) / down, (sy * sxx - sx * sxy) / down
+
+    slope, at_zero = fit(*[F.col(k) for k in sums])
     s1, i1 = fit(F.col("n") - 1, F.col("sx") - cx, F.col("sy") - cy, F.col("sxx") - cx * cx, F.col("sxy") - cx * cy)
-    mean = F.col("sy") / F.col("n")
-    out = out.select(slope.alias("slope"), intercept.alias("intercept"), F.pow(cy - slope * cx - intercept, F.lit(2)).alias("sse"), F.pow(cy - s1 * cx - i1, F.lit(2)).alias("loo"), F.pow(cy - mean, F.lit(2)).alias("sst"))
-    return out.agg(F.max("slope").alias("slope"), F.max("intercept").alias("intercept"), (1 - F.sum("sse") / F.sum("sst")).alias("r2"), (1 - F.sum("loo") / F.sum("sst")).alias("loo_r2"))
+    square = lambda c: F.pow(c, F.lit(2))
+    each = out.select(*keys, "n", slope.alias("slope"), at_zero.alias("intercept"), square(cy - slope * cx - at_zero).alias("sse"), (cy - s1 * cx - i1).alias("left"), square(cy - F.col("sy") / F.col("n")).alias("sst"))
+    total = each.groupBy(*keys).agg(
+        F.max("n").alias("n"), F.max("slope").alias("slope"), F.max("intercept").alias("intercept"), F.sum("sse").alias("sse"), F.sum("sst").alias("sst"),
+        F.sum(square(F.col("left"))).alias("loo"), F.avg(F.abs("left")).alias("loo_mae"), F.sqrt(F.avg(square(F.col("left")))).alias("loo_rmse"),
+    )
+    k = 3.0 if intercept else 2.0  # the coefficients and the error's variance
+    aicc = F.col("n") * F.log(F.col("sse") / F.col("n")) + 2 * k + 2 * k * (k + 1) / (F.col("n") - k - 1)
+    return total.select(*keys, "slope", "intercept", (1 - F.col("sse") / F.col("sst")).alias("r2"), "sse", aicc.alias("aicc"), (1 - F.col("loo") / F.col("sst")).alias("loo_r2"), "loo_mae", "loo_rmse")
+
+
+def permutation_test(points: DataFrame, label: str, x: str, y: str, transform: str = "linear") -> DataFrame:
+    """slope, loo_r2 and the share of all orders of y, the observed one included, that reach each of them.
+
+    points has a row a label, at most eight: the orders are their factorial. Each order is a
+    number; Spark derives its permutation from the number's factorial digits and joins the points.
+    """
+    bounded = points.select(F.col(label).alias("label"), F.col(x).alias("x"), F.col(y).alias("y"))
+    row = bounded.agg(F.array_sort(F.collect_list(F.struct("label", "x", "y"))).alias("p"))
+    n = points.count()
+    if n > 8:
+        raise ValueError(f"{n} points have too many orders")
+    # the k-th digit of an order's number picks the next of the places that are left
+    start = F.struct(F.sequence(F.lit(0), F.size("p") - 1).alias("left"), F.array().cast("array<int>").alias("taken"), F.col("number").alias("rest"))
+
+    def pick(acc, k):
+        size = F.size(acc["left"])
+        at = F.pmod(acc["rest"], size).cast("int")
+        chosen = F.get(acc["left"], at)
+        return F.struct(F.array_remove(acc["left"], chosen).alias("left"), F.array_append(acc["taken"], chosen).alias("taken"), F.floor(acc["rest"] / size).alias("rest"))
+
+    order = F.aggregate(F.sequence(F.lit(1), F.size("p")), start, pick, lambda acc: acc["taken"])
+    numbers = row.select("p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(math.factorial(n) - 1).cast("long"))).alias("number"))
+    mixed = numbers.select("number", F.posexplode(order).alias("k", "v"), "p").select("number", F.get("p", F.col("k"))["x"].alias("x"), F.get("p", F.col("v"))["y"].alias("y"))
+    each = ols(mixed, "x", "y", transform, keys=["number"])
+    seen = each.where("number = 0").select(F.col("slope").alias("s0"), F.col("loo_r2").alias("l0"))
+    reach = lambda c, o: F.avg((F.col(c) >= F.col(o) - 1e-12).cast("int"))
+    return each.join(F.broadcast(seen)).agg(F.max("s0").alias("slope"), F.max("l0").alias("loo_r2"), reach("slope", "s0").alias("p_slope"), reach("loo_r2", "l0").alias("p_loo_r2"), F.count("*").alias("n_orders"))
 
 
 def fit_temperature(cells: DataFrame, keys: list[str], low: float = 0.05, high: float = 20.0, passes: int = 60, tolerance: float = 1e-8) -> DataFrame:
-    """keys, temperature, at_bound: least mean NLL over log T by safeguarded Newton passes.
+    """keys, temperature, at_bound, variance of log T: least mean NLL over log T by safeguarded Newton passes.
 
-    One aggregate a pass gives gradient and curvature of all keys; the driver keeps a bracket a key.
+    One aggregate a pass gives gradient and curvature of all keys; the driver keeps a bracket a key. At a
+    bound the variance is null.
     """
     spark = cells.sparkSession
     y = F.col("state_id")
     labelled = cells.where(y.isNotNull())
-    labelled = labelled.select(*keys, *[F.col(f"z{k}") - F.greatest("z0", "z1", "z2") for k in range(3)], F.when(y == 0, F.col("z0")).when(y == 1, F.col("z1")).otherwise(F.col("z2")) - F.greatest("z0", "z1", "z2")).toDF(*keys, "z0", "z1", "z2", "zy")
-    state: dict[tuple, list[float]] = {tuple(r): [0.0, math.log(low), math.log(high)] for r in labelled.select(*keys).distinct().collect()}
-    for _ in range(passes):
-        rows = [(*k, math.exp(-v[0])) for k, v in state.items()]
-        inverse = spark.createDataFrame(rows, [*keys, "b"])
+    labelled = saved(labelled.select(*keys, *[F.col(f"z{k}") - F.greatest("z0", "z1", "z2") for k in range(3)], F.when(y == 0, F.col("z0")).when(y == 1, F.col("z1")).otherwise(F.col("z2")) - F.greatest("z0", "z1", "z2")).toDF(*keys, "z0", "z1", "z2", "zy"))  # every pass reads it
+    keyed = [tuple(r) for r in labelled.select(*keys).distinct().collect()]
+    kinds = dict(cells.dtypes)
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "tau double"])
+
+    def slopes(points: list[tuple]) -> dict[tuple, tuple[float, float, int]]:
+        """(first, second derivative of the mean NLL in log T, cells) at each (keys, log T), in one aggregate."""
+        at = F.broadcast(spark.createDataFrame(points, schema).withColumn("b", F.exp(-F.col("tau"))))
         e = [F.exp(F.col("b") * F.col(f"z{k}")) for k in range(3)]
         total = e[0] + e[1] + e[2]
         m = sum(F.col(f"z{k}") * e[k] for k in range(3)) / total
         m2 = sum(F.col(f"z{k}") * F.col(f"z{k}") * e[k] for k in range(3)) / total
-        found = labelled.join(F.broadcast(inverse), keys).groupBy(*keys, "b").agg(F.avg(F.col("b") * (F.col("zy") - m)).alias("g"), F.avg(F.col("b") * F.col("b") * (m2 - m * m)).alias("h")).collect()
-        moved = 0.0
-        for r in found:
-            v = state[tuple(r[k] for k in keys)]
-            grad, curve = r["g"], r["h"] - r["g"]  # first and second derivative of the NLL in log T
-            if grad > 0:
-                v[2] = v[0]
-            else:
-                v[1] = v[0]
+        b = F.col("b")
+        found = labelled.join(at, keys).groupBy(*keys, "tau").agg(F.avg(b * (F.col("zy") - m)).alias("g"), F.avg(b * b * (m2 - m * m)).alias("h"), F.count("*").alias("n"))
+        return {(*[r[k] for k in keys], r["tau"]): (r["g"], r["h"] - r["g"], r["n"]) for r in found.collect()}
+
+    # a first pass over the whole range brackets each optimum, or shows that it is at a bound
+    grid = [math.log(low) + k * (math.log(high) - math.log(low)) / 16 for k in range(17)]
+    first = slopes([(*k, t) for k in keyed for t in grid]) if keyed else {}
+    state: dict[tuple, list[float]] = {}
+    variance: dict[tuple, float | None] = dict.fromkeys(keyed)
+    bound = set()
+    for k in keyed:
+        rising = [j for j, t in enumerate(grid) if first[(*k, t)][0] > 0]
+        j = rising[0] if rising else len(grid)
+        if j in (0, len(grid)):
+            bound.add(k)
+            state[k] = [grid[0] if j == 0 else grid[-1]] * 3
+        else:
+            state[k] = [(grid[j - 1] + grid[j]) / 2, grid[j - 1], grid[j]]
+    for _ in range(passes):
+        open_ = [k for k in keyed if k not in bound]
+        if not open_:
+            break
+        found, moved = slopes([(*k, state[k][0]) for k in open_]), 0.0
+        for k in open_:
+            v = state[k]
+            grad, curve, n = found[(*k, v[0])]
+            variance[k] = 1 / (n * curve) if curve > 0 else None
+            v[2 if grad > 0 else 1] = v[0]
             new = v[0] - grad / curve if curve > 0 else (v[1] + v[2]) / 2
             new = new if v[1] < new < v[2] else (v[1] + v[2]) / 2
             moved = max(moved, abs(new - v[0]))
             v[0] = new
         if moved < tolerance:
             break
-    rows = [(*k, math.exp(v[0]), bool(min(abs(v[0] - math.log(low)), abs(v[0] - math.log(high))) < 1e-6)) for k, v in state.items()]
-    return spark.createDataFrame(pd.DataFrame(rows, columns=[*keys, "temperature", "at_bound"]))
+    rows = [(*k, math.exp(v[0]), k in bound, variance[k]) for k, v in state.items()]
+    return spark.createDataFrame(rows, ", ".join([*[f"{k} {kinds[k]}" for k in keys], "temperature double, at_bound boolean, variance double"]))
 
 
 def logistic_calibration(cells: DataFrame, keys: list[str], score: str, hit: str, clip: float = 1e-6, passes: int = 25) -> DataFrame:
     """keys, intercept, slope of hit on the score's logit; five sums a pass for all keys, by Newton steps."""
     spark = cells.sparkSession
     p = F.least(F.greatest(F.col(score), F.lit(clip)), F.lit(1 - clip))
-    rows = cells.where(F.col(hit).isNotNull()).select(*keys, F.log(p / (1 - p)).alias("x"), F.col(hit).cast("double").alias("y"))
+    rows = saved(cells.where(F.col(hit).isNotNull()).select(*keys, F.log(p / (1 - p)).alias("x"), F.col(hit).cast("double").alias("y")))
     state = {tuple(r): (0.0, 0.0) for r in rows.select(*keys).distinct().collect()}
     for _ in range(passes):
         now = spark.createDataFrame([(*k, *v) for k, v in state.items()], [*keys, "a", "b"])
@@ -151,13 +234,3 @@ def logistic_calibration(cells: DataFrame, keys: list[str], score: str, hit: str
         if moved < 1e-9:
             break
     return spark.createDataFrame([(*k, *v) for k, v in state.items()], [*keys, "intercept", "slope"])
-
-
-def permutation_slope(points: list[tuple[float, float]]) -> float:
-    """Share of all orders of y whose slope is at least the observed one, ties included; for a handful of points."""
-    from itertools import permutations
-
-    x, y = np.array(points, float).T
-    d = x - x.mean()
-    every = np.array(list(permutations(y))) @ d
-    return float((every >= d @ y - 1e-12).mean())

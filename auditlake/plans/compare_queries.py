@@ -33,7 +33,7 @@ def _recovery(s, d):
     return rounded(C.recovery(M.ece(c, KEYS), M.ece(_scaled(c, 2.0), KEYS), "ece", "D0"))
 
 
-_SCALED = PRE + ", q AS (SELECT variant, policy, correct, exp((z0 - greatest(z0, z1, z2)) / 2.0) AS a, exp((z1 - greatest(z0, z1, z2)) / 2.0) AS b, exp((z2 - greatest(z0, z1, z2)) / 2.0) AS c FROM scored WHERE correct IS NOT NULL), w AS (SELECT variant, policy, correct, greatest(a / (a + b + c), b / (a + b + c), c / (a + b + c)) AS conf FROM q), sb AS (SELECT variant, policy, " + BIN.format("conf") + " AS bin, count(*) AS n, avg(conf) AS mc, avg(correct) AS acc FROM w GROUP BY ALL), se AS (SELECT variant, policy, sum(n * abs(acc - mc)) / sum(n) AS ece FROM sb GROUP BY ALL), re AS (" + _ECE + ") SELECT a.variant, a.policy, round(abs(a.ece - b.ece) - abs(x.ece - y.ece), 6) AS recovery FROM re a JOIN re b ON a.policy = b.policy AND b.variant = 'D0' AND a.variant <> 'D0' JOIN se x ON x.variant = a.variant AND x.policy = a.policy JOIN se y ON y.policy = a.policy AND y.variant = 'D0'"
+_SCALED = PRE + ", q AS (SELECT variant, policy, correct, exp((z0 - greatest(z0, z1, z2)) / 2.0) AS a, exp((z1 - greatest(z0, z1, z2)) / 2.0) AS b, exp((z2 - greatest(z0, z1, z2)) / 2.0) AS c FROM scored WHERE correct IS NOT NULL), w AS (SELECT variant, policy, correct, greatest(a / (a + b + c), b / (a + b + c), c / (a + b + c)) AS conf FROM q), sb AS (SELECT variant, policy, " + BIN.format("conf") + " AS bin, count(*) AS n, avg(conf) AS mc, avg(correct) AS acc FROM w GROUP BY ALL), se AS (SELECT variant, policy, sum(n * abs(acc - mc)) / sum(n) AS ece FROM sb GROUP BY ALL), re AS (" + _ECE + ") SELECT a.variant, a.policy, round(abs(a.ece - b.ece) - abs(x.ece - y.ece), 6) AS recovery, round(a.ece - x.ece, 6) AS gain FROM re a JOIN re b ON a.policy = b.policy AND b.variant = 'D0' AND a.variant <> 'D0' JOIN se x ON x.variant = a.variant AND x.policy = a.policy JOIN se y ON y.policy = a.policy AND y.variant = 'D0'"
 
 
 def _within(s, d):
@@ -83,8 +83,7 @@ def _manifest(s, d):
 
 QUERIES = {
     "spearman_across_seeds": (_spearman, PRE + f", dl AS (SELECT variant, policy, round(x, 9) AS x FROM {_DELTA}), rk AS (SELECT variant, policy, rank() OVER (PARTITION BY variant ORDER BY x) + (count(*) OVER (PARTITION BY variant, x) - 1) / 2.0::DOUBLE AS r FROM dl) SELECT round(corr(a.r, b.r), 6) AS spearman FROM rk a JOIN rk b ON a.policy = b.policy AND a.variant = 'D5' AND b.variant = 'D5b'"),
-    "temperature_recovery": (_recovery, _SCALED),
-    "fixed_effect_slope": (_within, PRE + ", pt AS (SELECT variant, policy, avg(conf) AS x, avg(correct) AS y FROM scored WHERE state_id IS NOT NULL GROUP BY ALL), c AS (SELECT x - avg(x) OVER (PARTITION BY policy) AS dx, y - avg(y) OVER (PARTITION BY policy) AS dy FROM pt) SELECT round(sum(dx * dy) / sum(dx * dx), 6) AS slope, round(sum(dx * dy)**2 / (sum(dx * dx) * sum(dy * dy)), 6) AS within_r2 FROM c"),
+    "fixed_effect_slope": (_within, PRE + ", pt AS (SELECT variant, policy, avg(conf) AS x, avg(correct) AS y FROM scored WHERE state_id IS NOT NULL GROUP BY ALL), c AS (SELECT x - avg(x) OVER (PARTITION BY policy) AS dx, y - avg(y) OVER (PARTITION BY policy) AS dy FROM pt), h AS (SELECT p.policy, p.x - avg(q.x) AS ex, p.y - avg(q.y) AS ey, p.variant FROM pt p JOIN pt q ON p.policy = q.policy AND p.variant <> q.variant GROUP BY p.policy, p.variant, p.x, p.y), o AS (SELECT h.ex, h.ey, sum(cx * cy) / sum(cx * cx) AS b FROM h JOIN (SELECT hv.policy AS hp, hv.variant AS hvar, q.x - avg(q.x) OVER w AS cx, q.y - avg(q.y) OVER w AS cy FROM pt hv JOIN pt q ON (hv.policy, hv.variant) <> (q.policy, q.variant) WINDOW w AS (PARTITION BY hv.policy, hv.variant, q.policy)) z ON z.hp = h.policy AND z.hvar = h.variant GROUP BY h.policy, h.variant, h.ex, h.ey), r AS (SELECT 1 - sum((ey - b * ex)**2) / sum(ey * ey) AS ho FROM o) SELECT round(sum(dx * dy) / sum(dx * dx), 6) AS slope, round(sum(dx * dy)**2 / (sum(dx * dx) * sum(dy * dy)), 6) AS within_r2, round(max(ho), 6) AS held_out_r2 FROM c, r"),
     "weighted_mismatch": (_mismatch, PRE + "SELECT lang, policy, round(sum(CASE WHEN pred <> state_id THEN 1.0::DOUBLE / (1 + doc_id % 4) ELSE 0 END) / sum(1.0::DOUBLE / (1 + doc_id % 4)), 6) AS mismatch, count(*) AS n FROM scored WHERE variant = 'D0' AND state_id IS NOT NULL GROUP BY CUBE (lang, policy)"),
     "missing_by_position": (_positions, PRE + "SELECT coalesce(x.position, -1) AS position, x.policy, sum((state_id IS NULL)::INTEGER)::BIGINT AS n_missing, count(*) AS n FROM (SELECT l.policy, state_id, (ord - doc_id % 10 + 10) % 10 AS position FROM label_cells l JOIN policies p ON l.policy = p.policy WHERE variant = 'D0') x GROUP BY CUBE (x.position, x.policy)"),
     "ordered_allocation": (_allocate, _ALLOC),

@@ -45,13 +45,7 @@ def _kappa(c: DataFrame) -> DataFrame:
 
 
 def _severity(c: DataFrame) -> DataFrame:
-    weight = F.when(F.substring("policy", 1, 1) == "H", 3.0).when(F.substring("policy", 1, 1) == "S", 2.0).otherwise(1.0)
-    r = M.rates(c, KEYS).where("fn_rate IS NOT NULL")
-    return r.groupBy("variant").agg((F.sum(weight * F.col("fn_rate")) / F.sum(weight)).alias("severity_fn_rate"))
-
-
-def _macro(c: DataFrame) -> DataFrame:
-    return M.rates(c, KEYS).groupBy("variant").agg(F.avg("f1").alias("mean_f1"), (F.stddev_pop("f1") / F.avg("f1")).alias("cv_f1"))
+    return M.severity_fn(c, F.when(F.substring("policy", 1, 1) == "H", 3.0).when(F.substring("policy", 1, 1) == "S", 2.0).otherwise(1.0))
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,16 +59,24 @@ def divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kl_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tokens(spark, sf_dir).select(F.size("log_ratios").alias("n"), F.aggregate("log_ratios", F.lit(0.0), lambda a, x: a + x).alias("s"))
-    return rounded(t.agg((F.sum("s") / F.sum("n")).alias("kl"), F.avg(F.col("s") / F.col("n")).alias("mean_item"), F.avg((F.round("s", 9) < 0).cast("double")).alias("negative_share")))
+    return rounded(M.item_kl(t, "s", "n"))
+
+
+def _scorers(c: DataFrame) -> DataFrame:
+    """Scores of applicable cells, to twelve decimals so that ranks do not hang on an engine's last bit."""
+    return c.where("state_id IN (0, 1)").withColumns({"p1": F.round("p1", 12), "y": (F.col("state_id") == 1).cast("int")})
 
 
 def _guard(c: DataFrame) -> DataFrame:
-    scored = c.where("state_id IN (0, 1)").withColumns({"bin": F.ntile(15).over(M.W.partitionBy(*KEYS).orderBy("p1", "doc_id")), "y": (F.col("state_id") == 1).cast("int")})
-    bins = scored.groupBy(*KEYS, "bin").agg(F.count("*").alias("n"), F.avg("p1").alias("mean_conf"), F.avg("y").alias("accuracy"))
-    gap = F.sum(F.col("n") * F.abs(F.col("accuracy") - F.col("mean_conf"))) / F.sum("n")
-    signed = F.sum(F.col("n") * (F.col("mean_conf") - F.col("accuracy"))) / F.sum("n")
-    each = bins.groupBy(*KEYS).agg(gap.alias("ece"), signed.alias("signed"))
-    return each.groupBy("variant").agg(F.avg("ece").alias("m"), F.max("ece").alias("w"), F.stddev_pop("ece").alias("h"), (1 - F.abs(F.avg("signed")) / F.avg(F.abs("signed"))).alias("c"), F.max_by("policy", F.struct(F.round("ece", 9), "policy")).alias("worst_policy"))
+    return M.scorer_summary(M.scorer_audit(_scorers(c), "variant", "policy", "y", "p1", "doc_id"), "variant", "policy")
+
+
+def _sources(c: DataFrame) -> DataFrame:
+    """The same scores against two label sources: the cells' states, and those of a second reviewer."""
+    one = _scorers(c)
+    two = one.withColumn("y", F.when(hex_int(digest("src2", F.col("doc_id"), F.col("policy")), 1, 2) < 32, 1 - F.col("y")).otherwise(F.col("y")))
+    audits = [M.scorer_audit(x, "variant", "policy", "y", "p1", "doc_id") for x in (one, two)]
+    return M.label_source_delta(*audits, "variant", "policy", F.substring("policy", 1, 1))
 
 
 def _ece_sql(inner: str, keys: str) -> str:
@@ -87,6 +89,8 @@ _RATES = """SELECT variant, policy, count(*) FILTER (state_id = 1) AS n_violated
  count(*) FILTER (state_id = 1 AND pred = 1) AS tp, count(*) FILTER (state_id = 0 AND pred = 1) AS fp, count(*) FILTER (state_id = 1 AND pred <> 1) AS fn
  FROM scored WHERE state_id IN (0, 1) GROUP BY ALL"""
 _F1 = "CASE WHEN n_violated > 0 AND n_satisfied > 0 THEN CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END END"
+#: Equal-count bins under 50:50 weights against one of two label sources.
+_SCORERS = ", y_{0} AS (SELECT variant, policy, doc_id, round(p1, 12) AS p1, CASE WHEN '{0}' = 'two' AND ('0x' || substr(sha256(concat_ws(':', 'src2', doc_id::VARCHAR, policy)), 1, 2))::BIGINT < 32 THEN 1 - (state_id = 1)::INTEGER ELSE (state_id = 1)::INTEGER END AS y FROM scored WHERE state_id IN (0, 1)), n_{0} AS (SELECT *, ntile(15) OVER (PARTITION BY variant, policy ORDER BY p1, doc_id) AS bin, 0.5 / sum(y) OVER (PARTITION BY variant, policy) AS w1, 0.5 / sum(1 - y) OVER (PARTITION BY variant, policy) AS w0 FROM y_{0}), g_{0} AS (SELECT variant, policy, bin, sum(CASE WHEN y = 1 THEN w1 * (1 - p1) ELSE -w0 * p1 END) AS g FROM n_{0} GROUP BY ALL), e_{0} AS (SELECT variant, policy, sum(abs(g)) AS ece, -sum(g) AS signed FROM g_{0} GROUP BY ALL) "
 _TOKENS = "SELECT l_orderkey, (l_discount::DOUBLE - 0.05) * 4 AS x FROM lineitem"
 
 QUERIES = {
@@ -101,7 +105,7 @@ QUERIES = {
     "classwise_ece": (_on_cells(lambda c: M.classwise_ece(c, KEYS)), PRE + _ece_sql(f"SELECT variant, policy, class, {BIN.format('score')} AS bin, count(*) AS n, avg(score) AS mc, avg(hit) AS acc FROM (SELECT variant, policy, k AS class, [p0, p1, p2][k + 1] AS score, (state_id = k)::INTEGER AS hit FROM scored, (SELECT unnest([0, 1, 2]) AS k) WHERE state_id IS NOT NULL) GROUP BY ALL", "variant, policy, class")),
     "confusion_matrix": (_on_cells(lambda c: M.confusion(c, KEYS)), PRE + "SELECT variant, policy, state_id, pred, count(*) AS n FROM scored WHERE state_id IS NOT NULL GROUP BY ALL"),
     "error_rates": (_on_cells(lambda c: M.rates(c, KEYS)), PRE + f"SELECT variant, policy, n_violated, n_satisfied, round({_F1}, 6) AS f1, round(fn / n_violated, 6) AS fn_rate, round(fp / n_satisfied, 6) AS fp_rate FROM ({_RATES})"),
-    "macro_f1": (_on_cells(_macro), PRE + f"SELECT variant, round(avg(f1), 6) AS mean_f1, round(stddev_pop(f1) / avg(f1), 6) AS cv_f1 FROM (SELECT variant, {_F1} AS f1 FROM ({_RATES})) GROUP BY variant"),
+    "macro_f1": (_on_cells(M.macro_f1), PRE + f"SELECT variant, round(avg(f1), 6) AS mean_f1, round(stddev_pop(f1) / avg(f1), 6) AS cv_f1 FROM (SELECT variant, {_F1} AS f1 FROM ({_RATES})) GROUP BY variant"),
     "severity_weighted_fn": (_on_cells(_severity), PRE + f"SELECT variant, round(sum(w * fn / n_violated) / sum(w), 6) AS severity_fn_rate FROM (SELECT *, CASE substr(policy, 1, 1) WHEN 'H' THEN 3.0 WHEN 'S' THEN 2.0 ELSE 1.0 END::DOUBLE AS w FROM ({_RATES})) WHERE n_violated > 0 GROUP BY variant"),
     "auroc": (_on_cells(lambda c: M.auroc(c.withColumn("p1", F.round("p1", 12)), KEYS)), PRE + "SELECT variant, policy, round((sum(r) FILTER (state_id = 1) - n1 * (n1 + 1) / 2) / (n1 * n0), 6) AS auroc FROM (SELECT variant, policy, state_id, rank() OVER w + (count(*) OVER (PARTITION BY variant, policy, round(p1, 12)) - 1) / 2.0::DOUBLE AS r, count(*) FILTER (state_id = 1) OVER (PARTITION BY variant, policy) AS n1, count(*) FILTER (state_id = 0) OVER (PARTITION BY variant, policy) AS n0 FROM scored WHERE state_id IN (0, 1) WINDOW w AS (PARTITION BY variant, policy ORDER BY round(p1, 12))) GROUP BY variant, policy, n1, n0"),
     "nll_brier": (_on_cells(lambda c: M.nll_brier(c, KEYS)), PRE + "SELECT variant, policy, round(avg(-ln(greatest([p0, p1, p2][state_id + 1], 1e-12))), 6) AS nll, round(avg((p0 - (state_id = 0)::INTEGER)**2 + (p1 - (state_id = 1)::INTEGER)**2 + (p2 - (state_id = 2)::INTEGER)**2), 6) AS brier FROM scored WHERE state_id IS NOT NULL GROUP BY ALL"),
@@ -110,5 +114,7 @@ QUERIES = {
     "annotator_kappa": (_on_cells(_kappa), PRE + ", ab AS (SELECT policy, CASE WHEN ('0x' || substr(sha256(concat_ws(':', 'ann1', doc_id::VARCHAR, policy)), 1, 2))::BIGINT < 32 THEN (state_id + 1) % 3 ELSE state_id END AS a, CASE WHEN ('0x' || substr(sha256(concat_ws(':', 'ann2', doc_id::VARCHAR, policy)), 1, 2))::BIGINT < 48 THEN (state_id + 2) % 3 ELSE state_id END AS b FROM scored WHERE variant = 'D0' AND state_id IS NOT NULL), po AS (SELECT policy, avg((a = b)::INTEGER) AS po, count(*) AS n FROM ab GROUP BY policy), r AS (SELECT policy, a AS k, count(*) AS r FROM ab GROUP BY ALL), c AS (SELECT policy, b AS k, count(*) AS c FROM ab GROUP BY ALL), pe AS (SELECT policy, sum(r * c) AS rc FROM r JOIN c USING (policy, k) GROUP BY policy) SELECT policy, round(po, 6) AS agreement, round((po - rc / (n * n)) / (1 - rc / (n * n)), 6) AS kappa FROM po JOIN pe USING (policy)"),
     "token_divergences": (divergence, f"SELECT 'all' AS \"all\", round(avg(x), 6) AS kl, round(avg(exp(x)) - 1, 6) AS chi2, round(avg(-x * exp(-x)), 6) AS reverse_kl, round(avg(abs(exp(-x) - 1)) / 2, 6) AS tv FROM ({_TOKENS})"),
     "kl_items": (kl_items, f"SELECT round(sum(s) / sum(n), 6) AS kl, round(avg(s / n), 6) AS mean_item, round(avg((round(s, 9) < 0)::INTEGER), 6) AS negative_share FROM (SELECT l_orderkey, sum(x) AS s, count(*) AS n FROM ({_TOKENS}) GROUP BY ALL)"),
-    "guard_score_audit": (_on_cells(lambda c: _guard(c.withColumn("p1", F.round("p1", 12)))), PRE + ", b AS (SELECT variant, policy, ntile(15) OVER (PARTITION BY variant, policy ORDER BY round(p1, 12), doc_id) AS bin, round(p1, 12) AS p1, (state_id = 1)::INTEGER AS y FROM scored WHERE state_id IN (0, 1)), g AS (SELECT variant, policy, bin, count(*) AS n, avg(p1) AS mc, avg(y) AS acc FROM b GROUP BY ALL), e AS (SELECT variant, policy, sum(n * abs(acc - mc)) / sum(n) AS ece, sum(n * (mc - acc)) / sum(n) AS signed FROM g GROUP BY ALL) SELECT variant, round(avg(ece), 6) AS m, round(max(ece), 6) AS w, round(stddev_pop(ece), 6) AS h, round(1 - abs(avg(signed)) / avg(abs(signed)), 6) AS c, arg_max(policy, ece) AS worst_policy FROM e GROUP BY variant"),
+    "scorer_audit": (_on_cells(lambda c: M.scorer_audit(_scorers(c), "variant", "policy", "y", "p1", "doc_id")), PRE + _SCORERS.format("one") + "SELECT variant, policy, round(ece, 6) AS ece, round(signed, 6) AS signed FROM e_one"),
+    "guard_score_audit": (_on_cells(_guard), PRE + _SCORERS.format("one") + "SELECT *, row_number() OVER (ORDER BY m, variant) = 1 AS best_by_mean, row_number() OVER (ORDER BY w, variant) = 1 AS best_by_worst FROM (SELECT variant, round(avg(ece), 6) AS m, round(max(ece), 6) AS w, round(stddev_pop(ece), 6) AS h, round(1 - abs(avg(signed)) / avg(abs(signed)), 6) AS c, arg_max(policy, ece) AS worst_category FROM e_one GROUP BY variant)"),
+    "label_source_delta": (_on_cells(_sources), PRE + _SCORERS.format("one") + _SCORERS.format("two") + "SELECT a.variant, substr(a.policy, 1, 1) AS category_group, round(avg(abs(a.ece - b.ece)), 6) AS mean_abs_delta, count(*) AS n FROM e_one a JOIN e_two b USING (variant, policy) GROUP BY ALL"),
 }

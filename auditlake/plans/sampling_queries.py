@@ -14,7 +14,6 @@ from .metric_queries import PRE, cells, rounded
 _DOCS = lambda s, d: fixtures.table(s, d, "documents").select("doc_id", "lang", "source", "n_chars")
 _D = lambda salt: digest(salt, F.col("doc_id"))
 _H = lambda salt: f"sha256(concat_ws(':', '{salt}', doc_id::VARCHAR))"
-SPLIT = {"train": 600, "calib": 150, "test": 150, "audit": 50, "conflict": 50}
 
 
 def nodes(spark, sf_dir, whole=False):
@@ -27,19 +26,19 @@ def nodes(spark, sf_dir, whole=False):
 
 
 def family_table(spark, sf_dir, whole=False):
-    n = N._saved(nodes(spark, sf_dir, whole))
-    edges = N._saved(N.similar(n, N.candidates(n)))
+    n = N.saved(nodes(spark, sf_dir, whole))
+    edges = N.saved(N.similar(n, N.candidates(n)))
     return N.families(n, N.components(n, edges))
 
 
 def family_edges(spark, sf_dir, whole=False):
-    n = N._saved(nodes(spark, sf_dir, whole))
+    n = N.saved(nodes(spark, sf_dir, whole))
     return N.similar(n, N.candidates(n))
 
 
 def family_exclusion(spark, sf_dir, whole=False):
-    n = N._saved(nodes(spark, sf_dir, whole))
-    edges = N._saved(N.similar(n, N.candidates(n)))
+    n = N.saved(nodes(spark, sf_dir, whole))
+    edges = N.saved(N.similar(n, N.candidates(n)))
     return N.exclude_historical(n, N.components(n, edges)).select("node", "component")
 
 
@@ -54,7 +53,6 @@ r(node, label) AS (SELECT node, node FROM n UNION SELECT e2.b, r.label FROM r JO
 p AS (SELECT node, min(label) AS component FROM r GROUP BY node) """
 
 QUERIES = {
-    "salted_split": (lambda s, d: S.exact_split(_DOCS(s, d), _D("split"), SPLIT).select("doc_id", "rank", "split"), f"SELECT doc_id, rank, CASE WHEN rank <= 600 THEN 'train' WHEN rank <= 750 THEN 'calib' WHEN rank <= 900 THEN 'test' WHEN rank <= 950 THEN 'audit' ELSE 'conflict' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY {_H('split')}) AS rank FROM documents) WHERE rank <= 1000"),
     "nested_budgets": (lambda s, d: S.nested_budgets(_DOCS(s, d), _D("budget"), [50, 100, 200, 500]).groupBy("budget", "lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")), f"SELECT budget::INTEGER AS budget, lang, count(*) AS n, min(doc_id) AS low FROM (SELECT doc_id, lang, row_number() OVER (ORDER BY {_H('budget')}) AS rank FROM documents) JOIN (SELECT unnest([50, 100, 200, 500]) AS budget) ON rank <= budget GROUP BY ALL"),
     "dedup_first": (lambda s, d: S.first_by(fixtures.table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("fp")), ["fp"], [_D("first")]), f"SELECT doc_id, sha256(text) AS fp FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY {_H('first')}) = 1"),
     "stratified_top": (lambda s, d: S.top_per_stratum(_DOCS(s, d), "source", [_D("top")], 5).select("doc_id", "source", "place"), f"SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {_H('top')})::INTEGER AS place FROM documents QUALIFY place <= 5"),

@@ -12,15 +12,20 @@ CORRUPT = "_corrupt_record"
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType, key: str = "id") -> tuple[DataFrame, DataFrame]:
-    """(good rows, violations (key, reason, n)): bad lines, missing, empty and duplicate keys."""
+    """(good rows, violations (key, reason, n)): blank and invalid lines, missing, empty and duplicate keys.
+
+    Only lines of one JSON object are rows; every row of a duplicate key is a violation.
+    """
     full = StructType([*schema.fields, StructField(CORRUPT, StringType())])
-    rows = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    reason = F.when(F.col(CORRUPT).isNotNull(), "invalid line").when(F.col(key).isNull(), "missing key").when(F.col(key) == "", "empty key")
-    judged = rows.withColumn("reason", reason)
-    bad = judged.where("reason IS NOT NULL").groupBy(F.col(key).alias("key"), "reason").agg(F.count("*").alias("n"))
-    good = judged.where("reason IS NULL").drop("reason", CORRUPT)
-    twice = good.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n")).where("n > 1")
-    return good, bad.unionByName(twice.select("key", F.lit("duplicate key").alias("reason"), "n"))
+    lines = spark.read.text(path).select(F.trim("value").alias("line"))
+    parsed = lines.select("line", F.from_json("line", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("x"))
+    bad = F.col(f"x.{CORRUPT}").isNotNull() | ~F.col("line").startswith("{") | F.col("x").isNull()
+    reason = F.when(F.col("line") == "", "blank line").when(bad, "invalid line").when(F.col(f"x.{key}").isNull(), "missing key").when(F.col(f"x.{key}") == "", "empty key")
+    judged = parsed.select("x.*", reason.alias("reason"))
+    twice = judged.where("reason IS NULL").groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n")).where("n > 1")
+    good = judged.where("reason IS NULL").drop("reason", CORRUPT).join(twice.select(F.col("key").alias(key)), key, "left_anti").select(*schema.names)
+    found = judged.where("reason IS NOT NULL").groupBy(F.when(F.col("reason").isin("missing key", "empty key"), F.col(key)).alias("key"), "reason").agg(F.count("*").alias("n"))
+    return good, found.unionByName(twice.select("key", F.lit("duplicate key").alias("reason"), "n"))
 
 
 def read_json_array(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

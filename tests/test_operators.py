@@ -104,7 +104,7 @@ def test_families_of_every_script(spark, tmp_path):
     [('ok {"A": "satisfied", "B": "violated"} end', 2, True), ('{"A": "satisfied", "A": "violated", "B": "violated"}', 1, False), ("{'A': 'satisfied'}", 0, False), ('{"A": "maybe", "B": "violated", "C": 1}', 1, False), ("", 0, False), (None, 0, False), ("}{", 0, False)],
 )
 def test_parse_reply(reply, cells_, strict):
-    out = parse.parse_reply(reply, ("A", "B"), text.STATES)
+    out = parse.parse_reply(reply, ("A", "B"), dict(zip(text.STATES, text.STATES)))
     assert (len(out["cells"]), out["strict"]) == (cells_, strict)
 
 
@@ -142,13 +142,20 @@ def test_formula_escape(spark):
     assert [r[0] for r in rows.select(text.escape_formula(F.col("t"))).collect()] == ["'=f", "plain", None]
 
 
-def test_chi2_and_stuart_maxwell():
-    import numpy as np
+def test_aliases_and_the_last_of_repeated_keys(spark):
+    known = {"ok": "satisfied", "fail": "violated", "n/a": "not_applicable"}
+    replies = ['{"A": " OK ", "B": "n/a", "C": 1}', '{"A": "ok", "A": "fail", "B": "ok"}', '{"A": "ok"}', "[" * 100_000 + "{" + "}", None, "[1, {}]"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(replies)], "i int, t string")
+    found = {r["i"]: r["x"] for r in rows.select("i", parse.parse_labels(F.col("t"), ("A", "B"), known).alias("x")).collect()}
+    assert found == {0: {"A": "satisfied", "B": "not_applicable"}, 1: {"A": "violated", "B": "satisfied"}, 2: None, 3: None, 4: None, 5: None}
+    cells_ = {r["i"]: r["x"] for r in rows.select("i", parse.parse_cells(F.col("t"), ("A", "B"), known).alias("x")).collect()}
+    assert cells_[0]["extra"] == ["C"] and not cells_[0]["strict"] and cells_[1]["duplicate"] == ["A"] and cells_[2]["missing"] == ["B"]
+    assert [cells_[i]["json_object_found"] for i in range(6)] == [True, True, True, True, False, True]
+
 
+def test_chi2():
     assert stats.chi2_sf(3.841458820694124, 1) == pytest.approx(0.05, abs=1e-9)
     assert stats.chi2_sf(18.307038053275146, 10) == pytest.approx(0.05, abs=1e-9)
-    x, p = stats.stuart_maxwell(np.array([[10, 5, 2], [5, 8, 1], [2, 1, 9.0]]))
-    assert x == pytest.approx(0) and p == 1
 
 
 def test_bootstrap_weights_are_poisson(spark):
@@ -173,16 +180,30 @@ def test_allocations_from_counts():
 
     order = compare.interleave({"a": 6, "b": 3, "c": 1})
     assert [sum(s == "a" for s, _ in order[:n]) for n in (5, 10)] == [3, 6] and len(set(order)) == 10
+    assert [s for s, _ in compare.interleave({"x": 1, "y": 1}, ["y", "x"])] == ["y", "x"]  # of equal deficits the first of the order
     assert compare.balanced({"a": 1, "b": 5, "c": 9}, 9) == {"a": 1, "b": 4, "c": 4}
+    assert compare.balanced({"a": 3, "b": 100}, 3) == {"a": 1, "b": 2}  # of equal ones the one that is less full
+    with pytest.raises(ValueError):
+        compare.balanced({"a": 1}, 2)
     h = compare.helmert(4)
     assert abs(h @ h.T).round(9).tolist() == [[1, 0, 0], [0, 1, 0], [0, 0, 1]] and abs(h.sum(1)).max() < 1e-9
 
 
-def test_shrink_to_the_mean_without_spread(spark):
+def test_shrink_to_the_pooled_fit(spark):
     from auditlake.operators import compare
 
     rows = spark.createDataFrame([("H1", 0.1, 1.0), ("H2", 0.3, 1.0)], "policy string, log_t double, variance double")
-    assert {round(r["log_t"], 9) for r in compare.shrink(rows).collect()} == {0.2}
+    assert {round(r["log_t"], 9) for r in compare.shrink(rows, 0.5).collect()} == {0.5}
+    wide = spark.createDataFrame([("H1", -9.0, 1e-6), ("H2", 9.0, 1e-6)], "policy string, log_t double, variance double")
+    assert sorted(round(r["log_t"], 3) for r in compare.shrink(wide, 0.0).collect()) == [-2.996, 2.996]  # clipped
+
+
+def test_balanced_prefixes(spark):
+    from auditlake.operators import compare
+
+    rows = spark.createDataFrame([(i, "a" if i % 3 else "b") for i in range(30)], "id long, s string")
+    placed = {r["position"]: r["s"] for r in compare.balanced_prefixes(rows, "s", F.col("id"), ["a", "b"]).collect()}
+    assert sorted(placed) == list(range(1, 31)) and all(abs(sum(placed[k] == "a" for k in range(1, n + 1)) - n * 2 / 3) <= 1 for n in range(1, 31))
 
 
 def test_wald_of_equal_effects(spark):
@@ -195,7 +216,22 @@ def test_wald_of_equal_effects(spark):
 
 
 def test_permutations_and_choices(spark):
-    assert stats.permutation_slope([(1, 1), (2, 2), (3, 3)]) == pytest.approx(1 / 6)
+    import itertools
+
+    import numpy as np
+
+    points = [("a", 1.0, 1.0), ("b", 2.0, 1.5), ("c", 3.0, 3.5), ("d", 4.0, 3.0), ("e", 5.5, 4.0)]
+    row = stats.permutation_test(spark.createDataFrame(points, "l string, x double, y double"), "l", "x", "y").first()
+    x, y = np.array([p[1] for p in points]), np.array([p[2] for p in points])
+
+    def figures(v):
+        left = [v[k] - np.polyval(np.polyfit(np.delete(x, k), np.delete(v, k), 1), x[k]) for k in range(len(x))]
+        return np.polyfit(x, v, 1)[0], 1 - np.sum(np.square(left)) / np.sum((v - v.mean()) ** 2)
+
+    every = np.array([figures(np.array(v)) for v in itertools.permutations(y)])
+    seen = figures(y)
+    assert row["n_orders"] == 120 and (row["slope"], row["loo_r2"]) == pytest.approx(seen)
+    assert (row["p_slope"], row["p_loo_r2"]) == pytest.approx(tuple((every >= np.array(seen) - 1e-12).mean(0)))
     rows = spark.createDataFrame([(1, ["", None, "a"]), (2, []), (3, ["b", "c"])], "id long, x array<string>")
     found = {r[0]: r[1] for r in rows.select("id", sampling.choose_one(F.col("x"), text.digest("c", F.col("id")))).collect()}
     assert found[1] == "a" and found[2] is None and found[3] in ("b", "c")
@@ -214,3 +250,107 @@ def test_logistic_calibration_recovers_the_line(spark):
         rows.append(("D0", p, int((i // 20 + 0.5) / 20 < q)))
     row = stats.logistic_calibration(spark.createDataFrame(rows, "variant string, p1 double, y int"), ["variant"], "p1", "y").first()
     assert abs(row["slope"] - 0.5) < 0.1 and abs(row["intercept"] - 0.3) < 0.1
+
+
+def logit_cells(spark, n=240):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(n):
+        for p, t in (("H1", 0.5), ("H2", 2.5)):
+            z = rng.normal(0, 2, 3)
+            q = np.exp(z / t - (z / t).max())
+            rows.append((i, p, int(rng.choice(3, p=q / q.sum())), *z.tolist()))
+    return rows, spark.createDataFrame(rows, "doc_id long, policy string, state_id int, z0 double, z1 double, z2 double")
+
+
+def best_log_t(rows, w):
+    """log T of least weighted NLL, by a grid that is refined."""
+    import numpy as np
+
+    z, y = np.array([r[3:] for r in rows]), np.array([r[2] for r in rows])
+    low, high = np.log(0.05), np.log(20)
+    for _ in range(12):
+        grid = np.linspace(low, high, 21)
+        cost = []
+        for t in grid:
+            s = z / np.exp(t)
+            cost.append((w * (np.log(np.exp(s - s.max(1, keepdims=True)).sum(1)) + s.max(1) - s[np.arange(len(y)), y])).sum())
+        k = int(np.argmin(cost))
+        low, high = grid[max(k - 1, 0)], grid[min(k + 1, 20)]
+    return (low + high) / 2
+
+
+def test_fits_and_two_stage_bootstrap(spark):
+    import numpy as np
+
+    from auditlake.operators import recalibrate
+
+    rows, table = logit_cells(spark)
+    for r in stats.fit_temperature(table, ["policy"]).collect():
+        assert np.log(r["temperature"]) == pytest.approx(best_log_t([x for x in rows if x[1] == r["policy"]], 1.0), abs=1e-5) and not r["at_bound"]
+    sure = spark.createDataFrame([(i, "H1", 0, 9.0, 0.0, 0.0) for i in range(20)], table.schema)
+    assert [(r["temperature"], r["at_bound"]) for r in stats.fit_temperature(sure, ["policy"]).collect()] == [(pytest.approx(0.05), True)]
+    found = {(r["policy"], r["replicate"]): r for r in recalibrate.two_stage(table.where("doc_id < 120").repartition(3), table.where("doc_id >= 120"), "doc_id", "s", 12).collect()}
+    assert len(found) == 24
+    for (policy, k), r in found.items():
+        if k not in (1, 7, 12):
+            continue
+        calib = [x for x in rows if x[1] == policy and x[0] < 120]
+        w = bootstrap.weights("s-calib", [x[0] for x in calib], 0, 12)[:, k - 1]
+        assert r["log_t"] == pytest.approx(best_log_t(calib, w), abs=1e-5)
+        test = [x for x in rows if x[1] == policy and x[0] >= 120]
+        w = bootstrap.weights("s-test", [x[0] for x in test], 0, 12)[:, k - 1]
+        z = np.array([x[3:] for x in test]) / np.exp(r["log_t"])
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        y, bins = np.array([x[2] for x in test]), (p.max(1)[:, None] >= np.arange(1, 15) / 15).sum(1)
+        gap = sum(abs((w * ((p.argmax(1) == y) - p.max(1)))[bins == b].sum()) for b in range(15))
+        assert r["ece"] == pytest.approx(gap / w.sum()) and r["nll"] == pytest.approx((-w * np.log(p[np.arange(len(y)), y])).sum() / w.sum())
+
+
+def test_learning_curve(spark):
+    from auditlake.operators import recalibrate
+
+    _, table = logit_cells(spark)
+    curve = recalibrate.learning_curve(table.where("doc_id < 60"), table.where("doc_id >= 60 AND doc_id < 160").withColumn("rank", F.col("doc_id") - 59), table.where("doc_id >= 160"), [20, 100])
+    found = {(r["budget"], r["method"]): r for r in curve.collect()}
+    assert len(found) == 10 and found[100, "policy"]["mean_nll"] < found[100, "raw"]["mean_nll"] and found[100, "raw"]["reduction"] == 0
+    assert found[20, "raw"]["mean_ece"] == found[100, "raw"]["mean_ece"] and found[100, "source"]["recovery"] == 0
+    small = {r["method"]: r["budget"] for r in recalibrate.smallest_budget(curve, found[100, "policy"]["mean_ece"]).collect()}
+    assert small["policy"] in (20, 100)
+
+
+def test_bootstrap_sums_do_not_depend_on_partitions(spark):
+    rows = spark.range(300).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("k"), (F.col("id") * 1.0).alias("v"))
+    one, many = ({(r["k"]): r["v"] for r in bootstrap.weighted_sums(rows.repartition(n), "doc_id", ["k"], ["v"], "s", 12).collect()} for n in (1, 5))
+    w = {(r["id"], r["r"]): r["w"] for r in spark.range(300).select("id", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("r")).withColumn("w", bootstrap.poisson_weight("s", F.col("id"), F.col("r"))).collect()}
+    for k in (0, 1):
+        brute = [sum(i * w[i, r] for i in range(k, 300, 2)) for r in range(1, 13)]
+        assert one[k] == many[k] == brute
+
+
+def test_files(spark, tmp_path):
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    from auditlake.sources import files
+
+    schema = StructType([StructField("id", StringType()), StructField("n", LongType())])
+    (tmp_path / "a.jsonl").write_text('{"id": "a", "n": 1}\n\n  \n{"id": "b"\n[1]\n7\n{"n": 2}\n{"id": "", "n": 3}\n{"id": "c"}\n{"id": "c", "n": 4}\n{"id": "d", "n": null, "x": 5}\n')
+    good, bad = files.read_jsonl(spark, str(tmp_path / "a.jsonl"), schema)
+    assert sorted(map(tuple, good.collect())) == [("a", 1), ("d", None)]
+    counts = {}
+    for r in bad.collect():
+        counts[r["reason"]] = counts.get(r["reason"], 0) + r["n"]
+    assert counts == {"blank line": 2, "invalid line": 3, "missing key": 1, "empty key": 1, "duplicate key": 2}
+    (tmp_path / "b.json").write_text('[{"id": "x", "n": 1},\n {"id": "y"}]')
+    assert files.read_json_array(spark, str(tmp_path / "b.json"), schema).count() == 2
+    files.write_once(good, str(tmp_path / "out"))
+    with pytest.raises(Exception, match="exists"):
+        files.write_once(good, str(tmp_path / "out"))
+    sheet = spark.createDataFrame([("1", '=sum("x")\nnext'), ("2", "plain")], "id string, text string")
+    files.write_worksheet(sheet, str(tmp_path / "sheet"), ["text"])
+    columns = StructType([StructField(c, StringType()) for c in ("id", "text", "label")])
+    rows, wrong = files.read_worksheet(spark, str(tmp_path / "sheet"), columns, ["yes"])
+    assert rows.count() == 0 and {r["text"] for r in wrong.collect()} == {"'=sum(\"x\")\nnext", "plain"}
