@@ -1,18 +1,23 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and memory-mapped by workers.
+"""Interpolated modified Kneser-Ney trigram model, counted in Spark and memory-mapped by workers.
 
-Counting: every task counts the words, and then the word pairs, of its rows and sends
-sorted compressed arrays to hash or id ranges, where they are merged. Nothing is pruned.
-Pairs are sent by their first word; a first word that holds more than a part's fair share
-is spread over all parts by the second word.
+Counting: every task counts the words, then the word pairs, then the triples of its rows and
+sends sorted compressed arrays to ranges, where they are merged. Nothing is pruned. Pairs are
+sent by their first word; a first word that holds more than a part's fair share is spread
+over all parts by the second word. A triple goes to the part of its first pair, whose place
+there and the last word make its key; so a pair's followers are together, at most the
+vocabulary of them.
 
 The model is a folder of sorted arrays in the shared folder: word hashes (whose position is
-the word's id), counts, continuation probabilities, and per part the sorted pair keys with
-their counts. Workers map them and look their sorted queries up; nothing of it passes
-through the driver but a few sums per part.
+the word's id), counts, continuation probabilities, and per part the sorted keys of pairs and
+triples; counts are kept only where they are not one. Workers map them and look their sorted
+queries up; nothing of it passes through the driver but a few sums per part.
 
-Probability: (c(hw) - D) / c(h) + g(h) * P(w), with P(w) from the numbers of distinct
-words before w, interpolated with 1 / (V + 1), the share of each unknown word. A text is
-scored from a begin mark to an end token; the base-10 logarithm is returned.
+Probability: (c(uvw) - D) / c(uv) + g(uv) * P(w | v), with P(w | v) from the numbers of
+distinct words before vw (of the pair's own count after the begin mark, which nothing
+precedes), and P(w) from the numbers of distinct words before w, interpolated with
+1 / (V + 1), the share of each unknown word. The discounts of each order come from its counts
+of counts. A text is scored from a begin mark to an end token; the base-10 logarithm is
+returned.
 
 Defined results: a null or empty text is the end token alone; repeated rows are scored
 alike, and counted as often as they occur if they are training rows; without training rows
@@ -32,11 +37,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._scratch import materialize, new_folder
-from ._store import Parts, find_sorted, merge, pack, range_of, unpack, write_part
+from ._store import Parts, find_sorted, merge, pack, range_of, read_part, unpack, write_part
 from ._text import LOWER, hash_spans, slices, sums, word_spans
 
-#: Pairs that a task holds before it sends them.
+#: Pairs or triples that a task holds before it sends them.
 PENDING = 6_000_000
+#: Bytes of training texts for each part of the model.
+PART_BYTES = 16 << 20
 PACKED = "part int, keys binary, counts binary"
 
 
@@ -51,7 +58,7 @@ class Model:
     documents: int
     tokens: int  # N
     hot: tuple[int, ...]  # first words whose pairs are spread over all parts
-    discounts: tuple[float, ...] = ()  # of pair counts 1, 2, 3 and more
+    discounts: tuple[tuple[float, ...], ...] = ()  # of counts 1, 2, 3 and more of pairs and of triples
     unknown: float = 1.0  # P of an unknown word
 
     @property
@@ -176,6 +183,55 @@ def _pairs(train: DataFrame, model: Model) -> DataFrame:
     return train.select("text").mapInArrow(count, PACKED)
 
 
+def _triples(train: DataFrame, model: Model) -> DataFrame:
+    """Packed (triple key, count) by the part of the first pair."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words(model)
+        parts, keys, n = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            part, key = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((parts, np.int64), (keys, np.uint64)))
+            order = np.lexsort((key, part))
+            part, key = part[order], key[order]
+            edge = np.flatnonzero(np.concatenate([[True], (np.diff(part) != 0) | (key[1:] != key[:-1])])) if len(key) else np.zeros(0, np.int64)
+            parts.clear(), keys.clear()
+            return _rows(part[edge], key[edge], np.diff(np.append(edge, len(key))))
+
+        for batch in batches:
+            for _, _, buf, off in slices(batch.column("text")):
+                hashes, at = _word_hashes(buf, off)
+                known, place = words.ids(hashes)
+                before, token, offsets = _sequences(model, known[place], at)
+                part, index = _find_pairs(model, before, token)
+                later = np.ones(len(token), bool)
+                later[offsets[:-1]] = False
+                later = np.flatnonzero(later)  # tokens with two before them, the begin mark included
+                parts.append(part[later - 1])
+                keys.append(_triple_key(index[later - 1], token[later]))
+                n += len(later)
+                if n > PENDING:
+                    yield flush()
+                    n = 0
+        yield flush()
+
+    return train.select("text").mapInArrow(count, PACKED)
+
+
+def _find_pairs(model: Model, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(part, place there or -1) of pairs of ids."""
+    part = _pair_part(model, first, second)
+    key = first.astype(np.uint64) << np.uint64(32) | second.astype(np.uint64)
+    order = np.lexsort((key, part))
+    place = np.empty(len(key), np.int64)
+    place[order] = find_sorted(model.folder, "pairs", part[order], key[order])
+    return part, place
+
+
+def _triple_key(pair: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return pair.astype(np.uint64) << np.uint64(32) | last.astype(np.uint64)
+
+
 def _discounts(n: np.ndarray) -> tuple[float, float, float]:
     """Discounts of counts 1, 2 and more from the numbers n of items counted 1, 2, 3 and 4 times."""
     n1, n2, n3, n4 = (max(float(x), 0.5) for x in n)
@@ -191,12 +247,50 @@ def _counted(counts: np.ndarray) -> list[int]:
     return np.bincount(np.minimum(counts, 5), minlength=6)[1:5].tolist()
 
 
+def _write_counts(folder: str, name: str, part: int, counts: np.ndarray) -> None:
+    """Keep the counts that are not one."""
+    more = np.flatnonzero(counts != 1)
+    write_part(folder, f"{name}-more", part, more.astype(np.uint32))
+    write_part(folder, f"{name}-counts", part, counts[more].astype(np.uint32))
+
+
+def _by_part(part: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """(part, its run) of ascending parts."""
+    edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+    for a, b in zip(edges, [*edges[1:], len(part)]):
+        yield int(part[a]), slice(a, b)
+
+
+def _read_counts(folder: str, name: str, part: np.ndarray, place: np.ndarray, columns: tuple[str, ...] = ("counts",)) -> list[np.ndarray]:
+    """The kept columns at places, each one where nothing is kept; part ascends."""
+    out = [np.ones(len(part), np.int64) for _ in columns]
+    for k, run in _by_part(part):
+        more = read_part(folder, f"{name}-more", k)
+        if len(more):
+            at = np.minimum(np.searchsorted(more, place[run].astype(np.uint32)), len(more) - 1)
+            hit = more[at] == place[run]
+            for values, column in zip(out, columns):
+                values[run][hit] = read_part(folder, f"{name}-{column}", k)[at[hit]]
+    return out
+
+
+def _pieces(kind: int, ids: np.ndarray, columns: tuple[np.ndarray, ...], parts: int, ranges: int) -> list[tuple]:
+    """Packed rows of sums by ascending ids, for the ranges of ids."""
+    to = ids.astype(np.int64) * parts // ranges
+    return [(kind, k, pack(ids[run]), [pack(x[run]) for x in columns], None) for k, run in _by_part(to)]
+
+
+STATS = "kind int, part int, keys binary, values array<binary>, counted array<long>"
+_STATS = ["kind", "part", "keys", "values", "counted"]
+
+
 def train(docs: DataFrame) -> Model:
     """Count and store the model of all texts of docs."""
     spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    folder = new_folder(spark, "kneser-ney")
     docs = docs.select(F.col("text").cast("string").alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES + 1)
+    folder = new_folder(spark, "kneser-ney")
     vocabulary = materialize(_vocabulary(docs, parts), "vocabulary")
     sizes = {r["part"]: (r["n"], r["total"]) for r in vocabulary.select("part", "n", "total").collect()}  # one row a part
     bounds = [0]
@@ -219,32 +313,71 @@ def train(docs: DataFrame) -> Model:
     hot = vocabulary.select("part", "keys", "counts").unionByName(every).groupBy("part").applyInPandas(store_words, "id long")
     hot = tuple(sorted(int(r["id"]) for r in hot.collect())) + (words + 1,)  # at most 4 * parts words pass the share
     model = Model(folder, parts, tuple(bounds), words, documents, tokens, hot)
+    ranges, begin = words + 2, words + 1
 
-    ranges = words + 2
+    def split(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
 
     def store_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Keep the pairs; tell how many different words stand before each word."""
         part = int(pdf["part"].iloc[0])
         pdf = pdf[pdf["keys"].notna()]
         k, c = _merged(pdf) if len(pdf) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         write_part(folder, "pairs", part, k)
-        write_part(folder, "pair-counts", part, c.astype(np.uint32))
-        first, second = (k >> np.uint64(32)).astype(np.int64), (k & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        ctx, total, n1, n2, n3 = merge([first.astype(np.uint64)], [c], [c == 1], [c == 2], [c > 2])
-        after, n = np.unique(second.astype(np.uint64), return_counts=True)
-        out = []
-        for kind, ids, columns in ((0, ctx, (total, n1, n2, n3)), (1, after, (n,))):
-            to = ids.astype(np.int64) * parts // ranges
-            edges = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else []
-            for a, b in zip(edges, [*edges[1:], len(to)]):
-                out.append((kind, int(to[a]), pack(ids[a:b]), [pack(x[a:b]) for x in columns], None))
-        out.append((2, part, None, None, _counted(c)))
-        return pd.DataFrame(out, columns=["kind", "part", "keys", "values", "counted"])
-
-    stats = "kind int, part int, keys binary, values array<binary>, counted array<long>"
-    merged = _pairs(docs, model).unionByName(every).groupBy("part").applyInPandas(store_pairs, stats)
-    merged = materialize(merged, "pair-sums")
+        _write_counts(folder, "pair", part, c)
+        after, n = np.unique(split(k)[1], return_counts=True)
+        return pd.DataFrame(_pieces(1, after, (n,), parts, ranges), columns=_STATS)
+
+    pair_sums = _pairs(docs, model).unionByName(every).groupBy("part").applyInPandas(store_pairs, STATS)
+    pair_sums = materialize(pair_sums, "pair-sums")
+
+    def store_triples(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Keep the triples and their pairs' sums; tell how many different words stand before each pair."""
+        part = int(pdf["part"].iloc[0])
+        pdf = pdf[pdf["keys"].notna()]
+        k, c = _merged(pdf) if len(pdf) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        write_part(folder, "triples", part, k)
+        _write_counts(folder, "triple", part, c)
+        pair, last = split(k)
+        place, total, *n = merge([pair], [c], [c == 1], [c == 2], [c > 2])
+        more = np.flatnonzero(total != 1)
+        write_part(folder, "context-more", part, place[more].astype(np.uint32))
+        for name, x in zip(("total", "n1", "n2", "n3"), (total, *n)):
+            write_part(folder, f"context-{name}", part, x[more].astype(np.uint32))
+        middle = split(read_part(folder, "pairs", part))[1][pair.astype(np.int64)] if len(k) else k
+        pairs, before = np.unique(middle << np.uint64(32) | last, return_counts=True)
+        first, second = (x.astype(np.int64) for x in split(pairs))
+        to = _pair_part(model, first, second)
+        order = np.argsort(to, kind="stable")
+        rows = [(0, p, pack(pairs[order[run]]), [pack(before[order[run]])], None) for p, run in _by_part(to[order])]
+        return pd.DataFrame([*rows, (2, part, None, None, _counted(c))], columns=_STATS)
+
+    triple_sums = _triples(docs, model).unionByName(every).groupBy("part").applyInPandas(store_triples, STATS)
+    triple_sums = materialize(triple_sums, "triple-sums")
+    counted = np.array([r["counted"] for r in triple_sums.where("kind = 2").select("counted").collect()]).sum(0)  # a row a part
+    of_triples = _discounts(counted)
+    blank = spark.range(parts).selectExpr("9 AS kind", "CAST(id AS INT) AS part", "CAST(NULL AS BINARY) AS keys", "CAST(NULL AS ARRAY<BINARY>) AS values", "CAST(NULL AS ARRAY<BIGINT>) AS counted")
+
+    def store_continuations(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Keep each pair's number of words before it; tell the sums of these by the pair's first word."""
+        part = int(pdf["part"].iloc[0])
+        pdf = pdf[pdf["kind"] == 0]
+        pairs = read_part(folder, "pairs", part)
+        n = np.zeros(len(pairs), np.int64)
+        if len(pdf):
+            keys, before = merge([unpack(x) for x in pdf["keys"]], [unpack(x[0]) for x in pdf["values"]])
+            n[np.searchsorted(pairs, keys)] = before
+        first = split(pairs)[0]
+        at_begin = np.flatnonzero(first == begin)  # nothing precedes the begin mark
+        n[at_begin] = _read_counts(folder, "pair", np.full(len(at_begin), part), at_begin)[0]
+        _write_counts(folder, "continuation", part, n)
+        ids, *sums_ = merge([first], [n], [n == 1], [n == 2], [n > 2])
+        return pd.DataFrame([*_pieces(0, ids, tuple(sums_), parts, ranges), (2, part, None, None, _counted(n))], columns=_STATS)
+
+    merged = triple_sums.where("kind = 0").unionByName(blank).groupBy("part").applyInPandas(store_continuations, STATS)
+    merged = materialize(merged, "continuation-sums")
     counted = np.array([r["counted"] for r in merged.where("kind = 2").select("counted").collect()]).sum(0)  # a row a part
-    discounts = _discounts(counted)
+    of_pairs = _discounts(counted)
 
     def continuation(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         some = pdf[pdf["kind"] == 1]
@@ -254,7 +387,7 @@ def train(docs: DataFrame) -> Model:
         _, n = continuation(pdf)
         return pd.DataFrame({"counted": [_counted(n)], "over": [int((n > 2).sum())], "total": [int(n.sum())]})
 
-    sums_ = merged.where("kind = 1").groupBy("part").applyInPandas(sum_continuation, "counted array<long>, over long, total long").collect()
+    sums_ = pair_sums.groupBy("part").applyInPandas(sum_continuation, "counted array<long>, over long, total long").collect()  # a row a part
     counted = np.array([r["counted"] for r in sums_]).sum(0) if sums_ else np.zeros(4)
     all_pairs, over = sum(r["total"] for r in sums_), sum(r["over"] for r in sums_)
     lower = _discounts(counted)
@@ -265,14 +398,13 @@ def train(docs: DataFrame) -> Model:
     def store_sums(pdf: pd.DataFrame) -> pd.DataFrame:
         part = int(pdf["part"].iloc[0])
         low, n = edges[part], edges[part + 1] - edges[part]
-        pdf = pdf[pdf["keys"].notna()]
         some = pdf[pdf["kind"] == 0]
         total, left = np.zeros(n, np.int64), np.ones(n)
         if len(some):
             ids, t, n1, n2, n3 = merge([unpack(x) for x in some["keys"]], *([unpack(x[k]) for x in some["values"]] for k in range(4)))
             at = ids.astype(np.int64) - low
             total[at] = t
-            left[at] = (discounts[0] * n1 + discounts[1] * n2 + discounts[2] * n3) / t
+            left[at] = (of_pairs[0] * n1 + of_pairs[1] * n2 + of_pairs[2] * n3) / t
         p = np.full(n, unknown)
         if (pdf["kind"] == 1).any():
             ids, c = continuation(pdf)
@@ -282,9 +414,8 @@ def train(docs: DataFrame) -> Model:
         write_part(folder, "unigram", part, p)
         return pd.DataFrame({"part": [part]})
 
-    blank = spark.range(parts).selectExpr("0 AS kind", "CAST(id AS INT) AS part", "CAST(NULL AS BINARY) AS keys", "CAST(NULL AS ARRAY<BINARY>) AS values", "CAST(NULL AS ARRAY<BIGINT>) AS counted")
-    merged.where("kind < 2").unionByName(blank).groupBy("part").applyInPandas(store_sums, "part int").count()
-    return Model(folder, parts, tuple(bounds), words, documents, tokens, hot, discounts, unknown)
+    merged.where("kind = 0").unionByName(pair_sums).unionByName(blank).groupBy("part").applyInPandas(store_sums, "part int").count()
+    return Model(folder, parts, tuple(bounds), words, documents, tokens, hot, (of_pairs, of_triples), unknown)
 
 
 class Scorer:
@@ -317,30 +448,38 @@ class Scorer:
         totals, left = self._by_id(self.totals, ids, 0.0), self._by_id(self.left, ids, 1.0)
         before, token, at = _sequences(Model("", 0, (), n, 0, 0, ()), place, first)
         p = left[before] * unigram[token]
+        part, index = np.zeros(len(token), np.int64), np.full(len(token), -1)
         pair = np.flatnonzero((ids[before] >= 0) & (ids[token] >= 0) & (totals[before] > 0))
-        a, b = ids[before[pair]], ids[token[pair]]
-        part = _pair_part(m, a, b)
-        key = a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
-        order = np.lexsort((key, part))
-        found = find_sorted(m.folder, "pairs", part[order], key[order])
-        hit = np.flatnonzero(found >= 0)
-        c = _take_in_parts(m.folder, "pair-counts", part[order][hit], found[hit])
-        where = pair[order[hit]]
-        p[where] += (c - _discount(c, m.discounts)) / totals[before[where]]
+        part[pair], index[pair] = _find_pairs(m, ids[before[pair]], ids[token[pair]])
+        hit = np.flatnonzero(index >= 0)
+        hit = hit[np.argsort(part[hit], kind="stable")]
+        (c,) = _read_counts(m.folder, "continuation", part[hit], index[hit])
+        p[hit] += (c - _discount(c, m.discounts[0])) / totals[before[hit]] if len(hit) else 0.0
+        # tokens whose two predecessors are a known pair
+        later = np.ones(len(token), bool)
+        later[at[:-1]] = False
+        later = np.flatnonzero(later)
+        later = later[index[later - 1] >= 0]
+        if len(later):
+            own, context = part[later - 1], index[later - 1]
+            order = np.argsort(own, kind="stable")
+            later, own, context = later[order], own[order], context[order]
+            total, n1, n2, n3 = _read_counts(m.folder, "context", own, context, ("total", "n1", "n2", "n3"))
+            single = total == 1  # one follower, seen once
+            n2[single] = n3[single] = 0
+            d = m.discounts[1]
+            p[later] *= (d[0] * n1 + d[1] * n2 + d[2] * n3) / total
+            last = np.flatnonzero(ids[token[later]] >= 0)
+            key = _triple_key(context[last], ids[token[later[last]]])
+            order = last[np.lexsort((key, own[last]))]
+            found = find_sorted(m.folder, "triples", own[order], _triple_key(context[order], ids[token[later[order]]]))
+            order, found = order[found >= 0], found[found >= 0]
+            (c,) = _read_counts(m.folder, "triple", own[order], found)
+            p[later[order]] += (c - _discount(c, d)) / total[order]
         base = np.log10((count[token] + 1) / (m.tokens + m.types + 1))
         return np.diff(at), sums(count[token] > 0, at), sums(base, at), sums(np.log10(p), at)
 
 
-def _take_in_parts(folder: str, name: str, part: np.ndarray, index: np.ndarray) -> np.ndarray:
-    from ._store import read_part
-
-    out = np.zeros(len(part), np.int64)
-    edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
-    for a, b in zip(edges, [*edges[1:], len(part)]):
-        out[a:b] = read_part(folder, name, int(part[a]))[index[a:b]]
-    return out
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score, perplexity of every row."""
 

@@ -90,18 +90,59 @@ def test_huffman_limit():
     assert bits.max() <= token_output.LIMIT and (2.0**-bits).sum() == 1
 
 
-def test_lm_probabilities_sum_to_one(spark):
-    docs = table(spark)
-    model = lm_scoring.train(docs)
-    vocabulary = sorted({w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for t in TEXTS for w in words(t)})
-    ends = spark.createDataFrame([(-1, "alpha")] + [(k, f"alpha {w}") for k, w in enumerate([*vocabulary, "never-seen"])], "doc_id long, text string")
-    rows = by_id(lm_scoring.score(ends, model))
-    import math
-
-    # P(w | alpha) over all words and the end: log P(alpha w end) - log P(end | w) is not at hand, so sum P(alpha w) by the scorer's own parts
-    scorer = lm_scoring.Scorer(model)
-    assert rows[-1]["n_tokens"] == 2 and scorer.model.types == len(vocabulary) + 1
-    assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in rows.values())
+class Trigrams:
+    """Interpolated modified Kneser-Ney by dictionaries."""
+
+    def __init__(self, texts):
+        self.c1, self.c2, self.c3 = {}, {}, {}
+        lists = [["<b>", *self.tokens(t)] for t in texts]
+        for t in lists:
+            for n, counts in ((1, self.c1), (2, self.c2), (3, self.c3)):
+                for k in range(len(t) - n + 1):
+                    g = tuple(t[k : k + n])
+                    counts[g] = counts.get(g, 0) + 1
+        self.c1.pop(("<b>",), None)
+        self.n = sum(self.c1.values())
+        self.cont2 = {g: self.c2[g] if g[0] == "<b>" else sum(h[1:] == g for h in self.c3) for g in self.c2}
+        self.cont1 = {g: sum(h[1:] == g for h in self.c2) for g in self.c1}
+        self.d = [lm_scoring._discounts([sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]) for c in (self.cont1, self.cont2, self.c3)]
+
+    @staticmethod
+    def tokens(t):
+        return [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in words(t)] + ["<e>"]
+
+    def level(self, counts, d, g, lower):
+        own = {h: c for h, c in counts.items() if h[:-1] == g[:-1]}
+        if not own:
+            return lower
+        cut = lambda c: d[min(c, 3) - 1] if c else 0
+        return (counts.get(g, 0) - cut(counts.get(g, 0)) + sum(map(cut, own.values())) * lower) / sum(own.values())
+
+    def p(self, u, v, w):
+        p1 = self.level(self.cont1, self.d[0], (w,), 1 / (len(self.c1) + 1))
+        p2 = self.level(self.cont2, self.d[1], (v, w), p1)
+        return p2 if u is None else self.level(self.c3, self.d[2], (u, v, w), p2)
+
+    def score(self, t):
+        import math
+
+        s = [None, "<b>", *self.tokens(t)]
+        base = sum(math.log10((self.c1.get((w,), 0) + 1) / (self.n + len(self.c1) + 1)) for w in s[2:])
+        return base, sum(math.log10(self.p(*s[k - 2 : k + 1])) for k in range(2, len(s)))
+
+
+def test_lm_scoring(spark):
+    train_ = [prose(n) for n in (1, 5, 30, 30, 60)] + ["alpha beta, gämma"] * 3 + [None, "", "Solo"]
+    fresh = [*TEXTS[:7], prose(40), "alpha beta, gämma never seen x1", "beta, gämma"]
+    model, brute = lm_scoring.train(table(spark, train_)), Trigrams(train_)
+    rows = by_id(lm_scoring.score(table(spark, fresh), model))
+    assert model.tokens == brute.n and model.types == len(brute.c1)
+    for i, t in enumerate(fresh):
+        base, score = brute.score(t)
+        assert (rows[i]["base_score"], rows[i]["score"]) == pytest.approx((base, score), rel=1e-9), t
+        assert rows[i]["n_tokens"] == len(brute.tokens(t)) and rows[i]["n_known"] == sum((w,) in brute.c1 for w in brute.tokens(t))
+    whole = sum(brute.p("<b>", "alpha", w) for (w,) in brute.c1) + brute.p("<b>", "alpha", "never-seen")
+    assert whole == pytest.approx(1)
 
 
 def test_lm_without_training_rows(spark):
