@@ -243,12 +243,13 @@ def _unproved(active: DataFrame, placed: DataFrame, docs: DataFrame) -> DataFram
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            heads = batch.select(["doc_id", "component", "left"])  # a prefix does not repeat the text
             for a, b, marked, at in _marked(batch.column("text")):
                 firsts = [prefix(marked[x:y], counts) if y > x else marked[:0] for x, y in zip(at[:-1], at[1:])]
                 n = np.array([len(x) for x in firsts])
                 row = np.repeat(np.arange(b - a), n)
                 place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                own = batch.slice(a, b - a).take(pa.array(row))
+                own = heads.slice(a, b - a).take(pa.array(row))
                 columns = [np.concatenate([marked[:0], *firsts]).view(np.int64), place.astype(np.int32), np.diff(at)[row].astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("doc_id", "component", "left")), *map(pa.array, columns)], ["doc_id", "component", "left", "kmer", "place", "n"])
 
