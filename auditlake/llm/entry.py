@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import ship
 from . import byte_bpe, embedding_dedup, lm_scoring, order_minhash, packing, quality_rules, substring_dedup, token_output, toxicity, url_filter
+from ._scratch import materialize
 
 #: Where the public tokenizer files are; every operator takes the path as a parameter.
 WORD_BPE, BYTE_BPE, BYTE_RANKS = "word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -35,6 +36,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy removes, from the stored ledger alone."""
+    stored = materialize(quality_rules.ledger(_table(spark, sf_dir, "documents")), "ledger")
+    return quality_rules.ablations(stored, [quality_rules.BASE, quality_rules.STANDARD])
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_output.write_documents(_table(spark, sf_dir, "documents"), tokenizer(WORD_BPE))
     return token_output.digests(token_output.read(spark, path))
@@ -103,10 +110,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_byte_bpe": op9,
         "op10_embedding_dedup": op10,
         "pipeline": pipeline,
+        "quality_rule_ablations": ablations,
     }
 
 
-SQL_OP1 = r"""
+_LEDGER = r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS t,
          list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
@@ -132,6 +140,9 @@ f AS (
     + (CASE WHEN 10 * n_capitals > 3 * word_chars THEN 16 ELSE 0 END)
     + (CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 32 ELSE 0 END) AS fail_bits
   FROM m)
+"""
+
+SQL_OP1 = _LEDGER + r"""
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
        CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
@@ -139,6 +150,16 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM f
 """
 
+SQL_ABLATIONS = (
+    _LEDGER
+    + r""", ru(policy, mask, rule, bit) AS (VALUES ('base', 3, 'few_words', 1), ('base', 3, 'repeated_words', 2), ('2', 63, 'few_words', 1), ('2', 63, 'repeated_words', 2),
+  ('2', 63, 'symbols', 4), ('2', 63, 'repeated_lines', 8), ('2', 63, 'capitals', 16), ('2', 63, 'word_length', 32))
+SELECT policy, rule, count(*) FILTER (fail_bits & bit <> 0) AS n_failed, count(*) FILTER (fail_bits & mask = bit) AS n_failed_only_this,
+       count(*) FILTER (fail_bits & mask & ~bit = 0) AS n_kept_without, count(*) FILTER (fail_bits & mask = 0) AS n_kept
+FROM f, ru GROUP BY policy, rule
+"""
+)
+
 SQL_OP5 = r"""
 WITH u AS (
   SELECT page_id,
@@ -161,4 +182,4 @@ FROM u LEFT JOIN fit ON u.host = fit.host AND u.path = fit.path
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": SQL_OP1, "op5_url_filter": SQL_OP5}
+    return {"op1_quality_rules": SQL_OP1, "op5_url_filter": SQL_OP5, "quality_rule_ablations": SQL_ABLATIONS}

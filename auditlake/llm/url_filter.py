@@ -4,6 +4,10 @@ A rule has a regular expression over host + path and the literal tokens that eve
 fits must hold. It is indexed by the token that is rarest among the table's URLs. A URL's
 tokens fetch candidate rules, and only those expressions are run on it.
 
+A rule list is a table (rule, pattern, verdict, listed, tokens), such as ``rule_table`` makes of
+a few rules in code; lists of up to ``BROADCAST_RULES`` rows are broadcast, longer ones meet the
+URLs' tokens by a shuffle.
+
 Listed rules (host and path prefix) win over pattern rules, longer ones over shorter ones;
 a URL that nothing fits is allowed.
 
@@ -68,14 +72,17 @@ def _tokens() -> Column:
     return F.array_union(F.array(F.lit("")), found)
 
 
-def rule_index(spark: SparkSession, rules: list[UrlRule], urls: DataFrame) -> DataFrame:
-    """(token, rule, pattern, verdict, listed): each rule under its rarest token among urls' tokens."""
+def rule_table(spark: SparkSession, rules: list[UrlRule]) -> DataFrame:
+    """(rule, pattern, verdict, listed, tokens) of rules written in code; a long list should be read from a file."""
     fields = [F.struct(*[F.lit(v).alias(n) for n, v in (("rule", r.text), ("pattern", r.pattern), ("verdict", r.verdict), ("listed", r.listed))], F.array(*[F.lit(t) for t in r.tokens or ("",)]).alias("tokens")) for r in rules]
-    table = spark.range(1).select(F.inline(F.array(*fields)))
-    each = table.select("rule", "pattern", "verdict", "listed", F.explode("tokens").alias("token"))
+    return spark.range(1).select(F.inline(F.array(*fields)))
+
+
+def rule_index(rules: DataFrame, urls: DataFrame, broadcast: bool) -> DataFrame:
+    """(token, rule, pattern, verdict, listed): each rule under its rarest token among urls' tokens."""
+    each = rules.select("rule", "pattern", "verdict", "listed", F.explode("tokens").alias("token"))
     wanted = each.select("token").distinct()
-    if len(rules) <= BROADCAST_RULES:
-        wanted = F.broadcast(wanted)
+    wanted = F.broadcast(wanted) if broadcast else wanted
     seen = urls.select(F.explode(_tokens()).alias("token")).join(wanted, "token", "left_semi")
     counts = seen.groupBy("token").agg(F.count("*").alias("n"))
     ranked = each.join(counts, "token", "left").withColumn(
@@ -84,14 +91,18 @@ def rule_index(spark: SparkSession, rules: list[UrlRule], urls: DataFrame) -> Da
     return ranked.where("place = 1").select("token", "rule", "pattern", "verdict", "listed")
 
 
-def judge(pages: DataFrame, rules: list[UrlRule], defaults: tuple[UrlRule, ...] = HOST_WORDS) -> DataFrame:
-    """page_id, url, host, path, rule (of the list, else null), verdict, fallback (the pattern rule, else null)."""
+def judge(pages: DataFrame, rules: list[UrlRule] | DataFrame, defaults: tuple[UrlRule, ...] = HOST_WORDS) -> DataFrame:
+    """page_id, url, host, path, rule (of the list, else null), verdict, fallback (the pattern rule, else null).
+
+    rules: rules in code, or a table of them with the columns of rule_table().
+    """
     host, path = split_url(F.col("url"))
     urls = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
-    every = [*rules, *defaults]
-    index = rule_index(pages.sparkSession, every, urls)
-    if len(every) <= BROADCAST_RULES:
-        index = F.broadcast(index)
+    spark = pages.sparkSession
+    every = rule_table(spark, [*rules, *defaults]) if isinstance(rules, list) else rules.select("rule", "pattern", "verdict", "listed", "tokens").unionByName(rule_table(spark, list(defaults)))
+    small = (len(rules) if isinstance(rules, list) else rules.count()) + len(defaults) <= BROADCAST_RULES
+    index = rule_index(every, urls, small)
+    index = F.broadcast(index) if small else index
     candidates = urls.withColumn("token", F.explode(_tokens())).join(index, "token", "left")
     fits = F.rlike(F.concat("host", "path"), F.col("pattern"))
     best = F.max(F.when(fits, F.struct("listed", F.length("rule").alias("length"), "rule", "verdict")))

@@ -67,7 +67,13 @@ def test_quality_rules(spark):
     kept = quality_rules.keep(table(spark))
     assert kept.columns == table(spark).columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in found.items() if not r["fail_bits"]}
     rows = quality_rules.ablations(quality_rules.ledger(table(spark)), [quality_rules.BASE, quality_rules.STANDARD]).collect()
-    assert len(rows) == 8 and all(r["n_kept"] <= r["n_kept_without"] for r in rows)
+    bits = [r["fail_bits"] for r in found.values()]
+    assert len(rows) == 8
+    for r in rows:
+        policy = quality_rules.mask({"base": quality_rules.BASE, "2": quality_rules.STANDARD}[r["policy"]])
+        bit = quality_rules.BIT[r["rule"]]
+        assert (r["n_failed"], r["n_failed_only_this"]) == (sum(b & bit > 0 for b in bits), sum(b & policy == bit for b in bits))
+        assert (r["n_kept_without"], r["n_kept"]) == (sum(b & policy & ~bit == 0 for b in bits), sum(b & policy == 0 for b in bits))
 
 
 @pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
@@ -188,6 +194,20 @@ def test_url_filter(spark):
     assert [rows[i]["verdict"] for i in (3, 7, 9, 11)] == ["block", "allow", "block", "block"]
 
 
+def test_url_rules_as_a_table(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"https://h{i % 50}.site{i % 7}.net/p{i % 11}/x") for i in range(300)], "page_id long, url string")
+    rules = [url_filter.listed(v, f"site{k}.net/p{j}/") for k in range(7) for j in range(0, 11, 2) for v in ("block" if (k + j) % 3 else "allow",)]
+    of = lambda r: {x["page_id"]: (x["rule"], x["verdict"]) for x in url_filter.judge(pages, r).collect()}
+    in_code = of(rules)
+    stored = url_filter.rule_table(spark, rules)
+    assert of(stored) == in_code
+    monkeypatch.setattr(url_filter, "BROADCAST_RULES", 10)  # the shuffled way
+    assert of(stored) == in_code
+    for i in range(300):
+        rule = f"site{i % 7}.net/p{i % 11}/" if i % 11 % 2 == 0 else None
+        assert in_code[i] == (rule, "allow" if rule is None or (i % 7 + i % 11) % 3 == 0 else "block")
+
+
 def test_order_minhash(spark):
     rows = by_id(order_minhash.classes(table(spark)))
     classes = {i: r["class_id"] for i, r in rows.items()}
