@@ -17,6 +17,7 @@ from ..operators import integrity as I
 from ..operators import metrics as M
 from ..operators import sampling as S
 from ..operators import stats
+from ..shared import shared_dir
 from ..sources import files
 from .audit_queries import _PAIRS, _hx
 from .compare_queries import _SCALED, _recovery
@@ -43,7 +44,7 @@ def _jsonl(s, d):
         .when(k == 4, F.concat(F.lit('{"id": "g'), F.floor(i / 70), F.lit('", "quality": 1}'))).when(k == 5, F.concat(F.lit('["d'), i, F.lit('"]')))
         .otherwise(F.concat(F.lit('{"id": "d'), i, F.lit('", "quality": '), F.col("quality"), F.lit("}")))
     )
-    path = f"{s.conf.get('spark.checkpoint.dir').rstrip('/')}/jsonl-{uuid.uuid4().hex}"
+    path = f"{shared_dir(s)}/jsonl-{uuid.uuid4().hex}"
     _T(s, d, "labels").select(line.alias("value")).write.text(path)
     good, bad = files.read_jsonl(s, path, StructType([StructField("id", StringType()), StructField("quality", StringType())]))
     return bad.groupBy("reason").agg(F.sum("n").alias("n")).unionByName(good.agg(F.lit("good").alias("reason"), F.count("*").alias("n")))
