@@ -157,8 +157,14 @@ def ragged(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarra
 
 
 def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sum of values[first[i]:first[i + 1]] over i; empty ranges give 0."""
-    total = np.zeros(len(values) + 1, values.dtype if values.dtype.kind == "f" else np.int64)
+    """Sum of values[first[i]:first[i + 1]] over i; empty ranges give 0, equal ranges equal sums."""
+    if values.dtype.kind == "f":
+        out = np.zeros(len(first) - 1)
+        full = np.flatnonzero(first[1:] > first[:-1])
+        if len(full):
+            out[full] = np.add.reduceat(values[: first[-1]], first[:-1][full])
+        return out
+    total = np.zeros(len(values) + 1, np.int64)
     np.cumsum(values, out=total[1:])
     return total[first[1:]] - total[first[:-1]]
 

@@ -438,3 +438,28 @@ EMPTY = [
 @pytest.mark.parametrize("operator", EMPTY)
 def test_empty_tables(spark, operator):
     assert operator(table(spark).where("false")).count() == 0
+
+
+def test_repeated_rows_long_texts_and_clashing_names(spark):
+    clash = "doc_id long, text string, part int, keys string, toxic int, n int, score double, ids string, copy long, row string"
+    texts = [prose(20_000), "word", None, "", prose(20)]
+    rows = [(i, t, 1, "k", 1, 2, 0.5, "i", 3, "r") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows + rows[:3], clash).repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)] * 2, "doc_id long, toxic int")
+    path = P.path("byte_bpe_50k.tiktoken")
+    found = {
+        "op1": quality_rules.ledger(docs), "op2": token_output.read(spark, token_output.write_documents(docs, P.path("word_bpe_49k.json"))).drop("start"),
+        "op3": lm_scoring.score(docs, lm_scoring.train(docs)), "op6": order_minhash.classes(docs).drop("kept"), "op7": substring_dedup.digests(docs),
+        "op8": toxicity.score(docs, toxicity.train(docs, labels)), "op9": byte_bpe.encode(docs, path, P.PATTERN, digests=True),
+    }
+    for name, df in found.items():
+        got = [tuple(r) for r in df.collect()]
+        assert len(got) == 8, name
+        by = {}
+        for r in got:
+            by.setdefault(r[0], []).append(r)
+        assert all(len(v) == (2 if k < 3 else 1) and len(set(v)) == 1 for k, v in by.items()), name
+    pieces = packing.pack_documents(docs, P.path("byte_bpe_50k.json")).collect()
+    assert sum(r["start"] == 0 for r in pieces) == 8
+    back = {r["doc_id"]: bytes(r["bytes"]).decode() for r in byte_bpe.decode(byte_bpe.encode(docs, path, P.PATTERN), path).collect()}
+    assert back == {i: t or "" for i, t in enumerate(texts)}
