@@ -354,3 +354,39 @@ def test_files(spark, tmp_path):
     columns = StructType([StructField(c, StringType()) for c in ("id", "text", "label")])
     rows, wrong = files.read_worksheet(spark, str(tmp_path / "sheet"), columns, ["yes"])
     assert rows.count() == 0 and {r["text"] for r in wrong.collect()} == {"'=sum(\"x\")\nnext", "plain"}
+
+
+def test_ranks_against_sorting(spark):
+    import numpy as np
+
+    from auditlake.operators import ranks
+
+    rng = np.random.default_rng(2)
+    rows = [(i, f"g{i % 3}" if i % 7 else "g0", float(rng.choice([0.0, 0.25, 0.5, 1.0, rng.random()]))) for i in range(700)] + [(900 + i, "small", 0.5) for i in range(4)]
+    table = spark.createDataFrame(rows, "id long, g string, v double").repartition(5)
+    tiles = {r["id"]: r["t"] for r in ranks.ntile(table, ["g"], "v", "id", 15, "t").collect()}
+    quantiles = {r["g"]: r["values"] for r in ranks.quantiles(table, ["g"], "v", "id", [0.0, 0.1, 0.5, 0.93, 1.0]).collect()}
+    for g in {r[1] for r in rows}:
+        own = sorted((r for r in rows if r[1] == g), key=lambda r: (r[2], r[0]))
+        for k, part in enumerate(np.array_split(np.arange(len(own)), 15), 1):
+            assert all(tiles[own[j][0]] == k for j in part)
+        assert quantiles[g] == pytest.approx(np.quantile([r[2] for r in own], [0.0, 0.1, 0.5, 0.93, 1.0]))
+
+
+def test_standardization_is_null_without_a_class(spark):
+    rows = [(i, v, "H1", y, 0.6, 0.2, 0.2, 0.6, 0, int(y == 0)) for i, (v, y) in enumerate([("D0", 0), ("D0", 1), ("D0", 2), ("D5", 0), ("D5", 1), ("D5", 0)])]
+    table = spark.createDataFrame(rows, CELLS)
+    found = {r["variant"]: r for r in metrics.standardized_ece(table, "D0").collect()}
+    assert found["D5"]["ece"] is None and found["D0"]["ece"] is not None
+    one = metrics.standardized_delta(table, "D0", "D5").first()
+    assert one["forward"] is None and one["backward"] is not None
+
+
+def test_finalize_and_maps(spark):
+    t = lambda rows: spark.createDataFrame(rows, "id string, label string")
+    good, bad = integrity.finalize(t([("a0", "x"), ("a1", "x"), ("a2", "y"), ("a3", "x")]), t([("a0", "x"), ("a1", "y"), ("a2", "y"), ("a4", "x")]), t([("a1", "y"), ("a2", "z"), ("a9", "x")]), "id", "label")
+    assert {r["id"]: r["label"] for r in good.collect()} == {"a0": "x", "a1": "y"}
+    assert {r["id"]: r["reason"] for r in bad.collect()} == {"a2": "agreed row changed", "a3": "one annotator", "a4": "one annotator", "a9": "unknown id"}
+    m = lambda rows: spark.createDataFrame(rows, "s string, targets array<string>, relation string")
+    out = integrity.merge_maps(m([("a", ["x", "y"], "is"), ("b", ["x"], "is"), ("c", ["x"], "is"), ("d", ["x"], "is")]), m([("a", ["y", "x"], "is"), ("b", ["x"], "has"), ("c", ["y"], "is"), ("d", ["z"], "is")]), m([("b", ["q"], "near"), ("c", ["w"], "near")]), ["s"])
+    assert {r["s"]: (r["targets"], r["relation"], r["status"]) for r in out.collect()} == {"a": (["x", "y"], "is", "agree"), "b": (["x"], "near", "same targets"), "c": (["w"], "near", "adjudicated"), "d": (None, None, "undecided")}
