@@ -353,14 +353,12 @@ def train(docs: DataFrame) -> Model:
         return pd.DataFrame([*rows, (2, part, None, None, _counted(c))], columns=_STATS)
 
     triple_sums = _triples(docs, model).unionByName(every).groupBy("part").applyInPandas(store_triples, STATS)
-    triple_sums = materialize(triple_sums, "triple-sums")
-    counted = np.array([r["counted"] for r in triple_sums.where("kind = 2").select("counted").collect()]).sum(0)  # a row a part
-    of_triples = _discounts(counted)
     blank = spark.range(parts).selectExpr("9 AS kind", "CAST(id AS INT) AS part", "CAST(NULL AS BINARY) AS keys", "CAST(NULL AS ARRAY<BINARY>) AS values", "CAST(NULL AS ARRAY<BIGINT>) AS counted")
 
     def store_continuations(pdf: pd.DataFrame) -> pd.DataFrame:
         """Keep each pair's number of words before it; tell the sums of these by the pair's first word."""
         part = int(pdf["part"].iloc[0])
+        of_triples = [(3, part, None, None, x) for x in pdf["counted"][pdf["kind"] == 2]]
         pdf = pdf[pdf["kind"] == 0]
         pairs = read_part(folder, "pairs", part)
         n = np.zeros(len(pairs), np.int64)
@@ -372,12 +370,11 @@ def train(docs: DataFrame) -> Model:
         n[at_begin] = _read_counts(folder, "pair", np.full(len(at_begin), part), at_begin)[0]
         _write_counts(folder, "continuation", part, n)
         ids, *sums_ = merge([first], [n], [n == 1], [n == 2], [n > 2])
-        return pd.DataFrame([*_pieces(0, ids, tuple(sums_), parts, ranges), (2, part, None, None, _counted(n))], columns=_STATS)
+        return pd.DataFrame([*_pieces(0, ids, tuple(sums_), parts, ranges), (2, part, None, None, _counted(n)), *of_triples], columns=_STATS)
 
-    merged = triple_sums.where("kind = 0").unionByName(blank).groupBy("part").applyInPandas(store_continuations, STATS)
+    merged = triple_sums.unionByName(blank).groupBy("part").applyInPandas(store_continuations, STATS)
     merged = materialize(merged, "continuation-sums")
-    counted = np.array([r["counted"] for r in merged.where("kind = 2").select("counted").collect()]).sum(0)  # a row a part
-    of_pairs = _discounts(counted)
+    of_pairs, of_triples = (_discounts(np.array([r["counted"] for r in merged.where(F.col("kind") == k).select("counted").collect()]).sum(0)) for k in (2, 3))  # a row a part
 
     def continuation(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         some = pdf[pdf["kind"] == 1]
