@@ -16,21 +16,29 @@ _codec = pa.Codec("zstd", 1)
 
 
 def pack(values: np.ndarray) -> bytes:
-    """A compact form of an integer array; sorted ones are kept as differences."""
+    """A compact form of an integer array; sorted ones are kept as differences, of long ones in the upper half only."""
     values = values.astype(np.uint64)
+    form = 0
     if len(values) > 1 and bool((values[1:] >= values[:-1]).all()):
-        sign, values = 1, np.diff(values, prepend=np.uint64(0))
-    else:
-        sign = 0
+        form = 2 if values[-1] >> np.uint64(32) else 1
+    if form == 1:
+        values = np.diff(values, prepend=np.uint64(0))
+    elif form == 2:
+        high = values >> np.uint64(32)
+        values = np.diff(high, prepend=np.uint64(0)) << np.uint64(32) | values & np.uint64(0xFFFFFFFF)
     planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T)
-    return bytes([sign]) + len(values).to_bytes(8, "little") + _codec.compress(planes.tobytes(), asbytes=True)
+    return bytes([form]) + len(values).to_bytes(8, "little") + _codec.compress(planes.tobytes(), asbytes=True)
 
 
 def unpack(raw: bytes) -> np.ndarray:
     n = int.from_bytes(raw[1:9], "little")
     planes = np.frombuffer(_codec.decompress(raw[9:], 8 * n, asbytes=True), np.uint8).reshape(8, n)
     values = np.ascontiguousarray(planes.T).reshape(-1).view(np.uint64)
-    return np.cumsum(values, dtype=np.uint64) if raw[0] else values
+    if raw[0] == 1:
+        return np.cumsum(values, dtype=np.uint64)
+    if raw[0] == 2:
+        return np.cumsum(values >> np.uint64(32), dtype=np.uint64) << np.uint64(32) | values & np.uint64(0xFFFFFFFF)
+    return values
 
 
 def squeeze(raw: bytes) -> bytes:

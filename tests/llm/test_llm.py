@@ -45,6 +45,14 @@ def test_hash_table():
     assert (table_.find(keys[::2]) == np.arange(len(keys[::2]))).all() and (table_.find(keys[1::2]) == -1).all()
 
 
+def test_packed_arrays():
+    from auditlake.llm._store import pack, unpack
+
+    long = RNG.integers(0, 2**63, 5000).astype(np.uint64)
+    for x in (long, np.sort(long), np.sort(long >> np.uint64(40)), np.repeat(np.sort(long), 2), long[:1], long[:0], np.array([2**64 - 1, 2**64 - 1], np.uint64)):
+        assert (unpack(pack(x)) == x).all()
+
+
 def test_chunks_cover_the_text():
     import pyarrow as pa
 
