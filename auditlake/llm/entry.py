@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
-from . import byte_bpe, embedding_dedup, lm_scoring, order_minhash, packing, quality_rules, substring_dedup, token_output, toxicity, url_filter
+from . import byte_bpe, embedding_dedup, hard_negatives, lm_scoring, order_minhash, packing, periodic_runs, quality_rules, sharding, substring_dedup, token_output, toxicity, url_filter
 from ._scratch import materialize
 
 #: Where the public tokenizer files are; every operator takes the path as a parameter.
@@ -91,6 +91,23 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.dedup(_table(spark, sf_dir, "embeddings"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.assign(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    texts = docs.select("doc_id", periodic_runs.with_tails(F.col("doc_id"), F.col("text")).alias("text"))
+    return periodic_runs.digests(texts).drop("n_words")
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.select("vec_id", label.alias("label"), "embedding"), F.col("vec_id") % 100 == 0, 256.0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -109,6 +126,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8,
         "op9_byte_bpe": op9,
         "op10_embedding_dedup": op10,
+        "op11_sharding": op11,
+        "op12_periodic_runs": op12,
+        "op13_hard_negatives": op13,
         "pipeline": pipeline,
         "quality_rule_ablations": ablations,
     }
@@ -181,5 +201,40 @@ FROM u LEFT JOIN fit ON u.host = fit.host AND u.path = fit.path
 """
 
 
+#: The checksum of a text by its table, which is built from the polynomial; then both rankings as plain windows.
+SQL_OP11 = """
+WITH RECURSIVE steps(i, b, c) AS (SELECT 0, b, b FROM range(256) r(b) UNION ALL SELECT i + 1, b, xor(c >> 1, (c & 1) * 3988292384) FROM steps WHERE i < 8),
+t AS (SELECT list(c ORDER BY b) AS t FROM steps WHERE i = 8),
+d AS (
+  SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+         xor(4294967295, coalesce(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)) AS crc,
+         ('0x' || substr(sha256(concat_ws(':', 'shards', doc_id::VARCHAR)), 1, 13))::BIGINT AS h,
+         ('0x' || substr(sha256(concat_ws(':', 'shards', 'stratum', source)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS shift
+  FROM documents, t),
+f AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, crc, size) - 1 + shift) / count(*) OVER (PARTITION BY source) AS fraction FROM d),
+r AS (SELECT *, row_number() OVER (ORDER BY fraction, source, h, crc, size) - 1 AS rank, count(*) OVER () AS total FROM f)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'rows' AS law, (rank * 16 // total)::INTEGER AS shard,
+       (rank - ((rank * 16 // total) * total + 15) // 16)::BIGINT AS slot, NULL::INTEGER AS grown_shard
+FROM r
+"""
+
+SQL_OP13 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, list_inner_product(a.e, v.e)::BIGINT AS score
+  FROM v AS a JOIN v ON a.vec_id <> v.vec_id AND len(a.e) = len(v.e) WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": SQL_OP1, "op5_url_filter": SQL_OP5, "quality_rule_ablations": SQL_ABLATIONS}
+    return {"op1_quality_rules": SQL_OP1, "op5_url_filter": SQL_OP5, "quality_rule_ablations": SQL_ABLATIONS, "op11_sharding": SQL_OP11, "op13_hard_negatives": SQL_OP13}
