@@ -6,15 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..shared import shared_dir
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in spark.checkpoint.dir, which executors share."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+from ..shared import saved
 
 
 def candidates(nodes: DataFrame, num: int = 17, den: int = 20) -> DataFrame:

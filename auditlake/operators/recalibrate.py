@@ -1,29 +1,19 @@
-"""Temperature refits: learning curves over budgets and methods, and a two-stage bootstrap.
-
-Cells carry logits z0..z2 and state_id. Fits are Newton passes whose gradients and curvatures
-are sums over cells, made where the cells are; the driver holds one number a policy, method
-and replicate.
-"""
+"""Learning curves of temperature fits over budgets and methods. Cells carry logits z0..z2 and state_id."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import argmax, softmax
+from ..shared import saved
 from . import metrics
-from .bootstrap import weights
 from .compare import shrink
-from .families import saved
 from .stats import fit_temperature
 
-LOW, HIGH = 0.05, 20.0
 LOGITS = ["z0", "z1", "z2"]
 
 
@@ -74,113 +64,3 @@ def smallest_budget(curve: DataFrame, most: float) -> DataFrame:
     later = W.partitionBy("method").orderBy(F.desc("budget")).rowsBetween(W.unboundedPreceding, 0)
     held = curve.withColumn("ok", F.min((F.col("mean_ece") <= most).cast("int")).over(later))
     return held.groupBy("method").agg(F.min(F.when(F.col("ok") == 1, F.col("budget"))).alias("budget"))
-
-
-def _arrays(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[str, np.ndarray, np.ndarray, list, np.ndarray]]:
-    """(policy, centred logits, labels, units, each cell's unit) of each policy in each batch."""
-    for pdf in frames:
-        for policy, own in pdf.groupby("policy", sort=False):
-            z = own[LOGITS].to_numpy(np.float64)
-            codes, units = pd.factorize(own["unit"])
-            yield policy, z - z.max(1, keepdims=True), own["state_id"].to_numpy(np.int64), units.tolist(), codes
-
-
-def _summed(rows: DataFrame, partial, columns: list[str]) -> DataFrame:
-    """policy and sums over tasks of the flat arrays that partial gives for each policy."""
-    schema = ", ".join(["policy string", *[f"{c} array<double>" for c in columns]])
-
-    def gather(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, list[np.ndarray]] = {}
-        for policy, *arrays in _arrays(frames):
-            new = partial(policy, *arrays)
-            held[policy] = [a + b for a, b in zip(held[policy], new)] if policy in held else new
-        if held:
-            yield pd.DataFrame([[p, *[x.tolist() for x in v]] for p, v in held.items()], columns=["policy", *columns])
-
-    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[*key, *[np.sum(np.stack(pdf[c].to_list()), axis=0).tolist() for c in columns]]], columns=["policy", *columns])
-
-    return rows.mapInPandas(gather, schema).groupBy("policy").applyInPandas(add, schema)
-
-
-def _rows(cells: DataFrame, unit: str) -> DataFrame:
-    return saved(cells.where("state_id IS NOT NULL").select(F.col(unit).alias("unit"), "policy", "state_id", *LOGITS))
-
-
-def refit(cells: DataFrame, unit: str, seed: str, replicates: int, passes: int = 40, tolerance: float = 1e-7) -> dict[str, np.ndarray]:
-    """log T of each policy in every replicate of a cluster bootstrap; all policies of a unit share its weight."""
-    rows = _rows(cells, unit)
-    tau: dict[str, np.ndarray] = {r["policy"]: np.zeros(replicates) for r in rows.select("policy").distinct().collect()}
-    bounds = {p: [np.full(replicates, math.log(LOW)), np.full(replicates, math.log(HIGH))] for p in tau}
-    ends = [math.log(LOW), math.log(HIGH)]
-    fixed = {p: np.zeros(replicates, bool) for p in tau}
-    for turn in range(-2, passes):  # the first two look at the bounds, where an optimum may lie
-        if turn < 0:
-            tau = {p: np.full(replicates, ends[turn + 2]) for p in tau}
-
-        def partial(policy, z, y, units, codes, tau=tau):
-            w = weights(seed, units, 0, replicates)[codes]
-            b = np.exp(-tau[policy])
-            e = np.exp(z[:, :, None] * b)  # cell, class, replicate
-            e /= e.sum(1, keepdims=True)
-            m, m2 = (z[:, :, None] * e).sum(1), (z[:, :, None] ** 2 * e).sum(1)
-            own = z[np.arange(len(y)), y][:, None]
-            return [(w * b * (own - m)).sum(0), (w * b * b * (m2 - m * m)).sum(0), w.sum(0)]
-
-        moved = 0.0
-        for r in _summed(rows, partial, ["g", "h", "n"]).collect():  # a row a policy
-            p, n = r["policy"], np.maximum(np.array(r["n"]), 1e-12)
-            grad, curve = np.array(r["g"]) / n, (np.array(r["h"]) - np.array(r["g"])) / n
-            low, high = bounds[p]
-            now = tau[p]
-            if turn < 0:
-                out = grad > 0 if turn == -2 else grad <= 0
-                low[out & ~fixed[p]] = high[out & ~fixed[p]] = ends[turn + 2]
-                fixed[p] |= out
-                continue
-            high[grad > 0], low[grad <= 0] = now[grad > 0], now[grad <= 0]
-            new = now - grad / np.where(curve > 0, curve, np.inf)
-            new = np.where((curve > 0) & (new > low) & (new < high), new, (low + high) / 2)
-            new = np.where(fixed[p], now, new)
-            moved = max(moved, float(np.abs(new - now).max()))
-            tau[p] = new
-        if turn == -1:
-            tau = {p: np.where(fixed[p], bounds[p][0], 0.0) for p in tau}
-        elif turn >= 0 and moved < tolerance:
-            break
-    return tau
-
-
-def two_stage(calib: DataFrame, test: DataFrame, unit: str, seed: str, replicates: int, bins: int = metrics.BINS) -> DataFrame:
-    """policy, replicate, log_t, ece, nll: T refitted on resampled calib units, evaluated on resampled test units.
-
-    The two samples are resampled apart; the same replicate number pairs them.
-    """
-    tau = refit(calib, unit, f"{seed}-calib", replicates)
-    edges = np.arange(1, bins) / bins
-
-    def partial(policy, z, y, units, codes):
-        sums = np.zeros((2, bins, replicates))
-        nll = np.zeros(replicates)
-        if policy in tau:
-            w = weights(f"{seed}-test", units, 0, replicates)[codes]
-            hit = z.argmax(1) == y
-            for k in range(replicates):
-                e = np.exp(z * math.exp(-tau[policy][k]))
-                total = e.sum(1)
-                conf = e.max(1) / total
-                at = np.searchsorted(edges, conf, "right")
-                sums[0, :, k] = np.bincount(at, w[:, k] * (hit - conf), bins)
-                sums[1, :, k] = np.bincount(at, w[:, k], bins)
-                nll[k] = -(w[:, k] * np.log(np.maximum(e[np.arange(len(y)), y] / total, 1e-12))).sum()
-        return [sums.reshape(-1), nll]
-
-    def values(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        if key[0] not in tau:
-            return pd.DataFrame([], columns=["policy", "replicate", "log_t", "ece", "nll"])
-        gap, n = np.array(pdf["sums"].iloc[0]).reshape(2, bins, replicates)
-        total = np.where(n.sum(0) > 0, n.sum(0), np.nan)
-        return pd.DataFrame({"policy": key[0], "replicate": np.arange(1, replicates + 1), "log_t": tau[key[0]], "ece": np.abs(gap).sum(0) / total, "nll": np.array(pdf["nll"].iloc[0]) / total})
-
-    summed = _summed(_rows(test, unit), partial, ["sums", "nll"])
-    return summed.groupBy("policy").applyInPandas(values, "policy string, replicate int, log_t double, ece double, nll double")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .families import saved
+from ..shared import saved
 
 
 def chi2_sf(x: float, df: int) -> float:

@@ -9,6 +9,7 @@ from ..operators import audit as A
 from ..operators import bootstrap as B
 from ..operators import metrics as M
 from ..operators import recalibrate as L
+from ..operators import refits as T
 from ..operators import stats as S
 from ..operators.sampling import global_rank
 from .metric_queries import _ECE, PRE, cells, rounded
@@ -80,8 +81,7 @@ def _smallest(s, d):
 
 def _two_stage(s, d):
     _, calib, test = _parts(s, d)
-    values = L.two_stage(calib, test, "doc_id", "two", 160)
-    return rounded(values)
+    return rounded(T.two_stage(calib, test, "doc_id", [50, 100, 200, 500], "two", 160))
 
 
 def _logistic(s, d):

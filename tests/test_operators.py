@@ -282,32 +282,14 @@ def best_log_t(rows, w):
     return (low + high) / 2
 
 
-def test_fits_and_two_stage_bootstrap(spark):
+def test_temperature_fits(spark):
     import numpy as np
 
-    from auditlake.operators import recalibrate
-
     rows, table = logit_cells(spark)
     for r in stats.fit_temperature(table, ["policy"]).collect():
         assert np.log(r["temperature"]) == pytest.approx(best_log_t([x for x in rows if x[1] == r["policy"]], 1.0), abs=1e-5) and not r["at_bound"]
     sure = spark.createDataFrame([(i, "H1", 0, 9.0, 0.0, 0.0) for i in range(20)], table.schema)
     assert [(r["temperature"], r["at_bound"]) for r in stats.fit_temperature(sure, ["policy"]).collect()] == [(pytest.approx(0.05), True)]
-    found = {(r["policy"], r["replicate"]): r for r in recalibrate.two_stage(table.where("doc_id < 120").repartition(3), table.where("doc_id >= 120"), "doc_id", "s", 12).collect()}
-    assert len(found) == 24
-    for (policy, k), r in found.items():
-        if k not in (1, 7, 12):
-            continue
-        calib = [x for x in rows if x[1] == policy and x[0] < 120]
-        w = bootstrap.weights("s-calib", [x[0] for x in calib], 0, 12)[:, k - 1]
-        assert r["log_t"] == pytest.approx(best_log_t(calib, w), abs=1e-5)
-        test = [x for x in rows if x[1] == policy and x[0] >= 120]
-        w = bootstrap.weights("s-test", [x[0] for x in test], 0, 12)[:, k - 1]
-        z = np.array([x[3:] for x in test]) / np.exp(r["log_t"])
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        y, bins = np.array([x[2] for x in test]), (p.max(1)[:, None] >= np.arange(1, 15) / 15).sum(1)
-        gap = sum(abs((w * ((p.argmax(1) == y) - p.max(1)))[bins == b].sum()) for b in range(15))
-        assert r["ece"] == pytest.approx(gap / w.sum()) and r["nll"] == pytest.approx((-w * np.log(p[np.arange(len(y)), y])).sum() / w.sum())
 
 
 def test_learning_curve(spark):
