@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from fractions import Fraction
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,45 +86,6 @@ def allocate(rows: DataFrame, strata: list[tuple[str, Column, int]], unit: str,
     return out.withColumn("place", F.row_number().over(W.partitionBy("stratum").orderBy("_o"))).drop("_o")
 
 
-def interleave(quotas: dict[str, int], order: list[str] | None = None) -> list[tuple[str, int]]:
-    """Order of (stratum, k) whose every prefix is near proportional; from counts alone.
-
-    Each step takes the stratum with the largest deficit; of equal ones the first in the given order.
-    """
-    order = list(order or quotas)
-    total, given, out = sum(quotas.values()), dict.fromkeys(order, 0), []
-    for n in range(1, total + 1):
-        # deficits in integers, so that equal ones are equal
-        name = max((s for s in order if given[s] < quotas[s]), key=lambda s: (quotas[s] * n - given[s] * total, -order.index(s)))
-        given[name] += 1
-        out.append((name, given[name]))
-    return out
-
-
-def balanced_prefixes(rows: DataFrame, stratum: str, order: Column, strata: list[str]) -> DataFrame:
-    """rows with the position of a proportional-deficit interleave of the strata, each taken in the given order."""
-    placed = rows.withColumn("place", F.row_number().over(W.partitionBy(stratum).orderBy(order)))
-    counts = {r[stratum]: r["n"] for r in rows.groupBy(stratum).agg(F.count("*").alias("n")).collect()}  # a row a stratum
-    sequence = interleave({s: counts.get(s, 0) for s in strata}, strata)
-    places = rows.sparkSession.createDataFrame([(s, k, n) for n, (s, k) in enumerate(sequence, 1)], f"{stratum} string, place int, position int")
-    return placed.join(places, [stratum, "place"])
-
-
-def balanced(capacity: dict[str, int], total: int) -> dict[str, int]:
-    """Allocation of a total, one at a time to the stratum with the least so far.
-
-    Of equal ones the least filled in proportion to its capacity goes first, then the first by
-    name. A total beyond all capacities is an error.
-    """
-    if total > sum(capacity.values()):
-        raise ValueError(f"{total} rows asked of {sum(capacity.values())}")
-    out = dict.fromkeys(sorted(capacity), 0)
-    for _ in range(total):
-        name = min((s for s in out if out[s] < capacity[s]), key=lambda s: (out[s], Fraction(out[s], capacity[s]), s))
-        out[name] += 1
-    return out
-
-
 def helmert(k: int) -> np.ndarray:
     """k - 1 orthonormal contrasts."""
     m = np.zeros((k - 1, k))

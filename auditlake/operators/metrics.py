@@ -60,7 +60,7 @@ def quantile_edges(cells: DataFrame, keys: list[str], tie: str = "doc_id", bins:
 
 def adaptive_ece(cells: DataFrame, keys: list[str], tie: str, bins: int = BINS) -> DataFrame:
     """Equal-count calibration error; equal confidences are ordered by tie."""
-    placed = ranks.ntile(cells.where(F.col("correct").isNotNull()), keys, "conf", tie, bins, "bin")
+    placed = ranks.ntile(cells.where(F.col("correct").isNotNull()).select(*keys, "conf", "correct", tie), keys, "conf", tie, bins, "bin")
     table = placed.groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.avg("conf").alias("mean_conf"), F.avg("correct").alias("accuracy"))
     return _gap(table, keys)
 
@@ -98,10 +98,8 @@ def auroc(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Area under the curve of p1 among applicable cells; distinct scores are counted before ranking."""
     y = F.col("state_id")
     counted = cells.where("state_id IN (0, 1)").groupBy(*keys, "p1").agg(F.sum(F.when(y == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(y == 0, 1).otherwise(0)).alias("neg"))
-    counted = ranks.with_offsets(counted, keys, "p1", F.col("neg"))
-    inside = F.coalesce(F.sum("neg").over(W.partitionBy(*keys, "cell").orderBy("p1").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    below = F.col("before") + inside
-    area = counted.withColumn("won", F.col("pos") * (below + F.col("neg") / 2)).groupBy(*keys).agg(F.sum("won").alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counted = ranks.running(counted, keys, "p1", "neg")
+    area = counted.withColumn("won", F.col("pos") * (F.col("below") + F.col("neg") / 2)).groupBy(*keys).agg(F.sum("won").alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     return area.select(*keys, F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("won") / (F.col("pos") * F.col("neg"))).alias("auroc"))
 
 
@@ -249,7 +247,7 @@ def scorer_audit(cells: DataFrame, scorer: str, category: str, label: str, score
     label is 0 or 1; each class of a category weighs one half in all.
     """
     keys = [scorer, category]
-    scored = ranks.ntile(cells.where(F.col(label).isNotNull()), keys, score, tie, bins, "bin")
+    scored = ranks.ntile(cells.where(F.col(label).isNotNull()).select(*keys, label, score, tie), keys, score, tie, bins, "bin")
     y = F.col(label)
     sums = scored.groupBy(*keys, "bin").agg(*[f.alias(n) for n, f in (("n1", F.sum(y)), ("n0", F.sum(1 - y)), ("s1", F.sum(y * F.col(score))), ("s0", F.sum((1 - y) * F.col(score))))])
     part = W.partitionBy(*keys)

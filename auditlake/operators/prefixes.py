@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .sampling import global_rank
+from . import ranks
 
 #: Positions that one task walks.
 BLOCK = 1 << 18
@@ -85,22 +85,16 @@ def positions(spark: SparkSession, quotas: dict[str, int], stratum: str = "strat
 
 
 def balanced_prefixes(rows: DataFrame, stratum: str, digest: Column, strata: list[str]) -> DataFrame:
-    """rows with their place in their stratum by a hex digest, and their position in a balanced order of the strata.
+    """rows with their place in their stratum by a digest, and their position in a balanced order of the strata.
 
     Rows of other strata are left out.
     """
-    held = rows.where(F.col(stratum).isin(strata))
+    held = rows.where(F.col(stratum).isin(strata)).withColumn("_digest", digest)
     counts = {r[stratum]: r["n"] for r in held.groupBy(stratum).agg(F.count("*").alias("n")).collect()}  # a row a stratum
-    ranked = global_rank(held, F.concat(digest, F.lit(":"), stratum))
-    part = W.partitionBy(stratum)
-    placed = stratum_rank(ranked, stratum, part)
+    placed = ranks.ranked(held, [stratum], "_digest").drop("_digest", "total").withColumnRenamed("rank", "place")
     return placed.join(positions(rows.sparkSession, {s: counts.get(s, 0) for s in strata}, stratum), [stratum, "place"])
 
 
-def stratum_rank(ranked: DataFrame, stratum: str, part: W) -> DataFrame:
-    raise NotImplementedError
-
-
 def balanced_quotas(capacities: DataFrame, stratum: str, capacity: str, total: int) -> DataFrame:
     """stratum, capacity, quota: a total dealt as equally as the capacities allow.
 

@@ -1,7 +1,9 @@
-"""Ranks inside large groups without sorting a group in one task.
+"""Ranks inside groups of any size without sorting a group in one task.
 
-Scores from 0 to 1 fall into ``CELLS`` cells. The counts of the cells, a small table, give each
-cell its offset in its group, and only the rows of one cell are sorted together.
+Rows are range-sorted on group, score and tie, and a row number last, between splitters that Spark
+samples from the rows themselves: scores may be as skewed or as equal as they like, parts stay
+near equal. The counts of the parts, a small table, give each part its offset in its group. The
+sorted rows are checkpointed, so that parts are the same whenever they are read.
 """
 
 from __future__ import annotations
@@ -10,28 +12,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-CELLS = 256
+from ..shared import saved
 
+#: Low bits of a generated row number, which count within its part.
+_WITHIN = (1 << 33) - 1
 
-def cell_of(score: Column, cells: int = CELLS) -> Column:
-    return F.least(F.greatest(F.floor(score * cells), F.lit(0)), F.lit(cells - 1)).cast("int")
 
+def _parts(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """rows sorted by keys and order, with their part (_part) and place in it (_at)."""
+    salted = rows.withColumn("_salt", F.monotonically_increasing_id())
+    placed = salted.repartitionByRange(*keys, *order, "_salt").sortWithinPartitions(*keys, *order, "_salt").drop("_salt")
+    stored = saved(placed.withColumn("_at", F.monotonically_increasing_id()))
+    return stored.withColumns({"_part": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit(_WITHIN))})
 
-def with_offsets(rows: DataFrame, keys: list[str], score: str, amount: Column, cells: int = CELLS) -> DataFrame:
-    """rows with their cell, the amount in smaller cells of the group (before) and in the whole group (total)."""
-    placed = rows.withColumn("cell", cell_of(F.col(score), cells))
-    sums = placed.groupBy(*keys, "cell").agg(F.sum(amount).alias("own"))
-    part = W.partitionBy(*keys)
-    below = F.coalesce(F.sum("own").over(part.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = sums.select(*keys, "cell", below.alias("before"), F.sum("own").over(part).alias("total"))
-    return placed.join(offsets, [*keys, "cell"])
 
+def _offsets(parts: DataFrame, keys: list[str], amount: Column) -> DataFrame:
+    """parts with the amount in earlier parts of the group (before), in all of it (total), and the group's first place in the part (_first)."""
+    sums = parts.groupBy("_part", *keys).agg(F.sum(amount).alias("_own"), F.min("_at").alias("_first"))
+    group = W.partitionBy(*keys)
+    before = F.coalesce(F.sum("_own").over(group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("_part", *keys, "_first", before.alias("before"), F.sum("_own").over(group).alias("total"))
+    on = [F.col("r._part") == F.col("o._part"), *[F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]]
+    return parts.alias("r").join(sums.alias("o"), on).select("r.*", "_first", "before", "total")
 
-def ranked(rows: DataFrame, keys: list[str], score: str, tie: str) -> DataFrame:
-    """rows with rank from 1 by (score, tie) in their group, and the group's total."""
-    placed = with_offsets(rows, keys, score, F.lit(1))
-    within = F.row_number().over(W.partitionBy(*keys, "cell").orderBy(score, tie))
-    return placed.withColumn("rank", F.col("before") + within).drop("cell", "before")
+
+def ranked(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """rows with rank from 1 by the order columns in their group, and the group's total."""
+    placed = _offsets(_parts(rows, keys, list(order)), keys, F.lit(1))
+    return placed.withColumn("rank", F.col("before") + F.col("_at") - F.col("_first") + 1).drop("_part", "_at", "_first", "before")
+
+
+def running(rows: DataFrame, keys: list[str], score: str, amount: str) -> DataFrame:
+    """rows, of which a group has one a score, with the amount of all lower scores in their group (below)."""
+    placed = _offsets(_parts(rows, keys, [score]), keys, F.col(amount))
+    inside = F.sum(amount).over(W.partitionBy("_part", *keys).orderBy(score).rowsBetween(W.unboundedPreceding, -1))
+    return placed.withColumn("below", F.col("before") + F.coalesce(inside, F.lit(0))).drop("_part", "_at", "_first", "before", "total")
 
 
 def ntile(rows: DataFrame, keys: list[str], score: str, tie: str, n: int, name: str) -> DataFrame:
@@ -44,7 +59,7 @@ def ntile(rows: DataFrame, keys: list[str], score: str, tie: str, n: int, name:
 
 def quantiles(rows: DataFrame, keys: list[str], score: str, tie: str, shares: list[float]) -> DataFrame:
     """keys, values: exact quantiles by linear interpolation between the two rows that enclose each share."""
-    placed = ranked(rows, keys, score, tie)
+    placed = ranked(rows.select(*keys, score, tie), keys, score, tie)
     ends = []
     for q in shares:
         at = F.lit(q) * (F.col("total") - 1)

@@ -112,11 +112,16 @@ def terciles(rows: DataFrame, keys: list[str], score: str, tie: str) -> DataFram
 
 
 def stratified_draw(rows: DataFrame, stratum: list[str], order: list, n: int) -> DataFrame:
-    """At most n a stratum with inclusion probability and its inverse as weight."""
-    part = W.partitionBy(*stratum)
-    ranked = rows.withColumns({"place": F.row_number().over(part.orderBy(*order)), "population": F.count("*").over(part)})
+    """At most n a stratum with inclusion probability and its inverse as weight.
+
+    Only the place is ranked, so each task hands on at most n rows a stratum; populations are counts that
+    are joined to the drawn rows.
+    """
+    drawn = rows.withColumn("place", F.row_number().over(W.partitionBy(*stratum).orderBy(*order))).where(F.col("place") <= n)
+    held = rows.groupBy(*stratum).agg(F.count("*").alias("population"))
+    on = [F.col(f"d.{s}").eqNullSafe(F.col(f"h.{s}")) for s in stratum]
     p = F.least(F.lit(1.0), F.lit(n) / F.col("population"))
-    return ranked.where(F.col("place") <= n).withColumns({"inclusion": p, "weight": 1 / p})
+    return drawn.alias("d").join(held.alias("h"), on).select("d.*", "population").withColumns({"inclusion": p, "weight": 1 / p})
 
 
 def choose_one(options: Column, digest: Column) -> Column:

@@ -15,6 +15,7 @@ from ..operators import audit as A
 from ..operators import compare as C
 from ..operators import integrity as I
 from ..operators import metrics as M
+from ..operators import prefixes as P
 from ..operators import sampling as S
 from ..operators import stats
 from ..shared import shared_dir
@@ -182,10 +183,31 @@ _BAL = PRE + ", c AS (SELECT doc_id, policy, state_id FROM label_cells WHERE var
 
 
 def _prefixes(s, d):
-    placed = C.balanced_prefixes(_DOC(s, d).select("doc_id", "lang"), "lang", digest("pre", F.col("doc_id")), ["en", "de", "fr", "es"])
+    placed = P.balanced_prefixes(_DOC(s, d).select("doc_id", "lang"), "lang", digest("pre", F.col("doc_id")), ["en", "de", "fr", "es"])
     return placed.select("doc_id", "lang", "place", "position")
 
 
+_PREFIXES = """WITH RECURSIVE s AS (SELECT ['en', 'de', 'fr', 'es'] AS names),
+r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256(concat_ws(':', 'pre', doc_id::VARCHAR))) AS place FROM documents, s WHERE list_contains(names, lang)),
+t AS (SELECT quota, list_sum(quota) AS total FROM (SELECT [n_en, n_de, n_fr, n_es] AS quota FROM (SELECT count(*) FILTER (lang = 'en') AS n_en, count(*) FILTER (lang = 'de') AS n_de, count(*) FILTER (lang = 'fr') AS n_fr, count(*) FILTER (lang = 'es') AS n_es FROM r))),
+g(n, pick, given) AS (SELECT 0, 0, [0, 0, 0, 0] UNION ALL
+  SELECT n + 1, p, [given[i] + (i = p)::INTEGER FOR i IN range(1, 5)]
+  FROM (SELECT n, given, list_sort([{'lack': given[i] * total - quota[i] * (n + 1), 'i': i} FOR i IN range(1, 5)])[1].i AS p FROM g, t WHERE n < total))
+SELECT doc_id, lang, place::BIGINT AS place, n::BIGINT AS position FROM g, s JOIN r ON r.lang = names[pick] AND r.place = given[pick] WHERE pick > 0"""
+
+
+def _quotas(s, d):
+    sizes = _DOC(s, d).groupBy(F.concat_ws(":", "lang", "source").alias("stratum")).agg(F.count("*").alias("capacity"))
+    return P.balanced_quotas(sizes, "stratum", "capacity", 150)
+
+
+_QUOTAS = """WITH RECURSIVE c AS (SELECT list(s ORDER BY s) AS names, list(n ORDER BY s) AS cap FROM (SELECT lang || ':' || source AS s, count(*) AS n FROM documents GROUP BY 1)),
+g(k, a) AS (SELECT 0, [0 FOR x IN cap] FROM c UNION ALL
+  SELECT k + 1, [a[i] + (i = p)::INTEGER FOR i IN range(1, len(a) + 1)]
+  FROM (SELECT k, a, list_sort(list_filter([{'a': a[i], 'f': a[i] / cap[i]::DOUBLE, 'i': i} FOR i IN range(1, len(a) + 1)], lambda x: x.a < cap[x.i]))[1].i AS p FROM g, c WHERE k < 150))
+SELECT unnest(names) AS stratum, unnest(cap) AS capacity, unnest(a)::BIGINT AS quota FROM g, c WHERE k = 150"""
+
+
 def _floor(s, d):
     rows = _DOC(s, d).where("n_chars > 300").select("doc_id", F.array("lang", "source").alias("groups"), digest("ff", F.col("doc_id")).alias("o"))
     return S.floor_then_fill(rows, "doc_id", "groups", ["o"], 4, 200)
@@ -315,7 +337,8 @@ QUERIES = {
     "candidate_shortfall": (lambda s, d: S.shortfall(_candidates(s, d), ["de", "long", "none", "src0"], 40), _CAND + "SELECT x AS stratum, count(k.doc_id) AS n, 40 - count(k.doc_id) AS short FROM (SELECT unnest(['de', 'long', 'none', 'src0']) AS x) LEFT JOIN k ON s = x GROUP BY x"),
     "class_balanced_set": (lambda s, d: _balanced(s, d)[1], _BAL + "SELECT doc_id, chosen_by FROM u"),
     "support_gate": (lambda s, d: S.support_gate(*_balanced(s, d), "doc_id", 20), _BAL + "SELECT policy, count(*) FILTER (state_id = 1) AS n_violated, count(*) FILTER (state_id = 0) AS n_satisfied, least(count(*) FILTER (state_id = 1), count(*) FILTER (state_id = 0)) >= 20 AS passes FROM c WHERE doc_id IN (SELECT doc_id FROM u) GROUP BY policy"),
-    "balanced_prefixes": (_prefixes, None),
+    "balanced_prefixes": (_prefixes, _PREFIXES),
+    "balanced_quotas": (_quotas, _QUOTAS),
     "floor_then_fill": (_floor, _FLOOR),
     "audit_sheets": (_sheets, _SHEETS),
     "static_label_audit": (_CELLS(lambda c: A.static_audit(c.where("variant = 'D0'"), ["H1", "H2"], 0.34, 0.33)), PRE + "SELECT policy, count(*) FILTER (state_id = 0) AS satisfied, count(*) FILTER (state_id = 1) AS violated, count(*) FILTER (state_id = 2) AS not_applicable, round(avg((state_id = 2)::INTEGER), 6) AS na_share, policy IN ('H1', 'H2') AND count(*) FILTER (state_id = 1) < 0.34::DOUBLE * count(*) AS thin, avg((state_id = 2)::INTEGER) > 0.33::DOUBLE AS mostly_na FROM label_cells WHERE state_id IS NOT NULL AND variant = 'D0' GROUP BY policy"),

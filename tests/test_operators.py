@@ -175,16 +175,9 @@ def test_entry_and_registry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_allocations_from_counts():
+def test_contrasts():
     from auditlake.operators import compare
 
-    order = compare.interleave({"a": 6, "b": 3, "c": 1})
-    assert [sum(s == "a" for s, _ in order[:n]) for n in (5, 10)] == [3, 6] and len(set(order)) == 10
-    assert [s for s, _ in compare.interleave({"x": 1, "y": 1}, ["y", "x"])] == ["y", "x"]  # of equal deficits the first of the order
-    assert compare.balanced({"a": 1, "b": 5, "c": 9}, 9) == {"a": 1, "b": 4, "c": 4}
-    assert compare.balanced({"a": 3, "b": 100}, 3) == {"a": 1, "b": 2}  # of equal ones the one that is less full
-    with pytest.raises(ValueError):
-        compare.balanced({"a": 1}, 2)
     h = compare.helmert(4)
     assert abs(h @ h.T).round(9).tolist() == [[1, 0, 0], [0, 1, 0], [0, 0, 1]] and abs(h.sum(1)).max() < 1e-9
 
@@ -198,14 +191,6 @@ def test_shrink_to_the_pooled_fit(spark):
     assert sorted(round(r["log_t"], 3) for r in compare.shrink(wide, 0.0).collect()) == [-2.996, 2.996]  # clipped
 
 
-def test_balanced_prefixes(spark):
-    from auditlake.operators import compare
-
-    rows = spark.createDataFrame([(i, "a" if i % 3 else "b") for i in range(30)], "id long, s string")
-    placed = {r["position"]: r["s"] for r in compare.balanced_prefixes(rows, "s", F.col("id"), ["a", "b"]).collect()}
-    assert sorted(placed) == list(range(1, 31)) and all(abs(sum(placed[k] == "a" for k in range(1, n + 1)) - n * 2 / 3) <= 1 for n in range(1, 31))
-
-
 def test_wald_of_equal_effects(spark):
     from auditlake.operators import compare
 
