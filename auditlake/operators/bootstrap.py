@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.text import digest, hex_int
 
@@ -87,31 +88,6 @@ def ratio(units: DataFrame, unit: str, num: str, den: str, keys: list[str], seed
     return values_of(weighted_sums(units, unit, keys, [num, den], seed, replicates), keys, F.when(F.col(den) != 0, F.col(num) / F.col(den)))
 
 
-def ece(cells: DataFrame, unit: str, keys: list[str], seed: str, replicates: int, bin_column: Column, weight: Column | None = None) -> DataFrame:
-    """keys, replicate, value: calibration error of every replicate, with one weight a unit for all keys."""
-    w = F.lit(1.0) if weight is None else weight
-    binned = cells.where("correct IS NOT NULL").select(unit, *keys, bin_column.alias("bin"), (w * (F.col("correct") - F.col("conf"))).alias("g"), w.alias("n"))
-    sums = weighted_sums(binned, unit, [*keys, "bin"], ["g", "n"], seed, replicates)
-    each = sums.select(*keys, F.posexplode(F.arrays_zip("g", "n")).alias("k", "x")).select(*keys, "k", "x.*")
-    return each.groupBy(*keys, (F.col("k") + 1).alias("replicate")).agg((F.sum(F.abs("g")) / F.sum("n")).alias("value"))
-
-
-def rates(cells: DataFrame, unit: str, keys: list[str], seed: str, replicates: int) -> DataFrame:
-    """keys, metric (f1, fn_rate, fp_rate, nll, brier), replicate, value of every replicate."""
-    y, p = F.col("state_id"), F.col("pred")
-    own = F.element_at(F.array("p0", "p1", "p2"), y + 1)
-    square = reduce(lambda a, b: a + b, [F.pow(F.col(f"p{k}") - (y == k).cast("int"), F.lit(2)) for k in range(3)])
-    of = {"tp": (y == 1) & (p == 1), "fp": (y == 0) & (p == 1), "fn": (y == 1) & (p != 1), "pos": y == 1, "neg": y == 0}
-    sums = {n: c.cast("int") for n, c in of.items()} | {"all": F.lit(1), "nll": -F.log(F.greatest(own, F.lit(1e-12))), "brier": square}
-    rows = cells.where("state_id IS NOT NULL").select(unit, *keys, *[c.alias(n) for n, c in sums.items()])
-    found = weighted_sums(rows, unit, keys, list(sums), seed, replicates)
-    c = F.col
-    safe = lambda num, den: F.when(den != 0, num / den)
-    f1 = F.when((c("pos") > 0) & (c("neg") > 0), F.coalesce(safe(2 * c("tp"), 2 * c("tp") + c("fp") + c("fn")), F.lit(0.0)))
-    metrics = {"f1": f1, "fn_rate": safe(c("fn"), c("pos")), "fp_rate": safe(c("fp"), c("neg")), "nll": safe(c("nll"), c("all")), "brier": safe(c("brier"), c("all"))}
-    return reduce(DataFrame.unionByName, [values_of(found, keys, m).withColumn("metric", F.lit(n)) for n, m in metrics.items()])
-
-
 def delta(values: DataFrame, base: str, other: str, keys: list[str]) -> DataFrame:
     """keys, replicate, value: the other variant's value less the base's of the same replicate."""
     of = lambda v: F.max(F.when(F.col("variant") == v, F.col("value")))
@@ -127,14 +103,24 @@ def interval(values: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def simultaneous(values: DataFrame, estimate: DataFrame, key: str, centred: bool = False) -> DataFrame:
-    """key, low, high: max-|t| intervals over all keys; estimate has (key, value).
+    """key, low, high, n_valid: max-|t| intervals over all keys; estimate has (key, value).
 
-    Deviations are taken from the estimate, or with centred from the replicates' own mean.
+    Only replicates in which every key has a finite value count; with fewer than two, or an
+    estimate that is not finite, there are no bounds. With centred, each replicate and the
+    estimate are taken as differences from their means over the keys.
     """
-    est = estimate.select(key, F.col("value").alias("est"))
-    se = values.groupBy(key).agg(F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("se"), F.avg("value").alias("mean"))
-    scaled = values.join(F.broadcast(est), key).join(F.broadcast(se), key)
-    middle = F.col("mean") if centred else F.col("est")
-    t = F.when(F.col("se") > 0, F.abs(F.col("value") - middle) / F.col("se")).otherwise(0.0)
-    cut = scaled.groupBy("replicate").agg(F.max(t).alias("t")).agg(F.percentile("t", F.lit(0.95)).alias("cut"))
-    return est.join(se, key).join(F.broadcast(cut)).select(key, (F.col("est") - F.col("cut") * F.col("se")).alias("low"), (F.col("est") + F.col("cut") * F.col("se")).alias("high"))
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    every = W.partitionBy()
+    est = estimate.select(key, F.col("value").cast("double").alias("est"))
+    est = est.withColumns({"keys": F.count("*").over(every), "known": F.min(finite(F.col("est")).cast("int")).over(every)})
+    whole = W.partitionBy("replicate")
+    held = values.join(F.broadcast(est), key).withColumns({"has": F.count_if(finite(F.col("value"))).over(whole), "middle": F.avg("value").over(whole)}).where((F.col("has") == F.col("keys")) & (F.col("known") == 1))
+    if centred:
+        held = held.withColumn("value", F.col("value") - F.col("middle"))
+        est = est.withColumn("est", F.col("est") - F.avg("est").over(every))
+        held = held.drop("est").join(F.broadcast(est.select(key, "est")), key)
+    se = held.groupBy(key).agg(F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("se"), F.count("*").alias("n_valid")).where("n_valid >= 2")
+    t = F.when(F.col("se") > 1e-15, F.abs(F.col("value") - F.col("est")) / F.col("se")).otherwise(0.0)
+    cut = held.join(F.broadcast(se), key).groupBy("replicate").agg(F.max(t).alias("t")).agg(F.percentile("t", F.lit(0.95)).alias("cut"))
+    found = est.join(se, key, "left").join(F.broadcast(cut))
+    return found.select(key, (F.col("est") - F.col("cut") * F.col("se")).alias("low"), (F.col("est") + F.col("cut") * F.col("se")).alias("high"), F.coalesce("n_valid", F.lit(0)).alias("n_valid"))

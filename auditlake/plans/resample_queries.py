@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import digest, hex_int
+from ..operators import accumulate as Q
 from ..operators import audit as A
 from ..operators import bootstrap as B
 from ..operators import metrics as M
@@ -12,7 +13,7 @@ from ..operators import recalibrate as L
 from ..operators import refits as T
 from ..operators import stats as S
 from ..operators.sampling import global_rank
-from .metric_queries import _ECE, PRE, cells, rounded
+from .metric_queries import _ECE, _TOKENS, PRE, cells, rounded, tokens
 
 #: Replicates of a bootstrap.
 R = 1000
@@ -38,7 +39,7 @@ def _ratio(s, d):
 
 
 def _boot_ece(s, d):
-    return B.ece(cells(s, d), "doc_id", ["variant", "policy"], "boot", R, M.bin_of(F.col("conf")))
+    return Q.replicated(Q.of_cells(cells(s, d)), "doc_id", ["variant", "policy"], Q.Ece(), "boot", R).drop("metric")
 
 
 def _delta(s, d):
@@ -46,13 +47,29 @@ def _delta(s, d):
 
 
 def _rates(s, d):
-    values = B.rates(cells(s, d).where("variant = 'D5'"), "doc_id", ["policy"], "boot", R)
+    values = Q.replicated(Q.of_cells(cells(s, d).where("variant = 'D5'")), "doc_id", ["policy"], Q.Rates(), "boot", R)
     return B.interval(values, ["policy", "metric"])
 
 
-def _simultaneous(s, d):
+def _kl(s, d):
+    """Token-weighted KL of orders as items, a fifth of the replicates."""
+    items = tokens(s, d).select("l_orderkey", F.lit("all").alias("all"), F.size("log_ratios").alias("tokens"), F.aggregate("log_ratios", F.lit(0.0), lambda a, x: a + x).alias("total"))
+    return B.interval(Q.replicated(items, "l_orderkey", ["all"], Q.WeightedMean("total", "tokens", "kl"), "boot", R // 5), ["all", "metric"])
+
+
+def _mismatch(s, d):
+    c = cells(s, d).where("variant = 'D0' AND lang IN ('en', 'de')").withColumns({"domain": (F.col("lang") == "de").cast("int"), "wrong": (F.col("pred") != F.col("state_id")).cast("int")})
+    return B.interval(Q.replicated(Q.of_cells(c, 1.0 / (1 + F.col("doc_id") % 4)), "doc_id", ["policy"], Q.Mismatch(), "boot", R), ["policy", "metric"])
+
+
+def _standardized(s, d):
+    c = Q.of_cells(cells(s, d).where("variant IN ('D0', 'D5')")).withColumn("variant", (F.col("variant") == "D5").cast("int"))
+    return B.interval(Q.replicated(c, "doc_id", ["policy"], Q.StandardizedDelta(), "boot", R), ["policy", "metric"])
+
+
+def _simultaneous(s, d, centred=False):
     est = M.paired_delta(M.ece(cells(s, d), ["variant", "policy"]), "ece", "D0").where("variant = 'D5'").select("policy", F.col("delta").alias("value"))
-    return B.simultaneous(_delta(s, d), est, "policy")
+    return B.simultaneous(_delta(s, d), est, "policy", centred)
 
 
 def _nll(s, d):
@@ -94,6 +111,10 @@ _WEIGHTS = f", wt AS (SELECT doc_id, replicate, {_CUT} AS w FROM (SELECT doc_id,
 _RATIO = _WEIGHTS + ", un AS (SELECT doc_id, sum(correct) AS num, count(*) AS den FROM scored WHERE variant = 'D5' AND correct IS NOT NULL GROUP BY ALL), bt AS (SELECT 'all' AS \"all\", replicate::INTEGER AS replicate, sum(w * num) / sum(w * den) AS value FROM un JOIN wt USING (doc_id) GROUP BY ALL) "
 _BINS = "len(list_filter([k / 15.0::DOUBLE FOR k IN range(1, 15)], lambda e: e <= conf))"
 _BOOT = _WEIGHTS + f", cb AS (SELECT doc_id, variant, policy, {_BINS} AS bin, correct - conf AS gap FROM scored WHERE correct IS NOT NULL), g AS (SELECT variant, policy, replicate, bin, sum(w * gap) AS g, sum(w) AS n FROM cb JOIN wt USING (doc_id) WHERE w > 0 GROUP BY ALL), bt AS (SELECT variant, policy, replicate::INTEGER AS replicate, sum(abs(g)) / sum(n) AS value FROM g GROUP BY ALL) "
+_INTERVAL = "count(*) AS n_valid, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, round((1 + count(*) FILTER (value <= 0)) / (count(*) + 1), 6) AS p"
+_KL = f"WITH it AS (SELECT l_orderkey, sum(x) AS s, count(*) AS n FROM ({_TOKENS}) GROUP BY ALL), wt AS (SELECT l_orderkey, s, n, replicate, {_CUT} AS w FROM (SELECT *, ('0x' || substr(sha256(concat_ws(':', 'boot', l_orderkey::VARCHAR, ((replicate - 1) // 5)::VARCHAR)), (replicate - 1) % 5 * 12 + 1, 12))::BIGINT AS u FROM it, (SELECT unnest(range(1, {R // 5 + 1})) AS replicate))) SELECT 'all' AS \"all\", 'kl' AS metric, {_INTERVAL} FROM (SELECT replicate, sum(w * s) / sum(w * n) AS value FROM wt GROUP BY replicate)"
+_MISMATCH = _WEIGHTS + f", sm AS (SELECT policy, replicate, sum(w * h * (pred <> state_id)::INTEGER) FILTER (lang = 'en') / sum(w * h) FILTER (lang = 'en') AS low, sum(w * h * (pred <> state_id)::INTEGER) FILTER (lang = 'de') / sum(w * h) FILTER (lang = 'de') AS high FROM (SELECT *, 1.0::DOUBLE / (1 + doc_id % 4) AS h FROM scored WHERE variant = 'D0' AND state_id IS NOT NULL) JOIN wt USING (doc_id) GROUP BY ALL), bt AS (SELECT policy, unnest(['low', 'high', 'difference']) AS metric, unnest([low, high, high - low]) AS value FROM sm) SELECT policy, metric, {_INTERVAL} FROM bt WHERE value IS NOT NULL GROUP BY ALL"
+_STANDARD = _WEIGHTS + f", cb AS (SELECT doc_id, variant, policy, state_id, {_BINS} AS bin, correct - conf AS gap FROM scored WHERE correct IS NOT NULL AND variant <> 'D5b'), g AS (SELECT variant, policy, state_id, replicate, bin, sum(w * gap) AS g, sum(w) AS n FROM cb JOIN wt USING (doc_id) WHERE w > 0 GROUP BY ALL), nc AS (SELECT variant, policy, replicate, state_id, sum(n) AS n FROM g GROUP BY ALL), sh AS (SELECT variant, policy, replicate, state_id, n / sum(n) OVER (PARTITION BY variant, policy, replicate) AS share FROM nc), ws AS (SELECT a.variant, a.policy, a.replicate, a.state_id, b.share / a.share AS w FROM sh a JOIN sh b USING (policy, replicate, state_id) WHERE a.variant <> b.variant), st AS (SELECT variant, policy, replicate, sum(abs(gg)) / sum(nn) AS e FROM (SELECT variant, policy, replicate, bin, sum(w * g) AS gg, sum(w * n) AS nn FROM g JOIN ws USING (variant, policy, replicate, state_id) GROUP BY ALL) GROUP BY ALL), pl AS (SELECT variant, policy, replicate, sum(abs(gg)) / sum(nn) AS e FROM (SELECT variant, policy, replicate, bin, sum(g) AS gg, sum(n) AS nn FROM g GROUP BY ALL) GROUP BY ALL), bt AS (SELECT policy, CASE WHEN s.variant = 'D5' THEN 'forward' ELSE 'backward' END AS metric, CASE WHEN s.variant = 'D5' THEN s.e - p.e ELSE p.e - s.e END AS value FROM st s JOIN pl p USING (policy, replicate) WHERE s.variant <> p.variant) SELECT policy, metric, {_INTERVAL} FROM bt GROUP BY ALL"
 _PTS = ", pt AS (SELECT variant, policy, avg(conf) AS x, avg(correct) AS y FROM scored WHERE state_id IS NOT NULL GROUP BY ALL) "
 
 QUERIES = {
@@ -112,5 +133,9 @@ QUERIES = {
     "two_stage_bootstrap": (_two_stage, None),
     "logistic_calibration": (_logistic, None),
     "bootstrap_rates_interval": (lambda s, d: rounded(_rates(s, d)), PRE + _WEIGHTS + ", sm AS (SELECT policy, replicate, sum(w) AS a, sum(w) FILTER (state_id = 1) AS pos, sum(w) FILTER (state_id = 0) AS neg, coalesce(sum(w) FILTER (state_id = 1 AND pred = 1), 0) AS tp, coalesce(sum(w) FILTER (state_id = 0 AND pred = 1), 0) AS fp, coalesce(sum(w) FILTER (state_id = 1 AND pred <> 1), 0) AS fn, sum(-w * ln(greatest([p0, p1, p2][state_id + 1], 1e-12))) AS nll, sum(w * ((p0 - (state_id = 0)::INTEGER)**2 + (p1 - (state_id = 1)::INTEGER)**2 + (p2 - (state_id = 2)::INTEGER)**2)) AS brier FROM scored JOIN wt USING (doc_id) WHERE variant = 'D5' AND state_id IS NOT NULL GROUP BY ALL), bt AS (SELECT policy, unnest(['f1', 'fn_rate', 'fp_rate', 'nll', 'brier']) AS metric, unnest([CASE WHEN pos > 0 AND neg > 0 THEN CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0::DOUBLE ELSE 2 * tp / (2 * tp + fp + fn) END END, fn / pos, fp / neg, nll / a, brier / a]) AS value FROM sm) SELECT policy, metric, count(*) AS n_valid, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, round((1 + count(*) FILTER (value <= 0)) / (count(*) + 1), 6) AS p FROM bt WHERE value IS NOT NULL GROUP BY ALL"),
-    "simultaneous_intervals": (lambda s, d: rounded(_simultaneous(s, d)), PRE + _BOOT + f", dl AS (SELECT a.policy, a.replicate, a.value - b.value AS v FROM bt a JOIN bt b ON a.policy = b.policy AND a.replicate = b.replicate AND a.variant = 'D5' AND b.variant = 'D0'), ec AS ({_ECE}), es AS (SELECT a.policy, a.ece - b.ece AS e FROM ec a JOIN ec b ON a.policy = b.policy AND a.variant = 'D5' AND b.variant = 'D0'), se AS (SELECT policy, stddev_samp(v) AS se FROM dl GROUP BY policy), ct AS (SELECT quantile_cont(t, 0.95) AS c FROM (SELECT replicate, max(abs(v - e) / se) AS t FROM dl JOIN es USING (policy) JOIN se USING (policy) GROUP BY replicate)) SELECT policy, round(e - c * se, 6) AS low, round(e + c * se, 6) AS high FROM es JOIN se USING (policy), ct"),
+    "simultaneous_intervals": (lambda s, d: rounded(_simultaneous(s, d)), PRE + _BOOT + f", dl AS (SELECT a.policy, a.replicate, a.value - b.value AS v FROM bt a JOIN bt b ON a.policy = b.policy AND a.replicate = b.replicate AND a.variant = 'D5' AND b.variant = 'D0'), ec AS ({_ECE}), es AS (SELECT a.policy, a.ece - b.ece AS e FROM ec a JOIN ec b ON a.policy = b.policy AND a.variant = 'D5' AND b.variant = 'D0'), se AS (SELECT policy, stddev_samp(v) AS se, count(*) AS n_valid FROM dl GROUP BY policy), ct AS (SELECT quantile_cont(t, 0.95) AS c FROM (SELECT replicate, max(abs(v - e) / se) AS t FROM dl JOIN es USING (policy) JOIN se USING (policy) GROUP BY replicate)) SELECT policy, round(e - c * se, 6) AS low, round(e + c * se, 6) AS high, n_valid FROM es JOIN se USING (policy), ct"),
+    "simultaneous_centred_intervals": (lambda s, d: rounded(_simultaneous(s, d, centred=True)), PRE + _BOOT + f", dl AS (SELECT a.policy, a.replicate, a.value - b.value - avg(a.value - b.value) OVER (PARTITION BY a.replicate) AS v FROM bt a JOIN bt b ON a.policy = b.policy AND a.replicate = b.replicate AND a.variant = 'D5' AND b.variant = 'D0'), ec AS ({_ECE}), es AS (SELECT a.policy, a.ece - b.ece - avg(a.ece - b.ece) OVER () AS e FROM ec a JOIN ec b ON a.policy = b.policy AND a.variant = 'D5' AND b.variant = 'D0'), se AS (SELECT policy, stddev_samp(v) AS se, count(*) AS n_valid FROM dl GROUP BY policy), ct AS (SELECT quantile_cont(t, 0.95) AS c FROM (SELECT replicate, max(abs(v - e) / se) AS t FROM dl JOIN es USING (policy) JOIN se USING (policy) GROUP BY replicate)) SELECT policy, round(e - c * se, 6) AS low, round(e + c * se, 6) AS high, n_valid FROM es JOIN se USING (policy), ct"),
+    "bootstrap_kl_interval": (lambda s, d: rounded(_kl(s, d)), _KL),
+    "bootstrap_mismatch_interval": (lambda s, d: rounded(_mismatch(s, d)), PRE + _MISMATCH),
+    "bootstrap_standardized_interval": (lambda s, d: rounded(_standardized(s, d)), PRE + _STANDARD),
 }
