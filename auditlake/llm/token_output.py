@@ -4,10 +4,11 @@ File format. A data set is a folder of Parquet files, one row per block, in asce
 order of document id over the files' ``part`` numbers and each part's ``block`` numbers.
 A block stands alone:
 
-* ``doc_ids``: little-endian int64 per document; ``doc_lengths``: little-endian uint32,
+* ``doc_ids``: little-endian int64 per document; ``doc_known``: a byte per document, 0 where it has
+  no doc_id; ``doc_lengths``: little-endian uint32,
   ids of each document with its end id;
 * ``payload``: code words, most significant bit first, documents end to end;
-* ``checkpoints``: little-endian uint32 bit offsets of every ``STEP``-th id, so a reader
+* ``checkpoints``: little-endian uint64 bit offsets of every ``STEP``-th id, so a reader
   may start there;
 * ``n_ids``, and ``start_in_part``, the ids of the part before the block.
 
@@ -16,7 +17,7 @@ id, and at most ``LIMIT`` bits long (package-merge), so a table of 2**LIMIT entr
 different ids than that are refused.
 
 Defined results: a null text is the empty text and is written as the end id alone;
-repeated rows are all written; equal doc_ids follow each other, shorter first; an empty
+repeated rows are all written; equal doc_ids follow each other, shorter first; rows without a doc_id come last; an empty
 table gives an empty data set; columns other than doc_id and text are ignored.
 """
 
@@ -41,7 +42,7 @@ STEP = 256
 BLOCK_IDS = 1 << 18
 #: Ids of a range partition, about.
 PART_IDS = 1 << 22
-BLOCK = "part int, block int, start_in_part long, n_ids long, doc_ids binary, doc_lengths binary, checkpoints binary, payload binary"
+BLOCK = "part int, block int, start_in_part long, n_ids long, doc_ids binary, doc_known binary, doc_lengths binary, checkpoints binary, payload binary"
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -114,7 +115,7 @@ class CodeBook:
         over = room < 0
         out[word[over] + 1] |= code[over] << (64 + room[over]).astype(np.uint64)
         size = (int(at[-1] + bits[-1]) + 7) // 8 if len(ids) else 0
-        return out.byteswap().tobytes()[:size], at[::STEP].astype("<u4")
+        return out.byteswap().tobytes()[:size], at[::STEP].astype("<u8")
 
     def decode(self, payload: bytes, checkpoints: np.ndarray, n: int) -> np.ndarray:
         """The n ids, all checkpoints' runs side by side."""
@@ -182,16 +183,16 @@ def write(tokens: DataFrame, path: str) -> None:
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = CodeBook(ids, bits)
         part, number, before = TaskContext.get().partitionId(), 0, 0
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
         def close() -> pa.RecordBatch:
             nonlocal number, before
-            names, values, lens = (np.concatenate(x) for x in zip(*held))
+            names, known, values, lens = (np.concatenate(x) for x in zip(*held))
             payload, checkpoints = book.encode(values)
-            row = [part, number, before, len(values), names.astype("<i8").tobytes(), lens.astype("<u4").tobytes(), checkpoints.tobytes(), payload]
+            row = [part, number, before, len(values), names.astype("<i8").tobytes(), known.astype(np.uint8).tobytes(), lens.astype("<u4").tobytes(), checkpoints.tobytes(), payload]
             number, before = number + 1, before + len(values)
             held.clear()
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], [f.split()[0] for f in BLOCK.split(", ")])
 
         pending = 0
@@ -199,7 +200,8 @@ def write(tokens: DataFrame, path: str) -> None:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
                 values, lens = _ids(some)
-                held.append((some.column("doc_id").to_numpy(zero_copy_only=False), values, lens))
+                name = some.column("doc_id")
+                held.append((name.fill_null(0).to_numpy(), name.is_valid().to_numpy(zero_copy_only=False), values, lens))
                 pending += len(values)
                 if pending >= BLOCK_IDS:
                     pending = 0
@@ -207,7 +209,8 @@ def write(tokens: DataFrame, path: str) -> None:
         if held:
             yield close()
 
-    ordered = tokens.repartitionByRange(parts, "doc_id", "n").sortWithinPartitions("doc_id", "n", "ids")
+    last = F.col("doc_id").asc_nulls_last()
+    ordered = tokens.repartitionByRange(parts, last, "n").sortWithinPartitions(last, "n", "ids")
     ordered.mapInArrow(blocks, BLOCK).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     spark.createDataFrame([(int(i), int(b)) for i, b in zip(ids, bits)], "id long, bits int").coalesce(1).write.parquet(f"{path}/codes")
 
@@ -227,15 +230,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 x = {n: batch.column(n)[row].as_py() for n in batch.schema.names}
-                values = decoder.decode(x["payload"], np.frombuffer(x["checkpoints"], "<u4"), x["n_ids"]).astype("<u4")
+                values = decoder.decode(x["payload"], np.frombuffer(x["checkpoints"], "<u8"), x["n_ids"]).astype("<u4")
                 lens = np.frombuffer(x["doc_lengths"], "<u4").astype(np.int64)
                 at = np.concatenate([[0], np.cumsum(lens)])
-                names = np.frombuffer(x["doc_ids"], "<i8")
+                names = pa.array(np.frombuffer(x["doc_ids"], "<i8"), mask=np.frombuffer(x["doc_known"], np.uint8) == 0)
                 raw = values.tobytes()
                 for k in range(0, len(lens), 256):
                     part = at[k : k + 257]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(names[k : k + 256]), pa.array(x["before"] + x["start_in_part"] + part[:-1]), pa.array(np.diff(part)), pa.array([raw[4 * s : 4 * e] for s, e in zip(part[:-1], part[1:])], pa.binary())],
+                        [names[k : k + 256], pa.array(x["before"] + x["start_in_part"] + part[:-1]), pa.array(np.diff(part)), pa.array([raw[4 * s : 4 * e] for s, e in zip(part[:-1], part[1:])], pa.binary())],
                         ["doc_id", "start", "n_tokens", "ids"],
                     )
 
