@@ -3,14 +3,15 @@
 A document's ids are its tokens and then one end id. Documents longer than a window
 are first cut into full windows; the remainders go, longest first, into the open window
 with the least sufficient room, found in a segment tree indexed by remaining capacity.
-Remainders are dealt by a hash of what they hold into groups of about ``GROUP`` and each group is packed by
-itself, so no task sees more than a bounded share of the pieces whatever the documents, and
-the result does not depend on how the input is partitioned.
+A full window needs no packing and is a sequence as it is. Remainders, at most one a document, are
+dealt by a hash of what they hold into groups of about ``GROUP`` and each group is packed by itself,
+so no task packs more than a bounded share whatever the documents, and what is packed together does
+not depend on how the input is partitioned.
 
 A sequence is padded to the window unless its length is a power of two.
 
 Defined results: a null text is the empty text and gives a piece with the end id alone;
-repeated rows are packed as often as they occur; an empty table gives no pieces; columns
+repeated rows are packed as often as they occur, rows without a doc_id too; an empty table gives no pieces; columns
 other than the id and the text are ignored; equal lengths are taken in order of document
 and start.
 """
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._scratch import materialize
@@ -119,22 +120,32 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW,
 
 
 def pack(pieces: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
-    """Give each piece its sequence_id, offset and the sequence's padded_length; pieces is read twice."""
-    remainders = pieces.where(F.col("length") < window).count()
-    groups = max(1, remainders // group)
+    """Give each piece its sequence_id, offset and the sequence's padded_length; pieces, a stored table, is read twice.
+
+    A full window is a sequence of its own, with an odd id; the others have even ids.
+    """
+    n = {r["whole"]: r["n"] for r in pieces.groupBy((F.col("length") >= window).alias("whole")).agg(F.count("*").alias("n")).collect()}
+    groups, whole_groups = (max(1, n.get(k, 0) // group) for k in (False, True))
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32", "copy"], ascending=[False, True, True, True, True], ignore_index=True)
+        pdf = pdf.sort_values(["length", "unnamed", "doc_id", "start", "ids_crc32", "copy"], ascending=[False, True, True, True, True, True], ignore_index=True)
         bins, offsets = best_fit_decreasing(pdf["length"].tolist(), window)
         used = np.bincount(bins, weights=pdf["length"]).astype(np.int64)
         padded = np.where(used & (used - 1), window, used)
-        return pdf.assign(sequence_id=bins * groups + pdf["group"], offset=offsets, padded_length=padded[bins])[PACKED_NAMES]
+        return pdf.assign(sequence_id=2 * (bins * groups + pdf["group"]), offset=offsets, padded_length=padded[bins])[[*PACKED_NAMES, "unnamed"]]
 
     # equal pieces are counted and numbered, so that they too are dealt apart, and alike in every run
     own = pieces.groupBy(*PIECE_NAMES).agg(F.count("*").alias("copies"))
     own = own.select(*PIECE_NAMES, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    key = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "copy"), F.lit(groups))
-    return own.withColumn("group", key).groupBy("group").applyInPandas(packed, PACKED)
+    whole, hashed = F.col("length") >= window, F.xxhash64("doc_id", "start", "ids_crc32", "copy")
+    own = own.withColumn("group", F.pmod(hashed, F.when(whole, whole_groups).otherwise(groups)))
+    place = F.row_number().over(Window.partitionBy("group").orderBy("doc_id", "start", "ids_crc32", "copy")) - 1
+    alone = own.where(whole).withColumns({"sequence_id": (place * whole_groups + F.col("group")) * 2 + 1, "offset": F.lit(0).cast("long"), "padded_length": F.lit(window).cast("long")})
+    # pandas would turn a column with nulls into floats, which hold no 64-bit ids
+    named = own.where(~whole).withColumns({"unnamed": F.col("doc_id").isNull(), "doc_id": F.coalesce("doc_id", F.lit(0))})
+    dealt = named.groupBy("group").applyInPandas(packed, f"{PACKED}, unnamed boolean")
+    dealt = dealt.withColumn("doc_id", F.when(~F.col("unnamed"), F.col("doc_id"))).drop("unnamed")
+    return dealt.unionByName(alone.select(*PACKED_NAMES))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW, keep_ids: bool = False) -> DataFrame:
