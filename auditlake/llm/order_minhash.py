@@ -271,7 +271,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class) and kept of every row of docs."""
     own = numbered(docs)
     found = _numbers(own.rows.select(F.col("number").alias("doc_id"), "text"))
-    return found.select(own.doc_id(F.col("doc_id")).alias("doc_id"), own.doc_id(F.col("class_id")).alias("class_id"), "kept")
+    return own.named(found, "doc_id", "class_id")
 
 
 def keep(docs: DataFrame) -> DataFrame:
@@ -302,7 +302,7 @@ def _numbers(docs: DataFrame) -> DataFrame:
         if leads:
             salted = [F.max_by("doc_id", F.xxhash64("doc_id", F.lit(100 * turn + k))) for k in range(leads)]
             if turn == 0:
-                salted[0] = F.max_by("doc_id", F.struct("weight", -F.col("doc_id")))
+                salted[0] = F.max_by("doc_id", F.struct("weight", F.bitwise_not("doc_id")))
             chosen = large.groupBy("bucket").agg(F.array_distinct(F.array(*salted)).alias("leads"))
             # a document shares most of its leads between its buckets and takes each once
             own = active.join(chosen.hint("merge"), "bucket").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set("leads"))).alias("leads"))

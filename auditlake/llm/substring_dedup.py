@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._scratch import floor_div, materialize, numbered
+from ._scratch import materialize, numbered
 from ._text import hash_spans, mix, slices, word_spans
 
 WINDOW = 50
@@ -303,24 +303,20 @@ def _answers(merged: DataFrame, turn: int = 1) -> DataFrame:
     return materialize(found if back is None else found.unionByName(back), "statistics")
 
 
-def _report(copies: int):
-    """(doc_id, low, high): runs of windows that a smaller document holds."""
-
-    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, first, lists = (batch.column(c) for c in ("doc_id", "first", "sources"))
-            doc, first = doc.to_numpy(), first.to_numpy().astype(np.int64)
-            off = lists.offsets.to_numpy().astype(np.int64)
-            row = np.repeat(np.arange(len(doc)), np.diff(off))
-            sources = lists.values.to_numpy()[off[0] : off[-1]]
-            hit = np.flatnonzero(sources < doc[row] // copies * copies)
-            if len(hit):
-                at = first[row[hit]] + hit - (off[row[hit]] - off[0])
-                edge = np.flatnonzero((np.diff(hit, prepend=-2) != 1) | (np.diff(row[hit], prepend=-1) != 0))
-                last = np.append(edge[1:], len(hit)) - 1
-                yield pa.RecordBatch.from_arrays([pa.array(doc[row[hit[edge]]]), pa.array(at[edge], pa.int32()), pa.array(at[last] + WINDOW, pa.int32())], ["doc_id", "low", "high"])
-
-    return report
+def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, low, high): runs of windows that a smaller document than own holds."""
+    for batch in batches:
+        doc, own, first, lists = (batch.column(c) for c in ("doc_id", "own", "first", "sources"))
+        doc, own, first = doc.to_numpy(), own.to_numpy(), first.to_numpy().astype(np.int64)
+        off = lists.offsets.to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(len(doc)), np.diff(off))
+        sources = lists.values.to_numpy()[off[0] : off[-1]]
+        hit = np.flatnonzero(sources < own[row])
+        if len(hit):
+            at = first[row[hit]] + hit - (off[row[hit]] - off[0])
+            edge = np.flatnonzero((np.diff(hit, prepend=-2) != 1) | (np.diff(row[hit], prepend=-1) != 0))
+            last = np.append(edge[1:], len(hit)) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(doc[row[hit[edge]]]), pa.array(at[edge], pa.int32()), pa.array(at[last] + WINDOW, pa.int32())], ["doc_id", "low", "high"])
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,19 +346,20 @@ FINISH = "doc_id long, n_words long, n_removed long, kept_sha256 string, text st
 _FINISH = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())])
 
 
-def removals(docs: DataFrame, copies: int = 1) -> tuple[DataFrame, DataFrame]:
+def removals(docs: DataFrame, firsts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows of all documents as scanned, rows (FINISH) of the documents that lose words).
 
-    docs has unique doc_ids and texts; doc_ids that are equal when divided by copies are one document's.
+    docs has unique doc_ids and texts; firsts, if given, has (doc_id, own), the least of the doc_ids that are one document's.
     """
     scanned = materialize(docs.select("doc_id", "text").mapInArrow(_scan, SCAN), "scan")
     each = scanned.select("doc_id", F.inline("segments"))
-    shared = each.groupBy("minimizer").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where(floor_div(F.col("low"), copies) < floor_div(F.col("high"), copies))
+    shared = each.groupBy("minimizer").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     wanted = each.join(shared.select("minimizer"), "minimizer").groupBy("doc_id").agg(F.collect_list(F.struct("first", "windows", "minimizer")).alias("wanted"))
     texts = materialize(docs.join(wanted.hint("merge"), "doc_id"), "sharing")  # the same plan at every size
     found = materialize(texts.mapInArrow(_extract, SEGMENTS), "segments")
     told = found.select("doc_id", "first", "c1", "c2").join(_answers(_merged(found, "doc_id")), ["c1", "c2"])
-    runs = told.select("doc_id", "first", "sources").mapInArrow(_report(copies), "doc_id long, low int, high int")
+    told = told.withColumn("own", F.col("doc_id")) if firsts is None else told.join(firsts, "doc_id")
+    runs = told.select("doc_id", "own", "first", "sources").mapInArrow(_report, "doc_id long, low int, high int")
     spans = runs.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     return scanned, texts.select("doc_id", "text").join(spans, "doc_id").mapInArrow(_finish, FINISH)
 
@@ -370,16 +367,16 @@ def removals(docs: DataFrame, copies: int = 1) -> tuple[DataFrame, DataFrame]:
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row of docs."""
     own = numbered(docs)
-    scanned, changed = removals(own.rows.select(F.col("number").alias("doc_id"), "text"), own.copies)
+    scanned, changed = removals(own.rows.select(F.col("number").alias("doc_id"), "text"), own.firsts)
     changed = changed.select("doc_id", "n_removed", "kept_sha256")
     out = scanned.select("doc_id", "n_words", "whole_sha256").join(changed, "doc_id", "left")
-    return out.select(own.doc_id(F.col("doc_id")).alias("doc_id"), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"))
+    return own.named(out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256")), "doc_id")
 
 
 def apply(docs: DataFrame) -> DataFrame:
     """docs with the reported words removed from text; other columns stay, n_chars follows the text."""
     own = numbered(docs)
-    _, changed = removals(own.rows.select(F.col("number").alias("doc_id"), "text"), own.copies)
+    _, changed = removals(own.rows.select(F.col("number").alias("doc_id"), "text"), own.firsts)
     changed = changed.select(F.col("doc_id").alias("number"), F.col("text").alias("less"))
     out = own.rows.drop("text").join(changed, "number", "left")
     less = {"text": F.col("less"), "n_chars": F.length("less").cast("long")}
