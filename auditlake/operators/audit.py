@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .stats import chi2_tail
+
 
 def _of(condition: Column) -> Column:
     return F.sum(F.when(condition, 1).otherwise(0))
@@ -135,14 +137,14 @@ def support(voted: DataFrame, safe: str, flags: list[str], threshold: int) -> Da
 
 
 def contingency(rows: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
-    """Chi-square, degrees of freedom and Cramer's V; empty rows and columns do not occur in the counts."""
+    """Chi-square, degrees of freedom, p and Cramer's V; empty rows and columns do not occur in the counts."""
     n = rows.groupBy(*keys, a, b).agg(F.count("*").alias("o"))
     row = rows.groupBy(*keys, a).agg(F.count("*").alias("r"))
     col = rows.groupBy(*keys, b).agg(F.count("*").alias("c"))
     # sum((o - e)^2 / e) = total * (sum(o^2 / (r c)) - 1), so absent pairs need no row
     part = n.join(row, [*keys, a]).join(col, [*keys, b]).groupBy(*keys).agg(F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("c"))).alias("s"), F.sum("o").alias("n"), F.count_distinct(a).alias("k"), F.count_distinct(b).alias("m"))
     chi = F.col("n") * (F.col("s") - 1)
-    return part.select(*keys, "n", chi.alias("chi2"), ((F.col("k") - 1) * (F.col("m") - 1)).alias("df"), F.when(F.least("k", "m") > 1, F.sqrt((F.col("s") - 1) / (F.least("k", "m") - 1))).alias("cramers_v"))
+    return part.select(*keys, "n", chi.alias("chi2"), ((F.col("k") - 1) * (F.col("m") - 1)).alias("df"), F.when(F.least("k", "m") > 1, F.sqrt((F.col("s") - 1) / (F.least("k", "m") - 1))).alias("cramers_v")).withColumn("p", chi2_tail(F.col("chi2"), F.col("df")))
 
 
 def score_sanity(scores: DataFrame, interface: str, score: str) -> DataFrame:

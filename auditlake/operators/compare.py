@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..shared import saved
+
 
 def average_rank(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """rows with the average rank of a value among its keys; equal values share theirs."""
@@ -94,34 +96,43 @@ def helmert(k: int) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def wald(values: DataFrame, estimate: DataFrame, key: str) -> tuple[float, float, int]:
-    """(statistic, p, rank) that all keys have one effect; p from recentred replicates.
+def omnibus(values: DataFrame, estimate: DataFrame, key: str, rcond: float = 1e-12) -> DataFrame:
+    """One row: evaluable, reason, rank, n_valid, statistic, p of the test that all keys share one effect.
 
-    Covariance sums come from Spark; the driver has a matrix of keys by keys.
+    The statistic is the quadratic form of the estimate's contrasts in the inverse of their covariance
+    over replicates; p counts the replicates, recentred at the estimate, that reach it. If the
+    contrasts' covariance has not full rank, or an estimate is missing, the test is not evaluable and both are null.
+    Replicates that lack a key do not count. Spark sums the covariances, keys by keys, and the forms of all
+    replicates in one aggregate each; the inverse of that small matrix is the driver's.
     """
-    est = {r[key]: r["value"] for r in estimate.select(key, "value").collect()}
+    spark = values.sparkSession
+    est = {r[key]: r["value"] for r in estimate.select(key, "value").collect()}  # a row a key
     names = sorted(est)
-    wide = values.groupBy("replicate").pivot(key, names).agg(F.first("value")).na.drop()
-    cov = _covariance(wide, names)
+    finite = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))
+    whole = values.where(finite & F.col(key).isin(names)).groupBy("replicate").agg(F.array_sort(F.collect_list(F.struct(key, "value"))).alias("x"))
+    whole = saved(whole.where(F.size("x") == len(names)).select("replicate", F.transform("x", lambda v: v["value"]).alias("v")))
+    schema = "evaluable boolean, reason string, rank int, n_valid long, statistic double, p double"
+    n = whole.count()
+    if len(names) < 2 or n < 2 or any(v is None or not np.isfinite(v) for v in est.values()):
+        return spark.createDataFrame([(False, "no estimate of every key or too few replicates", None, n, None, None)], schema)
     h = helmert(len(names))
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    sums = whole.agg(*[F.covar_samp(F.col("v")[i], F.col("v")[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
+    cov = np.zeros((len(names), len(names)))
+    for i, j in pairs:
+        cov[i, j] = cov[j, i] = sums[f"c{i}_{j}"]
     inner = h @ cov @ h.T
-    inverse = np.linalg.pinv(inner)
-    weights = h.T @ inverse @ h
-    e = np.array([est[n] for n in names])
-    stat = float(e @ weights @ e)
-    terms = [(F.col(f"`{a}`") - est[a]) * (F.col(f"`{b}`") - est[b]) * float(weights[i, j]) for i, a in enumerate(names) for j, b in enumerate(names)]
-    boot = terms[0]
-    for t in terms[1:]:
-        boot = boot + t
-    r = wide.agg(F.count_if(boot >= stat).alias("above"), F.count("*").alias("n")).first()
-    return stat, (1 + r["above"]) / (1 + r["n"]), int(np.linalg.matrix_rank(inner))
-
-
-def _covariance(wide: DataFrame, names: list[str]) -> np.ndarray:
-    """All sample covariances in one aggregate."""
-    row = wide.agg(*[F.covar_samp(f"`{a}`", f"`{b}`").alias(f"c{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]).first()
-    k = len(names)
-    return np.array([[row[f"c{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+    singular = np.linalg.svd(inner, compute_uv=False)
+    rank = int((singular > singular[0] * rcond).sum())
+    if rank < len(names) - 1:
+        return spark.createDataFrame([(False, f"covariance of the contrasts has rank {rank} of {len(names) - 1}", rank, n, None, None)], schema)
+    form = h.T @ np.linalg.inv(inner) @ h
+    e = np.array([est[k] for k in names])
+    stat = float(e @ form @ e)
+    away = [F.col("v")[i] - float(e[i]) for i in range(len(names))]
+    reached = sum((away[i] * away[j] * float(form[i, j] * (1 if i == j else 2)) for i, j in pairs), F.lit(0.0))
+    above = whole.agg(F.count_if(reached >= stat)).first()[0]
+    return spark.createDataFrame([(True, None, rank, n, stat, (1 + above) / (1 + n))], schema)
 
 
 def shrink(fits: DataFrame, pooled: float, low: float = 0.05, high: float = 20.0) -> DataFrame:

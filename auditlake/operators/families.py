@@ -2,26 +2,57 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..shared import saved
 
+#: Nodes with one token in their prefix beyond which its bucket is split.
+HOT = 500
+
 
-def candidates(nodes: DataFrame, num: int = 17, den: int = 20) -> DataFrame:
-    """(a, b), a < b: pairs that share a prefix token and whose sizes allow the threshold.
+def candidates(nodes: DataFrame, num: int = 17, den: int = 20, hot: int = HOT) -> DataFrame:
+    """(a, b), a < b: every pair that may be similar, by its first shared token.
 
-    nodes: (node, tokens) with distinct tokens. Tokens are ordered rarest first over all nodes.
+    nodes: (node, tokens) with distinct tokens. Tokens are ordered rarest first over all nodes. The
+    first token that a similar pair shares lies in the prefix of both, and the second one at most a
+    place beyond. Where more than ``hot`` nodes have a token in their prefix, its bucket is split by
+    every further token up to that place. Buckets are also split by size class, of which only neighbours
+    meet, and a pair passes only if the tokens behind the shared one are enough on both sides.
     """
     sized = nodes.withColumn("n", F.size("tokens"))
     each = sized.select("node", "n", F.explode("tokens").alias("token"))
     df = each.groupBy("token").agg(F.count("*").alias("df"))
     ranked = each.join(df, "token").withColumn("k", F.row_number().over(W.partitionBy("node").orderBy("df", "token")))
-    prefix = ranked.where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * num / F.lit(den)) + 1).select("node", "n", F.xxhash64("token").alias("t"))
-    a, b = (prefix.select("t", F.col("node").alias(s), F.col("n").alias(f"n{s}")) for s in "ab")
-    joined = a.join(b, "t").where((F.col("a") < F.col("b")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
-    return joined.select("a", "b").distinct()
+    need = F.ceil(F.col("n") * num / F.lit(den))
+    placed = ranked.withColumns({"need": need, "lead": F.col("n") - need + 1}).where(F.col("k") <= F.col("lead") + 1)
+    placed = saved(placed.select("node", "n", "need", "lead", "k", F.xxhash64("token").alias("t")))
+    own = placed.where("k <= lead")
+    crowded = own.groupBy("t").agg(F.count("*").alias("m")).where(F.col("m") > hot).select("t")
+    cold = own.join(crowded, "t", "left_anti").select("t", "node", "n", "k")
+    split = own.join(crowded, "t").select("node", "n", "need", "k", "t")
+    later = placed.select("node", F.col("k").alias("k2"), F.col("t").alias("t2"))
+    twos = split.join(later, "node").where("k2 > k").select(F.xxhash64("t", "t2").alias("t"), "node", "n", "k")
+    ones = split.where("need < 2").select("t", "node", "n", "k")  # one token decides
+    return _meet(cold.unionByName(ones), num, den).unionByName(_meet(twos, num, den)).distinct()
+
+
+def _meet(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of rows (t, node, n, k) with one t whose sizes and places k of t allow the threshold."""
+    size = F.floor(F.log("n") / math.log(den / num) + 1e-9).cast("int")
+    rows = rows.withColumn("size", size)
+    home = rows.select("t", "size", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "k")])
+    guest = F.array(F.struct(F.col("size").alias("at"), F.lit(True).alias("same")), F.struct((F.col("size") + 1).alias("at"), F.lit(False).alias("same")))
+    guests = rows.select("t", F.inline(guest), *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "k")])
+    rest = F.least(F.col("n_x") - F.col("k_x"), F.col("n_y") - F.col("k_y"))
+    may = (F.least("n_x", "n_y") * den >= F.greatest("n_x", "n_y") * num) & ((rest + 1) * (num + den) >= (F.col("n_x") + F.col("n_y")) * num)
+    once = ~F.col("same") | (F.col("node_x") < F.col("node_y"))
+    met = home.join(guests, (home["t"] == guests["t"]) & (home["size"] == guests["at"]) & may & once & (F.col("node_x") != F.col("node_y")))
+    return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
 
 
 def similar(nodes: DataFrame, pairs: DataFrame, num: int = 17, den: int = 20) -> DataFrame:
@@ -33,17 +64,50 @@ def similar(nodes: DataFrame, pairs: DataFrame, num: int = 17, den: int = 20) ->
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component): the least node reachable, by label passing with pointer jumps."""
-    both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = saved(nodes.select("node", F.col("node").alias("label")))
-    while True:
-        low = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("low"))
-        new = labels.join(low, labels["node"] == low["a"], "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("low", "label")).alias("label"))
-        up = new.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        new = saved(new.join(up, "label").select("node", "old", F.col("above").alias("label")))
-        if new.where("old <> label").isEmpty():
-            return new.select("node", F.col("label").alias("component"))
-        labels = new.select("node", "label")
+    """(node, component): the least node reachable; a node without edges is its own component."""
+    found = linked_components(edges)
+    return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def linked_components(edges: DataFrame, store: Callable[[DataFrame], DataFrame] = saved) -> DataFrame:
+    """(node, component) of every node of edges (a, b); component is the least node reachable.
+
+    Each round points every node at the first of itself and its neighbours in an order that is drawn anew by
+    hashes, follows the pointers twice and contracts the edges to what they point at. Nodes with
+    nothing left to join are set aside: a round reads the edges between contracted nodes only, of
+    which a drawn order leaves less than half, also on a path. Pointers are resolved from
+    the last round back to the first, so every table is joined once.
+    """
+    left = store(_contracted(edges.select("a", "b")))
+    steps: list[DataFrame] = []
+    while not left.isEmpty():
+        order = lambda c, turn=len(steps): F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("v"))
+        both = left.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        up = both.groupBy("node").agg(F.min(order("other")).alias("first"))
+        up = store(up.select("node", F.least(order("node"), "first")["v"].alias("up")))
+        for _ in range(2):
+            above = up.select(F.col("node").alias("up"), F.col("up").alias("above"))
+            up = up.join(above, "up").select("node", F.col("above").alias("up"))
+        up = store(up)
+        steps.append(up)
+        for side in ("a", "b"):
+            to = up.select(F.col("node").alias(side), F.col("up").alias("to"))
+            left = left.join(to, side).drop(side).withColumnRenamed("to", side)
+        left = store(_contracted(left))
+    if not steps:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    found = steps[-1].select("node", F.col("up").alias("root"))
+    for step in reversed(steps[:-1]):
+        above = found.select(F.col("node").alias("up"), "root")
+        found = step.join(above, "up", "left").select("node", F.coalesce("root", "up").alias("root"))
+    found = store(found)
+    least = found.groupBy("root").agg(F.min("node").alias("component"))
+    return found.join(least, "root").select("node", "component")
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Each edge once, without loops."""
+    return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def families(members: DataFrame, parts: DataFrame) -> DataFrame:

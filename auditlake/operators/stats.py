@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -38,6 +38,30 @@ def chi2_sf(x: float, df: int) -> float:
     return h * math.exp(-x + a * math.log(x) - math.lgamma(a))
 
 
+#: Terms of the series and levels of the fraction below.
+TERMS = 200
+
+
+def chi2_tail(x: Column, df: Column) -> Column:
+    """Upper tail of the chi-square distribution, for up to about 2,000 degrees of freedom; null without any.
+
+    The regularised incomplete gamma function: its series below the mean, else its continued fraction
+    from the innermost level out, both of a fixed length, so that the value is a column.
+    """
+    a, h = df.cast("double") / 2, x.cast("double") / 2
+    # log gamma of a whole or half number by steps down to 1 or 1/2
+    steps = F.sequence(F.lit(1), F.ceil(a).cast("int") - 1)
+    end = F.when(F.pmod(df, F.lit(2)) == 1, 0.5 * math.log(math.pi)).otherwise(0.0)
+    log_gamma = F.when(a > 1, F.aggregate(F.when(a > 1, steps), end, lambda t, k: t + F.log(a - k))).otherwise(end)
+    power = F.exp(a * F.log(h) - h - log_gamma)
+    first = F.struct((1 / a).alias("term"), (1 / a).alias("sum"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), first, lambda s, n: F.struct((s["term"] * h / (a + n)).alias("term"), (s["sum"] + s["term"] * h / (a + n)).alias("sum")), lambda s: s["sum"])
+    levels = F.sequence(F.lit(TERMS), F.lit(1), F.lit(-1))
+    fraction = F.aggregate(levels, h + 2 * TERMS + 1 - a, lambda d, n: h + 2 * n - 1 - a - n * (n - a) / d)
+    tail = F.when(h <= 0, 1.0).when(h < a + 1, 1 - power * series).otherwise(power / fraction)
+    return F.when((df > 0) & x.isNotNull(), F.least(F.greatest(tail, F.lit(0.0)), F.lit(1.0)))
+
+
 def pair_divergence(cells: DataFrame) -> DataFrame:
     """Jensen-Shannon (base 2) and total variation of each two policies' state shares."""
     counted = cells.where("state_id IS NOT NULL").groupBy("policy", "state_id").agg(F.count("*").alias("n"))
@@ -52,13 +76,17 @@ def pair_divergence(cells: DataFrame) -> DataFrame:
     return both.select("a", "b", js.alias("js"), tv.alias("tv"))
 
 
-def cochran_q(cells: DataFrame, state: int) -> DataFrame:
-    """Q over policies of the indicator of a state, on complete records."""
-    wide = cells.groupBy("doc_id").agg(F.sum((F.col("state_id") == state).cast("int")).alias("row"), F.min(F.col("state_id").isNotNull()).alias("ok"), F.count("*").alias("k")).where("ok")
-    rows = wide.agg(F.sum("row").alias("total"), F.sum(F.col("row") * F.col("row")).alias("row2"), F.max("k").alias("k"), F.count("*").alias("n"))
-    cols = cells.join(wide.select("doc_id"), "doc_id").groupBy("policy").agg(F.sum((F.col("state_id") == state).cast("int")).alias("c")).agg(F.sum(F.col("c") * F.col("c")).alias("col2"))
-    q = (F.col("k") - 1) * (F.col("k") * F.col("col2") - F.col("total") * F.col("total")) / (F.col("k") * F.col("total") - F.col("row2"))
-    return rows.crossJoin(cols).select("n", q.alias("q"), (F.col("k") - 1).alias("df"))
+def cochran_q(cells: DataFrame, states: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
+    """state_id, n, q, df, p over policies of the indicator of each state, on complete records."""
+    is_state = [(F.col("state_id") == k).cast("int") for k in states]
+    whole = cells.groupBy("doc_id").agg(F.count("*").alias("k"), F.min(F.col("state_id").isNotNull()).alias("ok"), F.array(*[F.sum(c) for c in is_state]).alias("row")).where("ok")
+    each = F.inline(F.array(*[F.struct(F.lit(k).alias("state_id"), F.col("row")[i].alias("r")) for i, k in enumerate(states)]))
+    rows = whole.select("k", each).groupBy("state_id").agg(F.sum("r").alias("total"), F.sum(F.col("r") * F.col("r")).alias("row2"), F.max("k").alias("k"), F.count("*").alias("n"))
+    columns = cells.join(whole.select("doc_id"), "doc_id", "left_semi").groupBy("policy").agg(F.array(*[F.sum(c) for c in is_state]).alias("c"))
+    squares = columns.select(F.inline(F.array(*[F.struct(F.lit(k).alias("state_id"), F.col("c")[i].alias("c")) for i, k in enumerate(states)]))).groupBy("state_id").agg(F.sum(F.col("c") * F.col("c")).alias("col2"))
+    down = F.col("k") * F.col("total") - F.col("row2")
+    q = F.when(down != 0, (F.col("k") - 1) * (F.col("k") * F.col("col2") - F.col("total") * F.col("total")) / down)
+    return rows.join(squares, "state_id").select("state_id", "n", q.alias("q"), (F.col("k") - 1).alias("df")).withColumn("p", chi2_tail(F.col("q"), F.col("df")))
 
 
 def stuart_maxwell(cells: DataFrame) -> DataFrame:

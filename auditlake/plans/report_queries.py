@@ -23,6 +23,7 @@ from ..sources import files
 from .audit_queries import _PAIRS, _hx
 from .compare_queries import _SCALED, _recovery
 from .label_queries import _K, ALIASES, POL, _raw
+from .audit_queries import fingerprint_sql
 from .metric_queries import _BINNED, _F1, _RATES, BIN, PRE, cells, rounded, tokens
 
 KEYS = ["variant", "policy"]
@@ -66,6 +67,14 @@ def _fingerprints(s, d):
     return I.verify_fingerprints(now, frozen)
 
 
+_NATION, _REGION, _FROZEN = ("n_name", "n_nationkey", "n_regionkey"), ("r_name", "r_regionkey"), "(SELECT * REPLACE (CASE WHEN n_nationkey = 3 THEN 'elsewhere' ELSE n_name END AS n_name) FROM nation)"
+_MANIFEST = (
+    f"WITH now AS (SELECT 'nation' AS artifact, {fingerprint_sql('nation', _NATION)} UNION ALL SELECT 'region', {fingerprint_sql('region', _REGION)} UNION ALL SELECT 'labels', {fingerprint_sql('labels', ('doc_id', 'quality', 'toxic'))}), "
+    f"frozen AS (SELECT 'nation' AS artifact, {fingerprint_sql(_FROZEN, _NATION)} UNION ALL SELECT 'region', {fingerprint_sql('region', _REGION)} UNION ALL SELECT 'ghost', {fingerprint_sql('region', _REGION)}) "
+    "SELECT coalesce(a.artifact, b.artifact) AS artifact, CASE WHEN a.artifact IS NULL THEN 'absent' WHEN b.artifact IS NULL THEN 'not listed' ELSE 'changed' END AS reason FROM now a FULL JOIN frozen b ON a.artifact = b.artifact WHERE a.artifact IS NULL OR b.artifact IS NULL OR a.n_rows <> b.n_rows OR a.fingerprint <> b.fingerprint"
+)
+
+
 def _shards(s, d):
     docs = _DOC(s, d).select("doc_id")
     i = F.col("doc_id")
@@ -316,7 +325,7 @@ _STD = "SELECT variant, policy, sum(n * abs(acc - mc)) / sum(n) AS ece FROM (SEL
 
 QUERIES = {
     "jsonl_violations": (_jsonl, _JSONL),
-    "fingerprint_manifest": (_fingerprints, "SELECT * FROM (VALUES ('nation', 'changed'), ('ghost', 'absent'), ('labels', 'not listed')) AS t(artifact, reason)"),
+    "fingerprint_manifest": (_fingerprints, _MANIFEST),
     "shard_violations": (_shards, "SELECT doc_id AS id, CASE WHEN doc_id % 97 = 0 THEN 'lost' WHEN doc_id % 89 = 0 THEN 'in two shards' ELSE 'in another shard' END AS reason FROM documents WHERE doc_id % 97 = 0 OR doc_id % 89 = 0 OR doc_id % 83 = 0"),
     "parse_judgment": (_judgments, fixtures.SQL + f", r AS (SELECT doc_id, {_K} AS k, max(state_id) FILTER (policy = 'H2') AS h2 FROM label_cells WHERE variant = 'D0' AND state_id IS NOT NULL GROUP BY ALL) SELECT k, count(*) AS n, CASE WHEN k IN (0, 2, 3, 4) THEN 0 ELSE count(*) END AS n_parsed, CASE WHEN k IN (0, 2, 3, 4) THEN 0 ELSE count(*) FILTER (h2 = 0) END AS h2_satisfied FROM r GROUP BY k"),
     "parse_flags": (_flags, "SELECT k, n, CASE WHEN k IN (0, 4) THEN n ELSE 0 END AS n_parsed, CASE WHEN k = 0 THEN n ELSE 0 END AS n_a, CASE WHEN k = 4 THEN n ELSE 0 END AS n_b FROM (SELECT o_orderkey % 6 AS k, count(*) AS n FROM orders GROUP BY ALL)"),

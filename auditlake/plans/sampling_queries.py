@@ -16,11 +16,20 @@ _D = lambda salt: digest(salt, F.col("doc_id"))
 _H = lambda salt: f"sha256(concat_ws(':', '{salt}', doc_id::VARCHAR))"
 
 
-def nodes(spark, sf_dir, whole=False):
-    """(node, tokens, fingerprint, historical): one node a canonical text, which is ASCII only unless whole."""
+def texts(spark, sf_dir, whole=False, benchmark=False):
+    """(doc_id, source, canonical, fingerprint, historical) of documents; with benchmark its items too, as historical rows with negative ids."""
     text = T.normalize_text(F.col("text")) if whole else T.normalize_text(F.regexp_replace("text", r"[^\x00-\x7F]", "x"), composed=True)
-    rows = fixtures.table(spark, sf_dir, "documents").select("doc_id", text.alias("canonical"))
-    rows = rows.withColumns({"fingerprint": F.sha2("canonical", 256), "historical": F.col("doc_id") % 5 == 0})
+    docs = fixtures.table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", "source" if "source" in docs.columns else F.lit(None).cast("string").alias("source"), text.alias("canonical"), (F.col("doc_id") % 5 == 0).alias("historical"))
+    if benchmark:
+        items = fixtures.table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("doc_id"), F.lit(None).cast("string").alias("source"), text.alias("canonical"), F.lit(True).alias("historical"))
+        rows = rows.unionByName(items)
+    return rows.withColumn("fingerprint", F.sha2("canonical", 256))
+
+
+def nodes(spark, sf_dir, whole=False, benchmark=False):
+    """(node, tokens, fingerprint, historical): one node a canonical text, which is ASCII only unless whole."""
+    rows = texts(spark, sf_dir, whole, benchmark)
     merged = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.max("historical").alias("historical"), F.any_value("canonical").alias("canonical"))
     return merged.select("node", T.shingles(F.col("canonical")).alias("tokens"), "fingerprint", "historical")
 
@@ -42,6 +51,14 @@ def family_exclusion(spark, sf_dir, whole=False):
     return N.exclude_historical(n, N.components(n, edges)).select("node", "component")
 
 
+def exclusion_counts(spark, sf_dir):
+    """Candidates kept and excluded by source; historical texts are a fifth of the documents and all of benchmark."""
+    n = N.saved(nodes(spark, sf_dir, benchmark=True))
+    parts = N.components(n, N.saved(N.similar(n, N.candidates(n))))
+    members = texts(spark, sf_dir, benchmark=True).select("fingerprint", "source", "historical").join(n.select("fingerprint", "node"), "fingerprint")
+    return N.exclusion_counts(members, parts, "source")
+
+
 _NODES = r"""WITH RECURSIVE c AS (SELECT doc_id, trim(regexp_replace(lower(regexp_replace(text, '[^\x00-\x7F]', 'x', 'g')), '[\p{P}\s]+', ' ', 'g')) AS t, doc_id % 5 = 0 AS h FROM documents),
 n AS (SELECT sha256(t) AS fp, min(doc_id) AS node, max(h) AS historical, any_value(t) AS t FROM c GROUP BY ALL),
 w AS (SELECT node, fp, historical, regexp_extract_all(t, '[\p{L}\p{N}_]+') AS w FROM n),
@@ -51,6 +68,7 @@ e AS (SELECT a.node AS a, b.node AS b FROM x a JOIN x b ON a.g = b.g AND a.node
 e2 AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r(node, label) AS (SELECT node, node FROM n UNION SELECT e2.b, r.label FROM r JOIN e2 ON e2.a = r.node WHERE r.label < e2.b),
 p AS (SELECT node, min(label) AS component FROM r GROUP BY node) """
+_FULL = _NODES.replace("doc_id % 5 = 0 AS h FROM documents)", "doc_id % 5 = 0 AS h, source FROM documents UNION ALL SELECT -1 - item_id, trim(regexp_replace(lower(regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g')), '[\\p{P}\\s]+', ' ', 'g')), true, NULL FROM benchmark)").replace("any_value(t) AS t FROM c GROUP BY ALL", "t FROM c GROUP BY t")
 
 QUERIES = {
     "nested_budgets": (lambda s, d: S.nested_budgets(_DOCS(s, d), _D("budget"), [50, 100, 200, 500]).groupBy("budget", "lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")), f"SELECT budget::INTEGER AS budget, lang, count(*) AS n, min(doc_id) AS low FROM (SELECT doc_id, lang, row_number() OVER (ORDER BY {_H('budget')}) AS rank FROM documents) JOIN (SELECT unnest([50, 100, 200, 500]) AS budget) ON rank <= budget GROUP BY ALL"),
@@ -63,6 +81,7 @@ QUERIES = {
     "family_similar_pairs": (family_edges, _NODES + "SELECT a, b FROM e"),
     "family_components": (family_table, _NODES + "SELECT component, 'qf_' || substr(min(fp), 1, 24) AS family_id, count(*) AS size, max(historical) AS has_historical FROM p JOIN n USING (node) GROUP BY component"),
     "family_exclusion": (family_exclusion, _NODES + "SELECT node, component FROM p JOIN n USING (node) WHERE NOT historical AND component NOT IN (SELECT component FROM p JOIN n USING (node) WHERE historical)"),
+    "exclusion_counts": (exclusion_counts, _FULL + "SELECT source, count(*) AS n, count(*) FILTER (NOT x.tainted) AS n_kept, count(*) FILTER (x.tainted) AS n_excluded FROM c JOIN n ON n.t = c.t JOIN p USING (node) JOIN (SELECT component, max(historical) AS tainted FROM p JOIN n USING (node) GROUP BY component) x USING (component) WHERE NOT h GROUP BY source"),
     # on texts of every script by the survey's normaliser, NFKC included, which SQL lacks; those above stay as their check
     "family_similar_pairs_all": (lambda s, d: family_edges(s, d, whole=True), None),
     "family_components_all": (lambda s, d: family_table(s, d, whole=True), None),

@@ -1,12 +1,16 @@
-"""The folder that the driver and all executors share."""
+"""The folder that the driver and all executors share, and the tables that jobs keep there."""
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[tuple[SparkSession, str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir; where it is unset, a temporary folder if driver and executors are one process, as in tests."""
@@ -19,9 +23,30 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in spark.checkpoint.dir, which executors share."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+def new_folder(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def saved(df: DataFrame, name: str = "saved") -> DataFrame:
+    """Write df to a new shared folder and read it back, which cuts its lineage.
+
+    Unlike a checkpoint, a written table has its true size in plans: estimates of joins multiply, and in loops
+    over checkpoints they grow without bound.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _made:
+        try:
+            jvm = spark.sparkContext._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        except Exception:  # the session is gone; the cluster's own cleaning remains
+            return

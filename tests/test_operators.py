@@ -191,15 +191,6 @@ def test_shrink_to_the_pooled_fit(spark):
     assert sorted(round(r["log_t"], 3) for r in compare.shrink(wide, 0.0).collect()) == [-2.996, 2.996]  # clipped
 
 
-def test_wald_of_equal_effects(spark):
-    from auditlake.operators import compare
-
-    values = spark.createDataFrame([(k, p, 0.1 * ((k * (i + 3)) % 7 - 3)) for k in range(50) for i, p in enumerate(("H1", "H2", "H3"))], "replicate int, policy string, value double")
-    estimate = spark.createDataFrame([(p, 0.0) for p in ("H1", "H2", "H3")], "policy string, value double")
-    stat, p, rank = compare.wald(values, estimate, "policy")
-    assert stat == 0 and p == 1 and rank == 2
-
-
 def test_permutations_and_choices(spark):
     import itertools
 
