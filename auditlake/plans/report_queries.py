@@ -15,7 +15,7 @@ from ..operators import audit as A
 from ..operators import compare as C
 from ..operators import integrity as I
 from ..operators import metrics as M
-from ..operators import prefixes as P
+from ..operators import prefixes
 from ..operators import sampling as S
 from ..operators import stats
 from ..shared import shared_dir
@@ -192,7 +192,7 @@ _BAL = PRE + ", c AS (SELECT doc_id, policy, state_id FROM label_cells WHERE var
 
 
 def _prefixes(s, d):
-    placed = P.balanced_prefixes(_DOC(s, d).select("doc_id", "lang"), "lang", digest("pre", F.col("doc_id")), ["en", "de", "fr", "es"])
+    placed = prefixes.balanced_prefixes(_DOC(s, d).select("doc_id", "lang"), "lang", digest("pre", F.col("doc_id")), ["en", "de", "fr", "es"])
     return placed.select("doc_id", "lang", "place", "position")
 
 
@@ -207,7 +207,7 @@ SELECT doc_id, lang, place::BIGINT AS place, n::BIGINT AS position FROM g, s JOI
 
 def _quotas(s, d):
     sizes = _DOC(s, d).groupBy(F.concat_ws(":", "lang", "source").alias("stratum")).agg(F.count("*").alias("capacity"))
-    return P.balanced_quotas(sizes, "stratum", "capacity", 150)
+    return prefixes.balanced_quotas(sizes, "stratum", "capacity", 150)
 
 
 _QUOTAS = """WITH RECURSIVE c AS (SELECT list(s ORDER BY s) AS names, list(n ORDER BY s) AS cap FROM (SELECT lang || ':' || source AS s, count(*) AS n FROM documents GROUP BY 1)),
