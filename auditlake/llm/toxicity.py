@@ -2,7 +2,9 @@
 
 Two models of order ``ORDER`` over the bytes of words, one learned from toxic and one from
 ordinary documents. An expression (a byte and the ORDER - 1 before it in its word, begin and
-end marked) is counted once a document. Each class has
+end marked) is counted by its occurrences, but those of the one document of a class that says it most
+often count as one: a word that a single text repeats tells little, one that several texts
+repeat tells much. Each class has
 
     P(b | h) = (max(c(hb) - D, 0) + D * types(h) * Q(b | h')) / c(h)
 
@@ -13,8 +15,8 @@ is smoothed alike under both and tells little, and one that neither class holds
 how much of its context's mass each class leaves to the backoff.
 
 A text's evidence is the difference of its toxic and ordinary log-likelihoods divided by its
-words, and the part of that difference from words that alone exceed ``STRONG``: the plain
-difference drifts with the language, the strong part does not. A logistic curve of the two,
+words, and the parts of that difference from words that alone exceed ``TELLING`` and ``STRONG``: the plain
+difference drifts with the language, those parts do not. A logistic curve of the three,
 fitted on labelled documents that the models have not seen, gives a score from 0 to 1.
 
 Counting and smoothing are joins and aggregates over the table of expressions; the sorted
@@ -42,21 +44,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._scratch import materialize, new_folder
-from ._store import find_sorted, merge, read_part, write_part
+from ._store import find_sorted, read_part, write_part
 from ._text import LOWER, hash_spans, ragged, slices, sums, word_spans
 
-MAX_DOCUMENTS = 100_000
+MAX_DOCUMENTS = 20_000
 MAX_CURVE = 50_000
 #: Bytes of an expression; at most 7, so that one is a positive integer.
-ORDER = 4
+ORDER = 7
 BEGIN, END = 1, 2
 #: Expressions of one stored part, about, and the number that deals them.
 PART, PRIME = 2_000_000, 1_000_003
-#: Log-likelihood difference of a word that is told apart from its text's general drift.
-STRONG = 8.0
+#: Log-likelihood differences of a word that is told apart from its text's general drift.
+TELLING, STRONG = 4.0, 8.0
+FEATURES = ("evidence", "telling", "strong")
 THRESHOLD = 0.3
 #: Expressions that a task holds before it merges them.
-PENDING = 4_000_000
+PENDING = 2_000_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -68,7 +71,7 @@ def held_out(doc_id: Column) -> Column:
 class Model:
     folder: str
     parts: int  # 0 without documents of both classes
-    curve: tuple[float, ...] = (0.0, 0.0, float("-inf"))
+    curve: tuple[float, ...] = (0.0, 0.0, 0.0, float("-inf"))
 
     @property
     def usable(self) -> bool:
@@ -93,8 +96,19 @@ def _words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return first, place, ragged(whole, at, n), np.concatenate([[0], np.cumsum(n)])
 
 
+def _merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Distinct expressions with the sums of the first two columns and the greatest of the other two."""
+    key = np.concatenate([x[0] for x in held])
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    columns = [np.concatenate([x[k] for x in held])[order] for k in range(1, 5)]
+    return key[edge], *[np.add.reduceat(c, edge) for c in columns[:2]], *[np.maximum.reduceat(c, edge) for c in columns[2:]]
+
+
 def _count(rows: DataFrame) -> DataFrame:
-    """(gram, ordinary, toxic): how many documents of each class hold an expression."""
+    """(gram, ordinary, toxic): occurrences of an expression in each class, those of the document with most of them as one."""
+    names = ["gram", "ordinary", "toxic", "most_ordinary", "most_toxic"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -105,22 +119,28 @@ def _count(rows: DataFrame) -> DataFrame:
                 if not len(place):
                     continue
                 row = np.repeat(np.arange(b - a), np.diff(first))
-                pairs = np.unique(row * (len(at) - 1) + place)
+                pairs, times = np.unique(row * (len(at) - 1) + place, return_counts=True)
                 row, word = pairs // (len(at) - 1), pairs % (len(at) - 1)
                 distinct, number = np.unique(grams, return_inverse=True)
                 n = np.diff(at)[word]
-                each = np.unique(np.repeat(row, n) * len(distinct) + ragged(number, at[word], n))
-                is_toxic = toxic[a:b][each // len(distinct)] == 1
-                seen = each % len(distinct)
-                held.append((distinct.astype(np.uint64), *(np.bincount(seen[is_toxic == k], minlength=len(distinct)) for k in (False, True))))
+                each, own = np.unique(np.repeat(row, n) * len(distinct) + ragged(number, at[word], n), return_inverse=True)
+                said = np.bincount(own, np.repeat(times, n)).astype(np.int64)
+                is_toxic, seen = toxic[a:b][each // len(distinct)] == 1, each % len(distinct)
+                sums_, most = [], []
+                for k in (False, True):
+                    of = is_toxic == k
+                    sums_.append(np.bincount(seen[of], said[of], len(distinct)).astype(np.int64))
+                    most.append(np.zeros(len(distinct), np.int64))
+                    np.maximum.at(most[-1], seen[of], said[of])
+                held.append((distinct, *sums_, *most))
                 if sum(len(x[0]) for x in held) > PENDING:
-                    held = [merge(*map(list, zip(*held)))]
+                    held = [_merged(held)]
         if held:
-            keys, *counts = merge(*map(list, zip(*held)))
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (keys, *counts)], ["gram", "ordinary", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _merged(held)], names)
 
-    counted = rows.select("text", "toxic").mapInArrow(count, "gram long, ordinary long, toxic long")
-    return counted.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    counted = rows.select("text", "toxic").mapInArrow(count, ", ".join(f"{c} long" for c in names))
+    totals = counted.groupBy("gram").agg(*[F.sum(c).alias(c) for c in names[1:3]], *[F.max(c).alias(c) for c in names[3:]])
+    return totals.select("gram", *[(F.col(c) - F.col(f"most_{c}") + F.least(F.col(f"most_{c}"), F.lit(1))).alias(c) for c in names[1:3]])
 
 
 def _discounts(table: DataFrame, *columns: str) -> list[float]:
@@ -211,29 +231,29 @@ def _told(model: Model, kind: str, keys: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def evidence_of(model: Model, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Two columns per row: toxic minus ordinary log-likelihood per word, and the part of words beyond STRONG."""
+    """FEATURES of each row: toxic minus ordinary log-likelihood per word, and the parts of words beyond TELLING and STRONG."""
     first, place, grams, at = _words(buf, offsets)
     n = np.diff(first)
     if not model.usable or not len(place):
-        return np.zeros((len(n), 2))
+        return np.zeros((len(n), len(FEATURES)))
     distinct, number = np.unique(grams, return_inverse=True)
     told, has = _told(model, "grams", distinct)
     rest = np.flatnonzero(~has)  # the backoff is the same under both: what is left of the masses stays
     told[rest] = _told(model, "contexts", distinct[rest] >> 8)[0]
     each = sums(told[number], at)[place]
-    return np.column_stack([sums(each, first), sums(np.where(each > STRONG, each, 0.0), first)]) / np.maximum(n, 1)[:, None]
+    return np.column_stack([sums(np.where(each > least, each, 0.0), first) for least in (-np.inf, TELLING, STRONG)]) / np.maximum(n, 1)[:, None]
 
 
 def evidence(docs: DataFrame, model: Model, keep: str = "doc_id long") -> DataFrame:
-    """Column keep and the evidence of each row."""
+    """Column keep and the FEATURES of each row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, buf, off in slices(batch.column(1)):
                 found = evidence_of(model, buf, off)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], [keep.split()[0], "evidence", "strong"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *[pa.array(c.copy()) for c in found.T]], [keep.split()[0], *FEATURES])
 
-    return docs.mapInArrow(rows, f"{keep}, evidence double, strong double")
+    return docs.mapInArrow(rows, ", ".join([keep, *[f"{c} double" for c in FEATURES]]))
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
@@ -276,15 +296,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     if not model.usable:
         return model
     seen = evidence(rows.where("fold").select("toxic", "text"), model, "toxic int").toPandas()
-    curve = _curve(seen[["evidence", "strong"]].to_numpy(), seen["toxic"].to_numpy(float))
+    curve = _curve(seen[list(FEATURES)].to_numpy(), seen["toxic"].to_numpy(float))
     return replace(model, curve=curve)
 
 
 def _score(model: Model) -> Column:
     if not model.usable:
         return F.lit(0.0)
-    a, b, c = (F.lit(x) for x in model.curve)
-    return 1 / (1 + F.exp(-(a * F.col("evidence") + b * F.col("strong") + c)))
+    *weights, offset = model.curve
+    return 1 / (1 + F.exp(-sum((F.lit(w) * F.col(c) for w, c in zip(weights, FEATURES)), F.lit(offset))))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -300,8 +320,8 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(batch.schema.get_field_index("text"))
-            found = np.concatenate([np.zeros((0, 2)), *[evidence_of(model, buf, off) for _, _, buf, off in slices(text)]])
-            stays = 1 / (1 + np.exp(-(found @ np.array(model.curve[:2]) + model.curve[2]))) < THRESHOLD
+            found = np.concatenate([np.zeros((0, len(FEATURES))), *[evidence_of(model, buf, off) for _, _, buf, off in slices(text)]])
+            stays = 1 / (1 + np.exp(-(found @ np.array(model.curve[:-1]) + model.curve[-1]))) < THRESHOLD
             yield batch.filter(pa.array(stays))
 
     return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(rows, docs.schema) if model.usable else docs

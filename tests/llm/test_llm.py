@@ -4,6 +4,7 @@ import base64
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -331,7 +332,7 @@ def test_toxicity_evidence_is_the_models_difference(spark):
     import math
 
     own = lambda i: "".join(chr(97 + (i * k * k + k) % 26) for k in range(1, 6))
-    texts = [(f"{prose(12)} {own(i)} {own(i // 2)}" + (" grumpig" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(30)]
+    texts = [(f"{prose(12)} {own(i)} {own(i // 2)}" + " grumpig" * (1 + i % 2) * (i % 3 == 0) + " burst" * 9 * (i == 6), int(i % 3 == 0)) for i in range(30)]
     rows = spark.createDataFrame([(t, y) for t, y in texts], "text string, toxic int")
     model = toxicity.count_models(rows)
     n = toxicity.ORDER
@@ -341,10 +342,12 @@ def test_toxicity_evidence_is_the_models_difference(spark):
         raw = b"\1" * (n - 1) + word.translate(lower).encode() + b"\2"
         return [raw[k : k + n] for k in range(len(raw) - n + 1)]
 
-    counts = ({}, {})
+    said = ({}, {})  # of each expression, how often each text says it
     for t, y in texts:
-        for g in {g for w in words(t) for g in grams(w)}:
-            counts[y][g] = counts[y].get(g, 0) + 1
+        own_counts = Counter(g for w in words(t) for g in grams(w))
+        for g, k in own_counts.items():
+            said[y].setdefault(g, []).append(k)
+    counts = tuple({g: sum(k) - max(k) + 1 for g, k in of.items()} for of in said)
 
     def discount(c):
         one, two = sum(v == 1 for v in c), sum(v == 2 for v in c)
@@ -378,7 +381,8 @@ def test_toxicity_evidence_is_the_models_difference(spark):
     for i, t in enumerate(fresh):
         each = [sum(log_p(g, 1) - log_p(g, 0) for g in grams(w)) for w in words(t)]
         assert math.isclose(found[i]["evidence"], sum(each) / max(len(each), 1), abs_tol=1e-9)
-        assert math.isclose(found[i]["strong"], sum(x for x in each if x > toxicity.STRONG) / max(len(each), 1), abs_tol=1e-9)
+        for name, least in (("telling", toxicity.TELLING), ("strong", toxicity.STRONG)):
+            assert math.isclose(found[i][name], sum(x for x in each if x > least) / max(len(each), 1), abs_tol=1e-9)
 
 
 def test_toxicity(spark):
