@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from dataclasses import dataclass
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import shared_dir
+from ..shared import new_folder, saved
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
+__all__ = ["materialize", "new_folder", "numbered"]
 
 
 def local_view(path: str) -> str | None:
@@ -29,10 +21,7 @@ def local_view(path: str) -> str | None:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to a new shared folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return saved(df, name)
 
 
 @dataclass(frozen=True)
@@ -83,14 +72,3 @@ def numbered(docs: DataFrame) -> Numbered:
     on = (F.col("s.part") == F.col("c.part")) & F.col("s.doc_id").eqNullSafe(F.col("c.doc_id"))
     joined = stored.alias("s").join(cells.alias("c"), on)
     return Numbered(materialize(joined.select((F.col("before") + F.col("at")).alias("number"), "first", "s.doc_id", "text", "row"), "numbered"), False)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _made:
-        try:
-            jvm = spark.sparkContext._jvm
-            folder = jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-        except Exception:  # the session is gone; the cluster's own cleaning remains
-            return

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._components import components
+from ..operators.families import linked_components
 from ._scratch import materialize
 
 BLOCK = 8
@@ -190,7 +190,7 @@ def dedup(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     found = dealt.groupBy(*key, "i", "j").applyInPandas(_join(least, kind), "rep long, links long, other long")
     found = materialize(found, "links")
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    parts = components(found.where("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
+    parts = linked_components(found.where("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     each = reps.join(linked, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     each = each.select("label", "digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = rows.join(each, ["label", "digest"], "left")

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._components import components
+from ..operators.families import linked_components
 from ._scratch import materialize, numbered
 from ._store import pack, unpack
 from ._text import LOWER, hash_spans, mix, slices, word_spans
@@ -312,7 +312,7 @@ def _numbers(docs: DataFrame) -> DataFrame:
             new = _unproved(active, placed, docs)
         found = _links(new.unionByName(pairs) if turn == 0 else new, docs)
         links = found if links is None else materialize(links.unionByName(found), "links")
-        part = materialize(components(links), "components")
+        part = materialize(linked_components(links), "components")
         if not leads:
             break
         sized = part.join(part.groupBy("component").agg(F.count("*").alias("size")), "component").withColumnRenamed("node", "doc_id")
