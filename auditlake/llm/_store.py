@@ -128,3 +128,56 @@ def find_sorted(folder: str, name: str, part: np.ndarray, keys: np.ndarray) -> n
         hit = have[at] == keys[a:b]
         out[a:b][hit] = at[hit]
     return out
+
+
+def write_keys(folder: str, name: str, part: int, keys: np.ndarray, heads: int | None = None) -> None:
+    """Write ascending keys in half their size: lower halves, and where those of each upper half begin.
+
+    With heads, upper halves are all the numbers below it and need no list; else a list of them is kept.
+    """
+    head, tail = (keys >> np.uint64(32)).astype(np.uint32), keys.astype(np.uint32)
+    if heads is None:
+        own, begin = np.unique(head, return_index=True)
+        write_part(folder, f"{name}-head", part, own)
+        begin = np.append(begin, len(keys))
+    else:
+        begin = np.searchsorted(head, np.arange(heads + 1))
+    write_part(folder, f"{name}-begin", part, begin.astype(np.uint32))
+    write_part(folder, f"{name}-tail", part, tail)
+
+
+def read_keys(folder: str, name: str, part: int) -> np.ndarray:
+    """The keys of a part that has a list of upper halves."""
+    head, begin, tail = (read_part(folder, f"{name}-{x}", part) for x in ("head", "begin", "tail"))
+    return np.repeat(head, np.diff(begin.astype(np.int64))).astype(np.uint64) << np.uint64(32) | tail.astype(np.uint64)
+
+
+def find_keys(folder: str, name: str, part: np.ndarray, keys: np.ndarray, listed: bool) -> np.ndarray:
+    """Index within its part of each key, or -1; keys are sorted by part; listed: the part has a list of upper halves."""
+    out = np.full(len(keys), -1, np.int64)
+    edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+    for a, b in zip(edges, [*edges[1:], len(part)]):
+        k = int(part[a])
+        tail, begin = read_part(folder, f"{name}-tail", k), read_part(folder, f"{name}-begin", k)
+        if not len(tail):
+            continue
+        head, want = (keys[a:b] >> np.uint64(32)).astype(np.uint32), keys[a:b].astype(np.uint32)
+        if listed:
+            have = read_part(folder, f"{name}-head", k)
+            at = np.minimum(np.searchsorted(have, head), len(have) - 1)
+            known = have[at] == head
+        else:
+            at = np.minimum(head.astype(np.int64), len(begin) - 2)
+            known = at == head
+        low, high = begin[at].astype(np.int64), begin[at + 1].astype(np.int64)
+        end = high.copy()
+        left = np.flatnonzero(known & (low < high))
+        while len(left):  # all searches side by side
+            middle = (low[left] + high[left]) >> 1
+            less = tail[middle] < want[left]
+            low[left], high[left] = np.where(less, middle + 1, low[left]), np.where(less, high[left], middle)
+            left = left[low[left] < high[left]]
+        hit = known & (low < end)
+        hit[hit] = tail[low[hit]] == want[hit]
+        out[a:b][hit] = low[hit]
+    return out

@@ -9,7 +9,8 @@ vocabulary of them.
 
 The model is a folder of sorted arrays in the shared folder: word hashes (whose position is
 the word's id), counts, continuation probabilities, and per part the sorted keys of pairs and
-triples; counts are kept only where they are not one. Workers map them and look their sorted
+triples, as the last words after each first word or pair and where those begin; counts are kept only
+where they are not one. Workers map them and look their sorted
 queries up; nothing of it passes through the driver but a few sums per part.
 
 Probability: (c(uvw) - D) / c(uv) + g(uv) * P(w | v), with P(w | v) from the numbers of
@@ -37,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._scratch import materialize, new_folder
-from ._store import Parts, find_sorted, merge, pack, range_of, read_part, unpack, write_part
+from ._store import Parts, find_keys, find_sorted, merge, pack, range_of, read_keys, read_part, unpack, write_keys, write_part
 from ._text import LOWER, hash_spans, slices, sums, word_spans
 
 #: Pairs or triples that a task holds before it sends them.
@@ -224,7 +225,7 @@ def _find_pairs(model: Model, first: np.ndarray, second: np.ndarray) -> tuple[np
     key = first.astype(np.uint64) << np.uint64(32) | second.astype(np.uint64)
     order = np.lexsort((key, part))
     place = np.empty(len(key), np.int64)
-    place[order] = find_sorted(model.folder, "pairs", part[order], key[order])
+    place[order] = find_keys(model.folder, "pairs", part[order], key[order], listed=True)
     return part, place
 
 
@@ -323,7 +324,7 @@ def train(docs: DataFrame) -> Model:
         part = int(pdf["part"].iloc[0])
         pdf = pdf[pdf["keys"].notna()]
         k, c = _merged(pdf) if len(pdf) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        write_part(folder, "pairs", part, k)
+        write_keys(folder, "pairs", part, k)
         _write_counts(folder, "pair", part, c)
         after, n = np.unique(split(k)[1], return_counts=True)
         return pd.DataFrame(_pieces(1, after, (n,), parts, ranges), columns=_STATS)
@@ -336,7 +337,8 @@ def train(docs: DataFrame) -> Model:
         part = int(pdf["part"].iloc[0])
         pdf = pdf[pdf["keys"].notna()]
         k, c = _merged(pdf) if len(pdf) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        write_part(folder, "triples", part, k)
+        second_of = read_part(folder, "pairs-tail", part)
+        write_keys(folder, "triples", part, k, heads=len(second_of))
         _write_counts(folder, "triple", part, c)
         pair, last = split(k)
         place, total, *n = merge([pair], [c], [c == 1], [c == 2], [c > 2])
@@ -344,7 +346,7 @@ def train(docs: DataFrame) -> Model:
         write_part(folder, "context-more", part, place[more].astype(np.uint32))
         for name, x in zip(("total", "n1", "n2", "n3"), (total, *n)):
             write_part(folder, f"context-{name}", part, x[more].astype(np.uint32))
-        middle = split(read_part(folder, "pairs", part))[1][pair.astype(np.int64)] if len(k) else k
+        middle = second_of[pair.astype(np.int64)].astype(np.uint64)
         pairs, before = np.unique(middle << np.uint64(32) | last, return_counts=True)
         first, second = (x.astype(np.int64) for x in split(pairs))
         to = _pair_part(model, first, second)
@@ -360,7 +362,7 @@ def train(docs: DataFrame) -> Model:
         part = int(pdf["part"].iloc[0])
         of_triples = [(3, part, None, None, x) for x in pdf["counted"][pdf["kind"] == 2]]
         pdf = pdf[pdf["kind"] == 0]
-        pairs = read_part(folder, "pairs", part)
+        pairs = read_keys(folder, "pairs", part)
         n = np.zeros(len(pairs), np.int64)
         if len(pdf):
             keys, before = merge([unpack(x) for x in pdf["keys"]], [unpack(x[0]) for x in pdf["values"]])
@@ -469,7 +471,7 @@ class Scorer:
             last = np.flatnonzero(ids[token[later]] >= 0)
             key = _triple_key(context[last], ids[token[later[last]]])
             order = last[np.lexsort((key, own[last]))]
-            found = find_sorted(m.folder, "triples", own[order], _triple_key(context[order], ids[token[later[order]]]))
+            found = find_keys(m.folder, "triples", own[order], _triple_key(context[order], ids[token[later[order]]]), listed=False)
             order, found = order[found >= 0], found[found >= 0]
             (c,) = _read_counts(m.folder, "triple", own[order], found)
             p[later[order]] += (c - _discount(c, d)) / total[order]

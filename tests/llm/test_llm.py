@@ -475,3 +475,20 @@ def test_repeated_rows_long_texts_and_clashing_names(spark):
     assert sum(r["start"] == 0 for r in pieces) == 8
     back = {r["doc_id"]: bytes(r["bytes"]).decode() for r in byte_bpe.decode(byte_bpe.encode(docs, path, P.PATTERN), path).collect()}
     assert back == {i: t or "" for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("listed", [True, False])
+def test_halved_keys(tmp_path, listed):
+    from auditlake.llm._store import find_keys, read_keys, write_keys
+
+    folder, part_keys = f"file://{tmp_path}", []
+    for part, n in ((0, 0), (1, 4000), (2, 1)):
+        keys = np.unique(RNG.integers(0, 300, n).astype(np.uint64) ** np.uint64(1 + listed) << np.uint64(32) | RNG.integers(0, 2**32, n).astype(np.uint64))
+        write_keys(folder, "k", part, keys, None if listed else 300)
+        part_keys.append(keys)
+        if listed:
+            assert (read_keys(folder, "k", part) == keys).all()
+    asked = [np.concatenate([k[::3], k[:50] + np.uint64(1), RNG.integers(0, 300, 40).astype(np.uint64) << np.uint64(32)]) for k in part_keys]
+    part = np.repeat(np.arange(3), [len(a) for a in asked])
+    due = [int(np.searchsorted(k, x)) if x in k else -1 for k, a in zip(part_keys, asked) for x in a]
+    assert find_keys(folder, "k", part, np.concatenate(asked), listed).tolist() == due
