@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import ship
-from . import audit_queries, compare_queries, label_queries, metric_queries, report_queries, resample_queries, sampling_queries
+from . import audit_queries, compare_queries, fit_queries, label_queries, metric_queries, report_queries, resample_queries, sampling_queries
 
-_MODULES = (metric_queries, audit_queries, label_queries, sampling_queries, resample_queries, compare_queries, report_queries)
+_MODULES = (metric_queries, audit_queries, label_queries, sampling_queries, resample_queries, compare_queries, report_queries, fit_queries)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -310,12 +310,6 @@ def _points(s, d):
     return c.groupBy(*KEYS).agg(F.avg("conf").alias("x"), F.avg("correct").alias("y"))
 
 
-def _permuted(s, d):
-    c = cells(s, d).where("variant = 'D5' AND state_id IS NOT NULL AND policy < 'S2'")
-    points = c.groupBy("policy").agg(F.round(F.avg("conf"), 9).alias("x"), F.round(F.avg("correct"), 9).alias("y"))
-    return rounded(stats.permutation_test(points, "policy", "x", "y"))
-
-
 _SQRT = PRE + ", pt AS (SELECT variant, policy, sqrt(avg(conf)) AS x, avg(correct) AS y FROM scored WHERE state_id IS NOT NULL GROUP BY ALL), f AS (SELECT sum(x * y) / sum(x * x) AS b, avg(y) AS m, count(*) AS n FROM pt), l AS (SELECT p.x, p.y, (SELECT sum(q.x * q.y) / sum(q.x * q.x) FROM pt q WHERE (p.variant, p.policy) <> (q.variant, q.policy)) AS b1 FROM pt p), t AS (SELECT max(b) AS b, sum((y - b * x)**2) AS sse, sum((y - m)**2) AS sst, sum((y - b1 * x)**2) AS loo, avg(abs(y - b1 * x)) AS mae, sqrt(avg((y - b1 * x)**2)) AS rmse, max(n) AS n FROM l, f) SELECT round(b, 6) AS slope, 0.0::DOUBLE AS intercept, round(1 - sse / sst, 6) AS r2, round(sse, 6) AS sse, round(n * ln(sse / n) + 4 + 12 / (n - 3.0::DOUBLE), 6) AS aicc, round(1 - loo / sst, 6) AS loo_r2, round(mae, 6) AS loo_mae, round(rmse, 6) AS loo_rmse FROM t"
 _LIN = "('0x' || substr(sha256(concat_ws(':', '{0}', doc_id::VARCHAR, policy)), 1, 2))::BIGINT"
 
@@ -372,6 +366,5 @@ QUERIES = {
     "weighted_kappa": (_CELLS(_weighted_kappa), PRE + f", ab AS (SELECT policy, 1.0::DOUBLE / (1 + doc_id % 4) AS w, CASE WHEN {_LIN.format('ann1')} < 32 THEN (state_id + 1) % 3 ELSE state_id END AS a, CASE WHEN {_LIN.format('ann2')} < 48 THEN (state_id + 2) % 3 ELSE state_id END AS b FROM scored WHERE variant = 'D0' AND state_id IS NOT NULL), t AS (SELECT policy, sum(w) AS t, sum(w) FILTER (a = b) / sum(w) AS po FROM ab GROUP BY policy), r AS (SELECT policy, a AS k, sum(w) AS r FROM ab GROUP BY ALL), c AS (SELECT policy, b AS k, sum(w) AS c FROM ab GROUP BY ALL), pe AS (SELECT policy, sum(r * c) AS rc FROM r JOIN c USING (policy, k) GROUP BY policy) SELECT policy, round(po, 6) AS agreement, round((po - rc / (t * t)) / (1 - rc / (t * t)), 6) AS kappa FROM t JOIN pe USING (policy)"),
     "stuart_maxwell": (_CELLS(lambda c: stats.stuart_maxwell(c.where("variant = 'D0'"))), PRE + ", y AS (SELECT doc_id, policy, state_id FROM label_cells WHERE variant = 'D0' AND state_id IS NOT NULL), t AS (SELECT a.policy AS a, b.policy AS b, count(*) AS n, sum((a.state_id = 0)::INT) - sum((b.state_id = 0)::INT) AS d0, sum((a.state_id = 1)::INT) - sum((b.state_id = 1)::INT) AS d1, sum(((a.state_id = 0) <> (b.state_id = 0))::INT) AS v00, sum(((a.state_id = 1) <> (b.state_id = 1))::INT) AS v11, -sum((a.state_id + b.state_id = 1)::INT) AS v01 FROM y a JOIN y b ON a.doc_id = b.doc_id AND a.policy < b.policy GROUP BY ALL), x AS (SELECT a, b, n, (d0 * d0 * v11 - 2 * d0 * d1 * v01 + d1 * d1 * v00) / (v00 * v11 - v01 * v01) AS s FROM t) SELECT a, b, n, round(s, 6) AS statistic, round(exp(-s / 2), 6) AS p FROM x"),
     "ols_sqrt_no_intercept": (lambda s, d: rounded(stats.ols(_points(s, d), "x", "y", "sqrt", False)), _SQRT),
-    "permutation_test": (_permuted, None),
     "temperature_recovery": (_recovery, _SCALED),
 }

@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import digest, hex_int
 from ..operators import accumulate as Q
 from ..operators import audit as A
 from ..operators import bootstrap as B
 from ..operators import compare as C
 from ..operators import metrics as M
-from ..operators import recalibrate as L
 from ..operators import refits as T
 from ..operators import stats as S
-from ..operators.sampling import global_rank
+from .fit_queries import parts
 from .metric_queries import _ECE, _TOKENS, PRE, cells, rounded, tokens
 
 #: Replicates of a bootstrap.
@@ -85,33 +83,11 @@ def _nll(s, d):
     return B.interval(B.ratio(units, "doc_id", "num", "den", ["policy"], "boot", R), ["policy"])
 
 
-def _parts(s, d):
-    """Source cells, and the calib and test cells of the other variant; calib cells have their rank."""
-    c = cells(s, d)
-    share = hex_int(digest("part", F.col("doc_id")), 1, 2) < 96
-    ranks = global_rank(c.select("doc_id").distinct().where(share), digest("budget", F.col("doc_id")))
-    other = c.where("variant = 'D5'")
-    return c.where((F.col("variant") == "D0") & share), other.join(ranks, "doc_id"), other.where(~share)
-
-
-def _curve(s, d):
-    return rounded(L.learning_curve(*_parts(s, d), [50, 100, 200, 500]))
-
-
-def _smallest(s, d):
-    return L.smallest_budget(L.learning_curve(*_parts(s, d), [50, 100, 200, 500]), 0.2)
-
-
 def _two_stage(s, d):
-    _, calib, test = _parts(s, d)
+    _, calib, test = parts(s, d)
     return rounded(T.two_stage(calib, test, "doc_id", [50, 100, 200, 500], "two", 160))
 
 
-def _logistic(s, d):
-    c = cells(s, d).where("state_id IS NOT NULL").withColumn("y", (F.col("state_id") == 1).cast("int"))
-    return S.logistic_calibration(c, ["variant"], "p1", "y").select("variant", F.round("intercept", 6).alias("intercept"), F.round("slope", 6).alias("slope"))
-
-
 _CUT = " + ".join(f"(u >= {c})::INTEGER" for c in B.CUTS)
 _WEIGHTS = f", wt AS (SELECT doc_id, replicate, {_CUT} AS w FROM (SELECT doc_id, replicate, ('0x' || substr(sha256(concat_ws(':', 'boot', doc_id::VARCHAR, ((replicate - 1) // 5)::VARCHAR)), (replicate - 1) % 5 * 12 + 1, 12))::BIGINT AS u FROM documents, (SELECT unnest(range(1, {R + 1})) AS replicate)))"
 _RATIO = _WEIGHTS + ", un AS (SELECT doc_id, sum(correct) AS num, count(*) AS den FROM scored WHERE variant = 'D5' AND correct IS NOT NULL GROUP BY ALL), bt AS (SELECT 'all' AS \"all\", replicate::INTEGER AS replicate, sum(w * num) / sum(w * den) AS value FROM un JOIN wt USING (doc_id) GROUP BY ALL) "
@@ -139,16 +115,12 @@ QUERIES = {
     "cochran_q": (lambda s, d: rounded(S.cochran_q(_labels(s, d))), PRE + ", ks AS (SELECT unnest([0, 1, 2]) AS k), wh AS (SELECT doc_id FROM label_cells WHERE variant = 'D0' GROUP BY doc_id HAVING bool_and(state_id IS NOT NULL)), ok AS (SELECT k, doc_id, policy, (state_id = k)::INTEGER AS v FROM label_cells JOIN wh USING (doc_id), ks WHERE variant = 'D0'), r AS (SELECT k, sum(r) AS t, sum(r * r) AS r2, count(*) AS n FROM (SELECT k, doc_id, sum(v) AS r FROM ok GROUP BY ALL) GROUP BY k), c AS (SELECT k, sum(c * c) AS c2 FROM (SELECT k, policy, sum(v) AS c FROM ok GROUP BY ALL) GROUP BY k), q AS (SELECT k, n, 9 * (10 * c2 - t * t) / (10 * t - r2) AS q FROM r JOIN c USING (k)) SELECT k::INTEGER AS state_id, n, round(q, 6) AS q, 9::BIGINT AS df, round(CASE WHEN 9 > 0 THEN greatest(1 - list_sum([exp((9 / 2.0::DOUBLE + jj) * ln(q / 2) - q / 2 - lgamma(9 / 2.0::DOUBLE + jj + 1)) FOR jj IN range(0, 400)]), 0) END, 6) AS p FROM q"),
     "holm_bonferroni": (lambda s, d: rounded(S.holm(_pvalues(s, d), "p", "policy")), PRE + ", y AS (SELECT policy, state_id, lang FROM label_cells WHERE variant = 'D0' AND state_id IS NOT NULL), o AS (SELECT policy, state_id, lang, count(*) AS o FROM y GROUP BY ALL), r AS (SELECT policy, state_id, count(*) AS r FROM y GROUP BY ALL), c AS (SELECT policy, lang, count(*) AS c FROM y GROUP BY ALL), p AS (SELECT policy, round(exp(-(sum(o) * (sum(o * o / (r * c)) - 1)) / 12), 12) AS p FROM o JOIN r USING (policy, state_id) JOIN c USING (policy, lang) GROUP BY policy), k AS (SELECT policy, p, (count(*) OVER () - row_number() OVER (ORDER BY p, policy) + 1) * p AS s, count(*) OVER () AS m FROM p) SELECT policy, round(p, 6) AS p, round(least(1.0, max(s) OVER (ORDER BY p, policy ROWS UNBOUNDED PRECEDING)), 6) AS holm, round(least(1.0, m * p), 6) AS bonferroni FROM k"),
     "ols_leave_one_out": (lambda s, d: rounded(S.ols(_points(s, d), "x", "y")), PRE + _PTS + ", f AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, avg(y) AS m FROM pt), l AS (SELECT p.x, p.y, regr_slope(q.y, q.x) AS b1, regr_intercept(q.y, q.x) AS a1 FROM pt p JOIN pt q ON (p.variant, p.policy) <> (q.variant, q.policy) GROUP BY p.variant, p.policy, p.x, p.y) SELECT round(max(b), 6) AS slope, round(max(a), 6) AS intercept, round(1 - sum((y - a - b * x)**2) / sum((y - m)**2), 6) AS r2, round(sum((y - a - b * x)**2), 6) AS sse, round(count(*) * ln(sum((y - a - b * x)**2) / count(*)) + 6 + 24 / (count(*) - 4.0::DOUBLE), 6) AS aicc, round(1 - sum((y - a1 - b1 * x)**2) / sum((y - m)**2), 6) AS loo_r2, round(avg(abs(y - a1 - b1 * x)), 6) AS loo_mae, round(sqrt(avg((y - a1 - b1 * x)**2)), 6) AS loo_rmse FROM l, f"),
-    "temperature_fit": (lambda s, d: S.fit_temperature(cells(s, d), ["variant"]).drop("variance").withColumn("temperature", F.round("temperature", 6)), None),
     "bootstrap_ratio": (lambda s, d: rounded(_ratio(s, d)), PRE + _RATIO + "SELECT \"all\", replicate, round(value, 6) AS value FROM bt"),
     "bootstrap_ratio_interval": (lambda s, d: rounded(B.interval(_ratio(s, d), ["all"])), PRE + _RATIO + "SELECT \"all\", count(*) AS n_valid, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, round((1 + count(*) FILTER (value <= 0)) / (count(*) + 1), 6) AS p FROM bt GROUP BY ALL"),
     "bootstrap_ece": (lambda s, d: rounded(_boot_ece(s, d)), PRE + _BOOT + "SELECT variant, policy, replicate, round(value, 6) AS value FROM bt"),
     "bootstrap_delta_ece_interval": (lambda s, d: rounded(B.interval(_delta(s, d), ["policy"])), PRE + _BOOT + ", dl AS (SELECT a.policy, a.value - b.value AS v FROM bt a JOIN bt b ON a.policy = b.policy AND a.replicate = b.replicate AND a.variant = 'D5' AND b.variant = 'D0') SELECT policy, count(*) AS n_valid, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, round((1 + count(*) FILTER (v <= 0)) / (count(*) + 1), 6) AS p FROM dl GROUP BY policy"),
     "bootstrap_nll_interval": (lambda s, d: rounded(_nll(s, d)), PRE + _WEIGHTS + ", un AS (SELECT doc_id, policy, -ln([p0, p1, p2][state_id + 1]) AS v FROM scored WHERE variant = 'D5' AND state_id IS NOT NULL), bt AS (SELECT policy, replicate, sum(w * v) / sum(w) AS value FROM un JOIN wt USING (doc_id) WHERE w > 0 GROUP BY ALL) SELECT policy, count(*) AS n_valid, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, round((1 + count(*) FILTER (value <= 0)) / (count(*) + 1), 6) AS p FROM bt GROUP BY policy"),
-    "learning_curve": (_curve, None),
-    "smallest_budget": (_smallest, None),
     "two_stage_bootstrap": (_two_stage, None),
-    "logistic_calibration": (_logistic, None),
     "bootstrap_rates_interval": (lambda s, d: rounded(_rates(s, d)), PRE + _WEIGHTS + ", sm AS (SELECT policy, replicate, sum(w) AS a, sum(w) FILTER (state_id = 1) AS pos, sum(w) FILTER (state_id = 0) AS neg, coalesce(sum(w) FILTER (state_id = 1 AND pred = 1), 0) AS tp, coalesce(sum(w) FILTER (state_id = 0 AND pred = 1), 0) AS fp, coalesce(sum(w) FILTER (state_id = 1 AND pred <> 1), 0) AS fn, sum(-w * ln(greatest([p0, p1, p2][state_id + 1], 1e-12))) AS nll, sum(w * ((p0 - (state_id = 0)::INTEGER)**2 + (p1 - (state_id = 1)::INTEGER)**2 + (p2 - (state_id = 2)::INTEGER)**2)) AS brier FROM scored JOIN wt USING (doc_id) WHERE variant = 'D5' AND state_id IS NOT NULL GROUP BY ALL), bt AS (SELECT policy, unnest(['f1', 'fn_rate', 'fp_rate', 'nll', 'brier']) AS metric, unnest([CASE WHEN pos > 0 AND neg > 0 THEN CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0::DOUBLE ELSE 2 * tp / (2 * tp + fp + fn) END END, fn / pos, fp / neg, nll / a, brier / a]) AS value FROM sm) SELECT policy, metric, count(*) AS n_valid, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, round((1 + count(*) FILTER (value <= 0)) / (count(*) + 1), 6) AS p FROM bt WHERE value IS NOT NULL GROUP BY ALL"),
     "simultaneous_intervals": (lambda s, d: rounded(_simultaneous(s, d)), PRE + _BOOT + f", dl AS (SELECT a.policy, a.replicate, a.value - b.value AS v FROM bt a JOIN bt b ON a.policy = b.policy AND a.replicate = b.replicate AND a.variant = 'D5' AND b.variant = 'D0'), ec AS ({_ECE}), es AS (SELECT a.policy, a.ece - b.ece AS e FROM ec a JOIN ec b ON a.policy = b.policy AND a.variant = 'D5' AND b.variant = 'D0'), se AS (SELECT policy, stddev_samp(v) AS se, count(*) AS n_valid FROM dl GROUP BY policy), ct AS (SELECT quantile_cont(t, 0.95) AS c FROM (SELECT replicate, max(abs(v - e) / se) AS t FROM dl JOIN es USING (policy) JOIN se USING (policy) GROUP BY replicate)) SELECT policy, round(e - c * se, 6) AS low, round(e + c * se, 6) AS high, n_valid FROM es JOIN se USING (policy), ct"),
     "simultaneous_centred_intervals": (lambda s, d: rounded(_simultaneous(s, d, centred=True)), PRE + _BOOT + f", dl AS (SELECT a.policy, a.replicate, a.value - b.value - avg(a.value - b.value) OVER (PARTITION BY a.replicate) AS v FROM bt a JOIN bt b ON a.policy = b.policy AND a.replicate = b.replicate AND a.variant = 'D5' AND b.variant = 'D0'), ec AS ({_ECE}), es AS (SELECT a.policy, a.ece - b.ece - avg(a.ece - b.ece) OVER () AS e FROM ec a JOIN ec b ON a.policy = b.policy AND a.variant = 'D5' AND b.variant = 'D0'), se AS (SELECT policy, stddev_samp(v) AS se, count(*) AS n_valid FROM dl GROUP BY policy), ct AS (SELECT quantile_cont(t, 0.95) AS c FROM (SELECT replicate, max(abs(v - e) / se) AS t FROM dl JOIN es USING (policy) JOIN se USING (policy) GROUP BY replicate)) SELECT policy, round(e - c * se, 6) AS low, round(e + c * se, 6) AS high, n_valid FROM es JOIN se USING (policy), ct"),
