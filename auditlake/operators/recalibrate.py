@@ -34,8 +34,8 @@ def method_temperatures(source: DataFrame, calib: DataFrame, budgets: list[int])
     """
     within = F.explode(F.filter(F.array(*map(F.lit, budgets)), lambda b: b >= F.col("rank")))
     nested = saved(calib.where("state_id IS NOT NULL").select("policy", "state_id", *LOGITS, within.alias("budget")))
-    by_policy = fit_temperature(nested, ["budget", "policy"])
-    pooled = fit_temperature(nested, ["budget"]).select("budget", F.col("temperature").alias("pooled"))
+    by_policy = saved(fit_temperature(nested, ["budget", "policy"]))
+    pooled = saved(fit_temperature(nested, ["budget"])).select("budget", F.col("temperature").alias("pooled"))
     own = fit_temperature(source, ["policy"]).select("policy", F.col("temperature").alias("source"))
     both = by_policy.join(pooled, "budget").join(own, "policy")
     drawn = None

@@ -3,12 +3,10 @@
 A replicate draws a weight for each calibration unit and one for each test unit. Temperatures are
 fitted anew on the weighted prefix of each budget and judged on the weighted test cells.
 
-Fitting. The slope of the loss in log T is analytic in a strip around the real axis whose width
-does not hang on the logits, so its values at ``NODES`` Chebyshev points give it everywhere, to
-about machine precision. Those values are weighted sums over cells: one pass multiplies the
-matrix of cells by points with that of cells by replicates, for each band of ranks. A budget's sums
-are those of its bands, so nested budgets share all of them, and the optimum of every budget,
-method, policy and replicate is then a root of a polynomial, with no further pass.
+Fitting. The slopes of the loss at fixed points of log T (module ``slopes``) are weighted sums over
+cells: one pass multiplies the matrix of cells by points with that of cells by replicates, for each
+band of ranks. A budget's sums are those of its bands, so nested budgets share all of them, and the
+optimum of every budget, method, policy and replicate is then a root of a polynomial, with no further pass.
 
 Judging. Replicates order the test cells each in its own way, since each has its own T. Columns
 (one replicate of one budget and method) come in blocks; a block's cells are dealt by ranges of the
@@ -26,18 +24,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from numpy.polynomial import chebyshev
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import saved
 from . import metrics
 from .bootstrap import weights
+from .slopes import HIGH, LOGITS, LOW, NODES, roots, slopes
 
-LOW, HIGH = math.log(0.05), math.log(20.0)
-LOGITS = ["z0", "z1", "z2"]
-#: Points at which the slope is summed.
-NODES = 80
 #: Replicates that are fitted together, and of one block of columns; a multiple of the draws of a digest.
 REPLICATES = 160
 #: Cells of one range of scores, about, and ranges of a policy, at most: beyond both, ranges grow.
@@ -47,11 +41,6 @@ PER_RANGE = 64
 METHODS = ("global", "policy", "shrunk")
 _CHUNK = 1 << 22
 
-_X = np.cos((np.arange(NODES) + 0.5) * np.pi / NODES)
-_TAU = LOW + (HIGH - LOW) * (_X + 1) / 2
-#: From values at the points to coefficients.
-_TO_COEFFICIENTS = np.cos(np.outer(np.arange(NODES), (np.arange(NODES) + 0.5) * np.pi / NODES)) * np.where(np.arange(NODES) == 0, 1.0, 2.0)[:, None] / NODES
-
 
 def _weights_of(seed: str, units: pd.Series, first: int, last: int) -> np.ndarray:
     """Weights of each cell's unit in replicates first + 1 to last."""
@@ -59,15 +48,6 @@ def _weights_of(seed: str, units: pd.Series, first: int, last: int) -> np.ndarra
     return weights(seed, distinct.tolist(), first, last)[codes]
 
 
-def _slopes(z: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Derivative in log T of each cell's loss at the points."""
-    z = z - z.max(1, keepdims=True)
-    b = np.exp(-_TAU)
-    e = [np.exp(z[:, k, None] * b) for k in range(3)]
-    mean = sum(z[:, k, None] * e[k] for k in range(3)) / (e[0] + e[1] + e[2])
-    return b * (z[np.arange(len(y)), y][:, None] - mean)
-
-
 def slope_sums(calib: DataFrame, unit: str, budgets: list[int], seed: str, replicates: int) -> DataFrame:
     """policy, band, block, sums (points by replicates, flat) and n, the weight, for each replicate of a block.
 
@@ -85,7 +65,7 @@ def slope_sums(calib: DataFrame, unit: str, budgets: list[int], seed: str, repli
                 w = _weights_of(seed, own["unit"], block * size, min((block + 1) * size, replicates))
                 z, y = own[LOGITS].to_numpy(np.float64), own["state_id"].to_numpy(np.int64)
                 for (policy, band), at in own.reset_index(drop=True).groupby(["policy", "band"], sort=False).indices.items():
-                    new = [_slopes(z[at], y[at]).T @ w[at], w[at].sum(0)]
+                    new = [slopes(z[at], y[at]).T @ w[at], w[at].sum(0)]
                     key = (policy, band, block)
                     held[key] = [a + b for a, b in zip(held[key], new)] if key in held else new
         if held:
@@ -100,33 +80,6 @@ def slope_sums(calib: DataFrame, unit: str, budgets: list[int], seed: str, repli
     return rows.mapInPandas(partial, schema).groupBy("policy", "band", "block").applyInPandas(add, schema)
 
 
-def roots(sums: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log T of least loss and its variance in each column of slope sums at the points; no weight gives nan, a bound no variance."""
-    c = _TO_COEFFICIENTS @ sums
-    d = chebyshev.chebder(c)
-    at = lambda x, c=c: chebyshev.chebval(x, c, tensor=False)
-    columns = sums.shape[1]
-    low, high = np.full(columns, -1.0), np.full(columns, 1.0)
-    bottom, top = at(low) > 0, at(high) <= 0
-    x = (low + high) / 2
-    for _ in range(60):
-        value = at(x)
-        high, low = np.where(value > 0, x, high), np.where(value > 0, low, x)
-        slope = at(x, d)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            new = x - value / slope
-        new = np.where((slope > 0) & (new > low) & (new < high), new, (low + high) / 2)
-        done = np.abs(new - x).max(initial=0) < 1e-13
-        x = new
-        if done:
-            break
-    x = np.where(bottom, -1.0, np.where(top, 1.0, x))
-    curve = at(x, d) * 2 / (HIGH - LOW)
-    tau = np.where(n > 0, LOW + (HIGH - LOW) * (x + 1) / 2, np.nan)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return tau, np.where(~bottom & ~top & (curve > 0) & (n > 0), 1 / curve, np.nan)
-
-
 def drawn_together(own: np.ndarray, variance: np.ndarray, pooled: np.ndarray) -> np.ndarray:
     """Each policy's log T (rows) drawn to the pooled one by its share of variance within policies, and clipped."""
     with np.errstate(invalid="ignore", divide="ignore"):

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..shared import saved
+from .slopes import HIGH, LOGITS, LOW, roots, slopes
 
 
 def chi2_sf(x: float, df: int) -> float:
@@ -180,63 +184,35 @@ def permutation_test(points: DataFrame, label: str, x: str, y: str, transform: s
     return each.join(F.broadcast(seen)).agg(F.max("s0").alias("slope"), F.max("l0").alias("loo_r2"), reach("slope", "s0").alias("p_slope"), reach("loo_r2", "l0").alias("p_loo_r2"), F.count("*").alias("n_orders"))
 
 
-def fit_temperature(cells: DataFrame, keys: list[str], low: float = 0.05, high: float = 20.0, passes: int = 60, tolerance: float = 1e-8) -> DataFrame:
-    """keys, temperature, at_bound, variance of log T: least mean NLL over log T by safeguarded Newton passes.
+def fit_temperature(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, temperature, at_bound, variance of log T: least mean NLL over log T between the bounds of ``slopes``.
 
-    One aggregate a pass gives gradient and curvature of all keys; the driver keeps a bracket a key. At a
-    bound the variance is null.
+    One pass sums the slopes at fixed points, a task's cells of a key as one row; each key's optimum is a root of
+    the polynomial through them. At a bound the variance is null.
     """
-    spark = cells.sparkSession
-    y = F.col("state_id")
-    labelled = cells.where(y.isNotNull())
-    labelled = saved(labelled.select(*keys, *[F.col(f"z{k}") - F.greatest("z0", "z1", "z2") for k in range(3)], F.when(y == 0, F.col("z0")).when(y == 1, F.col("z1")).otherwise(F.col("z2")) - F.greatest("z0", "z1", "z2")).toDF(*keys, "z0", "z1", "z2", "zy"))  # every pass reads it
-    keyed = [tuple(r) for r in labelled.select(*keys).distinct().collect()]
     kinds = dict(cells.dtypes)
-    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "tau double"])
-
-    def slopes(points: list[tuple]) -> dict[tuple, tuple[float, float, int]]:
-        """(first, second derivative of the mean NLL in log T, cells) at each (keys, log T), in one aggregate."""
-        at = F.broadcast(spark.createDataFrame(points, schema).withColumn("b", F.exp(-F.col("tau"))))
-        e = [F.exp(F.col("b") * F.col(f"z{k}")) for k in range(3)]
-        total = e[0] + e[1] + e[2]
-        m = sum(F.col(f"z{k}") * e[k] for k in range(3)) / total
-        m2 = sum(F.col(f"z{k}") * F.col(f"z{k}") * e[k] for k in range(3)) / total
-        b = F.col("b")
-        found = labelled.join(at, keys).groupBy(*keys, "tau").agg(F.avg(b * (F.col("zy") - m)).alias("g"), F.avg(b * b * (m2 - m * m)).alias("h"), F.count("*").alias("n"))
-        return {(*[r[k] for k in keys], r["tau"]): (r["g"], r["h"] - r["g"], r["n"]) for r in found.collect()}
-
-    # a first pass over the whole range brackets each optimum, or shows that it is at a bound
-    grid = [math.log(low) + k * (math.log(high) - math.log(low)) / 16 for k in range(17)]
-    first = slopes([(*k, t) for k in keyed for t in grid]) if keyed else {}
-    state: dict[tuple, list[float]] = {}
-    variance: dict[tuple, float | None] = dict.fromkeys(keyed)
-    bound = set()
-    for k in keyed:
-        rising = [j for j, t in enumerate(grid) if first[(*k, t)][0] > 0]
-        j = rising[0] if rising else len(grid)
-        if j in (0, len(grid)):
-            bound.add(k)
-            state[k] = [grid[0] if j == 0 else grid[-1]] * 3
-        else:
-            state[k] = [(grid[j - 1] + grid[j]) / 2, grid[j - 1], grid[j]]
-    for _ in range(passes):
-        open_ = [k for k in keyed if k not in bound]
-        if not open_:
-            break
-        found, moved = slopes([(*k, state[k][0]) for k in open_]), 0.0
-        for k in open_:
-            v = state[k]
-            grad, curve, n = found[(*k, v[0])]
-            variance[k] = 1 / (n * curve) if curve > 0 else None
-            v[2 if grad > 0 else 1] = v[0]
-            new = v[0] - grad / curve if curve > 0 else (v[1] + v[2]) / 2
-            new = new if v[1] < new < v[2] else (v[1] + v[2]) / 2
-            moved = max(moved, abs(new - v[0]))
-            v[0] = new
-        if moved < tolerance:
-            break
-    rows = [(*k, math.exp(v[0]), k in bound, variance[k]) for k, v in state.items()]
-    return spark.createDataFrame(rows, ", ".join([*[f"{k} {kinds[k]}" for k in keys], "temperature double, at_bound boolean, variance double"]))
+    on = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, list] = {}
+        for pdf in frames:
+            z, y = pdf[LOGITS].to_numpy(np.float64), pdf["state_id"].to_numpy(np.int64)
+            for key, at in pdf.groupby(keys, sort=False, dropna=False).indices.items():
+                key = key if isinstance(key, tuple) else (key,)
+                sums, n = held.get(key, (0.0, 0))
+                held[key] = [sums + slopes(z[at], y[at]).sum(0), n + len(at)]
+        if held:
+            yield pd.DataFrame([[*k, s.tolist(), n] for k, (s, n) in held.items()], columns=[*keys, "sums", "n"])
+
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        tau, variance = roots(np.sum(np.stack(pdf["sums"].to_list()), axis=0)[:, None], np.array([pdf["n"].sum()]))
+        bound = bool(np.isclose(tau[0], [LOW, HIGH], rtol=0, atol=1e-12).any())
+        return pd.DataFrame([[*key, math.exp(tau[0]), bound, variance[0]]], columns=[*keys, "temperature", "at_bound", "variance"])
+
+    rows = cells.where("state_id IS NOT NULL").select(*keys, "state_id", *LOGITS)
+    sums = rows.mapInPandas(partial, f"{on}, sums array<double>, n long")
+    found = sums.groupBy(*keys).applyInPandas(fit, f"{on}, temperature double, at_bound boolean, variance double")
+    return found.withColumn("variance", F.when(~F.isnan("variance"), F.col("variance")))
 
 
 def logistic_calibration(cells: DataFrame, keys: list[str], score: str, hit: str, clip: float = 1e-6, passes: int = 25) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import best_log_t, logit_cells
 
-from auditlake.operators import bootstrap, refits
+from auditlake.operators import bootstrap, refits, slopes
 
 
 def auroc(p, y, w):
@@ -83,8 +83,8 @@ def test_range_sums_give_the_rank_sum_of_one_sort():
 
 def test_roots_of_bounds_and_no_weight():
     z, y = np.array([[9.0, 0.0, 0.0]] * 4), np.zeros(4, np.int64)
-    s = refits._slopes(z, y)
-    tau, variance = refits.roots(np.stack([s.sum(0), -s.sum(0), 0 * s[0]], 1), np.array([4.0, 4.0, 0.0]))
+    s = slopes.slopes(z, y)
+    tau, variance = slopes.roots(np.stack([s.sum(0), -s.sum(0), 0 * s[0]], 1), np.array([4.0, 4.0, 0.0]))
     assert tau[0] == pytest.approx(np.log(0.05)) and tau[1] == pytest.approx(np.log(20)) and np.isnan(tau[2]) and np.isnan(variance).all()
     drawn = refits.drawn_together(np.array([[0.1], [9.0]]), np.array([[np.nan], [np.nan]]), np.array([0.5]))
     assert drawn.tolist() == [[0.5], [0.5]]  # unknown variances: the pooled fit
