@@ -180,3 +180,16 @@ def reference_gate(cells: DataFrame, strict: float = 0.99, missing: float = 0.01
     record = cells.groupBy("variant", "doc_id").agg(F.min(y.isNotNull().cast("int")).alias("complete")).groupBy("variant").agg(F.avg("complete").alias("complete_rate"))
     policy = cells.groupBy("variant", "policy").agg(F.avg(y.isNull().cast("int")).alias("m")).groupBy("variant").agg(F.max("m").alias("worst_missing"))
     return record.join(policy, "variant").withColumn("passes", (F.col("complete_rate") >= strict) & (F.col("worst_missing") <= missing))
+
+
+def schedule_balance(orders: DataFrame, order: str, canonical: list[str]) -> DataFrame:
+    """policy, position, n, balanced, n_unchanged of a schedule of orders, for every policy and position.
+
+    balanced: n differs from an equal share of the rows by less than one; n_unchanged: rows whose order is the canonical one.
+    """
+    names = F.array(*[F.lit(p) for p in canonical])
+    total = orders.agg(F.count("*").alias("rows"), F.count_if(F.col(order) == names).alias("n_unchanged"))
+    held = orders.select(F.posexplode(order).alias("position", "policy")).groupBy("policy", "position").agg(F.count("*").alias("n"))
+    grid = total.select("*", F.explode(names).alias("policy")).select("*", F.explode(F.sequence(F.lit(0), F.lit(len(canonical) - 1))).alias("position"))
+    both = grid.join(held, ["policy", "position"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return both.select("policy", "position", "n", (F.abs(F.col("n") * len(canonical) - F.col("rows")) < len(canonical)).alias("balanced"), "n_unchanged")

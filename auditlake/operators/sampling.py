@@ -131,6 +131,17 @@ def choose_one(options: Column, digest: Column) -> Column:
     return F.get(kept, place - 1)
 
 
+def choose_rated(completions: Column, digest: Column, aspects: list[str]) -> Column:
+    """One of an array of (response, annotations map aspect -> (Rating)) by a hex digest, as response and a rating an aspect.
+
+    Null if there is none or the chosen one has no response; an aspect without an annotation has no rating.
+    """
+    place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % F.greatest(F.size(completions), F.lit(1))
+    chosen = F.get(completions, place.cast("int"))
+    ratings = [F.try_element_at(chosen["annotations"], F.lit(a))["Rating"].alias(a) for a in aspects]
+    return F.when(F.length(chosen["response"]) > 0, F.struct(chosen["response"].alias("response"), *ratings))
+
+
 def floor_then_fill(rows: DataFrame, key: str, groups: str, order: list, floor: int, total: int) -> DataFrame:
     """The first rows of every group up to a floor, then the first of the others up to a total.
 

@@ -10,20 +10,19 @@ from pyspark.sql.types import StringType, StructField, StructType
 from .. import fixtures
 from ..functions import parse as P
 from ..functions import text as T
-from ..functions.text import digest, hex_int
+from ..functions.text import digest, hex_int, latin_order
 from ..operators import audit as A
 from ..operators import compare as C
 from ..operators import integrity as I
 from ..operators import metrics as M
-from ..operators import prefixes
+from ..operators import prefixes, ranks
 from ..operators import sampling as S
 from ..operators import stats
 from ..shared import shared_dir
 from ..sources import files
-from .audit_queries import _PAIRS, _hx
+from .audit_queries import _PAIRS, _hx, fingerprint_sql
 from .compare_queries import _SCALED, _recovery
 from .label_queries import _K, ALIASES, POL, _raw
-from .audit_queries import fingerprint_sql
 from .metric_queries import _BINNED, _F1, _RATES, BIN, PRE, cells, rounded, tokens
 
 KEYS = ["variant", "policy"]
@@ -175,6 +174,30 @@ def _choose(s, d):
     return t.select("o_orderkey", S.choose_one(F.col("x"), digest("pick", F.col("o_orderkey"))).alias("picked"))
 
 
+def _rated(s, d):
+    line = _T(s, d, "lineitem")
+    has = lambda k, c: F.when(c, F.struct(F.lit(k).alias("key"), F.struct(F.concat(F.lit(k), F.lit(":"), F.col("l_linenumber")).alias("Rating")).alias("value")))
+    notes = F.filter(F.array(has("helpfulness", F.lit(True)), has("honesty", F.col("l_returnflag") == "R")), lambda x: x.isNotNull())
+    text = F.when(F.col("l_linenumber") % 3 != 0, F.concat(F.lit("r"), "l_linenumber")).otherwise("")
+    rows = line.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", text.alias("response"), notes.alias("notes")))).alias("x"))
+    completions = F.transform("x", lambda c: F.struct(c["response"].alias("response"), F.map_from_entries(c["notes"]).alias("annotations")))
+    chosen = S.choose_rated(completions, digest("rate", F.col("l_orderkey")), ["helpfulness", "honesty", "truthfulness"])
+    return rows.select("l_orderkey", chosen.alias("c")).where("c IS NOT NULL").select("l_orderkey", "c.*")
+
+
+_RATED = "WITH x AS (SELECT l_orderkey, list({'k': l_linenumber, 'f': l_returnflag} ORDER BY l_linenumber, l_returnflag = 'R') AS c FROM lineitem GROUP BY l_orderkey), y AS (SELECT l_orderkey, c[('0x' || substr(sha256(concat_ws(':', 'rate', l_orderkey::VARCHAR)), 1, 8))::BIGINT % len(c) + 1] AS c FROM x) SELECT l_orderkey, 'r' || c.k AS response, 'helpfulness:' || c.k AS helpfulness, CASE WHEN c.f = 'R' THEN 'honesty:' || c.k END AS honesty, NULL::VARCHAR AS truthfulness FROM y WHERE c.k % 3 <> 0"
+
+
+def _schedule(s, d):
+    """Every document's order from the confirmatory base: the canonical one with its first two swapped, rotated by the row's index."""
+    rows = ranks.ranked(_DOC(s, d).select("doc_id"), [], "doc_id")
+    base = [POL[1], POL[0], *POL[2:]]
+    return A.schedule_balance(rows.select(latin_order(base, F.col("rank") - 1).alias("o")), "o", list(POL))
+
+
+_SCHEDULE = "WITH b AS (SELECT [" + ", ".join(f"'{p}'" for p in (POL[1], POL[0], *POL[2:])) + "] AS b), r AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents), o AS (SELECT [b[(i + k) % 10 + 1] FOR k IN range(0, 10)] AS o FROM r, b), t AS (SELECT count(*) AS n, count(*) FILTER (o = [" + ", ".join(f"'{p}'" for p in POL) + "]) AS u FROM o), h AS (SELECT o[k + 1] AS policy, k AS position, count(*) AS c FROM o, (SELECT unnest(range(0, 10)) AS k) GROUP BY ALL) SELECT policy, position::INTEGER AS position, c AS n, abs(c * 10 - n) < 10 AS balanced, u AS n_unchanged FROM h, t"
+
+
 def _candidates(s, d):
     strata = {"de": F.col("lang") == "de", "long": F.col("n_chars") > 2000, "src0": F.col("source") == "src0", "none": F.lit(False)}
     return S.candidate_set(_DOC(s, d), "doc_id", strata, digest("cand", F.col("doc_id")), 40)
@@ -366,5 +389,7 @@ QUERIES = {
     "weighted_kappa": (_CELLS(_weighted_kappa), PRE + f", ab AS (SELECT policy, 1.0::DOUBLE / (1 + doc_id % 4) AS w, CASE WHEN {_LIN.format('ann1')} < 32 THEN (state_id + 1) % 3 ELSE state_id END AS a, CASE WHEN {_LIN.format('ann2')} < 48 THEN (state_id + 2) % 3 ELSE state_id END AS b FROM scored WHERE variant = 'D0' AND state_id IS NOT NULL), t AS (SELECT policy, sum(w) AS t, sum(w) FILTER (a = b) / sum(w) AS po FROM ab GROUP BY policy), r AS (SELECT policy, a AS k, sum(w) AS r FROM ab GROUP BY ALL), c AS (SELECT policy, b AS k, sum(w) AS c FROM ab GROUP BY ALL), pe AS (SELECT policy, sum(r * c) AS rc FROM r JOIN c USING (policy, k) GROUP BY policy) SELECT policy, round(po, 6) AS agreement, round((po - rc / (t * t)) / (1 - rc / (t * t)), 6) AS kappa FROM t JOIN pe USING (policy)"),
     "stuart_maxwell": (_CELLS(lambda c: stats.stuart_maxwell(c.where("variant = 'D0'"))), PRE + ", y AS (SELECT doc_id, policy, state_id FROM label_cells WHERE variant = 'D0' AND state_id IS NOT NULL), t AS (SELECT a.policy AS a, b.policy AS b, count(*) AS n, sum((a.state_id = 0)::INT) - sum((b.state_id = 0)::INT) AS d0, sum((a.state_id = 1)::INT) - sum((b.state_id = 1)::INT) AS d1, sum(((a.state_id = 0) <> (b.state_id = 0))::INT) AS v00, sum(((a.state_id = 1) <> (b.state_id = 1))::INT) AS v11, -sum((a.state_id + b.state_id = 1)::INT) AS v01 FROM y a JOIN y b ON a.doc_id = b.doc_id AND a.policy < b.policy GROUP BY ALL), x AS (SELECT a, b, n, (d0 * d0 * v11 - 2 * d0 * d1 * v01 + d1 * d1 * v00) / (v00 * v11 - v01 * v01) AS s FROM t) SELECT a, b, n, round(s, 6) AS statistic, round(exp(-s / 2), 6) AS p FROM x"),
     "ols_sqrt_no_intercept": (lambda s, d: rounded(stats.ols(_points(s, d), "x", "y", "sqrt", False)), _SQRT),
+    "rated_choice": (_rated, _RATED),
+    "confirmatory_schedule": (_schedule, _SCHEDULE),
     "temperature_recovery": (_recovery, _SCALED),
 }

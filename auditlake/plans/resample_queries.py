@@ -14,8 +14,8 @@ from ..operators import stats as S
 from .fit_queries import parts
 from .metric_queries import _ECE, _TOKENS, PRE, cells, rounded, tokens
 
-#: Replicates of a bootstrap.
-R = 1000
+#: Replicates of a bootstrap, and of the confirmation's.
+R, MANY = 1000, 10_000
 
 
 def _labels(s, d):
@@ -45,6 +45,13 @@ def _delta(s, d):
     return B.delta(_boot_ece(s, d), "D0", "D5", ["policy"])
 
 
+def _many(s, d):
+    """The confirmation's number of replicates."""
+    c = Q.of_cells(cells(s, d).where("variant <> 'D5b'"))
+    values = Q.replicated(c, "doc_id", ["variant", "policy"], Q.Ece(), "boot", MANY).drop("metric")
+    return B.interval(B.delta(values, "D0", "D5", ["policy"]), ["policy"])
+
+
 def _rates(s, d):
     values = Q.replicated(Q.of_cells(cells(s, d).where("variant = 'D5'")), "doc_id", ["policy"], Q.Rates(), "boot", R)
     return B.interval(values, ["policy", "metric"])
@@ -119,6 +126,7 @@ QUERIES = {
     "bootstrap_ratio_interval": (lambda s, d: rounded(B.interval(_ratio(s, d), ["all"])), PRE + _RATIO + "SELECT \"all\", count(*) AS n_valid, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, round((1 + count(*) FILTER (value <= 0)) / (count(*) + 1), 6) AS p FROM bt GROUP BY ALL"),
     "bootstrap_ece": (lambda s, d: rounded(_boot_ece(s, d)), PRE + _BOOT + "SELECT variant, policy, replicate, round(value, 6) AS value FROM bt"),
     "bootstrap_delta_ece_interval": (lambda s, d: rounded(B.interval(_delta(s, d), ["policy"])), PRE + _BOOT + ", dl AS (SELECT a.policy, a.value - b.value AS v FROM bt a JOIN bt b ON a.policy = b.policy AND a.replicate = b.replicate AND a.variant = 'D5' AND b.variant = 'D0') SELECT policy, count(*) AS n_valid, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, round((1 + count(*) FILTER (v <= 0)) / (count(*) + 1), 6) AS p FROM dl GROUP BY policy"),
+    "bootstrap_delta_ece_interval_10000": (lambda s, d: rounded(_many(s, d)), PRE + _BOOT.replace(f"range(1, {R + 1})", f"range(1, {MANY + 1})").replace("correct IS NOT NULL)", "correct IS NOT NULL AND variant <> 'D5b')") + ", dl AS (SELECT a.policy, a.value - b.value AS value FROM bt a JOIN bt b ON a.policy = b.policy AND a.replicate = b.replicate AND a.variant = 'D5' AND b.variant = 'D0') SELECT policy, " + _INTERVAL + " FROM dl GROUP BY policy"),
     "bootstrap_nll_interval": (lambda s, d: rounded(_nll(s, d)), PRE + _WEIGHTS + ", un AS (SELECT doc_id, policy, -ln([p0, p1, p2][state_id + 1]) AS v FROM scored WHERE variant = 'D5' AND state_id IS NOT NULL), bt AS (SELECT policy, replicate, sum(w * v) / sum(w) AS value FROM un JOIN wt USING (doc_id) WHERE w > 0 GROUP BY ALL) SELECT policy, count(*) AS n_valid, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, round((1 + count(*) FILTER (value <= 0)) / (count(*) + 1), 6) AS p FROM bt GROUP BY policy"),
     "two_stage_bootstrap": (_two_stage, None),
     "bootstrap_rates_interval": (lambda s, d: rounded(_rates(s, d)), PRE + _WEIGHTS + ", sm AS (SELECT policy, replicate, sum(w) AS a, sum(w) FILTER (state_id = 1) AS pos, sum(w) FILTER (state_id = 0) AS neg, coalesce(sum(w) FILTER (state_id = 1 AND pred = 1), 0) AS tp, coalesce(sum(w) FILTER (state_id = 0 AND pred = 1), 0) AS fp, coalesce(sum(w) FILTER (state_id = 1 AND pred <> 1), 0) AS fn, sum(-w * ln(greatest([p0, p1, p2][state_id + 1], 1e-12))) AS nll, sum(w * ((p0 - (state_id = 0)::INTEGER)**2 + (p1 - (state_id = 1)::INTEGER)**2 + (p2 - (state_id = 2)::INTEGER)**2)) AS brier FROM scored JOIN wt USING (doc_id) WHERE variant = 'D5' AND state_id IS NOT NULL GROUP BY ALL), bt AS (SELECT policy, unnest(['f1', 'fn_rate', 'fp_rate', 'nll', 'brier']) AS metric, unnest([CASE WHEN pos > 0 AND neg > 0 THEN CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0::DOUBLE ELSE 2 * tp / (2 * tp + fp + fn) END END, fn / pos, fp / neg, nll / a, brier / a]) AS value FROM sm) SELECT policy, metric, count(*) AS n_valid, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, round((1 + count(*) FILTER (value <= 0)) / (count(*) + 1), 6) AS p FROM bt WHERE value IS NOT NULL GROUP BY ALL"),
