@@ -49,7 +49,7 @@ def category_frequency(rows: DataFrame, categories: str, unsafe: str, owners: Da
     """category, n, n_unsafe and its owner (category, owner), null if no policy owns it."""
     long = rows.select(F.explode(categories).alias("category"), F.col(unsafe).alias("unsafe"))
     counted = long.groupBy("category").agg(F.count("*").alias("n"), _of(F.col("unsafe")).alias("n_unsafe"))
-    return counted.join(F.broadcast(owners), "category", "left")
+    return counted.join(owners, "category", "left")
 
 
 def pairs(cells: DataFrame, base: str, other: str) -> DataFrame:
