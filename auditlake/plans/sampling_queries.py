@@ -69,6 +69,13 @@ e2 AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r(node, label) AS (SELECT node, node FROM n UNION SELECT e2.b, r.label FROM r JOIN e2 ON e2.a = r.node WHERE r.label < e2.b),
 p AS (SELECT node, min(label) AS component FROM r GROUP BY node) """
 _FULL = _NODES.replace("doc_id % 5 = 0 AS h FROM documents)", "doc_id % 5 = 0 AS h, source FROM documents UNION ALL SELECT -1 - item_id, trim(regexp_replace(lower(regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g')), '[\\p{P}\\s]+', ' ', 'g')), true, NULL FROM benchmark)").replace("any_value(t) AS t FROM c GROUP BY ALL", "t FROM c GROUP BY t")
+#: Texts of every script: canonical composition serves where no text has compatibility characters.
+_WHOLE = _NODES.replace("regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g')", "nfc_normalize(text)").replace(r"[\p{P}\s]+", r"[\p{P}\s\p{Z}]+")
+_PAIRS, _PARTS, _KEPT = (
+    "SELECT a, b FROM e",
+    "SELECT component, 'qf_' || substr(min(fp), 1, 24) AS family_id, count(*) AS size, max(historical) AS has_historical FROM p JOIN n USING (node) GROUP BY component",
+    "SELECT node, component FROM p JOIN n USING (node) WHERE NOT historical AND component NOT IN (SELECT component FROM p JOIN n USING (node) WHERE historical)",
+)
 
 QUERIES = {
     "nested_budgets": (lambda s, d: S.nested_budgets(_DOCS(s, d), _D("budget"), [50, 100, 200, 500]).groupBy("budget", "lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")), f"SELECT budget::INTEGER AS budget, lang, count(*) AS n, min(doc_id) AS low FROM (SELECT doc_id, lang, row_number() OVER (ORDER BY {_H('budget')}) AS rank FROM documents) JOIN (SELECT unnest([50, 100, 200, 500]) AS budget) ON rank <= budget GROUP BY ALL"),
@@ -78,12 +85,12 @@ QUERIES = {
     "confidence_terciles": (lambda s, d: S.terciles(cells(s, d).where("variant = 'D0' AND state_id IS NOT NULL").withColumn("c", F.round("conf", 12)), ["lang", "policy"], "c", "doc_id").groupBy("lang", "policy", "tercile").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids")), PRE + "SELECT lang, policy, (ntile - 1)::INTEGER AS tercile, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM (SELECT lang, policy, doc_id, ntile(3) OVER (PARTITION BY lang, policy ORDER BY round(conf, 12), doc_id) AS ntile FROM scored WHERE variant = 'D0' AND state_id IS NOT NULL) GROUP BY ALL"),
     "stratified_draw": (lambda s, d: rounded(S.stratified_draw(_DOCS(s, d), ["lang", "source"], [_D("draw")], 4).select("doc_id", "place", "population", "inclusion", "weight")), f"SELECT doc_id, place, population, round(least(1.0, 4.0 / population)::DOUBLE, 6) AS inclusion, round((1 / least(1.0::DOUBLE, 4.0::DOUBLE / population)), 6) AS weight FROM (SELECT doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY {_H('draw')})::INTEGER AS place, count(*) OVER (PARTITION BY lang, source) AS population FROM documents) WHERE place <= 4"),
     "class_balanced_topk": (lambda s, d: S.top_per_stratum(cells(s, d).where("variant = 'D0' AND state_id IN (0, 1)").withColumn("cell", F.concat_ws(":", "policy", "state_id")), "cell", [digest("cb", F.col("doc_id"), F.col("policy"))], 20).select("doc_id", "cell", "place"), PRE + "SELECT doc_id, policy || ':' || state_id AS cell, row_number() OVER (PARTITION BY policy, state_id ORDER BY sha256(concat_ws(':', 'cb', doc_id::VARCHAR, policy)))::INTEGER AS place FROM scored WHERE variant = 'D0' AND state_id IN (0, 1) QUALIFY place <= 20"),
-    "family_similar_pairs": (family_edges, _NODES + "SELECT a, b FROM e"),
-    "family_components": (family_table, _NODES + "SELECT component, 'qf_' || substr(min(fp), 1, 24) AS family_id, count(*) AS size, max(historical) AS has_historical FROM p JOIN n USING (node) GROUP BY component"),
-    "family_exclusion": (family_exclusion, _NODES + "SELECT node, component FROM p JOIN n USING (node) WHERE NOT historical AND component NOT IN (SELECT component FROM p JOIN n USING (node) WHERE historical)"),
+    "family_similar_pairs": (family_edges, _NODES + _PAIRS),
+    "family_components": (family_table, _NODES + _PARTS),
+    "family_exclusion": (family_exclusion, _NODES + _KEPT),
     "exclusion_counts": (exclusion_counts, _FULL + "SELECT source, count(*) AS n, count(*) FILTER (NOT x.tainted) AS n_kept, count(*) FILTER (x.tainted) AS n_excluded FROM c JOIN n ON n.t = c.t JOIN p USING (node) JOIN (SELECT component, max(historical) AS tainted FROM p JOIN n USING (node) GROUP BY component) x USING (component) WHERE NOT h GROUP BY source"),
-    # on texts of every script by the survey's normaliser, NFKC included, which SQL lacks; those above stay as their check
-    "family_similar_pairs_all": (lambda s, d: family_edges(s, d, whole=True), None),
-    "family_components_all": (lambda s, d: family_table(s, d, whole=True), None),
-    "family_exclusion_all": (lambda s, d: family_exclusion(s, d, whole=True), None),
+    # on texts of every script by the full normaliser
+    "family_similar_pairs_all": (lambda s, d: family_edges(s, d, whole=True), _WHOLE + _PAIRS),
+    "family_components_all": (lambda s, d: family_table(s, d, whole=True), _WHOLE + _PARTS),
+    "family_exclusion_all": (lambda s, d: family_exclusion(s, d, whole=True), _WHOLE + _KEPT),
 }
