@@ -54,6 +54,8 @@ LEADS = (3, 6)
 SLOTS = 1 << 20
 #: Documents that meet in a k-mer and are dealt to one task of the last round.
 SHARE = 256
+#: Bytes of text that are worked on at once.
+SLICE = 1 << 18
 _U = np.uint64
 
 
@@ -116,7 +118,7 @@ def sketches(marked: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b, buf, off in slices(batch.column("text")):
+        for a, b, buf, off in slices(batch.column("text"), SLICE):
             low = LOWER[buf]
             starts, ends, first = word_spans(low, off)
             found, at = kmers(hash_spans(low, starts, ends), first)
@@ -164,7 +166,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sides = []
             for name in ("text_a", "text_b"):
                 rows = []
-                for _, _, buf, off in slices(some.column(name)):
+                for _, _, buf, off in slices(some.column(name), SLICE):
                     low = LOWER[buf]
                     starts, ends, first = word_spans(low, off)
                     found, edge = kmers(hash_spans(low, starts, ends), first)
@@ -187,7 +189,7 @@ def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _marked(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, labelled k-mers, each row's first) of slices of a column of texts."""
-    for a, b, buf, off in slices(text):
+    for a, b, buf, off in slices(text, SLICE):
         low = LOWER[buf]
         starts, ends, first = word_spans(low, off)
         found, at = kmers(hash_spans(low, starts, ends), first)

@@ -53,13 +53,15 @@ MAX_CURVE = 50_000
 ORDER = 7
 BEGIN, END = 1, 2
 #: Expressions of one stored part, about, and the number that deals them.
-PART, PRIME = 2_000_000, 1_000_003
+PART, PRIME = 500_000, 1_000_003
 #: Log-likelihood differences of a word that is told apart from its text's general drift.
 TELLING, STRONG = 4.0, 8.0
 FEATURES = ("evidence", "telling", "strong")
 THRESHOLD = 0.3
+#: Bytes of text that are worked on at once.
+SLICE = 1 << 18
 #: Expressions that a task holds before it merges them.
-PENDING = 2_000_000
+PENDING = 1_000_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -114,7 +116,7 @@ def _count(rows: DataFrame) -> DataFrame:
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
-            for a, b, buf, off in slices(batch.column("text")):
+            for a, b, buf, off in slices(batch.column("text"), SLICE):
                 first, place, grams, at = _words(buf, off)
                 if not len(place):
                     continue
@@ -249,7 +251,7 @@ def evidence(docs: DataFrame, model: Model, keep: str = "doc_id long") -> DataFr
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, buf, off in slices(batch.column(1)):
+            for a, b, buf, off in slices(batch.column(1), SLICE):
                 found = evidence_of(model, buf, off)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *[pa.array(c.copy()) for c in found.T]], [keep.split()[0], *FEATURES])
 
@@ -320,7 +322,7 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(batch.schema.get_field_index("text"))
-            found = np.concatenate([np.zeros((0, len(FEATURES))), *[evidence_of(model, buf, off) for _, _, buf, off in slices(text)]])
+            found = np.concatenate([np.zeros((0, len(FEATURES))), *[evidence_of(model, buf, off) for _, _, buf, off in slices(text, SLICE)]])
             stays = 1 / (1 + np.exp(-(found @ np.array(model.curve[:-1]) + model.curve[-1]))) < THRESHOLD
             yield batch.filter(pa.array(stays))
 
