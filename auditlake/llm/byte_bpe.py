@@ -13,7 +13,7 @@ whose two hashes do not both agree with the table. The number of ranges follows
 of the corpus, so a range is bounded even if no word repeats.
 
 Defined results: a null text is the empty text and has no ids; repeated rows are encoded
-alike; an empty table gives no rows; columns other than doc_id and text are ignored.
+alike, rows without a doc_id too; an empty table gives no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ into tiles of at most ``TILE`` by ``TILE``.
 
 Defined results: rows whose label or vector is null, or whose vector is empty, zero or has
 null or non-finite components, link with nothing and are their own component; vectors of
-different lengths link with nothing; repeated rows are vectors of their own; an empty table
+different lengths link with nothing; repeated rows are vectors of their own; a row without a vec_id links like any other but is no
+component's name, and has no kept; labels are integers; an empty table
 gives no rows; columns other than vec_id, label and embedding are ignored.
 """
 

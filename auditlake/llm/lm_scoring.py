@@ -22,7 +22,8 @@ returned.
 
 Defined results: a null or empty text is the end token alone; repeated rows are scored
 alike, and counted as often as they occur if they are training rows; without training rows
-every probability is 1 / (V + 1) = 1; an empty table gives no rows; columns other than
+every probability is 1 / (V + 1) = 1; rows without a doc_id are scored like others, and
+``held_out`` is null for them; an empty table gives no rows; columns other than
 doc_id, text and the training mark are ignored.
 """
 

@@ -23,7 +23,8 @@ Sketches miss a pair of similarity s in all ``SKETCHES`` buckets with probabilit
 (1 - s**PICK)**SKETCHES, 3e-6 at 0.8.
 
 Defined results: a null text is the empty text; equal texts, empty ones too, are one class;
-texts under five words are one k-mer; repeated rows are in their document's class; an empty
+texts under five words are one k-mer; repeated rows are in their document's class; rows
+without a doc_id come after all others, and name a class only where no other row does; an empty
 table gives no rows; columns other than doc_id and text are ignored.
 """
 

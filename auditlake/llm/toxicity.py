@@ -27,7 +27,8 @@ Bounds: at most ``MAX_DOCUMENTS`` documents a class are learned from and at most
 id; with no toxic or no ordinary training document every score is 0.
 
 Inputs of a score are the text's words alone, with A-Z in lower case. Defined results: a
-null or empty text has evidence 0; repeated rows score alike; an empty table gives no rows;
+null or empty text has evidence 0; repeated rows score alike, rows without a doc_id too, and
+these have no labels; an empty table gives no rows;
 columns other than doc_id, text and the labels' doc_id and toxic are ignored; null labels
 do not count; of repeated labels of a document the greatest holds.
 """
