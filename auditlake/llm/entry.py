@@ -201,14 +201,28 @@ FROM u LEFT JOIN fit ON u.host = fit.host AND u.path = fit.path
 """
 
 
-#: The checksum of a text by its table, which is built from the polynomial; then both rankings as plain windows.
-SQL_OP11 = """
+#: The checksum of a text by its table, which is built from the polynomial.
+_CRC_TABLE = """
 WITH RECURSIVE steps(i, b, c) AS (SELECT 0, b, b FROM range(256) r(b) UNION ALL SELECT i + 1, b, xor(c >> 1, (c & 1) * 3988292384) FROM steps WHERE i < 8),
 t AS (SELECT list(c ORDER BY b) AS t FROM steps WHERE i = 8),
+"""
+_CRC = """xor(4294967295, coalesce(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce({0}, ''))), '..'), lambda x: ('0x' || x)::BIGINT),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295))"""
+
+#: Links as they are defined, components by the least id reached.
+SQL_OP10 = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r(node, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.node WHERE r.c < l.b),
+p AS (SELECT node, min(c) AS c FROM r GROUP BY node), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, c AS component_id, vec_id = c AS kept FROM v JOIN p ON node = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+#: Both rankings as plain windows.
+SQL_OP11 = _CRC_TABLE + f"""
 d AS (
-  SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 1 AS size,
-         xor(4294967295, coalesce(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT),
-           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)) AS crc,
+  SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 1 AS size, {_CRC.format("text")} AS crc,
          ('0x' || substr(sha256(concat_ws(':', 'shards', doc_id::VARCHAR)), 1, 13))::BIGINT AS h,
          ('0x' || substr(sha256(concat_ws(':', 'shards', 'stratum', source)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS shift
   FROM documents, t),
@@ -219,6 +233,24 @@ SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'rows' AS law, (
 FROM r
 """
 
+#: For each period the islands of places whose five words come again one period later; a stretch within one of a smaller period is not a run of its own.
+SQL_OP12 = _CRC_TABLE + f"""
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w, {_CRC.format("doc_id::VARCHAR")} AS h FROM documents, t),
+k AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS planted, h // 10 AS g FROM d),
+a AS (SELECT *, CASE WHEN planted THEN g % n END AS a FROM k),
+m AS (SELECT doc_id, n, CASE WHEN planted THEN [CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END FOR i IN range(0, n)] ELSE w END AS w FROM a),
+f AS (SELECT doc_id, n, i, array_to_string(w[i + 1:i + 5], ' ') AS f FROM (SELECT doc_id, n, w, unnest(range(0, n - 4)) AS i FROM m WHERE n >= 5)),
+e AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM f x JOIN f y ON x.doc_id = y.doc_id AND x.f = y.f AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+s AS (SELECT doc_id, q, min(i) AS s, count(*) + q + 4 AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e) GROUP BY doc_id, q, island HAVING count(*) + q + 4 >= greatest(6, 4 * q)),
+r AS (SELECT * FROM s x WHERE NOT EXISTS (SELECT 1 FROM s y WHERE y.doc_id = x.doc_id AND y.q < x.q AND y.s <= x.s AND y.s + y.l >= x.s + x.l)),
+b AS (SELECT doc_id, count(*) AS n_runs, arg_max({{'s': s, 'l': l, 'q': q}}, {{'l': l, 's': -s, 'q': -q}}) AS b, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS told FROM r GROUP BY doc_id),
+g AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM r),
+c AS (SELECT x.doc_id, string_agg(v, ' ' ORDER BY x.i) AS kept FROM (SELECT doc_id, unnest(w) AS v, unnest(range(0, n)) AS i FROM m) x LEFT JOIN g ON g.doc_id = x.doc_id AND g.i = x.i WHERE g.i IS NULL GROUP BY x.doc_id)
+SELECT m.doc_id, coalesce(n_runs, 0) AS n_runs, b.s::BIGINT AS start, b.l::BIGINT AS length, b.q::BIGINT AS period, (1000 * b.l // b.q)::BIGINT AS exponent_milli,
+       sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM m LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
 SQL_OP13 = """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
@@ -237,4 +269,4 @@ SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": SQL_OP1, "op5_url_filter": SQL_OP5, "quality_rule_ablations": SQL_ABLATIONS, "op11_sharding": SQL_OP11, "op13_hard_negatives": SQL_OP13}
+    return {"op1_quality_rules": SQL_OP1, "op5_url_filter": SQL_OP5, "quality_rule_ablations": SQL_ABLATIONS, "op10_embedding_dedup": SQL_OP10, "op11_sharding": SQL_OP11, "op12_periodic_runs": SQL_OP12, "op13_hard_negatives": SQL_OP13}
