@@ -2,63 +2,121 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from ..functions.text import once
 from ..shared import saved
 
 #: Nodes with one token in their prefix beyond which its bucket is split.
 HOT = 500
+#: Nodes of the sample that tells frequent tokens, and how many of these a task holds.
+SAMPLE, FREQUENT = 50_000, 1 << 20
+#: Places of a signature.
+BITS = 256
 
 
-def candidates(nodes: DataFrame, num: int = 17, den: int = 20, hot: int = HOT) -> DataFrame:
+def candidates(nodes: DataFrame, num: int = 17, den: int = 20, hot: int = HOT, signed: bool = False) -> DataFrame:
     """(a, b), a < b: every pair that may be similar, by its first shared token.
 
-    nodes: (node, tokens) with distinct tokens. Tokens are ordered rarest first over all nodes. The
-    first token that a similar pair shares lies in the prefix of both, and the second one at most a
-    place beyond. Where more than ``hot`` nodes have a token in their prefix, its bucket is split by
-    every further token up to that place. Buckets are also split by size class, of which only neighbours
-    meet, and a pair passes only if the tokens behind the shared one are enough on both sides.
+    nodes: (node, tokens) with distinct tokens, of which only hashes leave a row. Tokens are in one order
+    for all nodes, see _placed(). The first token that a similar pair shares lies in the prefix of both, and the
+    second one at most a place beyond. Where more than ``hot`` nodes have a token in their prefix, its bucket is
+    split by every further token up to that place. Of a bucket only sizes and places that allow the threshold
+    meet; with ``signed``, only nodes whose signatures allow it too, which spares nearly all pairs of a bucket.
     """
-    sized = nodes.withColumn("n", F.size("tokens"))
-    each = sized.select("node", "n", F.explode("tokens").alias("token"))
-    df = each.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = each.join(df, "token").withColumn("k", F.row_number().over(W.partitionBy("node").orderBy("df", "token")))
-    need = F.ceil(F.col("n") * num / F.lit(den))
-    placed = ranked.withColumns({"need": need, "lead": F.col("n") - need + 1}).where(F.col("k") <= F.col("lead") + 1)
-    placed = saved(placed.select("node", "n", "need", "lead", "k", F.xxhash64("token").alias("t")))
-    own = placed.where("k <= lead")
-    crowded = own.groupBy("t").agg(F.count("*").alias("m")).where(F.col("m") > hot).select("t")
-    cold = own.join(crowded, "t", "left_anti").select("t", "node", "n", "k")
-    split = own.join(crowded, "t").select("node", "n", "need", "k", "t")
-    later = placed.select("node", F.col("k").alias("k2"), F.col("t").alias("t2"))
-    twos = split.join(later, "node").where("k2 > k").select(F.xxhash64("t", "t2").alias("t"), "node", "n", "k")
-    ones = split.where("need < 2").select("t", "node", "n", "k")  # one token decides
+    placed = saved(_placed(nodes.select("node", F.transform("tokens", lambda t: F.xxhash64(t)).alias("h")), num, den))
+    about = ["node", "n", "signature"] if signed else ["node", "n"]
+    own = placed.select(*about, "need", "prefix", F.posexplode(F.slice("prefix", F.lit(1), F.col("lead"))).alias("k", "t")).withColumn("k", F.col("k") + 1)
+    crowded = saved(own.groupBy("t").agg(F.count("*").alias("m")).where(F.col("m") > hot).select("t"))
+    cold = own.join(crowded, "t", "left_anti").select("t", *about, "k")
+    split = own.join(crowded, "t")
+    behind = F.slice("prefix", F.col("k") + 1, F.size("prefix"))
+    twos = split.select("t", F.explode(behind).alias("t2"), *about, "k").select(F.xxhash64("t", "t2").alias("t"), *about, "k")
+    ones = split.where("need < 2").select("t", *about, "k")  # one token decides
     return _meet(cold.unionByName(ones), num, den).unionByName(_meet(twos, num, den)).distinct()
 
 
+def _placed(nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """node, n, need, lead, signature and prefix, the first lead + 1 of a node's hashes h.
+
+    Any order of tokens gives all pairs; rare tokens first give few. Tokens that are frequent in a sample of nodes
+    come last, by their number there, and all others by hash, so a row finds its prefix alone and nothing is sorted
+    over all nodes. The signature has the parity of the hashes at each of BITS places: two of them differ in at
+    most as many places as the sets in tokens.
+    """
+    often, times = _frequent(nodes)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("h")
+            h = lists.flatten().to_numpy(zero_copy_only=False)
+            n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            count = np.zeros(len(h), np.int64)
+            if len(often):
+                at = np.minimum(np.searchsorted(often, h), len(often) - 1)
+                count = np.where(often[at] == h, times[at], 0)
+            order = np.lexsort((h, count, row))
+            need = -(-n * num // den)
+            lead = n - need + 1
+            head = order[np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(lead + 1, n)]
+            starts = np.concatenate([[0], np.cumsum(np.minimum(n, lead + 1))]).astype(np.int32)
+            parity = np.bincount(row * BITS + (h & (BITS - 1)), minlength=len(n) * BITS).astype(np.uint8) & 1
+            words = np.packbits(parity).view(np.int64)
+            signature = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (BITS // 64)), pa.array(words))
+            prefix = pa.ListArray.from_arrays(pa.array(starts), pa.array(h[head]))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(n), pa.array(need), pa.array(lead), signature, prefix], ["node", "n", "need", "lead", "signature", "prefix"])
+
+    kind = dict(nodes.dtypes)["node"]
+    return nodes.where(F.size("h") > 0).mapInArrow(place, f"node {kind}, n long, need long, lead long, signature array<long>, prefix array<long>")
+
+
+def _frequent(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of tokens in several nodes of a sample, sorted, and their numbers of nodes; at most FREQUENT, the most frequent ones.
+
+    The sample is of about SAMPLE nodes, all if there are no more. It sets the order of tokens, which
+    results do not depend on.
+    """
+    every = max(1, nodes.count() // SAMPLE)
+    drawn = nodes.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0)
+    found = saved(drawn.select(F.explode("h").alias("t")).groupBy("t").agg(F.count("*").alias("m")).where("m > 1"))
+    kept, least = 0, 0
+    for r in found.groupBy(F.least("m", F.lit(1000)).alias("m")).agg(F.count("*").alias("k")).orderBy(F.desc("m")).collect():
+        kept += r["k"]
+        if kept > FREQUENT:
+            break
+        least = r["m"]
+    rows = found.where(F.col("m") >= least).toPandas() if least else found.limit(0).toPandas()
+    rows = rows.sort_values("t")
+    return rows["t"].to_numpy(np.int64), rows["m"].to_numpy(np.int64)
+
+
 def _meet(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) of rows (t, node, n, k) with one t whose sizes and places k of t allow the threshold."""
-    size = F.floor(F.log("n") / math.log(den / num) + 1e-9).cast("int")
-    rows = rows.withColumn("size", size)
-    home = rows.select("t", "size", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "k")])
-    guest = F.array(F.struct(F.col("size").alias("at"), F.lit(True).alias("same")), F.struct((F.col("size") + 1).alias("at"), F.lit(False).alias("same")))
-    guests = rows.select("t", F.inline(guest), *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "k")])
+    """(a, b) of rows (t, node, n, k) with one t whose sizes and places k of t, and signatures if there are any, allow the threshold."""
+    x, y = (rows.select([F.col(c).alias(c if c == "t" else f"{c}_{s}") for c in rows.columns]) for s in "xy")
+    both = F.col("n_x") + F.col("n_y")
     rest = F.least(F.col("n_x") - F.col("k_x"), F.col("n_y") - F.col("k_y"))
-    may = (F.least("n_x", "n_y") * den >= F.greatest("n_x", "n_y") * num) & ((rest + 1) * (num + den) >= (F.col("n_x") + F.col("n_y")) * num)
-    once = ~F.col("same") | (F.col("node_x") < F.col("node_y"))
-    met = home.join(guests, (home["t"] == guests["t"]) & (home["size"] == guests["at"]) & may & once & (F.col("node_x") != F.col("node_y")))
-    return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
+    may = (F.least("n_x", "n_y") * den >= F.greatest("n_x", "n_y") * num) & ((rest + 1) * (num + den) >= both * num)
+    if "signature" in rows.columns:
+        differ = sum(F.bit_count(F.col("signature_x")[i].bitwiseXOR(F.col("signature_y")[i])) for i in range(BITS // 64))
+        may = may & (differ * (num + den) <= both * (den - num))
+    met = x.join(y, (x["t"] == y["t"]) & (F.col("node_x") < F.col("node_y")) & may)
+    return met.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
+
 
+def similar(nodes: DataFrame, pairs: DataFrame, num: int = 17, den: int = 20, column: str = "tokens", tokens: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """Pairs whose Jaccard similarity is at least num / den, in integers.
 
-def similar(nodes: DataFrame, pairs: DataFrame, num: int = 17, den: int = 20) -> DataFrame:
-    """Pairs whose Jaccard similarity is at least num / den, in integers."""
-    side = lambda s: nodes.select(F.col("node").alias(s), F.col("tokens").alias(f"t{s}"))
+    A node's tokens are made from its column where a pair has met, so texts are shuffled, not their shingles.
+    """
+    side = lambda s: nodes.select(F.col("node").alias(s), F.col(column).alias(f"x{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = once(both.select("a", "b", "xa", "xb"), ta=tokens(F.col("xa")), tb=tokens(F.col("xb")))
     i = F.size(F.array_intersect("ta", "tb"))
     return both.where(i * den >= num * (F.size("ta") + F.size("tb") - i)).select("a", "b")
 

@@ -28,33 +28,35 @@ def texts(spark, sf_dir, whole=False, benchmark=False):
 
 
 def nodes(spark, sf_dir, whole=False, benchmark=False):
-    """(node, tokens, fingerprint, historical): one node a canonical text, which is ASCII only unless whole."""
+    """(node, canonical, fingerprint, historical): one node a canonical text, which is ASCII only unless whole."""
     rows = texts(spark, sf_dir, whole, benchmark)
-    merged = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.max("historical").alias("historical"), F.any_value("canonical").alias("canonical"))
-    return merged.select("node", T.shingles(F.col("canonical")).alias("tokens"), "fingerprint", "historical")
+    return rows.groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.max("historical").alias("historical"), F.any_value("canonical").alias("canonical")).select("node", "canonical", "fingerprint", "historical")
+
+
+def similar_nodes(n):
+    """Edges of saved nodes."""
+    pairs = N.candidates(n.select("node", T.shingles(F.col("canonical")).alias("tokens")), signed=True)
+    return N.similar(n, pairs, column="canonical", tokens=T.shingles)
 
 
 def family_table(spark, sf_dir, whole=False):
     n = N.saved(nodes(spark, sf_dir, whole))
-    edges = N.saved(N.similar(n, N.candidates(n)))
-    return N.families(n, N.components(n, edges))
+    return N.families(n, N.components(n, N.saved(similar_nodes(n))))
 
 
 def family_edges(spark, sf_dir, whole=False):
-    n = N.saved(nodes(spark, sf_dir, whole))
-    return N.similar(n, N.candidates(n))
+    return similar_nodes(N.saved(nodes(spark, sf_dir, whole)))
 
 
 def family_exclusion(spark, sf_dir, whole=False):
     n = N.saved(nodes(spark, sf_dir, whole))
-    edges = N.saved(N.similar(n, N.candidates(n)))
-    return N.exclude_historical(n, N.components(n, edges)).select("node", "component")
+    return N.exclude_historical(n, N.components(n, N.saved(similar_nodes(n)))).select("node", "component")
 
 
 def exclusion_counts(spark, sf_dir):
     """Candidates kept and excluded by source; historical texts are a fifth of the documents and all of benchmark."""
     n = N.saved(nodes(spark, sf_dir, benchmark=True))
-    parts = N.components(n, N.saved(N.similar(n, N.candidates(n))))
+    parts = N.components(n, N.saved(similar_nodes(n)))
     members = texts(spark, sf_dir, benchmark=True).select("fingerprint", "source", "historical").join(n.select("fingerprint", "node"), "fingerprint")
     return N.exclusion_counts(members, parts, "source")
 

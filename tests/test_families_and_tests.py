@@ -51,6 +51,32 @@ def test_a_token_in_all_makes_few_candidates(spark):
     assert found < shared / 20 and found < families.candidates(nodes, hot=10**6).count()
 
 
+@pytest.mark.parametrize("hot", [2, 500])
+def test_signatures_lose_no_similar_pair(spark, hot):
+    for seed in (1, 2):
+        sets = sets_of(seed)
+        nodes = spark.createDataFrame([(i, " ".join(sorted(s))) for i, s in sets.items()], "node long, words string")
+        own = nodes.select("node", F.split("words", " ").alias("tokens"))
+        found = families.candidates(own, hot=hot, signed=True)
+        # a set's words are split only where a pair has met
+        words = families.similar(nodes, found, column="words", tokens=lambda c: F.split(c, " "))
+        want = similar_sets({i: set(" ".join(sorted(s)).split()) for i, s in sets.items()})
+        assert {tuple(r) for r in words.collect()} == want and found.count() < families.candidates(own, hot=hot).count()
+
+
+def test_no_token_leaves_its_row_before_its_prefix_is_cut(spark):
+    """Of long sets without common tokens few entries are shuffled, and a frequent token is in no prefix."""
+    nodes = spark.range(200).select(F.col("id").alias("node"), F.transform(F.sequence(F.lit(0), F.lit(99)), lambda k: F.when(k < 50, F.concat(F.lit("all"), k)).otherwise(F.concat_ws(":", "id", k))).alias("tokens"))
+    hashed = nodes.select("node", F.transform("tokens", lambda t: F.xxhash64(t)).alias("h"))
+    placed = families._placed(hashed, 17, 20)
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    rows = placed.collect()
+    often = {r[0] for r in spark.range(50).select(F.xxhash64(F.concat(F.lit("all"), "id"))).collect()}
+    assert {len(r["prefix"]) for r in rows} == {17} and not often & {t for r in rows for t in r["prefix"]}
+    assert families.candidates(nodes).count() == 0
+
+
 def brute_components(nodes, edges):
     parent = {n: n for n in nodes}
 
