@@ -36,13 +36,22 @@ def poisson_weight(seed: str, unit: Column, replicate: Column) -> Column:
     return reduce(lambda a, b: a + b, [(u >= c).cast("int") for c in CUTS])
 
 
+#: The weight of each value of a draw's first 16 bits; 255 where the other 32 decide.
+_BY_TOP = np.searchsorted(np.array(CUTS), np.arange(1 << 16, dtype=np.int64) << 32, "right").astype(np.uint8)
+_BY_TOP[[c >> 32 for c in CUTS]] = 255
+
+
 def weights(seed: str, units: list, first: int, last: int) -> np.ndarray:
     """Weights of units in rows and of replicates first + 1 to last in columns; first is a multiple of DRAWS."""
-    blocks = range(first // DRAWS, -(-last // DRAWS))
-    raw = b"".join(hashlib.sha256(f"{seed}:{u}:{b}".encode()).digest()[: 6 * DRAWS] for u in units for b in blocks)
-    six = np.frombuffer(raw, np.uint8).reshape(len(units), -1, 6).astype(np.int64)
-    draws = six @ (256 ** np.arange(5, -1, -1, dtype=np.int64))
-    return np.searchsorted(np.array(CUTS), draws[:, : last - first], "right").astype(np.float64)
+    sha = hashlib.sha256
+    tails = [b":%d" % b for b in range(first // DRAWS, -(-last // DRAWS))]
+    raw = b"".join([sha(head + tail).digest() for head in [f"{seed}:{u}".encode() for u in units] for tail in tails])
+    words = np.frombuffer(raw, ">u2").reshape(len(units), -1, 16)[:, :, : 3 * DRAWS].reshape(len(units), -1, 3)[:, : last - first]
+    found = _BY_TOP[words[:, :, 0]]
+    open_ = np.nonzero(found == 255)
+    draws = words[open_].astype(np.int64) @ (1 << np.array([32, 16, 0], np.int64))
+    found[open_] = np.searchsorted(np.array(CUTS), draws, "right")
+    return found.astype(np.float64)
 
 
 def weighted_sums(cells: DataFrame, unit: str, keys: list[str], values: list[str], seed: str, replicates: int) -> DataFrame:

@@ -86,8 +86,8 @@ def _omnibus(s, d):
 def _nll(s, d):
     c = cells(s, d).where("variant = 'D5' AND state_id IS NOT NULL")
     own = F.element_at(F.array("p0", "p1", "p2"), F.col("state_id") + 1)
-    units = c.groupBy("doc_id", "policy").agg(F.sum(-F.log(own)).alias("num"), F.count("*").alias("den"))
-    return B.interval(B.ratio(units, "doc_id", "num", "den", ["policy"], "boot", R), ["policy"])
+    each = c.select("doc_id", "policy", (-F.log(own)).alias("num"), F.lit(1.0).alias("den"))  # a unit's cells stay together, so its weights are drawn once
+    return B.interval(B.ratio(each, "doc_id", "num", "den", ["policy"], "boot", R), ["policy"])
 
 
 def _two_stage(s, d):

@@ -1,5 +1,6 @@
 """Metrics under a bootstrap against loops over replicates, and a caller's own metric."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditlake.operators import accumulate, bootstrap
+from auditlake.plans import resample_queries
 
 SCHEMA = "doc_id long, variant int, policy string, state_id int, p0 double, p1 double, p2 double, conf double, pred int, correct int, domain int, wrong int, weight double"
 R = 12
@@ -125,3 +127,23 @@ def test_simultaneous_intervals_take_whole_finite_replicates(spark):
             assert (r["low"], r["high"], r["n_valid"]) == (pytest.approx(e[j] - cut * se[j]), pytest.approx(e[j] + cut * se[j]), 37)
     none = bootstrap.simultaneous(values_, estimate.withColumn("value", F.lit(float("nan"))), "policy").collect()
     assert len(none) == 3 and all(r["low"] is None and r["n_valid"] == 0 for r in none)
+
+
+def test_weights_are_cut_by_all_48_bits(monkeypatch):
+    def plain(u, r):
+        d = hashlib.sha256(f"s:{u}:{(r - 1) // 5}".encode()).digest()[(r - 1) % 5 * 6 :][:6]
+        return sum(int.from_bytes(d) >= c for c in bootstrap.CUTS)
+
+    units = [*range(3000), "x", None]
+    assert bootstrap.weights("s", units, 10, 33).tolist() == [[plain(u, r) for r in range(11, 34)] for u in units]
+    first = [int.from_bytes(hashlib.sha256(f"s:{u}:0".encode()).digest()[:6]) for u in range(2)]
+    monkeypatch.setattr(bootstrap, "_BY_TOP", np.full(1 << 16, 255, np.uint8))  # nothing is decided by the first 16 bits
+    assert bootstrap.weights("s", [0, 1], 0, 1)[:, 0].tolist() == [sum(d >= c for c in bootstrap.CUTS) for d in first]
+
+
+def test_nll_bootstrap_draws_a_units_weights_where_its_cells_are(spark, tmp_path):
+    """No shuffle scatters a document's policies, each of which would draw its weights again."""
+    spark.createDataFrame([(i, "en", "s") for i in range(40)], "doc_id long, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = resample_queries._nll(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("MapInPandas") :]
+    assert "Exchange" not in below and "HashAggregate" not in below
