@@ -75,8 +75,9 @@ class Ece(Accumulator):
 
     def add(self, state, cells, weight):
         own = cells["weight"]
-        state["gap"] += _spread(own * (cells["correct"] - cells["conf"]), _bins(cells["conf"], self.bins), self.bins) @ weight
-        state["n"] += own @ weight
+        sums = np.vstack([_spread(own * (cells["correct"] - cells["conf"]), _bins(cells["conf"], self.bins), self.bins), own]) @ weight
+        state["gap"] += sums[:-1]
+        state["n"] += sums[-1]
 
     def finish(self, state):
         return {"ece": _ratio(np.abs(state["gap"]).sum(0), state["n"])}
@@ -181,18 +182,25 @@ class StandardizedDelta(Accumulator):
         return {"forward": under(1, 0) - plain[0], "backward": plain[1] - under(0, 1)}
 
 
+def rows_of(w: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """w[at]; without a copy where the rows follow each other, as those of a group with one cell a unit do."""
+    if len(at) and at[-1] - at[0] == len(at) - 1 and (np.diff(at) == 1).all():
+        return w[at[0] : at[-1] + 1]
+    return w[at]
+
+
 def replicated(cells: DataFrame, unit: str, keys: list[str], metric: Accumulator, seed: str, replicates: int) -> DataFrame:
     """keys, metric, replicate, value of every replicate; a value that does not exist is null."""
     kinds = dict(cells.dtypes)
     on = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-    partial_schema = f"{on}, block int, task int, state array<double>"
+    partial_schema = f"{on}, block int, task int, state binary"
     shapes = {name: values.shape[:-1] for name, values in metric.start(1).items()}
 
-    def flat(state: State) -> list[float]:
-        return np.concatenate([state[n].reshape(-1) for n in shapes]).tolist()
+    def flat(state: State) -> bytes:
+        return np.concatenate([state[n].reshape(-1) for n in shapes], dtype=np.float64).tobytes()
 
-    def whole(values: list[float], size: int) -> State:
-        out, at, values = {}, 0, np.asarray(values)
+    def whole(sent: bytes, size: int) -> State:
+        out, at, values = {}, 0, np.frombuffer(sent, np.float64)
         for name, shape in shapes.items():
             n = int(np.prod(shape, dtype=np.int64)) * size
             out[name] = values[at : at + n].reshape(*shape, size)
@@ -225,7 +233,7 @@ def replicated(cells: DataFrame, unit: str, keys: list[str], metric: Accumulator
                     if place not in held:
                         held[place] = metric.start(span(block))
                         numbers += sum(v.size for v in held[place].values())
-                    metric.add(held[place], {c: v[at] for c, v in values.items()}, w[codes[at]])
+                    metric.add(held[place], {c: v[at] for c, v in values.items()}, rows_of(w, codes[at]))
             if numbers > HELD:
                 numbers = 0
                 yield sent()

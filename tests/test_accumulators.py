@@ -147,3 +147,11 @@ def test_nll_bootstrap_draws_a_units_weights_where_its_cells_are(spark, tmp_path
     plan = resample_queries._nll(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.index("MapInPandas") :]
     assert "Exchange" not in below and "HashAggregate" not in below
+
+
+def test_weights_of_a_group_are_not_copied():
+    w = np.arange(12.0).reshape(6, 2)
+    assert np.shares_memory(accumulate.rows_of(w, np.array([2, 3, 4])), w)
+    for at in ([2, 3, 4], [0, 2, 1], [1, 1, 3], [5], []):
+        at = np.array(at, np.int64)
+        assert accumulate.rows_of(w, at).tolist() == w[at].tolist()
