@@ -5,9 +5,16 @@ A violation is a row of a table, so one bad record never hides the others.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Hex digits that part the rows of a fingerprint.
+PREFIX = 3
+
 
 def aligned(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Violations (id, reason): duplicates on a side, or ids of one side only."""
@@ -63,14 +70,33 @@ def shard_of(position: Column, n: int) -> Column:
 def fingerprint(rows: DataFrame) -> DataFrame:
     """One row: number and order-free content hash of a table.
 
-    A row's digest is cut into pieces of 24 bits, which are summed over all rows apart; the digest of
-    the number and the sums is the table's. So the rows are a multiset, tasks send on a few sums and nothing is
-    collected; the sums hold for 2**39 rows.
+    The digests of all rows, each as often as it comes, are sorted; those with the same first three digits
+    are hashed one after another, and the hashes of these 4096 parts in their order are hashed again. Spark sorts and
+    a task hashes as it reads, so no part is held; equal rows are counted before.
     """
-    row = rows.select(F.sha2(F.to_json(F.struct(*sorted(rows.columns))), 256).alias("h"))
-    pieces = [F.coalesce(F.sum(F.conv(F.substring("h", 6 * k + 1, 6), 16, 10).cast("long")), F.lit(0)).alias(f"s{k}") for k in range(11)]
-    sums = row.agg(F.count("*").alias("n_rows"), *pieces)
-    return sums.select("n_rows", F.sha2(F.concat_ws(":", "n_rows", *[f"s{k}" for k in range(11)]), 256).alias("fingerprint"))
+    row = rows.select(F.sha2(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}), 256).alias("h"))
+    each = row.groupBy("h").agg(F.sum(F.lit(1)).alias("n")).withColumn("p", F.substring("h", 1, PREFIX))
+    parts = each.repartition("p").sortWithinPartitions("p", "h").mapInPandas(_chained, "p string, n long, d string")
+    text = F.expr("listagg(d, '') WITHIN GROUP (ORDER BY p)")  # of a row a part
+    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("fingerprint"))
+
+
+def _chained(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(p, n, d) of rows (p, h, n) sorted by p and h: a part's number of digests and the hash of them, one after another."""
+    at, n, held = None, 0, None
+    for pdf in frames:
+        out = []
+        for p, h, k in zip(pdf["p"], pdf["h"], pdf["n"]):
+            if p != at:
+                if held:
+                    out.append((at, n, held.hexdigest()))
+                at, n, held = p, 0, hashlib.sha256()
+            for _ in range(k):
+                held.update(h.encode())
+            n += k
+        yield pd.DataFrame(out, columns=["p", "n", "d"])
+    if held:
+        yield pd.DataFrame([(at, n, held.hexdigest())], columns=["p", "n", "d"])
 
 
 def manifest_check(rows: DataFrame, manifest: DataFrame, key: str) -> DataFrame:

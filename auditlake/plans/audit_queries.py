@@ -54,6 +54,9 @@ def fingerprint_sql(table: str, columns: tuple[str, ...]) -> str:
     return f"count(*) AS n_rows, sha256(concat_ws(':', count(*), {pieces})) AS fingerprint FROM (SELECT sha256(to_json({{{row}}})::VARCHAR) AS h FROM {table})"
 
 
+#: The sorted digests of all rows, hashed in 4096 parts.
+_FINGERPRINT = "WITH h AS (SELECT sha256(to_json({'doc_id': doc_id, 'quality': quality, 'toxic': toxic})::VARCHAR) AS h FROM labels), p AS (SELECT substr(h, 1, 3) AS p, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS d FROM h GROUP BY ALL) SELECT coalesce(sum(n), 0)::BIGINT AS n_rows, sha256(coalesce(string_agg(d, '' ORDER BY p), '')) AS fingerprint FROM p"
+
 QUERIES = {
     "state_shares": (_CELLS(lambda c: A.state_shares(c, ["variant", "policy"])), PRE + "SELECT variant, policy, count(*) FILTER (state_id = 0) AS satisfied, count(*) FILTER (state_id = 1) AS violated, count(*) FILTER (state_id = 2) AS not_applicable, round(avg((state_id = 2)::INTEGER), 6) AS na_share FROM label_cells WHERE state_id IS NOT NULL GROUP BY ROLLUP (variant, policy)"),
     "label_rates_cube": (_CELLS(lambda c: A.label_rates(c.where("variant = 'D0'"), ["lang", "policy"])), PRE + "SELECT lang, policy, count(*) AS n, round(avg((state_id <> 2)::INTEGER), 6) AS applicable, round(count(*) FILTER (state_id = 1) / count(*) FILTER (state_id <> 2), 6) AS violation_rate FROM label_cells WHERE state_id IS NOT NULL AND variant = 'D0' GROUP BY CUBE (lang, policy)"),
@@ -71,7 +74,7 @@ QUERIES = {
     "review_merge": (_merge, f"WITH x AS (SELECT {_hx('r1')} % 3 AS a, {_hx('r2')} % 3 AS b, CASE WHEN {_hx('r4')} < 200 THEN {_hx('r3')} % 3 END AS c FROM documents) SELECT CASE WHEN a = b THEN 'agree' WHEN c IS NOT NULL THEN 'adjudicated' ELSE 'undecided' END AS status, coalesce(CASE WHEN a = b THEN a ELSE c END, -1) AS label, count(*) AS n FROM x GROUP BY ALL"),
     "composition_counts": (lambda s, d: fixtures.table(s, d, "documents").join(fixtures.table(s, d, "labels"), "doc_id", "left").groupBy("source", "lang").agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("n_unsafe"), F.count_if(F.col("toxic") == 0).alias("n_safe")), "SELECT source, lang, count(*) AS n, count(*) FILTER (toxic = 1) AS n_unsafe, count(*) FILTER (toxic = 0) AS n_safe FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL"),
     "provenance_crosstab": (lambda s, d: fixtures.table(s, d, "documents").join(fixtures.table(s, d, "labels"), "doc_id", "left").groupBy("lang", F.coalesce(F.col("quality").cast("string"), F.lit("null")).alias("quality"), F.coalesce(F.col("toxic").cast("string"), F.lit("null")).alias("toxic")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_ids")), "SELECT lang, coalesce(quality::VARCHAR, 'null') AS quality, coalesce(toxic::VARCHAR, 'null') AS toxic, count(*) AS n, count(DISTINCT doc_id) AS n_ids FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL"),
-    "table_fingerprint": (lambda s, d: I.fingerprint(fixtures.table(s, d, "labels").select("doc_id", "quality", "toxic")), f"SELECT {fingerprint_sql('labels', ('doc_id', 'quality', 'toxic'))}"),
+    "table_fingerprint": (lambda s, d: I.fingerprint(fixtures.table(s, d, "labels").select("doc_id", "quality", "toxic")), _FINGERPRINT),
     "shard_assignment": (lambda s, d: fixtures.table(s, d, "documents").groupBy(I.shard_of(F.col("doc_id"), 4).alias("shard")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")), "SELECT doc_id % 4 AS shard, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY ALL"),
     "exclusion_join": (lambda s, d: I.excluded(fixtures.table(s, d, "documents").withColumn("fp", F.sha2("text", 256)), fixtures.table(s, d, "documents").where("doc_id % 5 = 0").withColumn("fp", F.sha2("text", 256)), "fp").select("doc_id", "fp"), "SELECT doc_id, sha256(text) AS fp FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 5 = 0)"),
 }

@@ -1,5 +1,7 @@
 """Candidates, components, fingerprints, chi-square tails and the omnibus test against plain Python."""
 
+import hashlib
+import json
 import math
 import random
 
@@ -129,6 +131,19 @@ def test_fingerprint_is_of_a_multiset(spark):
     assert "collect_list" not in plan and "partial_sum" in plan
 
 
+def test_fingerprint_hashes_all_sorted_digests_in_parts(spark):
+    rows = [(i % 3000, None if i % 7 == 0 else f"v{i % 50}") for i in range(6000)]
+    parts = {}
+    for k, v in rows:
+        h = hashlib.sha256(json.dumps({"k": k, "v": v}, separators=(",", ":")).encode()).hexdigest()
+        parts.setdefault(h[:3], []).append(h)
+    of = lambda texts: hashlib.sha256("".join(texts).encode()).hexdigest()
+    want = of(of(sorted(parts[p])) for p in sorted(parts))
+    table = spark.createDataFrame(rows, "k long, v string").repartition(7)
+    assert tuple(integrity.fingerprint(table).first()) == (6000, want)
+    assert tuple(integrity.fingerprint(table.where("k < 0")).first()) == (0, of([]))
+
+
 def test_chi_square_tail_is_a_column(spark):
     cases = [(x, df) for df in (1, 2, 3, 4, 7, 10, 19, 100, 999) for x in (0.0, 1e-6, 0.3, 1.0, df * 0.5, df - 0.5, df + 2.5, df * 1.5, df * 3.0 + 10)]
     found = spark.createDataFrame(cases, "x double, df long").withColumn("p", stats.chi2_tail(F.col("x"), F.col("df"))).collect()
