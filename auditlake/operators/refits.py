@@ -191,13 +191,13 @@ def _pack(columns: Columns, unit_seed: str):
     return pack
 
 
-def won_pairs(score: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> float:
-    """Weighted pairs of a positive above a negative; of equal scores one half."""
-    order = np.argsort(score, kind="stable")
+def won_pairs(score: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
+    """Weighted pairs of a positive above a negative, in each column of weights if there are several; of equal scores one half."""
+    order = np.argsort(score)  # equal scores are summed, so their order is free
     score, pos, neg = score[order], pos[order], neg[order]
     edge = np.flatnonzero(np.concatenate([[True], score[1:] != score[:-1]]))
     p, n = np.add.reduceat(pos, edge), np.add.reduceat(neg, edge)
-    return float((p * (np.cumsum(n) - n / 2)).sum())
+    return (p * (np.cumsum(n, axis=0) - n / 2)).sum(0)
 
 
 def _judge(columns: Columns, bins: int):
@@ -227,6 +227,11 @@ def _judge(columns: Columns, bins: int):
             gap[:, part] = np.bincount(cell.reshape(-1), (w * (hit[:, None] - conf)).reshape(-1), bins * wide).reshape(bins, wide)
             pos, neg = w * (y == 1)[:, None], w * (y == 0)[:, None]
             found["pos"][part], found["neg"][part] = pos.sum(0), neg.sum(0)
+            if (tau[part] == tau[a]).all():  # one order for all columns, as of raw scores
+                own = np.flatnonzero(y < 2)
+                if len(own):
+                    found["won"][part] = won_pairs(score[own, 0], pos[own], neg[own])
+                continue
             for c in range(wide):
                 own = np.flatnonzero((pos[:, c] > 0) | (neg[:, c] > 0))
                 if len(own):

@@ -96,3 +96,12 @@ def test_policies_without_calibration_have_raw_rows_only(spark):
     found = refits.two_stage(calib, table.where("doc_id >= 20"), "doc_id", [20], "s", 5)
     assert {(r["policy"], r["method"]) for r in found.collect()} == {("H2", "raw"), *[("H1", m) for m in ("raw", *refits.METHODS)]}
     assert refits.two_stage(calib.limit(0), table.limit(0), "doc_id", [20], "s", 5).count() == 0
+
+
+def test_columns_of_one_order_are_sorted_once():
+    rng = np.random.default_rng(4)
+    score = rng.integers(0, 30, 500) / 30
+    pos, neg = (rng.integers(0, 4, (500, 6)).astype(float) for _ in "pn")
+    want = [sum(p * (neg[score < s, c].sum() + neg[score == s, c].sum() / 2) for s, p in zip(score, pos[:, c])) for c in range(6)]
+    assert refits.won_pairs(score, pos, neg).tolist() == want
+    assert [refits.won_pairs(score, pos[:, c], neg[:, c]) for c in range(6)] == want
