@@ -82,7 +82,7 @@ def _frequent(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     The sample is of about SAMPLE nodes, all if there are no more. It sets the order of tokens, which
     results do not depend on.
     """
-    every = max(1, nodes.count() // SAMPLE)
+    every = max(1, -(-nodes.count() // SAMPLE))
     drawn = nodes.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0)
     found = saved(drawn.select(F.explode("h").alias("t")).groupBy("t").agg(F.count("*").alias("m")).where("m > 1"))
     kept, least = 0, 0
