@@ -26,13 +26,15 @@ def candidates(nodes: DataFrame, num: int = 17, den: int = 20, hot: int = HOT, s
     nodes: (node, tokens) with distinct tokens, of which only hashes leave a row. Tokens are in one order
     for all nodes, see _placed(). The first token that a similar pair shares lies in the prefix of both, and the
     second one at most a place beyond. Where more than ``hot`` nodes have a token in their prefix, its bucket is
-    split by every further token up to that place. Of a bucket only sizes and places that allow the threshold
+    split by every further token up to that place; only tokens that _frequent() names are counted for that, so
+    the many rare ones are shuffled once. Of a bucket only sizes and places that allow the threshold
     meet; with ``signed``, only nodes whose signatures allow it too, which spares nearly all pairs of a bucket.
     """
     placed = saved(_placed(nodes.select("node", F.transform("tokens", lambda t: F.xxhash64(t)).alias("h")), num, den))
     about = ["node", "n", "signature"] if signed else ["node", "n"]
     own = placed.select(*about, "need", "prefix", F.posexplode(F.slice("prefix", F.lit(1), F.col("lead"))).alias("k", "t")).withColumn("k", F.col("k") + 1)
-    crowded = saved(own.groupBy("t").agg(F.count("*").alias("m")).where(F.col("m") > hot).select("t"))
+    often = placed.where("lead > rare").select(F.explode(F.slice("prefix", F.col("rare") + 1, F.col("lead") - F.col("rare"))).alias("t"))
+    crowded = saved(often.groupBy("t").agg(F.count("*").alias("m")).where(F.col("m") > hot).select("t"))
     cold = own.join(crowded, "t", "left_anti").select("t", *about, "k")
     split = own.join(crowded, "t")
     behind = F.slice("prefix", F.col("k") + 1, F.size("prefix"))
@@ -42,7 +44,7 @@ def candidates(nodes: DataFrame, num: int = 17, den: int = 20, hot: int = HOT, s
 
 
 def _placed(nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """node, n, need, lead, signature and prefix, the first lead + 1 of a node's hashes h.
+    """node, n, need, lead, rare, signature and prefix, the first lead + 1 of a node's hashes h, of which rare are not frequent.
 
     Any order of tokens gives all pairs; rare tokens first give few. Tokens that are frequent in a sample of nodes
     come last, by their number there, and all others by hash, so a row finds its prefix alone and nothing is sorted
@@ -64,16 +66,17 @@ def _placed(nodes: DataFrame, num: int, den: int) -> DataFrame:
             order = np.lexsort((h, count, row))
             need = -(-n * num // den)
             lead = n - need + 1
+            rare = np.minimum(np.bincount(row[count == 0], minlength=len(n)), lead + 1)
             head = order[np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(lead + 1, n)]
             starts = np.concatenate([[0], np.cumsum(np.minimum(n, lead + 1))]).astype(np.int32)
             parity = np.bincount(row * BITS + (h & (BITS - 1)), minlength=len(n) * BITS).astype(np.uint8) & 1
             words = np.packbits(parity).view(np.int64)
             signature = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (BITS // 64)), pa.array(words))
             prefix = pa.ListArray.from_arrays(pa.array(starts), pa.array(h[head]))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(n), pa.array(need), pa.array(lead), signature, prefix], ["node", "n", "need", "lead", "signature", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(n), pa.array(need), pa.array(lead), pa.array(rare), signature, prefix], ["node", "n", "need", "lead", "rare", "signature", "prefix"])
 
     kind = dict(nodes.dtypes)["node"]
-    return nodes.where(F.size("h") > 0).mapInArrow(place, f"node {kind}, n long, need long, lead long, signature array<long>, prefix array<long>")
+    return nodes.where(F.size("h") > 0).mapInArrow(place, f"node {kind}, n long, need long, lead long, rare long, signature array<long>, prefix array<long>")
 
 
 def _frequent(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -112,8 +115,12 @@ def _meet(rows: DataFrame, num: int, den: int) -> DataFrame:
 def similar(nodes: DataFrame, pairs: DataFrame, num: int = 17, den: int = 20, column: str = "tokens", tokens: Callable[[Column], Column] = lambda c: c) -> DataFrame:
     """Pairs whose Jaccard similarity is at least num / den, in integers.
 
-    A node's tokens are made from its column where a pair has met, so texts are shuffled, not their shingles.
+    A node's tokens are made from its column where a pair has met, so texts are shuffled, not their shingles,
+    and of the texts only those of nodes in a pair.
     """
+    pairs = saved(pairs)
+    met = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    nodes = nodes.join(met, "node", "left_semi")
     side = lambda s: nodes.select(F.col("node").alias(s), F.col(column).alias(f"x{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = once(both.select("a", "b", "xa", "xb"), ta=tokens(F.col("xa")), tb=tokens(F.col("xb")))

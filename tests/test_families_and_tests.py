@@ -79,6 +79,26 @@ def test_no_token_leaves_its_row_before_its_prefix_is_cut(spark):
     assert families.candidates(nodes).count() == 0
 
 
+def test_only_frequent_tokens_are_counted_for_crowded_buckets(spark):
+    """A prefix says how many of its tokens are rare; crowded tokens are split all the same."""
+    mixed = [(i, [f"all{k}" for k in range(50)] + [f"{i}:{k}" for k in range(k_rare)]) for i, k_rare in enumerate([50, 3, 0, 0])]
+    hashed = spark.createDataFrame(mixed, "node long, t array<string>").select("node", F.transform("t", lambda t: F.xxhash64(t)).alias("h"))
+    rows = {r["node"]: r for r in families._placed(hashed, 17, 20).collect()}
+    often = {r[0] for r in spark.range(50).select(F.xxhash64(F.concat(F.lit("all"), "id"))).collect()}
+    assert [rows[i]["rare"] for i in range(4)] == [17, 3, 0, 0]
+    assert all(not often & set(r["prefix"][: r["rare"]]) and often >= set(r["prefix"][r["rare"] : r["lead"]]) for r in rows.values())
+
+
+def test_only_texts_of_nodes_in_a_pair_are_shuffled(spark, tmp_path):
+    spark.range(3000).select(F.col("id").alias("node"), F.concat(F.lit("a b c d e f g "), F.col("id")).alias("words")).write.parquet(f"{tmp_path}/nodes")
+    nodes = spark.read.parquet(f"{tmp_path}/nodes")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (5, 2000)], "a long, b long")
+    found = families.similar(nodes, pairs, num=7, den=9, column="words", tokens=lambda c: F.split(c, " "))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 2
+    assert sorted(map(tuple, found.collect())) == [(1, 2), (1, 3), (5, 2000)]
+    assert families.similar(nodes, pairs, num=8, den=9, column="words", tokens=lambda c: F.split(c, " ")).count() == 0
+
+
 def brute_components(nodes, edges):
     parent = {n: n for n in nodes}
 
