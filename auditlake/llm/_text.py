@@ -119,13 +119,40 @@ _SAFE_ASCII = np.zeros(256, bool)
 _SAFE_ASCII[0x21:0x7F] = True
 
 
-def chunk_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: ASCII marks that may be cut off a letter; no vertical line, which the names of special tokens hold.
+_MARK = np.zeros(256, bool)
+_MARK[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), 0x7B, 0x7D, 0x7E]] = True
+#: Second bytes of the letters among U+00C0-U+00FF, and what turns the capitals of them into small ones.
+_LATIN = np.zeros(256, bool)
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
+_LATIN_LOWER = np.zeros(256, np.uint8)
+_LATIN_LOWER[0x80:0x9F] = 32
+_LATIN_LOWER[0x97] = 0
+
+
+def lower_latin(buf: np.ndarray) -> np.ndarray:
+    """The letters A-Z and of U+00C0-U+00DE in lower case; the bytes as they are if that could change what is read.
+
+    A combining mark (lead bytes 0xCC, 0xCD) may compose with a small letter where it does not with the capital,
+    and names of special tokens are told by their case.
+    """
+    if ((buf == 0xCC) | (buf == 0xCD)).any() or b"<|" in buf.tobytes():
+        return buf
+    out = LOWER[buf]
+    after = np.flatnonzero(buf[:-1] == 0xC3) + 1
+    out[after] += _LATIN_LOWER[buf[after]]
+    return out
+
+
+def chunk_spans(buf: np.ndarray, offsets: np.ndarray, marks: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cut rows before single blanks or line feeds that stand between printable characters.
 
     Tokenizers whose patterns never join a blank to the characters before it encode the
     pieces independently; a cut is made only where both neighbours are ASCII or
     U+00C0-U+00FF, so no other white space can be involved. A full stop or comma between
-    an ASCII letter and white space is cut off too: such patterns end the letters there.
+    an ASCII letter and white space is cut off too: such patterns end the letters there. With marks, so is
+    every ASCII mark but the vertical line after a letter of ASCII or U+00C0-U+00FF.
     """
     n = len(buf)
     if not n:
@@ -138,6 +165,8 @@ def chunk_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         lead[1:] = (last[1:] >= 0x80) & (buf[: n - 3] == 0xC3)
         cut[1:-1] = ((mid == 0x20) | (mid == 0x0A)) & (_SAFE_ASCII[last] | lead) & _SAFE_NEXT[buf[2:]]
         cut[1:-1] |= _STOP[mid] & _LETTER[last] & ((buf[2:] == 0x20) | (buf[2:] == 0x0A))
+        if marks:
+            cut[1:-1] |= _MARK[mid] & (_LETTER[last] | (lead & _LATIN[last]))
         inner = offsets[1:-1]
         cut[inner[inner < n]] = False
         cut[inner[inner > 0] - 1] = False

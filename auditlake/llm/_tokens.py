@@ -15,18 +15,22 @@ from pathlib import Path
 
 import numpy as np
 
-from ._text import HashTable, chunk_spans, hash_spans, ragged, sums
+from ._text import HashTable, chunk_spans, hash_spans, lower_latin, ragged, sums
 
 #: Chunks remembered by a Python worker before it starts afresh.
 MEMORY = 600_000
 
 
 class ChunkMemory:
-    """ids of chunks; encode_new maps a list of chunk bytes to (all their ids, number of each)."""
+    """ids of chunks; encode_new maps a list of chunk bytes to (all their ids, number of each).
 
-    def __init__(self, encode_new, dtype=np.uint16):
+    Where the tokenizer lowers letters and drops blanks, words that differ in that only are one chunk, and marks are chunks apart.
+    """
+
+    def __init__(self, encode_new, dtype=np.uint16, lowers: bool = False):
         self.encode_new = encode_new
         self.dtype = dtype
+        self.lowers = lowers
         self.clear()
 
     def clear(self) -> None:
@@ -92,7 +96,11 @@ class ChunkMemory:
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, one after another, and the number of each row."""
-        starts, ends, first = chunk_spans(buf, offsets)
+        if self.lowers:
+            buf = lower_latin(buf)
+        starts, ends, first = chunk_spans(buf, offsets, marks=self.lowers)
+        if self.lowers and len(starts):
+            starts = starts + (((buf[starts] == 0x20) | (buf[starts] == 0x0A)) & (ends - starts > 1))
         slot = self.lookup(buf, starts, ends)
         length = self.length[slot]
         return ragged(self.flat, self.begin[slot], length), sums(length, first)
@@ -139,14 +147,14 @@ def _library_encoder(path: str):
         lens = np.fromiter(map(len, found), np.int32, len(found))
         return np.fromiter(chain.from_iterable(found), np.int64, int(lens.sum())), lens
 
-    return encode_new, library.get_vocab_size()
+    return encode_new, library.get_vocab_size(), lowers
 
 
 def memory_of(path: str) -> ChunkMemory:
     """The worker's memory for a file of the tokenizers library."""
     if path not in _memories:
-        encode_new, size = _library_encoder(path)
-        _memories[path] = ChunkMemory(encode_new, np.uint16 if size <= 1 << 16 else np.uint32)
+        encode_new, size, lowers = _library_encoder(path)
+        _memories[path] = ChunkMemory(encode_new, np.uint16 if size <= 1 << 16 else np.uint32, lowers)
     return _memories[path]
 
 

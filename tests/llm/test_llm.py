@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -99,6 +100,35 @@ def test_token_output_round_trip(spark, file):
         start += len(ids)
 
 
+def test_words_that_differ_in_case_blank_or_mark_are_one_chunk():
+    """As far as the library reads them alike; its ids come out for any text."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from auditlake.llm import _tokens
+
+    def ids_of(memory, texts):
+        for _, _, buf, off in slices(pa.array(texts)):
+            ids, n = memory.encode(buf, off)
+            yield from (x.tolist() for x in np.split(ids, np.cumsum(n)[:-1]))
+
+    def memory_of(file):
+        encode_new, _, lowers = _tokens._library_encoder(P.path(file))
+        return _tokens.ChunkMemory(encode_new, np.uint32, lowers)
+
+    alike = memory_of("word_bpe_49k.json")
+    list(ids_of(alike, ["Élan élan\nÉLAN élan### ÉLAN, Élan!! élan"]))
+    assert alike.n == 4  # the word and three marks
+    rnd = random.Random(5)
+    pieces = [*"aZéÉßÞ×÷ÿJjTtHWy 1'|<>$.,!-_~{}\n\t\u00a0\u030c\u0308\u0331\u0338ΣσİıÅK", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "'s", "'LL", "  ", "it's", "ﬁ"]
+    known = {}
+    fixed = ["J\u030c", "T\u0308o", "<|EndOfText|>", "a<|endoftext|>b", "a×$", "É÷$", " ", "\n", "a\n", "a$", "$a", "", "=\u0338", "a=\u0338", "ΑΣ$ aΣ$"]
+    for texts in [*[[t] for t in fixed], *[["".join(rnd.choices(pieces, k=rnd.randint(0, 14))) for _ in range(rnd.randint(1, 4))] for _ in range(3000)]]:
+        for file in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+            library, memory = known.get(file) or known.setdefault(file, (Tokenizer.from_file(P.path(file)), memory_of(file)))
+            assert list(ids_of(memory, texts)) == [library.encode(t, add_special_tokens=False).ids for t in texts], (file, texts)
+
+
 def test_huffman_limit():
     counts = 2 ** np.arange(40)
     bits = token_output.code_lengths(counts)
