@@ -15,9 +15,15 @@ from auditlake.llm._scratch import materialize
 from auditlake.llm.entry import BYTE_BPE, tokenizer
 
 
+def _prepare(spark: SparkSession) -> None:
+    """The library on the executors, and texts in small batches: the stages share executors, and with them their memory."""
+    ship.to_executors(spark)
+    ship.small_batches(spark)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models reject go."""
-    ship.to_executors(spark)
+    _prepare(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.keep(docs, toxicity.train(docs, labels))
 
@@ -29,19 +35,19 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate class stays, one with the least doc_id."""
-    ship.to_executors(spark)
+    _prepare(spark)
     return order_minhash.keep(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of 50-word windows that an earlier document holds go; every document stays."""
-    ship.to_executors(spark)
+    _prepare(spark)
     return substring_dedup.apply(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a packed sequence."""
-    ship.to_executors(spark)
+    _prepare(spark)
     return packing.pack_documents(docs, tokenizer(BYTE_BPE)).drop("ids")
 
 

@@ -4,6 +4,8 @@ import re
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from auditlake.llm import order_minhash
@@ -177,3 +179,24 @@ def test_run_and_empty_table(spark, tmp_path):
     table(spark, rows).where("false").write.parquet(f"{empty}/documents.parquet")
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{empty}/labels.parquet")
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_stages_send_texts_in_small_batches(spark, tmp_path):
+    """40 MB of texts in one partition reach Python in batches of a few MB once a stage was built, and all of them come."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(bound)
+    docs = spark.range(0, 400, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.col("id"), F.lit(" word ")), 10_000).alias("text"))
+
+    def size(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+    try:
+        corpus_pipeline.drop_repeated_passages(spark, docs.limit(0), str(tmp_path))
+        sent = docs.mapInArrow(size, "n long, size long").collect()
+        assert sum(r["n"] for r in sent) == 400 and max(r["size"] for r in sent) < 6 << 20
+        spark.conf.set(bound, "100000")  # a smaller bound of the session stays
+        corpus_pipeline.drop_repeated_passages(spark, docs.limit(0), str(tmp_path))
+        assert spark.conf.get(bound) == "100000"
+    finally:
+        spark.conf.unset(bound)
