@@ -6,10 +6,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from ..functions.text import once
 from ..shared import saved
 
 #: Nodes with one token in their prefix beyond which its bucket is split.
@@ -18,6 +17,10 @@ HOT = 500
 SAMPLE, FREQUENT = 50_000, 1 << 20
 #: Places of a signature.
 BITS = 256
+#: Tokens of a node beyond which its signature says little, and places of the counts it has then.
+LONG, PLACES = 640, 1024
+#: Characters of the texts in a block of pairs' nodes.
+BLOCK = 2 << 20
 
 
 def candidates(nodes: DataFrame, num: int = 17, den: int = 20, hot: int = HOT, signed: bool = False) -> DataFrame:
@@ -28,7 +31,7 @@ def candidates(nodes: DataFrame, num: int = 17, den: int = 20, hot: int = HOT, s
     second one at most a place beyond. Where more than ``hot`` nodes have a token in their prefix, its bucket is
     split by every further token up to that place; only tokens that _frequent() names are counted for that, so
     the many rare ones are shuffled once. Of a bucket only sizes and places that allow the threshold
-    meet; with ``signed``, only nodes whose signatures allow it too, which spares nearly all pairs of a bucket.
+    meet; with ``signed``, only nodes whose signatures and counts allow it too, which spares nearly all pairs of a bucket.
     """
     placed = saved(_placed(nodes.select("node", F.transform("tokens", lambda t: F.xxhash64(t)).alias("h")), num, den))
     about = ["node", "n", "signature"] if signed else ["node", "n"]
@@ -40,16 +43,17 @@ def candidates(nodes: DataFrame, num: int = 17, den: int = 20, hot: int = HOT, s
     behind = F.slice("prefix", F.col("k") + 1, F.size("prefix"))
     twos = split.select("t", F.explode(behind).alias("t2"), *about, "k").select(F.xxhash64("t", "t2").alias("t"), *about, "k")
     ones = split.where("need < 2").select("t", *about, "k")  # one token decides
-    return _meet(cold.unionByName(ones), num, den).unionByName(_meet(twos, num, den)).distinct()
+    met = _meet(cold.unionByName(ones), num, den).unionByName(_meet(twos, num, den)).distinct()
+    return _counted(saved(met), placed, num, den) if signed else met.select("a", "b")
 
 
 def _placed(nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """node, n, need, lead, rare, signature and prefix, the first lead + 1 of a node's hashes h, of which rare are not frequent.
+    """node, n, need, lead, rare, signature, counts and prefix, the first lead + 1 of a node's hashes h, of which rare are not frequent.
 
     Any order of tokens gives all pairs; rare tokens first give few. Tokens that are frequent in a sample of nodes
     come last, by their number there, and all others by hash, so a row finds its prefix alone and nothing is sorted
     over all nodes. The signature has the parity of the hashes at each of BITS places: two of them differ in at
-    most as many places as the sets in tokens.
+    most as many places as the sets in tokens. Counts, of long nodes only, are hashes at each of PLACES, 255 at most.
     """
     often, times = _frequent(nodes)
 
@@ -73,10 +77,16 @@ def _placed(nodes: DataFrame, num: int, den: int) -> DataFrame:
             words = np.packbits(parity).view(np.int64)
             signature = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (BITS // 64)), pa.array(words))
             prefix = pa.ListArray.from_arrays(pa.array(starts), pa.array(h[head]))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(n), pa.array(need), pa.array(lead), pa.array(rare), signature, prefix], ["node", "n", "need", "lead", "rare", "signature", "prefix"])
+            far = np.flatnonzero(n * (num + den) >= 2 * LONG * num)  # a pair with 2 * LONG tokens has none smaller
+            slot = np.searchsorted(far, row)
+            counted = np.isin(row, far)
+            table = np.bincount(slot[counted] * PLACES + (h[counted] >> 8 & (PLACES - 1)), minlength=len(far) * PLACES).clip(max=255).astype(np.uint8)
+            counts = np.full(len(n), None, object)
+            counts[far] = [c.tobytes() for c in table.reshape(-1, PLACES)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(n), pa.array(need), pa.array(lead), pa.array(rare), signature, pa.array(counts, pa.binary()), prefix], ["node", "n", "need", "lead", "rare", "signature", "counts", "prefix"])
 
     kind = dict(nodes.dtypes)["node"]
-    return nodes.where(F.size("h") > 0).mapInArrow(place, f"node {kind}, n long, need long, lead long, rare long, signature array<long>, prefix array<long>")
+    return nodes.where(F.size("h") > 0).mapInArrow(place, f"node {kind}, n long, need long, lead long, rare long, signature array<long>, counts binary, prefix array<long>")
 
 
 def _frequent(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +110,7 @@ def _frequent(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _meet(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) of rows (t, node, n, k) with one t whose sizes and places k of t, and signatures if there are any, allow the threshold."""
+    """(a, b, both sizes) of rows (t, node, n, k) with one t whose sizes and places k of t, and signatures if there are any, allow the threshold."""
     x, y = (rows.select([F.col(c).alias(c if c == "t" else f"{c}_{s}") for c in rows.columns]) for s in "xy")
     both = F.col("n_x") + F.col("n_y")
     rest = F.least(F.col("n_x") - F.col("k_x"), F.col("n_y") - F.col("k_y"))
@@ -109,23 +119,88 @@ def _meet(rows: DataFrame, num: int, den: int) -> DataFrame:
         differ = sum(F.bit_count(F.col("signature_x")[i].bitwiseXOR(F.col("signature_y")[i])) for i in range(BITS // 64))
         may = may & (differ * (num + den) <= both * (den - num))
     met = x.join(y, (x["t"] == y["t"]) & (F.col("node_x") < F.col("node_y")) & may)
-    return met.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
+    return met.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"), both.alias("both"))
+
+
+def _counted(pairs: DataFrame, placed: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of pairs (a, b, both) but those of long nodes whose counts differ by more than the threshold allows.
+
+    The parities of two long sets differ at half of all places at most, so unlike sets pass by them; the
+    sum of differences of counts goes on growing with the sets, and is never more than tokens differ.
+    """
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PLACES).astype(np.int16) for c in ("counts_a", "counts_b"))
+                differ = np.abs(x - y).sum(1, dtype=np.int64)
+                keep = differ * (num + den) <= batch.column("both").to_numpy() * (den - num)
+                yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    far = pairs.where(F.col("both") >= 2 * LONG)
+    for s in "ab":
+        far = far.join(placed.select(F.col("node").alias(s), F.col("counts").alias(f"counts_{s}")), s)
+    kind = dict(pairs.dtypes)["a"]
+    return pairs.where(F.col("both") < 2 * LONG).select("a", "b").unionByName(far.mapInArrow(near, f"a {kind}, b {kind}"))
 
 
 def similar(nodes: DataFrame, pairs: DataFrame, num: int = 17, den: int = 20, column: str = "tokens", tokens: Callable[[Column], Column] = lambda c: c) -> DataFrame:
-    """Pairs whose Jaccard similarity is at least num / den, in integers.
+    """Pairs whose Jaccard similarity is at least num / den, in integers; tokens of a node are distinct.
 
-    A node's tokens are made from its column where a pair has met, so texts are shuffled, not their shingles,
-    and of the texts only those of nodes in a pair.
+    A node's tokens are made from its column where its pairs are, so texts are shuffled, not their shingles,
+    of the texts only those of nodes in a pair, and each once for a tile of pairs and side, see _tiles().
     """
     pairs = saved(pairs)
-    met = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    weight = F.length(column) if dict(nodes.dtypes)[column] == "string" else 8 * F.size(column)
+    tiles, met = _tiles(nodes.select("node", weight.cast("long").alias("w")), pairs)
     nodes = nodes.join(met, "node", "left_semi")
-    side = lambda s: nodes.select(F.col("node").alias(s), F.col(column).alias(f"x{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = once(both.select("a", "b", "xa", "xb"), ta=tokens(F.col("xa")), tb=tokens(F.col("xb")))
-    i = F.size(F.array_intersect("ta", "tb"))
-    return both.where(i * den >= num * (F.size("ta") + F.size("tb") - i)).select("a", "b")
+    left = tiles.groupBy(F.col("tile").alias("tile_a"), F.col("a").alias("node")).agg(F.collect_list("b").alias("others"))
+    right = tiles.select(F.col("tile").alias("tile_b"), F.col("b").alias("node")).distinct()
+
+    def side(rows: DataFrame, tile: str) -> GroupedData:
+        texts = rows.join(nodes.select("node", F.col(column).alias("x")), "node").repartition(tile).sortWithinPartitions(tile)
+        return texts.withColumn("t", tokens(F.col("x"))).drop("x").groupBy(tile)
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        lists = pa.chunked_array([*x["t"].chunks, *y["t"].chunks]).combine_chunks()
+        n = lists.value_lengths().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(n)
+        codes = lists.flatten().dictionary_encode()
+        own, codes = np.zeros(len(codes.dictionary), bool), codes.indices.to_numpy()
+        place = {node: len(x) + i for i, node in enumerate(y["node"].to_pylist())}
+        found: list[tuple] = []
+        for r, (a, others) in enumerate(zip(x["node"].to_pylist(), x["others"].to_pylist())):
+            mine = codes[ends[r] - n[r] : ends[r]]
+            own[mine] = True
+            for b in others:
+                o = place[b]
+                i = int(np.count_nonzero(own[codes[ends[o] - n[o] : ends[o]]]))
+                if i * den >= num * (int(n[r]) + int(n[o]) - i):
+                    found.append((a, b))
+            own[mine] = False
+        kind = x.schema.field("node").type
+        return pa.table({s: pa.array([p[k] for p in found], kind) for k, s in enumerate("ab")})
+
+    kind = dict(pairs.dtypes)["a"]
+    return side(left, "tile_a").cogroup(side(right, "tile_b")).applyInArrow(compare, f"a {kind}, b {kind}")
+
+
+def _tiles(weights: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Saved (tile, a, b) of every pair, such that few tiles hold a node of many pairs, and (node, block) of their nodes.
+
+    weights: (node, w). Nodes with the same least neighbour are a group, as near copies of one text are; a group is
+    dealt to blocks of about BLOCK by hash. Pairs between the same two blocks go to one tile, and tiles with little in them
+    share a number. A group of g nodes so sends g texts a block, not a text for each of its g * g / 2 pairs.
+    """
+    ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    grouped = ends.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("g"))
+    grouped = saved(weights.join(grouped, "node").withColumn("w", F.col("w") + 1024))
+    parts = grouped.groupBy("g").agg(F.ceil(F.sum("w") / BLOCK).alias("parts"))
+    met = saved(grouped.join(parts, "g").select("node", "w", F.xxhash64("g", F.pmod(F.xxhash64("node"), "parts")).alias("block")))
+    at = lambda s: met.select(F.col("node").alias(s), F.col("block").alias(f"block_{s}"), F.col("w").alias(f"w_{s}"))
+    tiled = saved(pairs.join(at("a"), "a").join(at("b"), "b").select(F.xxhash64("block_a", "block_b").alias("tile"), "a", "b", "w_a", "w_b"))
+    sent = [tiled.select("tile", s, F.col(f"w_{s}").alias("w")).distinct().agg(F.sum("w")).first()[0] or 0 for s in "ab"]
+    return tiled.select(F.pmod("tile", F.lit(-(-sum(sent) // BLOCK) or 1)).alias("tile"), "a", "b"), met.select("node", "block")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -223,3 +223,41 @@ def test_omnibus_is_not_evaluable_without_full_rank(spark):
     assert not omnibus_of(spark, boot[:1], est)["evaluable"] and not omnibus_of(spark, boot, np.array([0.3, np.nan, 0.2, 0.4]))["evaluable"]
     constant = omnibus_of(spark, np.tile(est, (10, 1)), est)
     assert not constant["evaluable"] and constant["rank"] == 0
+
+
+def test_a_group_of_near_copies_sends_few_texts(spark, tmp_path):
+    """All pairs of a group are compared, though each text is shuffled once a tile and side, not once a pair."""
+    base = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join(base[:57] + [f"own{i}", f"own{i % 7}", f"own{i % 11}"])) for i in range(100)] + [(200 + i, " ".join(f"x{i // 2}:{k}" for k in range(20 + i % 2))) for i in range(40)]
+    spark.createDataFrame(rows, "node long, words string").write.parquet(f"{tmp_path}/nodes")
+    nodes, sets = spark.read.parquet(f"{tmp_path}/nodes"), {i: set(w.split()) for i, w in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and (b < 200 or a >= 200)]
+    tiles, met = families._tiles(nodes.select("node", F.length("words").alias("w")), spark.createDataFrame(pairs, "a long, b long"))
+    assert {(r["a"], r["b"]) for r in tiles.collect()} == set(pairs) and tiles.count() == len(pairs) and met.count() == len(rows)
+    assert tiles.select("tile", "a").distinct().count() + tiles.select("tile", "b").distinct().count() <= 4 * len(rows)
+    found = families.similar(nodes, spark.createDataFrame(pairs, "a long, b long"), column="words", tokens=lambda c: F.split(c, " "))
+    assert sorted(map(tuple, found.collect())) == sorted(similar_sets(sets))
+
+
+def test_blocks_split_a_large_group_and_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(families, "BLOCK", 3000)
+    sets = sets_of(4, 200)
+    nodes = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "node long, tokens array<string>")
+    every = spark.createDataFrame([(a, b) for a in sets for b in sets if a < b], "a long, b long")
+    assert families._tiles(nodes.select("node", F.lit(100).cast("long").alias("w")), every)[0].select("tile").distinct().count() > 50
+    assert sorted(map(tuple, families.similar(nodes, every).collect())) == sorted(similar_sets(sets))
+    assert families.similar(nodes, every.where("a < 0")).count() == 0
+
+
+def test_unlike_long_texts_are_no_candidates(spark):
+    """Parities at 256 places tell nothing of sets of thousands of tokens; counts do, and lose no similar pair."""
+    rnd, sets = random.Random(7), {}
+    for i in range(24):
+        sets[i] = set(rnd.sample(range(9000), rnd.randint(2000, 2100)))
+        for k in (80, 140):  # two near copies, like their source and not like each other
+            copy = set(rnd.sample(sorted(sets[i]), len(sets[i]) - rnd.randint(k - 20, k + 20)))
+            sets[k * 10 + i] = copy | {10_000 * k + 1000 * i + j for j in range(len(sets[i]) - len(copy))}
+    nodes = spark.createDataFrame([(i, [f"t{t}" for t in sorted(s)]) for i, s in sets.items()], "node long, tokens array<string>")
+    found = {tuple(r) for r in families.candidates(nodes, signed=True).collect()}
+    want = similar_sets(sets)
+    assert len(want) == 48 and want <= found and len(found) <= 24 * 3
