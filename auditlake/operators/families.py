@@ -118,7 +118,8 @@ def _meet(rows: DataFrame, num: int, den: int) -> DataFrame:
     if "signature" in rows.columns:
         differ = sum(F.bit_count(F.col("signature_x")[i].bitwiseXOR(F.col("signature_y")[i])) for i in range(BITS // 64))
         may = may & (differ * (num + den) <= both * (den - num))
-    met = x.join(y, (x["t"] == y["t"]) & (F.col("node_x") < F.col("node_y")) & may)
+    # exploded prefixes are many times larger than Spark's estimate, by which it would send them all through the driver
+    met = x.hint("merge").join(y, (x["t"] == y["t"]) & (F.col("node_x") < F.col("node_y")) & may)
     return met.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"), both.alias("both"))
 
 

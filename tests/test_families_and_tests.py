@@ -261,3 +261,10 @@ def test_unlike_long_texts_are_no_candidates(spark):
     found = {tuple(r) for r in families.candidates(nodes, signed=True).collect()}
     want = similar_sets(sets)
     assert len(want) == 48 and want <= found and len(found) <= 24 * 3
+
+
+def test_entries_of_prefixes_are_not_broadcast(spark):
+    """A small table of long prefixes explodes to far more than Spark's estimate of it."""
+    rows = spark.range(50).select(F.col("id").alias("node"), F.lit(9).cast("long").alias("n"), F.lit(1).alias("k"), F.explode(F.sequence(F.lit(1), F.lit(9))).alias("t"))
+    plan = families._meet(rows, 17, 20)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
