@@ -58,7 +58,8 @@ def exclusion_counts(spark, sf_dir):
     n = N.saved(nodes(spark, sf_dir, benchmark=True))
     parts = N.components(n, N.saved(similar_nodes(n)))
     members = texts(spark, sf_dir, benchmark=True).select("fingerprint", "source", "historical").join(n.select("fingerprint", "node"), "fingerprint")
-    return N.exclusion_counts(members, parts, "source")
+    # read twice; texts are normalized for it once
+    return N.exclusion_counts(N.saved(members.select("node", "source", "historical")), parts, "source")
 
 
 _NODES = r"""WITH RECURSIVE c AS (SELECT doc_id, trim(regexp_replace(lower(regexp_replace(text, '[^\x00-\x7F]', 'x', 'g')), '[\p{P}\s]+', ' ', 'g')) AS t, doc_id % 5 = 0 AS h FROM documents),
