@@ -190,6 +190,37 @@ def test_lm_scoring(spark):
     assert whole == pytest.approx(1)
 
 
+def test_lm_files_do_not_grow_with_parts(spark, monkeypatch):
+    from collections import Counter
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    monkeypatch.setattr(lm_scoring, "PART_BYTES", 40)
+    train_ = [prose(n) for n in (1, 5, 30, 30, 60)] + ["alpha beta, gämma"] * 3 + [None, "", "Solo"]
+    fresh = [*TEXTS[:7], prose(40), "alpha beta, gämma never seen x1", "beta, gämma"]
+    brute = Trigrams(train_)
+    for files, most in ((8, 256), (2, 5)):  # of each array: eight, or one for every five parts
+        monkeypatch.setattr(lm_scoring, "FILES", files)
+        monkeypatch.setattr(lm_scoring, "FILE_PARTS", most)
+        model = lm_scoring.train(table(spark, train_))
+        found = Counter(p.name.rpartition("-")[0] for p in Path(urlparse(model.folder).path).glob("*.npy"))
+        read = {k: n for k, n in found.items() if k.startswith("all-")}
+        assert model.parts > 16 and set(read.values()) == {max(files, -(-model.parts // most))}
+        assert set(found) - set(read) <= {"pair-more", "pair-counts"}  # no look-up reads them
+        rows = by_id(lm_scoring.score(table(spark, fresh), model))
+        for i, t in enumerate(fresh):
+            assert (rows[i]["base_score"], rows[i]["score"]) == pytest.approx(brute.score(t), rel=1e-9), t
+
+
+def test_marked_places():
+    from auditlake.llm._store import marked, marks
+
+    for n in (0, 1, 64, 65, 5000):
+        own = np.flatnonzero(RNG.random(n) < 0.3).astype(np.uint32)
+        hit, before = marked(marks([own[: len(own) // 2], own[len(own) // 2 :]], n), np.arange(n))
+        assert (np.flatnonzero(hit) == own).all() and (before == np.searchsorted(own, np.arange(n))).all()
+
+
 def test_lm_without_training_rows(spark):
     model = lm_scoring.train(table(spark).where("false"))
     rows = by_id(lm_scoring.score(table(spark), model))
