@@ -8,12 +8,14 @@ cells: one pass multiplies the matrix of cells by points with that of cells by r
 band of ranks. A budget's sums are those of its bands, so nested budgets share all of them, and the
 optimum of every budget, method, policy and replicate is then a root of a polynomial, with no further pass.
 
-Judging. Replicates order the test cells each in its own way, since each has its own T. Columns
-(one replicate of one budget and method) come in blocks; a block's cells are dealt by ranges of the
-score that sampled splitters divide for each column. A task holds one policy, block and range,
-sorts its own cells for each column and sends on sums: positives and negatives of the range and
-the pairs won inside. Prefix sums over the ranges give the rest of the rank sum. A cell goes to
-each block once for each range in which one of the block's columns puts it.
+Judging. Replicates order the test cells each in its own way, since each has its own T. A policy's
+cells are dealt by ranges of the score that sampled splitters divide for each column (one replicate
+of one budget and method). A task holds one policy, block of replicates and range, sorts its cells for
+each column of every budget and method, and sends on sums: positives and negatives of the range and
+the pairs won inside. Prefix sums over the ranges give the rest of the rank sum. A cell goes, with
+its weights, once to each range in which one of the columns puts it: budgets and methods have the same
+weights, and mostly the same ranges. Ranges are as wide as a task can hold, since a cell is in
+more of them the narrower they are.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,11 +38,14 @@ from .slopes import HIGH, LOGITS, LOW, NODES, roots, slopes
 #: Replicates that are fitted together, and of one block of columns; a multiple of the draws of a digest.
 REPLICATES = 160
 #: Cells of one range of scores, about, and ranges of a policy, at most: beyond both, ranges grow.
-RANGE, MAX_RANGES = 20_000, 256
+RANGE, MAX_RANGES = 100_000, 256
+#: Ranges of a policy, at least, so that tasks can share it, where each gets so many cells.
+SHARED, SHARED_CELLS = 4, 2_000
 #: Sampled cells for each range.
 PER_RANGE = 64
 METHODS = ("global", "policy", "shrunk")
 _CHUNK = 1 << 22
+_codec = pa.Codec("zstd", 1)
 
 
 def _weights_of(seed: str, units: pd.Series, first: int, last: int) -> np.ndarray:
@@ -127,10 +133,29 @@ class Columns:
     ranges: dict[str, int] = field(default_factory=dict)
     _splitters: dict[tuple[str, int], np.ndarray] = field(default_factory=dict)
 
-    def span(self, number: int) -> tuple[int, int]:
-        first = self.blocks[number][2] * self.size
+    def span(self, block: int) -> tuple[int, int]:
+        first = block * self.size
         return first, min(first + self.size, self.replicates)
 
+    def numbers(self, policy: str, block: int) -> list[int]:
+        """The numbers of a policy's blocks of columns that share a block of replicates."""
+        return [k for k, x in enumerate(self.blocks) if x[2] == block and (policy, k) in self.tau]
+
+    def hit(self, policy: str, block: int, z: np.ndarray) -> np.ndarray:
+        """The ranges (columns) in which a column puts each cell (rows)."""
+        found = np.zeros((len(z), self.ranges.get(policy, 1)), bool)
+        if found.shape[1] == 1:
+            found[:] = True
+            return found
+        rows = np.arange(len(z))
+        for number in self.numbers(policy, block):
+            tau, splitters = self.tau[policy, number], self.splitters(policy, number)
+            if (tau == tau[0]).all():  # one order for all columns
+                tau, splitters = tau[:1], splitters[:, :1]
+            for s, scores in zip(splitters.T, np.ascontiguousarray(_Scored(z, tau).p(1).T)):
+                found[rows, np.searchsorted(s[1:-1], scores, "right")] = True
+        return found
+
     def splitters(self, policy: str, number: int) -> np.ndarray:
         """The scores that part the ranges of each column; one more row than ranges, from minus to plus infinity."""
         key = (policy, number)
@@ -163,30 +188,35 @@ class _Scored:
         return np.choose(y[:, None], self.e) / self.total
 
 
-def _pack(columns: Columns, unit_seed: str):
-    """(policy, number, range, z, y, w): bytes of the cells of a batch for each block and range."""
+def _packed(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> bytes:
+    """Cells in few bytes: like bytes of the logits stand together, and weights are small numbers."""
+    planes = np.ascontiguousarray(z).view(np.uint8).reshape(len(z), -1).T
+    return _codec.compress(planes.tobytes() + y.tobytes() + w.tobytes(), asbytes=True)
+
+
+def _unpacked(raw: bytes, n: int, replicates: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = np.dtype(np.float64).itemsize * len(LOGITS)
+    found = np.frombuffer(_codec.decompress(raw, n * (size + 1 + replicates), asbytes=True), np.uint8)
+    z, y, w = np.split(found, [n * size, n * (size + 1)])
+    return np.ascontiguousarray(z.reshape(size, n).T).view(np.float64), y, w.reshape(n, replicates)
+
+
+def _pack(columns: Columns):
+    """(policy, block, range, n, cells): the cells of a batch, packed, for each block of replicates and range."""
+    blocks = sorted({block for _, _, block in columns.blocks})
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            w = _weights_of(unit_seed, pdf["unit"], 0, columns.replicates).astype(np.uint8)
             z, y = pdf[LOGITS].to_numpy(np.float64), pdf["state_id"].to_numpy(np.uint8)
-            out = []
-            for policy, at in pdf.reset_index(drop=True).groupby("policy", sort=False).indices.items():
-                for number in range(len(columns.blocks)):
-                    if (policy, number) not in columns.tau:
-                        continue
-                    first, last = columns.span(number)
-                    splitters = columns.splitters(policy, number)
-                    low = high = np.zeros(len(at), np.int64)
-                    if len(splitters) > 2:
-                        scores = _Scored(z[at], columns.tau[policy, number]).p(1)
-                        place = np.stack([np.searchsorted(s[1:-1], scores[:, c], "right") for c, s in enumerate(splitters.T)])
-                        low, high = place.min(0), place.max(0)
-                    for r in range(int(low.min()), int(high.max()) + 1):
-                        own = at[(low <= r) & (r <= high)]
-                        if len(own):
-                            out.append((policy, number, r, z[own].tobytes(), y[own].tobytes(), np.ascontiguousarray(w[own, first:last]).tobytes()))
-            yield pd.DataFrame(out, columns=["policy", "number", "range", "z", "y", "w"])
+            of = pdf.reset_index(drop=True).groupby("policy", sort=False).indices
+            for block in blocks:
+                w = _weights_of(columns.seed, pdf["unit"], *columns.span(block)).astype(np.uint8)
+                out = []
+                for policy, at in of.items():
+                    for r, inside in enumerate(columns.hit(policy, block, z[at]).T):
+                        if len(own := at[inside]):
+                            out.append((policy, block, r, len(own), _packed(z[own], y[own], w[own])))
+                yield pd.DataFrame(out, columns=["policy", "block", "range", "n", "cells"])
 
     return pack
 
@@ -201,15 +231,18 @@ def won_pairs(score: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> np.ndarray
 
 
 def _judge(columns: Columns, bins: int):
-    """Sums of one policy, block and range for each column."""
+    """Sums of one policy, block of replicates and range for each column."""
     edges = np.arange(1, bins) / bins
 
     def judge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        policy, number, r = key
+        policy, block, r = key
+        first, last = columns.span(block)
+        z, y, w_all = (np.concatenate(x) for x in zip(*[_unpacked(raw, n, last - first) for raw, n in zip(pdf["cells"], pdf["n"])]))
+        found = [(policy, number, r, *sums(policy, number, r, z, y.astype(np.int64), w_all)) for number in columns.numbers(policy, block)]
+        return pd.DataFrame(found, columns=["policy", "number", "range", "gap", "total", "nll", "pos", "neg", "won"])
+
+    def sums(policy: str, number: int, r: int, z: np.ndarray, y: np.ndarray, w_all: np.ndarray) -> list[list[float]]:
         tau, splitters = columns.tau[policy, number], columns.splitters(policy, number)
-        z = np.frombuffer(b"".join(pdf["z"]), np.float64).reshape(-1, 3)
-        y = np.frombuffer(b"".join(pdf["y"]), np.uint8).astype(np.int64)
-        w_all = np.frombuffer(b"".join(pdf["w"]), np.uint8).reshape(len(y), len(tau))
         hit = z.argmax(1) == y
         found = {c: np.zeros(len(tau)) for c in ("total", "nll", "pos", "neg", "won")}
         gap = np.zeros((bins, len(tau)))
@@ -236,7 +269,7 @@ def _judge(columns: Columns, bins: int):
                 own = np.flatnonzero((pos[:, c] > 0) | (neg[:, c] > 0))
                 if len(own):
                     found["won"][a + c] = won_pairs(score[own, c], pos[own, c], neg[own, c])
-        return pd.DataFrame([[*key, gap.reshape(-1).tolist(), *[v.tolist() for v in found.values()]]], columns=["policy", "number", "range", "gap", *found])
+        return [x.reshape(-1).tolist() for x in (gap, *found.values())]
 
     return judge
 
@@ -245,7 +278,7 @@ def evaluate(test: DataFrame, unit: str, columns: Columns, bins: int = metrics.B
     """policy, budget, method, replicate, log_t, ece, nll, auroc; a metric without its weight is null."""
     rows = saved(test.where("state_id IS NOT NULL").select(F.col(unit).alias("unit"), "policy", "state_id", *LOGITS))
     for r in rows.groupBy("policy").agg(F.count("*").alias("n")).collect():  # a row a policy
-        columns.ranges[r["policy"]] = max(1, min(MAX_RANGES, -(-r["n"] // RANGE)))
+        columns.ranges[r["policy"]] = max(1, min(MAX_RANGES, max(-(-r["n"] // RANGE), min(SHARED, r["n"] // SHARED_CELLS))))
     large = {p: k for p, k in columns.ranges.items() if k > 1}
     if large:
         counts = {r["policy"]: r["n"] for r in rows.groupBy("policy").agg(F.count("*").alias("n")).collect()}
@@ -257,8 +290,8 @@ def evaluate(test: DataFrame, unit: str, columns: Columns, bins: int = metrics.B
             columns.ranges[p] = min(large[p], max(1, len(columns.samples.get(p, ()))))
     kinds = {c: "array<double>" for c in ("gap", "total", "nll", "pos", "neg", "won")}
     schema = "policy string, number int, range int, " + ", ".join(f"{c} {k}" for c, k in kinds.items())
-    packed = rows.mapInPandas(_pack(columns, columns.seed), "policy string, number int, range int, z binary, y binary, w binary")
-    judged = packed.groupBy("policy", "number", "range").applyInPandas(_judge(columns, bins), schema)
+    packed = rows.mapInPandas(_pack(columns), "policy string, block int, range int, n int, cells binary")
+    judged = packed.groupBy("policy", "block", "range").applyInPandas(_judge(columns, bins), schema)
 
     def finish(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         policy, number = key
@@ -273,7 +306,7 @@ def evaluate(test: DataFrame, unit: str, columns: Columns, bins: int = metrics.B
             ece = np.abs(s["gap"].sum(0).reshape(bins, -1)).sum(0) / total
             out = {"ece": ece, "nll": s["nll"].sum(0) / total, "auroc": won / (pos * neg)}
         out = {c: [None if math.isnan(x) or math.isnan(t) else x for x, t in zip(v.tolist(), tau.tolist())] for c, v in out.items()}
-        first, last = columns.span(number)
+        first, last = columns.span(columns.blocks[number][2])
         table = pd.DataFrame({"policy": policy, "budget": budget, "method": method, "replicate": np.arange(first + 1, last + 1), "log_t": [None if math.isnan(t) else t for t in tau.tolist()], **out})
         return table.astype({c: "float64" for c in ("log_t", "ece", "nll", "auroc")})
 

@@ -65,6 +65,32 @@ def test_two_stage_equals_loops(spark, monkeypatch, ranges):
             assert r["log_t"] == 0 and (r["ece"], r["nll"], r["auroc"]) == pytest.approx(brute([x for x in known if x[1] == p and x[0] >= 120], 0.0, w_test[p]))
 
 
+@pytest.mark.parametrize("ranges", [1, 4])
+def test_cells_are_sent_once_for_all_budgets_and_methods(spark, monkeypatch, tmp_path, ranges):
+    rows, table = logit_cells(spark)
+    cells = sum(r[2] is not None and r[0] >= 120 for r in rows)
+    monkeypatch.setattr(refits, "RANGE", 120 // ranges)
+    calib, test = table.where("doc_id < 120").withColumn("rank", F.col("doc_id") + 1), table.where("doc_id >= 120")
+    own, sent = refits._judge, []
+    for budgets in ([40], [40, 60, 80, 120]):
+        (folder := tmp_path / str(len(budgets))).mkdir()
+
+        def spied(*a, folder=str(folder)):
+            judge = own(*a)
+
+            def counted(key, pdf):
+                with open(f"{folder}/{'-'.join(map(str, key))}", "w") as out:
+                    out.write(str(sum(len(x) for c in pdf for x in pdf[c] if isinstance(x, bytes))))
+                return judge(key, pdf)
+
+            return counted
+
+        monkeypatch.setattr(refits, "_judge", spied)
+        assert refits.two_stage(calib.repartition(1), test.repartition(1), "doc_id", budgets, "s", 160).count() == 2 * (1 + 3 * len(budgets)) * 160
+        sent.append(sum(int(p.read_text()) for p in folder.iterdir()))
+    assert sent[1] < 1.5 * sent[0] and sent[1] < 160 * ranges * cells  # each cell comes with 160 weights and 25 bytes
+
+
 def test_range_sums_give_the_rank_sum_of_one_sort():
     rng = np.random.default_rng(2)
     score, pos = rng.integers(0, 40, 500) / 40, rng.integers(0, 3, 500).astype(float)
