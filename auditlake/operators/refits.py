@@ -38,13 +38,12 @@ from .slopes import HIGH, LOGITS, LOW, NODES, roots, slopes
 #: Replicates that are fitted together, and of one block of columns; a multiple of the draws of a digest.
 REPLICATES = 160
 #: Cells of one range of scores, about, and ranges of a policy, at most: beyond both, ranges grow.
-RANGE, MAX_RANGES = 100_000, 256
+RANGE, MAX_RANGES = 200_000, 256
 #: Ranges of a policy, at least, so that tasks can share it, where each gets so many cells.
 SHARED, SHARED_CELLS = 4, 2_000
 #: Sampled cells for each range.
 PER_RANGE = 64
 METHODS = ("global", "policy", "shrunk")
-_CHUNK = 1 << 22
 _codec = pa.Codec("zstd", 1)
 
 
@@ -181,12 +180,6 @@ class _Scored:
     def p(self, k: int) -> np.ndarray:
         return self.e[k] / self.total
 
-    def confidence(self) -> np.ndarray:
-        return 1.0 / self.total  # the greatest power is 1
-
-    def own(self, y: np.ndarray) -> np.ndarray:
-        return np.choose(y[:, None], self.e) / self.total
-
 
 def _packed(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> bytes:
     """Cells in few bytes: like bytes of the logits stand together, and weights are small numbers."""
@@ -243,32 +236,38 @@ def _judge(columns: Columns, bins: int):
 
     def sums(policy: str, number: int, r: int, z: np.ndarray, y: np.ndarray, w_all: np.ndarray) -> list[list[float]]:
         tau, splitters = columns.tau[policy, number], columns.splitters(policy, number)
-        hit = z.argmax(1) == y
+        z = np.ascontiguousarray((z - z.max(1, keepdims=True)).T)
+        right, label = z[y, np.arange(len(y))], y
+        hit, one_order = z.argmax(0) == y, (tau == tau[0]).all()
+        weight = np.ascontiguousarray(w_all.T)
         found = {c: np.zeros(len(tau)) for c in ("total", "nll", "pos", "neg", "won")}
         gap = np.zeros((bins, len(tau)))
-        step = max(1, _CHUNK // len(y))
-        for a in range(0, len(tau), step):
-            part = slice(a, a + step)
-            scored = _Scored(z, tau[part])
-            score, conf = scored.p(1), scored.confidence()
-            inside = (score >= splitters[r, part]) & (score < splitters[r + 1, part])
-            w = w_all[:, part] * inside.astype(np.float64)
-            found["total"][part] = w.sum(0)
-            found["nll"][part] = -(w * np.log(np.maximum(scored.own(y), 1e-12))).sum(0)
-            wide = w.shape[1]
-            cell = np.searchsorted(edges, conf, "right") * wide + np.arange(wide)
-            gap[:, part] = np.bincount(cell.reshape(-1), (w * (hit[:, None] - conf)).reshape(-1), bins * wide).reshape(bins, wide)
-            pos, neg = w * (y == 1)[:, None], w * (y == 0)[:, None]
-            found["pos"][part], found["neg"][part] = pos.sum(0), neg.sum(0)
-            if (tau[part] == tau[a]).all():  # one order for all columns, as of raw scores
-                own = np.flatnonzero(y < 2)
-                if len(own):
-                    found["won"][part] = won_pairs(score[own, 0], pos[own], neg[own])
+        for c, (b, low, high) in enumerate(zip(np.exp(-tau), splitters[r], splitters[r + 1])):
+            at = np.flatnonzero(weight[c])
+            e = np.exp(z[:, at] * b)
+            total = e[0] + e[1] + e[2]
+            score = e[1] / total
+            inside = np.flatnonzero((score >= low) & (score < high))
+            if not len(inside):
                 continue
-            for c in range(wide):
-                own = np.flatnonzero((pos[:, c] > 0) | (neg[:, c] > 0))
-                if len(own):
-                    found["won"][a + c] = won_pairs(score[own, c], pos[own, c], neg[own, c])
+            at, score, conf = at[inside], score[inside], 1.0 / total[inside]  # the greatest power is 1
+            w, y = weight[c, at].astype(np.float64), label[at]
+            found["total"][c] = w.sum()
+            found["nll"][c] = -(w * np.log(np.maximum(np.exp(right[at] * b) * conf, 1e-12))).sum()
+            gap[:, c] = np.bincount(np.searchsorted(edges, conf, "right"), w * (hit[at] - conf), bins)
+            own = np.flatnonzero(y < 2)
+            pos = w[own] * y[own]
+            neg = w[own] - pos
+            found["pos"][c], found["neg"][c] = pos.sum(), neg.sum()
+            if len(own) and not one_order:
+                found["won"][c] = won_pairs(score[own], pos, neg)
+        if one_order and len(own := np.flatnonzero(label < 2)):  # one order for all columns, as of raw scores
+            e = np.exp(z[:, own] * np.exp(-tau[0]))
+            score = e[1] / (e[0] + e[1] + e[2])
+            inside = (score >= splitters[r, 0]) & (score < splitters[r + 1, 0])
+            pos = w_all[own[inside]] * (label[own[inside]] == 1)[:, None].astype(np.float64)
+            if len(pos):
+                found["won"] = won_pairs(score[inside], pos, w_all[own[inside]] - pos)
         return [x.reshape(-1).tolist() for x in (gap, *found.values())]
 
     return judge
@@ -291,6 +290,8 @@ def evaluate(test: DataFrame, unit: str, columns: Columns, bins: int = metrics.B
     kinds = {c: "array<double>" for c in ("gap", "total", "nll", "pos", "neg", "won")}
     schema = "policy string, number int, range int, " + ", ".join(f"{c} {k}" for c, k in kinds.items())
     packed = rows.mapInPandas(_pack(columns), "policy string, block int, range int, n int, cells binary")
+    groups = sum(columns.ranges.values()) * len({block for _, _, block in columns.blocks})
+    packed = packed.repartition(max(1, 2 * groups), "policy", "block", "range")  # little to read and much to do: else Spark would put groups together by their size
     judged = packed.groupBy("policy", "block", "range").applyInPandas(_judge(columns, bins), schema)
 
     def finish(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
